@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The published pipeline has no stream: every read is a batch table read and the
+24h / 7d windows are batch range frames.  Nothing here re-implements a stream
+the pipeline does not have.
+"""
