@@ -14,14 +14,21 @@ Two physical forms compute the same values:
 ``frame``  range-frame windows partitioned by sender (one shuffle).  A task holds
            a whole sender and ``collect_set`` costs rows x frame, so a sender
            that owns a third of the table lands in one task.
-``sweep``  skew-proof and linear.  Payments are first aggregated per
-           (sender, second); each contributes ``+`` at ``t`` and a retraction at
-           ``t + width``; distinct receivers contribute ``+1`` at each visit and
-           ``-1`` when the pair's coverage ends (next visit or ``t + width``).
-           The running sums of those deltas are the frame values.  Running sums
-           are taken inside (sender, time bucket) groups plus an offset carried
-           from earlier buckets, so no group is larger than the number of
-           seconds in one bucket, however hot the sender.
+``sweep``  skew-proof and linear.  Each payment contributes ``+`` at ``t`` and a
+           retraction at ``t + width``; each distinct (sender, receiver, second)
+           visit contributes ``+1`` at ``t`` and ``-1`` where the pair's coverage
+           ends (its next visit or ``t + width``).  The running sum of those
+           deltas at ``t`` is the frame value.  Running sums are taken inside
+           (sender, week bucket) groups; every contribution is also copied into
+           the next bucket, which is all it can reach, so no offsets are needed.
+           Deltas are summed per (sender, bucket, second) before the window
+           (map-side), so a group holds at most two weeks of seconds however
+           hot the sender is.
+
+``auto``   measures the table first (one aggregation: rows per sender and per
+           sender-week) and takes ``frame`` only when no sender is hot and the
+           estimated frame cost (sum of squared weekly counts) stays within
+           ``frame_cost_factor`` x rows; otherwise ``sweep``.
 """
 
 from __future__ import annotations
@@ -42,15 +49,31 @@ FEATURE_NAMES = ["sender_24h_count", "sender_24h_volume", "amt_vs_7d_avg", "uniq
 def add_features(txn: DataFrame, spec: FeatureSpec | None = None) -> DataFrame:
     """Bronze transactions -> silver: every input column plus the feature columns."""
     spec = spec or FeatureSpec()
-    if spec.method == "frame":
+    method = choose_method(txn, spec) if spec.method == "auto" else spec.method
+    if method == "frame":
         framed = _frame_values(txn, spec)
-    elif spec.method == "sweep":
+    elif method == "sweep":
         framed = _sweep_values(txn, spec)
     else:
         raise ValueError(f"unknown feature method {spec.method!r}")
     return _finish(framed, txn.columns, spec)
 
 
+def choose_method(txn: DataFrame, spec: FeatureSpec) -> str:
+    """``frame`` when range frames are cheap and balanced on this table, else ``sweep``."""
+    c = spec.cols
+    week = F.floor(epoch_seconds(txn, c.ts) / F.lit(spec.long_window))
+    per_week = txn.groupBy(c.sender, week.alias("_w")).agg(F.count(F.lit(1)).alias("_n"))
+    per_sender = per_week.groupBy(c.sender).agg(F.sum("_n").alias("_g"),
+                                                 F.sum(F.col("_n") * F.col("_n")).alias("_sq"))
+    st = per_sender.agg(F.max("_g").alias("g"), F.sum("_sq").alias("sq"), F.sum("_g").alias("n")).first()
+    if st["n"] is None or st["n"] == 0:
+        return "frame"
+    hot = st["g"] > spec.frame_max_sender_rows
+    costly = st["sq"] > spec.frame_cost_factor * st["n"]
+    return "sweep" if (hot or costly) else "frame"
+
+
 def _finish(df: DataFrame, base_cols: list[str], spec: FeatureSpec) -> DataFrame:
     c = spec.cols
     return df.select(
@@ -100,68 +123,50 @@ def _null_safe_key(df: DataFrame, name: str) -> tuple[Column, Column]:
     return F.col(name).isNull(), F.coalesce(F.col(name), fill)
 
 
-def bucketed_running_sums(events: DataFrame, keys: list[str], t: str, values: list[str],
-                          bucket_seconds: int, carry: list[str] = ()) -> DataFrame:
-    """Running sums of ``values`` per key over time, including every event at
-    time <= t.  One output row per (key, t); ``carry`` columns are combined with
-    ``max``.
-
-    Events are aggregated per (key, t) first (map-side), then summed inside
-    (key, bucket) groups, which hold at most ``bucket_seconds`` rows each; the
-    totals of earlier buckets are added as an offset computed on the much
-    smaller (key, bucket) table.  ``keys`` must be non-null.
-    """
-    per_t = events.groupBy(*keys, t).agg(*[F.sum(v).alias(v) for v in values],
-                                          *[F.max(x).alias(x) for x in carry])
-    per_t = per_t.withColumn("_b", F.floor(F.col(t) / F.lit(bucket_seconds)))
-    w_in = Window.partitionBy(*keys, "_b").orderBy(t).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = per_t.select(*keys, "_b", t, *carry, *[F.sum(v).over(w_in).alias(v) for v in values])
-    # bucket totals = running value at the bucket's last second (same partitioning, no shuffle)
-    totals = local.groupBy(*keys, "_b").agg(*[F.max_by(v, t).alias(v) for v in values])
-    w_before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_b", *[F.coalesce(F.sum(v).over(w_before), F.lit(0)).alias("_o_" + v)
-                                            for v in values])
-    joined = local.join(offsets, on=[*keys, "_b"], how="inner")
-    return joined.select(*keys, t, *carry, *[(F.col(v) + F.col("_o_" + v)).alias(v) for v in values])
-
-
 def _sweep_values(txn: DataFrame, spec: FeatureSpec) -> DataFrame:
     c = spec.cols
-    W, L, B = spec.short_window, spec.long_window, spec.bucket_seconds
+    W, L = spec.short_window, spec.long_window
+    B = max(L, W)                     # partition bucket: every contribution spans at most 2 buckets
     kn, kv = _null_safe_key(txn, c.sender)
     rows = txn.withColumn("_ts_sec", epoch_seconds(txn, c.ts)).withColumn("_kn", kn).withColumn("_kv", kv)
     keys = ["_kn", "_kv"]
-    amt = F.col(c.amount).cast(_SUM_TYPE)
-    has_amt = F.col(c.amount).isNotNull().cast("long")
     timed = rows.where(F.col("_ts_sec").isNotNull())
-
-    # payments per (sender, second): the only table the count/sum sweep needs
-    per_sec = timed.groupBy(*keys, "_ts_sec").agg(
-        F.count(F.lit(1)).alias("c"), F.sum(amt).alias("s"), F.sum(has_amt).alias("n"))
-    zero_d, zero_l = F.lit(0).cast(_SUM_TYPE), F.lit(0).cast("long")
-
-    def delta(dt, point, c24, s24, n24, s7, n7):
-        return F.struct(F.lit(dt).cast("long").alias("dt"), F.lit(point).alias("point"), c24.alias("c24"),
-                        s24.alias("s24"), n24.alias("n24"), s7.alias("s7"), n7.alias("n7"), zero_l.alias("u24"))
-
-    c_, s_, n_ = F.col("c"), F.col("s"), F.col("n")
-    deltas = F.array(delta(0, 1, c_, s_, n_, s_, n_),            # the payments themselves
-                     delta(W, 0, -c_, -s_, -n_, zero_d, zero_l),  # leave the short frame
-                     delta(L, 0, zero_l, zero_d, zero_l, -s_, -n_))  # leave the long frame
-    amount_events = (per_sec.select(*keys, "_ts_sec", F.explode(deltas).alias("d"))
-                     .select(*keys, (F.col("_ts_sec") + F.col("d.dt")).alias("t"), "d.point", "d.c24", "d.s24",
-                             "d.n24", "d.s7", "d.n7", "d.u24"))
-
-    # distinct receivers: each visit of a pair covers [t, min(next visit, t + W))
-    pair_events = _receiver_coverage(timed, keys, c.receiver, W)
-    events = amount_events.unionByName(pair_events, allowMissingColumns=True).na.fill(0, ["point"])
-    for v, typ in (("c24", "long"), ("s24", _SUM_TYPE), ("n24", "long"), ("s7", _SUM_TYPE), ("n7", "long"),
-                   ("u24", "long")):
-        events = events.withColumn(v, F.coalesce(F.col(v), F.lit(0).cast(typ)))
-    sums = bucketed_running_sums(events, keys, "t", ["c24", "s24", "n24", "s7", "n7", "u24"], B,
-                                 carry=["point"])
+    t = F.col("_ts_sec")
+    bucket = F.floor(t / F.lit(B))
+    a = F.col(c.amount).cast(_SUM_TYPE)
+    h = F.col(c.amount).isNotNull().cast("long")
+    zd, zl, one = F.lit(0).cast(_SUM_TYPE), F.lit(0).cast("long"), F.lit(1).cast("long")
+
+    def ev(pb, e, point, c24, s24, n24, s7, n7, u24=zl):
+        return F.struct(pb.alias("pb"), e.alias("e"), F.lit(point).alias("point"), c24.alias("c24"),
+                        s24.alias("s24"), n24.alias("n24"), s7.alias("s7"), n7.alias("n7"), u24.alias("u24"))
+
+    # each payment feeds queries in its own bucket and the next one (halo copy)
+    pay = F.array(
+        ev(bucket, t, 1, one, a, h, a, h),
+        ev(bucket, t + W, 0, -one, -a, -h, zd, zl),
+        ev(bucket + 1, t, 0, one, a, h, a, h),
+        ev(bucket + 1, t + W, 0, -one, -a, -h, zd, zl),
+        ev(bucket + 1, t + L, 0, zl, zd, zl, -a, -h),
+    )
+    pay_events = timed.select(*keys, F.explode(pay).alias("d"))
+
+    visits = _receiver_visits(timed, keys, c.receiver, W)
+    vt, off = F.col("_ts_sec"), F.col("_off")
+    vb = F.floor(vt / F.lit(B))
+    cover = F.array(ev(vb, vt, 0, zl, zd, zl, zd, zl, one), ev(vb, off, 0, zl, zd, zl, zd, zl, -one),
+                    ev(vb + 1, vt, 0, zl, zd, zl, zd, zl, one), ev(vb + 1, off, 0, zl, zd, zl, zd, zl, -one))
+    cover_events = visits.select(*keys, F.explode(cover).alias("d"))
+
+    values = ["c24", "s24", "n24", "s7", "n7", "u24"]
+    events = (pay_events.unionByName(cover_events).select(*keys, "d.*")
+              .where(F.col("e") < (F.col("pb") + 1) * F.lit(B)))          # later events never reach a query
+    per_e = events.groupBy(*keys, "pb", "e").agg(*[F.sum(v).alias(v) for v in values],
+                                                  F.max("point").alias("point"))
+    w = Window.partitionBy(*keys, "pb").orderBy("e").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = per_e.select(*keys, "e", "point", *[F.sum(v).over(w).alias(v) for v in values])
     at_points = sums.where(F.col("point") == 1).select(
-        *keys, F.col("t").alias("_ts_sec"),
+        *keys, F.col("e").alias("_ts_sec"),
         F.col("c24").alias("_c24"),
         F.when(F.col("n24") > 0, F.col("s24").cast("double")).alias("_s24"),
         F.when(F.col("n7") > 0, F.col("s7").cast("double") / F.col("n7")).alias("_avg7"),
@@ -179,29 +184,25 @@ def _sweep_values(txn: DataFrame, spec: FeatureSpec) -> DataFrame:
     return timed_out.unionByName(untimed_out).drop("_kn", "_kv", "_ts_sec")
 
 
-def _receiver_coverage(timed: DataFrame, keys: list[str], receiver: str, width: int) -> DataFrame:
-    """+1 / -1 events whose running sum per sender is the number of distinct
-    receivers seen in the trailing ``width`` seconds.
+def _receiver_visits(timed: DataFrame, keys: list[str], receiver: str, width: int) -> DataFrame:
+    """Distinct (sender, receiver, second) visits with ``_off``, the end of the
+    visit's coverage: the pair's next visit or ``t + width``, whichever is first.
 
-    The next visit of a pair is found inside day-long buckets: within a bucket by
-    ``lead``; for a bucket's last visit, from the pair's first visit in the next
-    bucket (a later visit is beyond ``t + width`` anyway).  Groups are therefore
-    bounded by the seconds in a bucket.
+    The next visit is a ``lead`` inside day-long buckets; every visit is also
+    copied into the previous bucket as a look-ahead row, so a bucket's last
+    visit sees the first visit of the next bucket (a later one is past
+    ``t + width`` anyway).  Groups hold at most two buckets of seconds.
     """
     visits = (timed.where(F.col(receiver).isNotNull())
-              .select(*keys, F.col(receiver).alias("_r"), "_ts_sec").distinct()
-              .withColumn("_db", F.floor(F.col("_ts_sec") / F.lit(width))))
-    pair = [*keys, "_r"]
-    w = Window.partitionBy(*pair, "_db").orderBy("_ts_sec")
-    with_next = visits.withColumn("_next", F.lead("_ts_sec").over(w))
-    firsts = (visits.groupBy(*pair, "_db").agg(F.min("_ts_sec").alias("_nb_first"))
-              .withColumn("_db", F.col("_db") - 1))
-    with_next = with_next.join(firsts, on=[*pair, "_db"], how="left")
-    nxt = F.coalesce(F.col("_next"), F.col("_nb_first"))
-    off = F.least(F.coalesce(nxt, F.col("_ts_sec") + width), F.col("_ts_sec") + width)
-    deltas = F.array(F.struct(F.col("_ts_sec").alias("t"), F.lit(1).cast("long").alias("u24")),
-                     F.struct(off.alias("t"), F.lit(-1).cast("long").alias("u24")))
-    return with_next.select(*keys, F.explode(deltas).alias("d")).select(*keys, "d.t", "d.u24")
+              .select(*keys, F.col(receiver).alias("_r"), "_ts_sec").distinct())
+    db = F.floor(F.col("_ts_sec") / F.lit(width))
+    copies = F.array(F.struct(db.alias("_db"), F.lit(1).alias("_own")),
+                     F.struct((db - 1).alias("_db"), F.lit(0).alias("_own")))
+    both = visits.select("*", F.explode(copies).alias("_c")).select(*keys, "_r", "_ts_sec", "_c.*")
+    w = Window.partitionBy(*keys, "_r", "_db").orderBy("_ts_sec")
+    nxt = both.withColumn("_next", F.lead("_ts_sec").over(w)).where(F.col("_own") == 1)
+    end = F.col("_ts_sec") + F.lit(width)
+    return nxt.select(*keys, "_ts_sec", F.least(F.coalesce(F.col("_next"), end), end).alias("_off"))
 
 
 # ---------------------------------------------------------------------------

@@ -80,8 +80,9 @@ class FeatureSpec:
     short_window: int = DAY_SECONDS
     long_window: int = WEEK_SECONDS
     pay_formats: tuple = tuple(PAY_FORMATS)
-    method: str = "sweep"              # "sweep" (skew-proof, linear) or "frame" (range frames)
-    bucket_seconds: int = 3600         # sweep: prefix sums are cut into buckets of this width
+    method: str = "auto"               # "auto", "sweep" (skew-proof, linear) or "frame" (range frames)
+    frame_max_sender_rows: int = 1_000_000   # auto: frame only if no sender has more rows
+    frame_cost_factor: int = 256             # auto: frame only if sum of squared weekly counts <= factor x rows
     cols: TxnColumns = field(default_factory=TxnColumns)
 
     def model_features(self, include_interbank: bool = False) -> list[str]:
