@@ -65,3 +65,23 @@ def work_dir(spark: SparkSession, name: str) -> str:
     import uuid
 
     return f"{base}/txnwatch-{name}-{uuid.uuid4().hex[:12]}"
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``txnwatch`` importable in Python workers (needed by the pandas
+    functions): zip the package once per application and ``addPyFile`` it.
+    A cluster that installs the package everywhere can skip this."""
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import shutil
+
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="txnwatch-pkg-")
+    archive = shutil.make_archive(os.path.join(out, "txnwatch"), "zip", os.path.dirname(pkg_dir), "txnwatch")
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)
