@@ -167,6 +167,15 @@ select * from sc order by prob desc, l_orderkey, l_linenumber limit 1000""",
         "top_case": f"""with {SCORED}
 select * from sc where label = 1 order by prob desc, l_orderkey, l_linenumber limit 1""",
         "rules_vs_model": _rules_vs_model_sql(),
+        "pattern_lookup": f"""with {RAW}
+select * from lk""",
+        "ingest_roundtrip": f"""with {RAW}
+select r.ts_min, r.from_bank, r.from_account, r.to_bank, r.to_account, r.amount_paid, r.payment_format, r.label,
+       lk.typology
+from r left join lk on r.ts_min = lk.ts_min and r.from_bank = lk.from_bank and r.from_account = lk.from_account
+     and r.to_bank = lk.to_bank and r.to_account = lk.to_account and r.amount_paid = lk.amount_paid
+     and r.payment_currency = lk.payment_currency and r.payment_format = lk.payment_format""",
+        "reason_codes_zscore": _reason_codes_sql(),
         "training_sample": f"""{_sample_ctes()}
 select txn_id, label, typology, sender_24h_count, round(amt_vs_7d_avg, 6) as amt_vs_7d_avg from sample""",
         "split_counts": f"""{_split_ctes()}
@@ -177,6 +186,33 @@ select txn_id, label from te order by h, txn_id limit {EXPLAIN_SAMPLE}""",
     }
 
 
+RAW = f"""{TXN},
+r as (select strftime(ts, '%Y/%m/%d %H:%M') as ts_min, cast(from_bank as varchar) as from_bank,
+             cast(from_account as varchar) as from_account, cast(to_bank as varchar) as to_bank,
+             cast(to_account as varchar) as to_account, amount_paid, 'US Dollar' as payment_currency,
+             payment_format, label, typology as src_typology from t),
+lk as (select ts_min, from_bank, from_account, to_bank, to_account, amount_paid, payment_currency, payment_format,
+              min(src_typology) as typology
+       from r where src_typology is not null
+       group by ts_min, from_bank, from_account, to_bank, to_account, amount_paid, payment_currency, payment_format)"""
+
+_REASON_FEATURES = ["amount_paid", "sender_24h_count", "sender_24h_volume", "amt_vs_7d_avg",
+                    "unique_receivers_24h", "rapid_exit_risk"] + [pay_column(p) for p in FIXTURE_FORMATS]
+
+
+def _reason_codes_sql() -> str:
+    z = ", ".join(f"{{'v': (x.{f} - st.m_{f}) / st.s_{f}, 'i': {i}, 'name': '{f}'}}"
+                  for i, f in enumerate(_REASON_FEATURES))
+    stats = ", ".join(f"avg({f}) as m_{f}, stddev_samp({f}) as s_{f}" for f in _REASON_FEATURES)
+    return f"""{SILVER_CTES},
+st as (select {stats} from silver),
+a as (select x.txn_id, list_sort(list_transform([{z}], lambda e: {{'nv': -e.v, 'i': e.i, 'name': e.name, 'v': e.v}}))
+             as srt from silver x, st),
+b as (select txn_id, srt[1] as r1, srt[2] as r2, srt[3] as r3 from a)
+select txn_id, r1.name as reason_1, r2.name as reason_2, r3.name as reason_3,
+       round(r1.v, 6) as reason_1_shap, round(r2.v, 6) as reason_2_shap, round(r3.v, 6) as reason_3_shap from b"""
+
+
 def _rules_vs_model_sql() -> str:
     """Rules against a behaviour score (rounded 7-day deviation) on the whole silver table."""
     flags = _rules_flags

@@ -13,7 +13,11 @@ from pyspark.sql import functions as F
 from txnwatch.functions.expr import epoch_seconds, round6
 from txnwatch.operators import ranking, rules, sampling
 from txnwatch.operators.features import add_features, class_means, reconcile
+from txnwatch.operators import explain as ex
+from txnwatch.operators import ingest as ing
 from txnwatch.operators.ingest import ingest_profile, typology_counts
+from txnwatch.session import work_dir
+from txnwatch.sources import raw_files
 from txnwatch.plans import oracle_sql as osql
 from txnwatch.schema import CHECK_FEATURES, FeatureSpec, pay_column
 from txnwatch.sources.fixture import FIXTURE_FORMATS, SCORED_IDS, load_scored, load_txn
@@ -164,6 +168,51 @@ def q_explain_sample(spark, sf_dir):
     return sampling.uniform_sample(test, osql.EXPLAIN_SAMPLE, osql.SPLIT_SEED).select("txn_id", "label")
 
 
+def _raw_files(spark, sf_dir):
+    """Write the stand-in as raw files (Spark derives them from the tables), return their paths."""
+    txn = load_txn(spark, sf_dir)
+    base = work_dir(spark, "raw")
+    raw_files.write_transactions_csv(txn, base + "/transactions_csv")
+    raw_files.write_pattern_blocks(txn, base + "/patterns_txt")
+    return base + "/transactions_csv", base + "/patterns_txt"
+
+
+def q_pattern_lookup(spark, sf_dir):
+    """Parse the block file and keep one typology per record key."""
+    _, patterns = _raw_files(spark, sf_dir)
+    lookup = ing.typology_lookup(ing.read_pattern_records(spark, patterns))
+    return lookup.select(F.date_format("ts", "yyyy/MM/dd HH:mm").alias("ts_min"), "from_bank", "from_account",
+                         "to_bank", "to_account", "amount_paid", "payment_currency", "payment_format", "typology")
+
+
+def q_ingest_roundtrip(spark, sf_dir):
+    """CSV scan + pattern parse + typology join: bronze rows."""
+    csv_path, patterns = _raw_files(spark, sf_dir)
+    trans = ing.read_transactions(spark, csv_path)
+    lookup = ing.typology_lookup(ing.read_pattern_records(spark, patterns))
+    bronze = ing.attach_typology(trans, lookup)
+    return bronze.select(F.date_format("ts", "yyyy/MM/dd HH:mm").alias("ts_min"), "from_bank", "from_account",
+                         "to_bank", "to_account", "amount_paid", "payment_format", "label", "typology")
+
+
+REASON_FEATURES = [f for f in FIXTURE_SPEC.model_features() if f != "is_round_1000"]
+
+
+def q_reason_codes_zscore(spark, sf_dir):
+    """Top-3 reason codes (F5) over closed-form linear attributions with unit
+    weights: each feature's z-score against the whole table (M2 form)."""
+    s = silver(spark, sf_dir)
+    stats = s.agg(*[F.avg(f).alias("m_" + f) for f in REASON_FEATURES],
+                  *[F.stddev(f).alias("s_" + f) for f in REASON_FEATURES])
+    st = stats.select(F.struct(*stats.columns).alias("st")).scalar()      # one scalar subquery
+    z = [(F.col(f) - st["m_" + f]) / st["s_" + f] for f in REASON_FEATURES]
+    attr = s.select("txn_id", F.array(*z).alias("phi"))
+    codes = ex.top_reasons(attr, REASON_FEATURES)
+    return codes.select("txn_id", *[c for r in range(1, 4) for c in (f"reason_{r}", f"reason_{r}_shap")]) \
+        .select("txn_id", "reason_1", "reason_2", "reason_3",
+                *[round6(f"reason_{r}_shap").alias(f"reason_{r}_shap") for r in range(1, 4)])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "txn_fixture": q_txn_fixture,
     "velocity_alerts": q_velocity_alerts,
@@ -188,6 +237,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "training_sample": q_training_sample,
     "split_counts": q_split_counts,
     "explain_sample": q_explain_sample,
+    "pattern_lookup": q_pattern_lookup,
+    "ingest_roundtrip": q_ingest_roundtrip,
+    "reason_codes_zscore": q_reason_codes_zscore,
 }
 
 
