@@ -300,7 +300,7 @@ def mean_abs(attr: DataFrame, features: list[str], phi: str = "phi") -> DataFram
     ex = attr.select(F.posexplode(phi).alias("i", "v"))
     names = F.array(*[F.lit(f) for f in features])
     return (ex.groupBy("i").agg(F.avg(F.abs("v")).alias("mean_abs_shap"))
-            .select(names.getItem(F.col("i")).alias("feature"), "mean_abs_shap")
+            .select(F.get(names, F.col("i")).alias("feature"), "mean_abs_shap")
             .orderBy(F.desc("mean_abs_shap"), "feature"))
 
 
@@ -309,5 +309,5 @@ def case_breakdown(attr_row: DataFrame, features: list[str], max_display: int =
     ``max_display``), plus its ``base``."""
     names = F.array(*[F.lit(f) for f in features])
     ex = attr_row.select("base", F.posexplode(phi).alias("i", "contribution"))
-    return (ex.select(names.getItem(F.col("i")).alias("feature"), "contribution", "base")
+    return (ex.select(F.get(names, F.col("i")).alias("feature"), "contribution", "base")
             .orderBy(F.desc(F.abs("contribution")), "feature").limit(max_display))
