@@ -266,13 +266,22 @@ def explain_linear(rows: DataFrame, model: PipelineModel, background: DataFrame,
     return rows.select(*keep, phi.alias("phi"), F.lit(base).alias("base"))
 
 
+def explainer_for(spark: SparkSession, model: PipelineModel, features: list[str]):
+    """Tree arrays for a tree pipeline (built once, reused for every batch of
+    rows); ``None`` for the logistic pipeline, which needs no preparation."""
+    last = model.stages[-1]
+    if isinstance(last, LogisticRegressionModel):
+        return None
+    return tree_explainer(spark, last, len(features))
+
+
 def explain(rows: DataFrame, model: PipelineModel, features: list[str], keep: list[str],
-            background: DataFrame | None = None) -> DataFrame:
+            background: DataFrame | None = None, prepared=None) -> DataFrame:
     """Dispatch on the fitted pipeline's last stage."""
     last = model.stages[-1]
     if isinstance(last, LogisticRegressionModel):
         return explain_linear(rows, model, background if background is not None else rows, features, keep)
-    ex = tree_explainer(rows.sparkSession, last, len(features))
+    ex = prepared if prepared is not None else tree_explainer(rows.sparkSession, last, len(features))
     return explain_trees(rows, ex, features, keep)
 
 

@@ -40,7 +40,10 @@ from pyspark.sql.types import NumericType, StringType
 from txnwatch.functions.expr import differs, epoch_seconds, is_multiple, one_hot, safe_ratio
 from txnwatch.schema import ROUND_UNIT, FeatureSpec
 
-_SUM_TYPE = "decimal(38,6)"   # exact retraction of amounts (a double running sum drifts)
+# Running sums restart in every (sender, bucket) group and span at most two
+# buckets, so the rounding of a double retraction stays at the scale of the
+# frame's own volume (about 1e-15 relative; exact for whole amounts).
+_SUM_TYPE = "double"
 
 FEATURE_NAMES = ["sender_24h_count", "sender_24h_volume", "amt_vs_7d_avg", "unique_receivers_24h",
                  "is_round_1000", "rapid_exit_risk", "is_interbank"]
@@ -135,7 +138,7 @@ def _sweep_values(txn: DataFrame, spec: FeatureSpec) -> DataFrame:
     bucket = F.floor(t / F.lit(B))
     a = F.col(c.amount).cast(_SUM_TYPE)
     h = F.col(c.amount).isNotNull().cast("long")
-    zd, zl, one = F.lit(0).cast(_SUM_TYPE), F.lit(0).cast("long"), F.lit(1).cast("long")
+    zd, zl, one = F.lit(0.0).cast(_SUM_TYPE), F.lit(0).cast("long"), F.lit(1).cast("long")
 
     def ev(pb, e, point, c24, s24, n24, s7, n7, u24=zl):
         return F.struct(pb.alias("pb"), e.alias("e"), F.lit(point).alias("point"), c24.alias("c24"),

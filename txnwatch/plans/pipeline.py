@@ -96,13 +96,15 @@ def run_explain(spark: SparkSession, cfg: PipelineConfig) -> dict:
     ids = list(cfg.ids)
     keep = [*ids, "label", "typology", "prob"]
     background = sampling.uniform_sample(test, cfg.explain_sample, 42, ids[0])
-    sample_attr = ex.explain(background, model, feats, keep, background)
+    prepared = ex.explainer_for(spark, model, feats)
+    sample_attr = ex.explain(background, model, feats, keep, background, prepared)
     top = ranking.top_alerts(test, cfg.top_alerts, ids)
-    codes = ex.top_reasons(ex.explain(top, model, feats, keep, background), feats)
+    codes = ex.top_reasons(ex.explain(top, model, feats, keep, background, prepared), feats)
     codes = codes.select(*ids, "label", "typology", "prob",
                          *[c for r in range(1, 4) for c in (f"reason_{r}", f"reason_{r}_shap")])
     codes = write(codes, cfg, "gold", "alert_reason_codes")
-    case = ex.case_breakdown(ex.explain(ranking.top_case(test, ids), model, feats, keep, background), feats)
+    case = ex.case_breakdown(ex.explain(ranking.top_case(test, ids), model, feats, keep, background, prepared),
+                             feats)
     return {
         "curve": ranking.pr_curve(test), "tradeoff": ranking.pr_curve(test, end_point=False),
         "operating_point": ranking.operating_point(test, thr), "confusion": ranking.confusion(test, thr),
