@@ -56,5 +56,31 @@ def prefix_sums(df: DataFrame, order: list[Column], values: dict[str, Column],
 
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank", groups: list[str] = (),
                 num_chunks: int | None = None) -> DataFrame:
-    """1-based position of every row in ``order`` (within ``groups``)."""
-    return prefix_sums(df, order, {name: F.lit(1).cast("long")}, groups, num_chunks)
+    """1-based position of every row in ``order`` (within ``groups``).
+
+    One range shuffle, no window: after the range exchange each partition is
+    sorted locally and ``monotonically_increasing_id`` records (partition,
+    position in partition); the result is checkpointed so both numbers are
+    fixed, and a per-(chunk, group) count table (bounded by chunks x groups
+    present in them) turns them into global ranks.  ``order`` must be total.
+    """
+    groups = list(groups)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    n = _chunks(df, num_chunks)
+    keys = [*[F.col(g) for g in groups], *order]
+    ranged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+              .withColumn("_mid", F.monotonically_increasing_id())
+              .withColumn("_chunk", F.shiftrightunsigned("_mid", 33))
+              .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
+              .checkpoint(eager=True))
+    counts = ranged.groupBy("_chunk", *groups).agg(F.count(F.lit(1)).alias("_c"),
+                                                   F.min("_pos").alias("_first"))
+    w_before = Window.partitionBy(*groups).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_chunk", *groups, "_first",
+                            F.coalesce(F.sum("_c").over(w_before), F.lit(0)).alias("_off"))
+    if not groups:
+        offsets = F.broadcast(offsets)     # at most num_chunks rows
+    out = ranged.join(offsets, on=["_chunk", *groups], how="inner")
+    rank = F.col("_off") + F.col("_pos") - F.col("_first") + 1
+    return out.withColumn(name, rank).drop("_mid", "_chunk", "_pos", "_first", "_off")

@@ -27,9 +27,9 @@ def score_table(scored: DataFrame, label: str = "label", score: str = "prob") ->
         F.sum(F.col(label).cast("long")).alias("pos"),
         F.sum((1 - F.col(label)).cast("long")).alias("neg"))
     cum = prefix_sums(by_score, [F.desc("score")], {"cum_pos": F.col("pos"), "cum_neg": F.col("neg")})
-    # class totals are scalar subqueries: computed once, inlined into the projection
-    return cum.select("*", by_score.agg(F.sum("pos")).scalar().alias("P"),
-                      by_score.agg(F.sum("neg")).scalar().alias("N"))
+    # class totals: one scalar subquery over the (checkpointed) per-score table
+    tot = cum.select(F.struct(F.sum("pos").alias("P"), F.sum("neg").alias("N"))).scalar()
+    return cum.select("*", tot["P"].alias("P"), tot["N"].alias("N"))
 
 
 def _curve_cols(t: DataFrame) -> DataFrame:
