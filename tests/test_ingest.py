@@ -58,3 +58,15 @@ def test_csv_lookup_join_profile(spark):
     assert p["rows_with_typology"] == 3 and p["positives_with_typology"] == 2
     typ = {r["typology"]: r["count"] for r in ingest.typology_counts(bronze).collect()}
     assert typ == {"AAA-FIRST": 2}
+
+
+def test_pipeline_tables_in_catalog(spark):
+    from txnwatch.plans import pipeline as pl
+    d = tempfile.mkdtemp(prefix="txnwatch-db-")
+    cfg = pl.PipelineConfig(out_dir=d, database="txnw_test")
+    df = spark.range(3).withColumnRenamed("id", "txn_id")
+    back = pl.write(df, cfg, "bronze", "ids")
+    assert back.count() == 3
+    assert spark.table("txnw_test_bronze.ids").count() == 3
+    pl.write(df.limit(1), cfg, "bronze", "ids")                     # overwrite
+    assert spark.table("txnw_test_bronze.ids").count() == 1

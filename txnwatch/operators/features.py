@@ -133,7 +133,8 @@ def _sweep_values(txn: DataFrame, spec: FeatureSpec) -> DataFrame:
     kn, kv = _null_safe_key(txn, c.sender)
     rows = txn.withColumn("_ts_sec", epoch_seconds(txn, c.ts)).withColumn("_kn", kn).withColumn("_kv", kv)
     keys = ["_kn", "_kv"]
-    timed = rows.where(F.col("_ts_sec").isNotNull())
+    # filter on the raw column (not the derived seconds) so parquet can skip by statistics
+    timed = rows.where(F.col(c.ts).isNotNull())
     t = F.col("_ts_sec")
     bucket = F.floor(t / F.lit(B))
     a = F.col(c.amount).cast(_SUM_TYPE)
@@ -177,7 +178,7 @@ def _sweep_values(txn: DataFrame, spec: FeatureSpec) -> DataFrame:
     timed_out = timed.join(at_points, on=[*keys, "_ts_sec"], how="inner")
 
     # rows without a time: Spark's range frame makes them one frame per sender
-    untimed = rows.where(F.col("_ts_sec").isNull())
+    untimed = rows.where(F.col(c.ts).isNull())
     nt = untimed.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_c24"),
         F.sum(c.amount).alias("_s24"),

@@ -32,6 +32,7 @@ class PipelineConfig:
     explain_sample: int = 1000
     ids: tuple = ("txn_id",)
     join_keys: tuple = tuple(JOIN_KEYS)
+    database: str | None = None      # set: also register managed tables <database>_<layer>.<name>
 
 
 def table_path(cfg: PipelineConfig, layer: str, name: str) -> str:
@@ -39,9 +40,19 @@ def table_path(cfg: PipelineConfig, layer: str, name: str) -> str:
 
 
 def write(df: DataFrame, cfg: PipelineConfig, layer: str, name: str) -> DataFrame:
-    """Overwrite a table (schema may change between runs) and return it re-read."""
+    """Overwrite a table (schema may change between runs) and return it re-read.
+
+    Tables are parquet folders under ``out_dir/<layer>``; with ``database`` set
+    they are also catalog tables in one namespace per layer (created if
+    missing), stored at the same path."""
     path = table_path(cfg, layer, name)
-    df.write.mode("overwrite").parquet(path)
+    if cfg.database:
+        ns = f"{cfg.database}_{layer}"
+        df.sparkSession.sql(f"CREATE DATABASE IF NOT EXISTS {ns}")
+        (df.write.mode("overwrite").option("overwriteSchema", "true").option("path", path)
+         .format("parquet").saveAsTable(f"{ns}.{name}"))
+    else:
+        df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

@@ -27,6 +27,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("TXNWATCH_DRIVER_MEMORY", "16g"))
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="txnwatch-warehouse-"))
     )
     for k, v in (extra or {}).items():
         builder = builder.config(k, v)
