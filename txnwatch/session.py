@@ -73,11 +73,13 @@ _SHIPPED: set = set()
 
 def ship_package(spark: SparkSession) -> None:
     """Make ``txnwatch`` importable in Python workers (needed by the pandas
-    functions): zip the package once per application and ``addPyFile`` it.
-    A cluster that installs the package everywhere can skip this."""
+    functions) in local mode, where workers start in an arbitrary directory:
+    zip the package once per application and ``addPyFile`` it.  On a cluster
+    the package is installed on the executors (or passed with ``--py-files``),
+    so nothing is written to a machine-local folder there."""
     sc = spark.sparkContext
     key = sc.applicationId
-    if key in _SHIPPED:
+    if key in _SHIPPED or not sc.master.startswith("local"):
         return
     import shutil
 
