@@ -178,6 +178,8 @@ from r left join lk on r.ts_min = lk.ts_min and r.from_bank = lk.from_bank and r
         "reason_codes_zscore": _reason_codes_sql(),
         "training_sample": f"""{_sample_ctes()}
 select txn_id, label, typology, sender_24h_count, round(amt_vs_7d_avg, 6) as amt_vs_7d_avg from sample""",
+        "class_counts": f"""{_sample_ctes()}
+select label, count(*) as count from sample group by label""",
         "split_counts": f"""{_split_ctes()}
 select split, label, count(*) as rows from split group by split, label""",
         "explain_sample": f"""{_split_ctes()},

@@ -159,6 +159,11 @@ def q_training_sample(spark, sf_dir):
                                          round6("amt_vs_7d_avg").alias("amt_vs_7d_avg"))
 
 
+def q_class_counts(spark, sf_dir):
+    """Rows per class in the class-capped training set."""
+    return _sample(spark, sf_dir).groupBy("label").agg(F.count(F.lit(1)).alias("count"))
+
+
 def q_split_counts(spark, sf_dir):
     return _split(spark, sf_dir).groupBy("split", "label").agg(F.count(F.lit(1)).alias("rows"))
 
@@ -296,6 +301,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "top_case": q_top_case,
     "rules_vs_model": q_rules_vs_model,
     "training_sample": q_training_sample,
+    "class_counts": q_class_counts,
     "split_counts": q_split_counts,
     "explain_sample": q_explain_sample,
     "pattern_lookup": q_pattern_lookup,
