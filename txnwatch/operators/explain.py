@@ -225,7 +225,8 @@ def explain_trees(rows: DataFrame, explainer: TreeExplainer, features: list[str]
     ship_package(spark)
     bc = spark.sparkContext.broadcast(explainer)
     cols = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias("_x" + str(i)) for i, f in enumerate(features)]
-    src = rows.select(*keep, *cols)
+    # spread the rows over the cores: after a top-k or a sample they sit in one partition
+    src = rows.select(*keep, *cols).repartition(spark.sparkContext.defaultParallelism)
     keep_fields = [src.schema[k] for k in keep]
     out_schema = StructType(keep_fields + [StructField("phi", ArrayType(DoubleType())),
                                            StructField("base", DoubleType())])

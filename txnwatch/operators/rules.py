@@ -74,19 +74,38 @@ def rule_breakdown(df: DataFrame, rules: list[tuple[str, Column]], label: str =
         F.round(F.when(F.col("__pos") > 0, F.col("tp") / F.col("__pos")), 4).alias("recall"))
 
 
+def summarise_many(df: DataFrame, systems: list[tuple[str, str]], label: str = "label") -> DataFrame:
+    """``summarise`` for several alert columns in one pass: one aggregation,
+    then one row per system (in the given order)."""
+    y = F.col(label) == 1
+    aggs = [F.count(F.lit(1)).alias("__n")]
+    for i, (_, pred) in enumerate(systems):
+        p = F.col(pred) == 1
+        aggs += [F.count_if(p & y).alias(f"__tp{i}"), F.count_if(p & ~y).alias(f"__fp{i}"),
+                 F.count_if(~p & y).alias(f"__fn{i}")]
+    wide = df.agg(*aggs)
+    names = ", ".join(f"{i}, '{name.replace(chr(39), chr(39) * 2)}', __tp{i}, __fp{i}, __fn{i}"
+                      for i, (name, _) in enumerate(systems))
+    long = wide.selectExpr(f"stack({len(systems)}, {names}) as (ord, system, tp, fp, fn)", "__n as n")
+    tp, fp, fn, n = F.col("tp"), F.col("fp"), F.col("fn"), F.col("n")
+    return long.orderBy("ord").select(
+        "system", (tp + fp).alias("alerts"), tp.alias("true_positives"), fp.alias("false_positives"),
+        (tp / F.greatest(tp + fn, F.lit(1))).alias("recall"),
+        (tp / F.greatest(tp + fp, F.lit(1))).alias("precision"),
+        ((tp + fp) / n).alias("alert_rate"))
+
+
 def compare_with_model(test: DataFrame, rules: list[tuple[str, Column]], model_name: str, threshold: float,
                        ids: list[str], label: str = "label", score: str = "prob") -> DataFrame:
     """Three rows: the rules, the model at its own threshold, and the model at
     the rules' recall (the shortest score-ordered prefix with as many true
-    positives as the rules caught)."""
-    flagged = rule_flags(test, rules)
-    rbs = summarise(flagged, RULES_SYSTEM, "rbs_alert", label)
-    own = summarise(test.withColumn("_own", (F.col(score) >= F.lit(threshold)).cast("int")),
-                    OWN_THRESHOLD_SYSTEM.format(model=model_name, threshold=threshold), "_own", label)
-    k_tp = rbs.select(F.col("true_positives").alias("k"))
-    matched = equal_recall_alerts(test, k_tp, ids, label, score)
-    same = summarise(matched, SAME_RECALL_SYSTEM.format(model=model_name), "matched", label)
-    return rbs.unionByName(own).unionByName(same)
+    positives as the rules caught).  One pass over ``test`` for the counts."""
+    flagged = rule_flags(test, rules).withColumn("_own", (F.col(score) >= F.lit(threshold)).cast("int"))
+    k_tp = flagged.agg(F.count_if((F.col("rbs_alert") == 1) & (F.col(label) == 1)).alias("k"))
+    matched = equal_recall_alerts(flagged, k_tp, ids, label, score)
+    return summarise_many(matched, [(RULES_SYSTEM, "rbs_alert"),
+                                    (OWN_THRESHOLD_SYSTEM.format(model=model_name, threshold=threshold), "_own"),
+                                    (SAME_RECALL_SYSTEM.format(model=model_name), "matched")], label)
 
 
 def false_positive_reduction(comparison: DataFrame) -> DataFrame:

@@ -116,8 +116,9 @@ def run_explain(spark: SparkSession, cfg: PipelineConfig) -> dict:
     codes = write(codes, cfg, "gold", "alert_reason_codes")
     case = ex.case_breakdown(ex.explain(ranking.top_case(test, ids), model, feats, keep, background, prepared),
                              feats)
+    curve = write(ranking.pr_curve(test), cfg, "gold", "pr_curve")
     return {
-        "curve": ranking.pr_curve(test), "tradeoff": ranking.pr_curve(test, end_point=False),
+        "curve": curve, "tradeoff": curve.where(F.col("threshold").isNotNull()),
         "operating_point": ranking.operating_point(test, thr), "confusion": ranking.confusion(test, thr),
         "baseline": ranking.baseline(test), "global_drivers": ex.mean_abs(sample_attr, feats),
         "case": case, "reason_codes": codes,
