@@ -157,11 +157,11 @@ select count(*) filter (where prob < (select v from thr) and label = 0) as tn,
        count(*) filter (where prob < (select v from thr) and label = 1) as fn,
        count(*) filter (where prob >= (select v from thr) and label = 1) as tp from sc""",
         "precision_at_k": f"""with {SCORED},
-r as (select label, row_number() over (order by prob desc, l_orderkey, l_linenumber) as rk, count(*) over () as n
-      from sc),
-ks as (select unnest([100, 1000, 5000]) as k)
-select k, case when max(n) >= k then round(avg(label), 6) end as precision_at_k
-from ks join r on r.rk <= ks.k group by k""",
+r as (select label, row_number() over (order by prob desc, l_orderkey, l_linenumber) as rk from sc),
+n as (select count(*) as n from sc)
+""" + "\nunion all\n".join(
+            f"select {k} as k, case when (select n from n) >= {k} then round(avg(label), 6) end as precision_at_k "
+            f"from r where rk <= {k}" for k in (100, 1000, 5000)),
         "top_alerts": f"""with {SCORED}
 select * from sc order by prob desc, l_orderkey, l_linenumber limit 1000""",
         "top_case": f"""with {SCORED}
@@ -203,13 +203,13 @@ _REASON_FEATURES = ["amount_paid", "sender_24h_count", "sender_24h_volume", "amt
 
 
 def _reason_codes_sql() -> str:
-    z = ", ".join(f"{{'v': (x.{f} - st.m_{f}) / st.s_{f}, 'i': {i}, 'name': '{f}'}}"
+    z = ", ".join(f"{{'v': (x.{f} - (select m_{f} from st)) / (select s_{f} from st), 'i': {i}, 'name': '{f}'}}"
                   for i, f in enumerate(_REASON_FEATURES))
     stats = ", ".join(f"avg({f}) as m_{f}, stddev_samp({f}) as s_{f}" for f in _REASON_FEATURES)
     return f"""{SILVER_CTES},
 st as (select {stats} from silver),
 a as (select x.txn_id, list_sort(list_transform([{z}], lambda e: {{'nv': -e.v, 'i': e.i, 'name': e.name, 'v': e.v}}))
-             as srt from silver x, st),
+             as srt from silver x),
 b as (select txn_id, srt[1] as r1, srt[2] as r2, srt[3] as r3 from a)
 select txn_id, r1.name as reason_1, r2.name as reason_2, r3.name as reason_3,
        round(r1.v, 6) as reason_1_shap, round(r2.v, 6) as reason_2_shap, round(r3.v, 6) as reason_3_shap from b"""
