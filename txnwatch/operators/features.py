@@ -141,16 +141,21 @@ def _sweep_values(txn: DataFrame, spec: FeatureSpec) -> DataFrame:
     h = F.col(c.amount).isNotNull().cast("long")
     zd, zl, one = F.lit(0.0).cast(_SUM_TYPE), F.lit(0).cast("long"), F.lit(1).cast("long")
 
-    def ev(pb, e, point, c24, s24, n24, s7, n7, u24=zl):
+    def ev(pb, e, point, c24, s24, n24, s7, n7, u24=zl, need=F.lit(True)):
         return F.struct(pb.alias("pb"), e.alias("e"), F.lit(point).alias("point"), c24.alias("c24"),
-                        s24.alias("s24"), n24.alias("n24"), s7.alias("s7"), n7.alias("n7"), u24.alias("u24"))
-
-    # each payment feeds queries in its own bucket and the next one (halo copy)
+                        s24.alias("s24"), n24.alias("n24"), s7.alias("s7"), n7.alias("n7"), u24.alias("u24"),
+                        need.alias("need"))
+
+    # each payment feeds queries in its own bucket and, through a halo copy, the
+    # next one; the copy's 24h part is only needed when t + 24h crosses into it
+    reach24 = (t + W) > (bucket + 1) * F.lit(B)
+    c_n, a_n, h_n = (F.when(reach24, one).otherwise(zl), F.when(reach24, a).otherwise(zd),
+                     F.when(reach24, h).otherwise(zl))
     pay = F.array(
         ev(bucket, t, 1, one, a, h, a, h),
         ev(bucket, t + W, 0, -one, -a, -h, zd, zl),
-        ev(bucket + 1, t, 0, one, a, h, a, h),
-        ev(bucket + 1, t + W, 0, -one, -a, -h, zd, zl),
+        ev(bucket + 1, t, 0, c_n, a_n, h_n, a, h),
+        ev(bucket + 1, t + W, 0, -one, -a, -h, zd, zl, need=reach24),
         ev(bucket + 1, t + L, 0, zl, zd, zl, -a, -h),
     )
     pay_events = timed.select(*keys, F.explode(pay).alias("d"))
@@ -158,13 +163,16 @@ def _sweep_values(txn: DataFrame, spec: FeatureSpec) -> DataFrame:
     visits = _receiver_visits(timed, keys, c.receiver, W)
     vt, off = F.col("_ts_sec"), F.col("_off")
     vb = F.floor(vt / F.lit(B))
+    reach = off > (vb + 1) * F.lit(B)          # coverage continues into the next bucket
     cover = F.array(ev(vb, vt, 0, zl, zd, zl, zd, zl, one), ev(vb, off, 0, zl, zd, zl, zd, zl, -one),
-                    ev(vb + 1, vt, 0, zl, zd, zl, zd, zl, one), ev(vb + 1, off, 0, zl, zd, zl, zd, zl, -one))
+                    ev(vb + 1, vt, 0, zl, zd, zl, zd, zl, one, need=reach),
+                    ev(vb + 1, off, 0, zl, zd, zl, zd, zl, -one, need=reach))
     cover_events = visits.select(*keys, F.explode(cover).alias("d"))
 
     values = ["c24", "s24", "n24", "s7", "n7", "u24"]
     events = (pay_events.unionByName(cover_events).select(*keys, "d.*")
-              .where(F.col("e") < (F.col("pb") + 1) * F.lit(B)))          # later events never reach a query
+              .where(F.col("need") & (F.col("e") < (F.col("pb") + 1) * F.lit(B)))   # later events reach no query
+              .drop("need"))
     per_e = events.groupBy(*keys, "pb", "e").agg(*[F.sum(v).alias(v) for v in values],
                                                   F.max("point").alias("point"))
     w = Window.partitionBy(*keys, "pb").orderBy("e").rowsBetween(Window.unboundedPreceding, Window.currentRow)
