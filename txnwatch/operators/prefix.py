@@ -24,8 +24,9 @@ def _chunks(df: DataFrame, num_chunks: int | None) -> int:
 
 
 def prefix_sums(df: DataFrame, order: list[Column], values: dict[str, Column],
-                groups: list[str] = (), num_chunks: int | None = None) -> DataFrame:
-    """Add one inclusive running-sum column per entry of ``values``.
+                groups: list[str] = (), num_chunks: int | None = None, totals: bool = False) -> DataFrame:
+    """Add one inclusive running-sum column per entry of ``values`` (and, with
+    ``totals``, a ``total_<name>`` column holding the whole group's sum).
 
     ``order`` must be a total order (end it with a unique id); ``groups`` restart
     the sums (they must be non-null).  Cost: one range shuffle, one checkpoint,
@@ -44,18 +45,22 @@ def prefix_sums(df: DataFrame, order: list[Column], values: dict[str, Column],
     local = ranged.select("*", *[F.sum("_v_" + k).over(w_local).alias("_l_" + k) for k in values])
     totals = ranged.groupBy("_chunk", *groups).agg(*[F.sum("_v_" + k).alias("_t_" + k) for k in values])
     w_before = Window.partitionBy(*groups).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    w_all = Window.partitionBy(*groups)
     offsets = totals.select("_chunk", *groups,
                             *[F.coalesce(F.sum("_t_" + k).over(w_before), F.lit(0)).alias("_o_" + k)
-                              for k in values])
+                              for k in values],
+                            *[F.sum("_t_" + k).over(w_all).alias("total_" + k) for k in values])
     if not groups:
         offsets = F.broadcast(offsets)     # at most num_chunks rows
     out = local.join(offsets, on=["_chunk", *groups], how="inner")
     drop = ["_chunk"] + [p + k for k in values for p in ("_v_", "_l_", "_o_")]
+    if not totals:
+        drop += ["total_" + k for k in values]
     return out.select("*", *[(F.col("_l_" + k) + F.col("_o_" + k)).alias(k) for k in values]).drop(*drop)
 
 
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank", groups: list[str] = (),
-                num_chunks: int | None = None) -> DataFrame:
+                num_chunks: int | None = None, size_name: str | None = None) -> DataFrame:
     """1-based position of every row in ``order`` (within ``groups``).
 
     One range shuffle, no window: after the range exchange each partition is
@@ -63,6 +68,8 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank", groups:
     position in partition); the result is checkpointed so both numbers are
     fixed, and a per-(chunk, group) count table (bounded by chunks x groups
     present in them) turns them into global ranks.  ``order`` must be total.
+    With ``size_name`` the group's row count is added as well (from the same
+    count table, no extra pass).
     """
     groups = list(groups)
     spark = df.sparkSession
@@ -78,9 +85,13 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank", groups:
                                                    F.min("_pos").alias("_first"))
     w_before = Window.partitionBy(*groups).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_chunk", *groups, "_first",
-                            F.coalesce(F.sum("_c").over(w_before), F.lit(0)).alias("_off"))
+                            F.coalesce(F.sum("_c").over(w_before), F.lit(0)).alias("_off"),
+                            F.sum("_c").over(Window.partitionBy(*groups)).alias("_size"))
     if not groups:
         offsets = F.broadcast(offsets)     # at most num_chunks rows
     out = ranged.join(offsets, on=["_chunk", *groups], how="inner")
     rank = F.col("_off") + F.col("_pos") - F.col("_first") + 1
-    return out.withColumn(name, rank).drop("_mid", "_chunk", "_pos", "_first", "_off")
+    out = out.withColumn(name, rank)
+    if size_name:
+        out = out.withColumnRenamed("_size", size_name)
+    return out.drop("_mid", "_chunk", "_pos", "_first", "_off", "_size")

@@ -26,10 +26,10 @@ def score_table(scored: DataFrame, label: str = "label", score: str = "prob") ->
     by_score = scored.groupBy(F.col(score).alias("score")).agg(
         F.sum(F.col(label).cast("long")).alias("pos"),
         F.sum((1 - F.col(label)).cast("long")).alias("neg"))
-    cum = prefix_sums(by_score, [F.desc("score")], {"cum_pos": F.col("pos"), "cum_neg": F.col("neg")})
-    # class totals: one scalar subquery over the (checkpointed) per-score table
-    tot = cum.select(F.struct(F.sum("pos").alias("P"), F.sum("neg").alias("N"))).scalar()
-    return cum.select("*", tot["P"].alias("P"), tot["N"].alias("N"))
+    cum = prefix_sums(by_score, [F.desc("score")], {"cum_pos": F.col("pos"), "cum_neg": F.col("neg")},
+                      totals=True)
+    # class totals come with the (broadcast) chunk-offset table: no extra pass
+    return cum.withColumnRenamed("total_cum_pos", "P").withColumnRenamed("total_cum_neg", "N")
 
 
 def _curve_cols(t: DataFrame) -> DataFrame:
@@ -153,9 +153,11 @@ def equal_recall_alerts(scored: DataFrame, k_tp: DataFrame, ids: list[str], labe
     """
     pos = scored.where(F.col(label) == 1).select(*ids, score)
     ranked = global_rank(pos, score_order(score, ids), "_pos_rank")
-    pivot = ranked.where(F.col("_pos_rank") == k_tp.select("k").scalar())
-    p_score = pivot.select(F.max(score)).scalar()
-    p_ids = [pivot.select(F.max(i)).scalar() for i in ids]
+    # the k-th positive: one bounded row, fetched once and used as literals
+    piv = ranked.where(F.col("_pos_rank") == k_tp.select("k").scalar()).select(score, *ids).first()
+    if piv is None:
+        return scored.withColumn("matched", F.lit(0))
+    p_score, p_ids = F.lit(piv[score]), [F.lit(piv[i]) for i in ids]
     # lexicographic "at or before the pivot" in (score desc, ids asc)
     before = F.col(score) > p_score
     for j, i in enumerate(ids):

@@ -59,9 +59,7 @@ def stratified_split(df: DataFrame, seed: int, key: str = "txn_id", label: str =
     a = fractions[0]
     b = fractions[0] + fractions[1]
     h = df.withColumn("_h", keyed_hash(key, seed))
-    ranked = global_rank(h, [F.asc("_h"), F.asc(key)], "_r", groups=[label])
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))    # one row per class
-    out = ranked.join(F.broadcast(sizes), on=label, how="inner")
+    out = global_rank(h, [F.asc("_h"), F.asc(key)], "_r", groups=[label], size_name="_n")
     part = (F.when(F.col("_r") <= F.floor(F.lit(a) * F.col("_n")), "train")
             .when(F.col("_r") <= F.floor(F.lit(b) * F.col("_n")), "val").otherwise("test"))
     return out.withColumn(name, part).drop("_h", "_r", "_n")

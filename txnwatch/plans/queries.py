@@ -109,9 +109,9 @@ def q_tradeoff(spark, sf_dir):
     return _rounded_curve(ranking.pr_curve(load_scored(spark, sf_dir), end_point=False))
 
 
-def _recall_threshold(scored: DataFrame):
-    """The recall-target threshold as a scalar subquery column."""
-    return ranking.threshold_for_recall(scored, osql.TARGET).scalar()
+def _recall_threshold(scored: DataFrame) -> float:
+    """The recall-target threshold (one number, as the pipeline passes it on)."""
+    return ranking.threshold_for_recall(scored, osql.TARGET).first()["threshold"]
 
 
 def q_operating_point(spark, sf_dir):
@@ -209,8 +209,8 @@ def q_reason_codes_zscore(spark, sf_dir):
     s = silver(spark, sf_dir)
     stats = s.agg(*[F.avg(f).alias("m_" + f) for f in REASON_FEATURES],
                   *[F.stddev(f).alias("s_" + f) for f in REASON_FEATURES])
-    st = stats.select(F.struct(*stats.columns).alias("st")).scalar()      # one scalar subquery
-    z = [(F.col(f) - st["m_" + f]) / st["s_" + f] for f in REASON_FEATURES]
+    st = stats.first()                    # 2 x 11 numbers: the linear model's fixed centring and scale
+    z = [(F.col(f) - F.lit(st["m_" + f])) / F.lit(st["s_" + f]) for f in REASON_FEATURES]
     attr = s.select("txn_id", F.array(*z).alias("phi"))
     codes = ex.top_reasons(attr, REASON_FEATURES)
     return codes.select("txn_id", *[c for r in range(1, 4) for c in (f"reason_{r}", f"reason_{r}_shap")]) \
