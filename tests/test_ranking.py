@@ -132,3 +132,28 @@ def test_fixture_average_precision(spark):
     r = ranking.ranking_summary(load_scored(spark, "/root/testdata/sf0.01")).first()
     assert round(r["auprc"], 6) == 0.336683
     assert round(r["roc_auc"], 6) == 0.501679
+
+
+@pytest.mark.parametrize("limit", [0, 1_000_000])
+def test_grouped_offsets_broadcast_or_shuffled(spark, monkeypatch, limit):
+    """Many groups: the offset table is broadcast when its measured size allows,
+    otherwise the planner chooses; the sums and ranks are the same."""
+    from txnwatch.operators import prefix
+    monkeypatch.setattr(prefix, "BROADCAST_MAX_ROWS", limit)
+    rng = np.random.default_rng(11)
+    pdf = pd.DataFrame({"id": np.arange(3000), "g": rng.integers(0, 200, 3000), "v": rng.integers(0, 9, 3000)})
+    df = spark.createDataFrame(pdf).repartition(5)
+    cs = prefix_sums(df, [F.asc("id")], {"cs": F.col("v")}, groups=["g"], totals=True)
+    plan = cs._jdf.queryExecution().executedPlan().toString()
+    assert limit == 0 or "BroadcastHashJoin" in plan
+    got = cs.toPandas()
+    rk = global_rank(df, [F.asc("id")], "rk", groups=["g"], size_name="n").toPandas()
+    ref = pdf.sort_values(["g", "id"])
+    ref["cs"] = ref.groupby("g")["v"].cumsum()
+    ref["rk"] = ref.groupby("g").cumcount() + 1
+    ref["n"] = ref.groupby("g")["id"].transform("size")
+    ref["total_cs"] = ref.groupby("g")["v"].transform("sum")
+    m = got.merge(rk[["id", "rk", "n"]], on="id").merge(ref, on="id", suffixes=("", "_ref"))
+    assert len(m) == 3000
+    for c in ("cs", "rk", "n", "total_cs"):
+        assert (m[c] == m[c + "_ref"]).all(), c

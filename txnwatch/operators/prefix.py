@@ -5,7 +5,8 @@ rows are range-partitioned on the order (so each chunk is a contiguous slice),
 written to the checkpoint folder (chunk ids stay fixed if an executor is lost
 and the lineage is cut), summed inside each chunk, and shifted by the totals of
 all earlier chunks.  The offset table has one row per (chunk, group), so with
-no groups it is bounded by the chunk count and is broadcast.
+no groups it is bounded by the chunk count and is broadcast; with groups it is
+written to the checkpoint folder, counted, and broadcast only when small.
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 
 from txnwatch.session import ensure_checkpoint_dir
 
+# Largest table that is broadcast after its row count has been measured.
+BROADCAST_MAX_ROWS = 1_000_000
+
 
 def _chunks(df: DataFrame, num_chunks: int | None) -> int:
     if num_chunks:
@@ -23,6 +27,23 @@ def _chunks(df: DataFrame, num_chunks: int | None) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
 
+def _offset_table(offsets: DataFrame, grouped: bool) -> DataFrame:
+    """The per-(chunk, group) offset table, ready to join back to the chunks.
+
+    Without groups it has at most one row per chunk and is broadcast as it is.
+    With groups the input was range-partitioned on the groups first, so a chunk
+    holds a contiguous run of groups and the table has at most chunks + groups - 1
+    rows; that is bounded only by the number of groups, so the table is written
+    to the checkpoint folder, counted, and broadcast when the count is within
+    ``BROADCAST_MAX_ROWS``.  Otherwise the join is left to the planner, and the
+    chunks are shuffled once on the join key.
+    """
+    if not grouped:
+        return F.broadcast(offsets)
+    fixed = offsets.checkpoint(eager=True)
+    return F.broadcast(fixed) if fixed.count() <= BROADCAST_MAX_ROWS else fixed
+
+
 def prefix_sums(df: DataFrame, order: list[Column], values: dict[str, Column],
                 groups: list[str] = (), num_chunks: int | None = None, totals: bool = False) -> DataFrame:
     """Add one inclusive running-sum column per entry of ``values`` (and, with
@@ -50,9 +71,7 @@ def prefix_sums(df: DataFrame, order: list[Column], values: dict[str, Column],
                             *[F.coalesce(F.sum("_t_" + k).over(w_before), F.lit(0)).alias("_o_" + k)
                               for k in values],
                             *[F.sum("_t_" + k).over(w_all).alias("total_" + k) for k in values])
-    if not groups:
-        offsets = F.broadcast(offsets)     # at most num_chunks rows
-    out = local.join(offsets, on=["_chunk", *groups], how="inner")
+    out = local.join(_offset_table(offsets, bool(groups)), on=["_chunk", *groups], how="inner")
     drop = ["_chunk"] + [p + k for k in values for p in ("_v_", "_l_", "_o_")]
     if not totals:
         drop += ["total_" + k for k in values]
@@ -87,9 +106,7 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank", groups:
     offsets = counts.select("_chunk", *groups, "_first",
                             F.coalesce(F.sum("_c").over(w_before), F.lit(0)).alias("_off"),
                             F.sum("_c").over(Window.partitionBy(*groups)).alias("_size"))
-    if not groups:
-        offsets = F.broadcast(offsets)     # at most num_chunks rows
-    out = ranged.join(offsets, on=["_chunk", *groups], how="inner")
+    out = ranged.join(_offset_table(offsets, bool(groups)), on=["_chunk", *groups], how="inner")
     rank = F.col("_off") + F.col("_pos") - F.col("_first") + 1
     out = out.withColumn(name, rank)
     if size_name:

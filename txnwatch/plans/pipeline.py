@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from txnwatch.operators import explain as ex
 from txnwatch.operators import ingest, models, ranking, rules, sampling
 from txnwatch.operators.features import add_features, class_means, reconcile
+from txnwatch.operators.lookup import fetch_by_key
 from txnwatch.schema import (CHECK_FEATURES, JOIN_KEYS, N_NEGATIVES, SEED, TARGET_RECALL, TOP_ALERTS,
                              FeatureSpec)
 
@@ -131,7 +132,8 @@ def run_rule_baseline(spark: SparkSession, cfg: PipelineConfig) -> dict:
     silver = read(spark, cfg, "silver", "features")
     test = read(spark, cfg, "gold", "test_predictions")
     key = cfg.ids[0]
-    test = test.join(silver.select(key, F.col("is_interbank").alias("_interbank")), key, "left")
+    # the bank flag comes from silver; silver is cut to the test ids first, not shuffled whole
+    test = fetch_by_key(test, silver.withColumnRenamed("is_interbank", "_interbank"), key, ["_interbank"])
     rule_set = rules.default_rules(cfg.features.cols, interbank="_interbank")
     comp = rules.compare_with_model(test, rule_set, champ["model"], float(champ["threshold"]), list(cfg.ids))
     comp = write(comp, cfg, "gold", "rbs_comparison")
