@@ -9,7 +9,7 @@ collected, and no window runs without a partition.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txnwatch.operators.prefix import global_rank, prefix_sums
@@ -124,16 +124,21 @@ def top_case(scored: DataFrame, ids: list[str], label: str = "label", score: str
 
 
 def precision_at_k(scored: DataFrame, ks, ids: list[str], label: str = "label", score: str = "prob") -> DataFrame:
-    """``k, precision_at_k`` rows: positive share of the top ``k``; null when fewer than ``k`` rows."""
+    """``k, precision_at_k`` rows: positive share of the top ``k``; null when fewer than ``k`` rows.
+
+    One top-``max(ks)`` pass (each task keeps at most that many rows) serves
+    every ``k``; the positions inside that bounded set come from a window over
+    at most ``max(ks)`` rows.
+    """
+    ks = [int(k) for k in ks]
     n = scored.agg(F.count(F.lit(1))).scalar()
-    parts = []
-    for k in ks:
-        top = top_alerts(scored.select(*ids, label, score), k, ids, score)
-        parts.append(top.agg(F.lit(k).alias("k"), F.avg(F.col(label).cast("double")).alias("p")))
-    allk = parts[0]
-    for p in parts[1:]:
-        allk = allk.unionByName(p)
-    return allk.select("k", F.when(n >= F.col("k"), F.col("p")).alias("precision_at_k"))
+    top = top_alerts(scored.select(*ids, label, score), max(ks), ids, score)
+    pos = top.withColumn("_r", F.row_number().over(Window.orderBy(*score_order(score, ids))))
+    y = F.col(label).cast("double")
+    wide = pos.agg(*[F.avg(F.when(F.col("_r") <= k, y)).alias(f"_p{j}") for j, k in enumerate(ks)])
+    pairs = ", ".join(f"{k}, _p{j}" for j, k in enumerate(ks))
+    allk = wide.selectExpr(f"stack({len(ks)}, {pairs}) as (k, p)")
+    return allk.select("k", F.when(F.lit(n) >= F.col("k"), F.col("p")).alias("precision_at_k"))
 
 
 def kth_positive(scored: DataFrame, k: int, ids: list[str], label: str = "label", score: str = "prob") -> DataFrame:
