@@ -4,7 +4,8 @@ Every random choice is a keyed MD5 hash of ``'<seed>:<id>'`` instead of
 ``rand(seed)``, so a rerun, a lost executor or a different partitioning gives
 the same rows.  "The N smallest hashes" is exact and never funnels rows into one
 task: a cut on the (uniform) hash keeps slightly more than N candidates, which
-are then ranked with the distributed prefix sum.
+are checkpointed and then ranked with the distributed prefix sum (two passes
+over the input: a count and the cut).
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from txnwatch.functions.expr import keyed_hash
 from txnwatch.operators.prefix import global_rank
+from txnwatch.session import ensure_checkpoint_dir
 
 _HASH_SPACE = float(2 ** 32)
 
@@ -23,8 +25,9 @@ _HASH_SPACE = float(2 ** 32)
 def smallest_by_hash(df: DataFrame, n: int, key: str, seed: int) -> DataFrame:
     """Exactly ``min(n, rows)`` rows: those with the smallest ``keyed_hash(key, seed)``
     (ties by ``key``).  Returns the input columns."""
+    ensure_checkpoint_dir(df.sparkSession)
     h = df.withColumn("_h", keyed_hash(key, seed))
-    total = h.count()
+    total = df.count()
     if n >= total:
         return df
     if n <= 0:
@@ -33,7 +36,9 @@ def smallest_by_hash(df: DataFrame, n: int, key: str, seed: int) -> DataFrame:
     frac = n / total
     frac = min(1.0, frac + 8.0 * math.sqrt(frac * (1 - frac) / total) + 1.0 / total)
     while True:
-        cand = h.where(F.col("_h") < F.lit(frac * _HASH_SPACE))
+        # the candidates (about n + 8 sd rows) are written once, so the count and
+        # the rank below read them instead of hashing the whole table again
+        cand = h.where(F.col("_h") < F.lit(frac * _HASH_SPACE)).checkpoint(eager=True)
         m = cand.count()
         if m >= n or frac >= 1.0:
             break
