@@ -61,3 +61,11 @@ def test_keyed_hash_matches_duckdb():
     want = [con.execute(f"select cast(('0x' || substr(md5('42:{i}'), 1, 8)) as bigint)").fetchall()[0][0]
             for i in range(5)]
     assert got == want
+
+
+def test_class_capped_sample_skips_null_labels(spark):
+    df = spark.createDataFrame([(i, None if i % 10 == 0 else int(i % 7 == 0)) for i in range(400)],
+                               "txn_id long, label int")
+    got = sampling.class_capped_sample(df, 50, 42).toPandas()
+    assert got.label.notna().all() and got.txn_id.is_unique
+    assert (got.label == 1).sum() == df.where("label = 1").count() and (got.label == 0).sum() == 50
