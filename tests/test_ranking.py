@@ -118,11 +118,15 @@ def test_prefix_sums_equal_window(spark, parts):
     rng = np.random.default_rng(9)
     pdf = pd.DataFrame({"id": np.arange(2000), "g": rng.integers(0, 3, 2000), "v": rng.integers(-5, 10, 2000)})
     df = spark.createDataFrame(pdf).repartition(parts)
-    got = prefix_sums(df, [F.desc("v"), F.asc("id")], {"cs": F.col("v")}, groups=["g"]).toPandas()
+    # explicit chunk counts: without one, AQE merges this small table into a single chunk
+    got = prefix_sums(df, [F.desc("v"), F.asc("id")], {"cs": F.col("v")}, groups=["g"],
+                      num_chunks=parts).toPandas()
     pdf = pdf.sort_values(["g", "v", "id"], ascending=[True, False, True])
     pdf["cs"] = pdf.groupby("g")["v"].cumsum()
     m = got.merge(pdf, on="id", suffixes=("", "_ref"))
     assert (m.cs == m.cs_ref).all() and len(m) == 2000
+    r = global_rank(df, [F.asc("id")], "rk", num_chunks=parts).toPandas()
+    assert (r.rk == r.id + 1).all()
     r = global_rank(df, [F.asc("id")], "rk").toPandas()
     assert (r.rk == r.id + 1).all()
 
@@ -143,11 +147,11 @@ def test_grouped_offsets_broadcast_or_shuffled(spark, monkeypatch, limit):
     rng = np.random.default_rng(11)
     pdf = pd.DataFrame({"id": np.arange(3000), "g": rng.integers(0, 200, 3000), "v": rng.integers(0, 9, 3000)})
     df = spark.createDataFrame(pdf).repartition(5)
-    cs = prefix_sums(df, [F.asc("id")], {"cs": F.col("v")}, groups=["g"], totals=True)
+    cs = prefix_sums(df, [F.asc("id")], {"cs": F.col("v")}, groups=["g"], totals=True, num_chunks=6)
     plan = cs._jdf.queryExecution().executedPlan().toString()
     assert limit == 0 or "BroadcastHashJoin" in plan
     got = cs.toPandas()
-    rk = global_rank(df, [F.asc("id")], "rk", groups=["g"], size_name="n").toPandas()
+    rk = global_rank(df, [F.asc("id")], "rk", groups=["g"], size_name="n", num_chunks=6).toPandas()
     ref = pdf.sort_values(["g", "id"])
     ref["cs"] = ref.groupby("g")["v"].cumsum()
     ref["rk"] = ref.groupby("g").cumcount() + 1

@@ -20,11 +20,14 @@ from txnwatch.session import ensure_checkpoint_dir
 BROADCAST_MAX_ROWS = 1_000_000
 
 
-def _chunks(df: DataFrame, num_chunks: int | None) -> int:
+def _ranged(df: DataFrame, keys: list[Column], num_chunks: int | None) -> DataFrame:
+    """Range-partition on ``keys``.  Without ``num_chunks`` the count is left to
+    the session: ``spark.sql.shuffle.partitions`` ranges, which AQE merges into
+    contiguous chunks of its advisory size (so a small table is not spread over
+    thousands of empty chunks, and the order of chunks is kept)."""
     if num_chunks:
-        return num_chunks
-    spark = df.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+        return df.repartitionByRange(num_chunks, *keys)
+    return df.repartitionByRange(*keys)
 
 
 def _offset_table(offsets: DataFrame, grouped: bool) -> DataFrame:
@@ -57,8 +60,7 @@ def prefix_sums(df: DataFrame, order: list[Column], values: dict[str, Column],
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     vals = df.select("*", *[c.alias("_v_" + k) for k, c in values.items()])
-    n = _chunks(df, num_chunks)
-    ranged = (vals.repartitionByRange(n, *[F.col(g) for g in groups], *order)
+    ranged = (_ranged(vals, [*[F.col(g) for g in groups], *order], num_chunks)
               .withColumn("_chunk", F.spark_partition_id())
               .checkpoint(eager=True))
     w_local = (Window.partitionBy("_chunk", *groups).orderBy(*order)
@@ -93,9 +95,8 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank", groups:
     groups = list(groups)
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = _chunks(df, num_chunks)
     keys = [*[F.col(g) for g in groups], *order]
-    ranged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    ranged = (_ranged(df, keys, num_chunks).sortWithinPartitions(*keys)
               .withColumn("_mid", F.monotonically_increasing_id())
               .withColumn("_chunk", F.shiftrightunsigned("_mid", 33))
               .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
