@@ -69,3 +69,11 @@ def test_class_capped_sample_skips_null_labels(spark):
     got = sampling.class_capped_sample(df, 50, 42).toPandas()
     assert got.label.notna().all() and got.txn_id.is_unique
     assert (got.label == 1).sum() == df.where("label = 1").count() and (got.label == 0).sum() == 50
+
+
+def test_smallest_by_hash_exact(spark):
+    df = table(spark, n=1500)
+    got = sampling.smallest_by_hash(df.repartition(7), 123, "txn_id", 5).toPandas()
+    h = df.select("txn_id", sampling.keyed_hash("txn_id", 5).alias("h")).toPandas()
+    assert sorted(got.txn_id) == sorted(h.sort_values(["h", "txn_id"]).txn_id[:123])
+    assert list(got.columns) == df.columns
