@@ -208,7 +208,8 @@ REASON_FEATURES = [f for f in FIXTURE_SPEC.model_features() if f != "is_round_10
 def q_reason_codes_zscore(spark, sf_dir):
     """Top-3 reason codes (F5) over closed-form linear attributions with unit
     weights: each feature's z-score against the whole table (M2 form)."""
-    s = silver(spark, sf_dir)
+    # two passes (the table's mean and deviation, then the codes): windows computed once
+    s = silver(spark, sf_dir).checkpoint(eager=True)
     stats = s.agg(*[F.avg(f).alias("m_" + f) for f in REASON_FEATURES],
                   *[F.stddev(f).alias("s_" + f) for f in REASON_FEATURES])
     st = stats.first()                    # 2 x 11 numbers: the linear model's fixed centring and scale
