@@ -53,3 +53,18 @@ def test_query_matches_oracle(spark, duck, name):
 
 def test_every_query_registered_has_oracle_or_is_model_dependent():
     assert set(entry.queries()) - set(entry.oracle_sql()) == SLOW
+
+
+@pytest.mark.parametrize("name", ["txn_fixture", "velocity_alerts", "pattern_lookup", "ingest_roundtrip"])
+def test_time_queries_do_not_depend_on_session_zone(spark, duck, name):
+    """The driver's session zone is not ours: epoch seconds of the NTZ input and
+    the CSV round trip must give the same rows in another zone."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = entry.queries()[name](spark, "/root/testdata/sf0.001")
+        got = _rows(df.columns, [tuple(r) for r in df.collect()])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    res = duck.execute(entry.oracle_sql()[name])
+    assert got == _rows([d[0] for d in res.description], res.fetchall())
