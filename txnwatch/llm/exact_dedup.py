@@ -56,6 +56,7 @@ def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", salt
     winners = salted.groupBy("_digest", "_salt", "_norm").agg(*combine)
     groups = written(winners.groupBy("_digest", "_norm").agg(*combine).drop("_norm"), "exact-groups")
     by_digest = groups.groupBy("_digest").agg(*combine, F.count(F.lit(1)).alias("_texts"))
+    by_digest = written(by_digest, "exact-digests")      # a plain side, so that the join can split a hot digest
 
     out = rows.drop("_norm").join(by_digest.where("_texts = 1").drop("_texts"), "_digest")
     shared = by_digest.where("_texts > 1").select("_digest")

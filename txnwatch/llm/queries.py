@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from txnwatch.llm import exact_dedup
+from txnwatch.llm import exact_dedup, quality_rules, url_filter
 
 QUERIES = {
+    "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op4_url_filter": url_filter.op4_url_filter,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
 
 ORACLE_SQL = {
+    "op1_quality_rules": quality_rules.op1_sql(),
+    "op4_url_filter": url_filter.OP4_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
 }
