@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnwatch.llm.common import BLANK_RUN, bind, table
+from txnwatch.llm.common import BLANK_RUN, bind, free_name, table, written
 
 # Frequent function words of each language (public stop-word lists).
 COMMON_WORDS = {
@@ -34,7 +34,6 @@ COMMON_WORDS = {
 }
 WORD_LIST = sorted({w for ws in COMMON_WORDS.values() for w in ws})
 SYMBOLS = "#*$%&|<>"
-MARKS = ".,;:!?'\"()-"
 BASE_MIN_WORDS = 10
 BASE_MAX_REPEAT_PERCENT = 20
 
@@ -51,29 +50,41 @@ class DivergenceRules:
 
 
 def words_of(text: Column) -> Column:
-    return F.array_remove(F.split(text, BLANK_RUN), "")
+    return F.array_remove(F.split(F.regexp_replace(text, "[\t-\r]", " "), " "), "")
 
 
 def repeat_words(words: Column, width: int = 5) -> Column:
-    """How many words lie in a window of ``width`` words that the text has twice or more."""
+    """How many words lie in a window of ``width`` words that the text has twice or more.
+
+    Window hashes come first: a text whose hashes all differ has no window twice.
+    The others compare their windows as text."""
     none = F.lit(0).cast("long")
 
     def covered(starts):
         steps = F.transform(starts, lambda q, k: F.least(F.lit(width), F.coalesce(F.get(starts, k + 1) - q, F.lit(width))))
         return F.aggregate(steps, none, lambda a, x: a + x)
 
-    def repeated(win):
-        def starts(s):
-            same = F.filter(s, lambda e, k: F.coalesce(e["x"] == F.get(s, k + 1)["x"], F.lit(False))
-                            | F.coalesce(e["x"] == F.get(s, k - 1)["x"], F.lit(False)))
-            return F.sort_array(F.transform(same, lambda e: e["i"]))
-        ordered = F.sort_array(F.transform(win, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
-        return F.when(F.size(F.array_distinct(win)) == F.size(win), none).otherwise(
-            bind(ordered, lambda s: bind(starts(s), covered)))
+    def starts(s):
+        same = F.filter(s, lambda e, k: F.coalesce(e["x"] == F.get(s, k + 1)["x"], F.lit(False))
+                        | F.coalesce(e["x"] == F.get(s, k - 1)["x"], F.lit(False)))
+        return F.sort_array(F.transform(same, lambda e: e["i"]))
 
     def per_text(w):
-        windows = F.transform(F.sequence(F.lit(1), F.size(w) - (width - 1)), lambda i: F.concat_ws(" ", F.slice(w, i, width)))
-        return F.when(F.size(w) > width, bind(windows, repeated)).otherwise(none)
+        n = F.size(w) - (width - 1)
+        hashes = F.slice(F.transform(w, lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, width)])), F.lit(1), n)
+
+        def exact(h):
+            def among(values):
+                few = F.filter(F.sequence(F.lit(1), n), lambda i: F.array_contains(values, F.get(h, i - 1)))
+                at = F.when(F.size(values) <= 64, few).otherwise(F.sequence(F.lit(1), n))
+                windows = F.transform(at, lambda i: F.struct(F.concat_ws(" ", F.slice(w, i, width)).alias("x"), i.alias("i")))
+                return bind(F.sort_array(windows), lambda s: bind(starts(s), covered))
+            twice = bind(F.sort_array(h), lambda s: F.array_distinct(
+                F.filter(s, lambda x, k: F.coalesce(x == F.get(s, k + 1), F.lit(False)))))
+            return bind(twice, among)
+
+        return F.when(F.size(w) <= width, none).otherwise(
+            bind(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), none).otherwise(exact(h))))
 
     return bind(words, per_text)
 
@@ -83,17 +94,23 @@ def dup_lines(text: Column) -> Column:
     return bind(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
 
 
-def char_histogram(text: Column) -> Column:
-    """Counts of a-z, A-Z, 0-9, blanks, sentence marks, other ASCII, other characters."""
+def char_counts(text: Column) -> Column:
+    """Struct of ``blanks``, ``symbols`` and ``classes``, the counts of a-z, A-Z, 0-9, blanks,
+    sentence marks, other ASCII, other characters; each pattern is dropped before the next."""
     def length(c):
         return F.char_length(c).cast("long")
 
-    def classes(rest):                                    # what is left without a-z
-        n = [length(rest) - length(F.regexp_replace(rest, c, "")) for c in ("[A-Z]+", "[0-9]+", BLANK_RUN, r"[.,;:!?'\"()-]+")]
-        beyond = length(F.regexp_replace(rest, r"[\x00-\x7F]+", ""))
-        return F.array(length(text) - length(rest), *n, length(rest) - sum(n[1:], n[0]) - beyond, beyond)
+    def dropped(left, patterns, counts):
+        if patterns:
+            return bind(F.regexp_replace(left, patterns[0], ""),
+                        lambda rest: dropped(rest, patterns[1:], [*counts, length(left) - length(rest)]))
+        symbols = F.regexp_count(left, F.lit("[#*$%&|<>]")).cast("long")
+        beyond = length(F.regexp_replace(left, r"[\x00-\x7F]+", ""))
+        lower, blanks, upper, digits, marks = counts
+        return F.struct(blanks.alias("blanks"), symbols.alias("symbols"),
+                        F.array(lower, upper, digits, blanks, marks, length(left) - beyond, beyond).alias("classes"))
 
-    return bind(F.regexp_replace(text, "[a-z]+", ""), classes)
+    return dropped(text, ["[a-z]+", BLANK_RUN, "[A-Z]+", "[0-9]+", r"[.,;:!?'\"()-]+"], [])
 
 
 def word_histogram(words: Column) -> Column:
@@ -122,77 +139,80 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(parts, F.lit(0.0), lambda s, x: s + x) / 2))
 
 
-def references(df: DataFrame, rules: DivergenceRules, text: str = "text", lang: str = "lang") -> dict:
+def measures(text: Column) -> Column:
+    """Struct of a text's base counts and its two histograms (``chars``, ``common``)."""
+    def counted(x):
+        def with_words(w, m):
+            return F.struct(F.size(w).cast("long").alias("n_words"), F.char_length(x).cast("long").alias("n_chars"),
+                            (F.char_length(x).cast("long") - m["blanks"]).alias("word_chars"), m["symbols"].alias("n_symbols"),
+                            dup_lines(x).alias("n_dup_lines"), repeat_words(w).alias("n_repeat_words"),
+                            m["classes"].alias("chars"), word_histogram(w).alias("common"))
+        return bind(words_of(x), lambda w: bind(char_counts(x), lambda m: with_words(w, m)))
+
+    return bind(F.coalesce(text, F.lit("")), counted)
+
+
+def references(measured: DataFrame, rules: DivergenceRules, m: str = "m", lang: str = "lang") -> dict:
     """{language: (character counts, word counts)} pooled over its documents."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    rows = df.where(F.col(lang).isin(list(COMMON_WORDS))).select(F.col(lang).alias("lang"), t.alias("t"), words_of(t).alias("w"))
-    symbols = F.char_length("t") - F.char_length(F.translate("t", SYMBOLS, ""))
-    guard = (F.size("w") >= rules.min_words) & (100 * symbols <= rules.reference_symbol_percent * F.char_length("t"))
-    hists = rows.where(guard).select(
-        "lang", char_histogram(F.col("t")).alias("c"), word_histogram(F.col("w")).alias("k"))
-    sums = hists.groupBy("lang").agg(F.array(*[F.sum(F.col("c")[i]) for i in range(7)]).alias("c"),
-                                     F.array(*[F.sum(F.col("k")[i]) for i in range(len(WORD_LIST) + 1)]).alias("k"))
+    rows = measured.select(F.col(lang).alias("lang"), F.col(m).alias("m")).where(F.col("lang").isin(list(COMMON_WORDS)))
+    rows = rows.where((F.col("m.n_words") >= rules.min_words)
+                      & (100 * F.col("m.n_symbols") <= rules.reference_symbol_percent * F.col("m.n_chars")))
+    sums = rows.groupBy("lang").agg(F.array(*[F.sum(F.col("m.chars")[i]) for i in range(7)]).alias("c"),
+                                    F.array(*[F.sum(F.col("m.common")[i]) for i in range(len(WORD_LIST) + 1)]).alias("k"))
     out = {r["lang"]: (list(r["c"]), list(r["k"])) for r in sums.collect()}         # one row a listed language
     return {g: ck for g, ck in sorted(out.items()) if sum(ck[1]) >= rules.min_reference}
 
 
-def with_quality(df: DataFrame, rules: DivergenceRules | None = None, text: str = "text", lang: str = "lang",
-                 out: str = "q") -> DataFrame:
-    """``df`` and one struct column ``out``: n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, base_failed, char_distance, word_distance, kept."""
-    rules = rules or DivergenceRules()
-    refs = references(df, rules, text, lang)
-    t = F.coalesce(F.col(text), F.lit(""))
-
+def verdict(s: Column, lang: Column, refs: dict, rules: DivergenceRules) -> Column:
+    """Struct of the base counts, base_failed, both distances and kept, from ``measures``."""
     def distance(shares, which):
         each = {g: F.array(*[F.lit(x / max(1, sum(ck[which]))) for x in ck[which]]) for g, ck in refs.items()}
         if not each:
             return F.lit(None).cast("double")
-        nearest = F.array_min(F.array(*[js_distance(shares, q) for q in each.values()]))
-        case = None
+        case = F.when(F.lit(False), F.lit(0.0))
         for g, q in each.items():
-            case = (F.when if case is None else case.when)(F.col(lang) == g, js_distance(shares, q))
-        return case.otherwise(nearest)
+            case = case.when(lang == g, js_distance(shares, q))
+        return case.otherwise(F.array_min(F.array(*[js_distance(shares, q) for q in each.values()])))
 
-    def verdict(s):
-        def limit(top, slack, n):
-            return F.lit(top) + F.lit(slack) / F.sqrt(F.greatest(n, F.lit(1)).cast("double"))
-        failed = (s["n_words"] < BASE_MIN_WORDS) | (100 * s["n_repeat_words"] > BASE_MAX_REPEAT_PERCENT * s["n_words"])
-        char = bind(_shares(s["chars"]), lambda p: distance(p, 0))
-        word = bind(_shares(s["common"]), lambda p: distance(p, 1))
+    def limit(top, slack):
+        return F.lit(top) + F.lit(slack) / F.sqrt(F.greatest(s["n_words"], F.lit(1)).cast("double"))
 
-        def judged(d):
-            near = (F.coalesce(d["c"], F.lit(0.0)) <= limit(rules.max_char, rules.char_slack, s["n_words"])) \
-                & (F.coalesce(d["w"], F.lit(0.0)) <= limit(rules.max_word, rules.word_slack, s["n_words"]))
-            fields = [s[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-            return F.struct(*fields, failed.alias("base_failed"), d["c"].alias("char_distance"), d["w"].alias("word_distance"),
-                            (~failed & ((s["n_words"] < rules.min_words) | near)).alias("kept"))
+    failed = (s["n_words"] < BASE_MIN_WORDS) | (100 * s["n_repeat_words"] > BASE_MAX_REPEAT_PERCENT * s["n_words"])
+    char = F.round(bind(_shares(s["chars"]), lambda p: distance(p, 0)), 9)
+    word = F.round(bind(_shares(s["common"]), lambda p: distance(p, 1)), 9)
 
-        return bind(F.struct(F.round(char, 9).alias("c"), F.round(word, 9).alias("w")), judged)
+    def judged(d):
+        near = (F.coalesce(d["c"], F.lit(0.0)) <= limit(rules.max_char, rules.char_slack)) \
+            & (F.coalesce(d["w"], F.lit(0.0)) <= limit(rules.max_word, rules.word_slack))
+        fields = [s[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+        return F.struct(*fields, failed.alias("base_failed"), d["c"].alias("char_distance"), d["w"].alias("word_distance"),
+                        (~failed & ((s["n_words"] < rules.min_words) | near)).alias("kept"))
 
-    def counted(x):
-        def with_words(w):
-            chars = F.char_length(F.translate(x, "".join(" \t\n\x0b\f\r"), "")).cast("long")
-            symbols = (F.char_length(x) - F.char_length(F.translate(x, SYMBOLS, ""))).cast("long")
-            return F.struct(F.size(w).cast("long").alias("n_words"), chars.alias("word_chars"), symbols.alias("n_symbols"),
-                            dup_lines(x).alias("n_dup_lines"), repeat_words(w).alias("n_repeat_words"),
-                            char_histogram(x).alias("chars"), word_histogram(w).alias("common"))
-        return bind(words_of(x), with_words)
+    return bind(F.struct(char.alias("c"), word.alias("w")), judged)
 
-    return df.withColumn(out, bind(bind(t, counted), verdict))
+
+def with_quality(df: DataFrame, rules: DivergenceRules | None = None, text: str = "text", lang: str = "lang",
+                 out: str = "q", carry: list[str] | None = None) -> DataFrame:
+    """The columns ``carry`` of ``df`` (all by default) and one struct column ``out``:
+    n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    char_distance, word_distance, kept.  Texts are measured once and stored with the
+    carried columns; references and verdicts read what is stored."""
+    rules, carry = rules or DivergenceRules(), df.columns if carry is None else carry
+    m, g = free_name(df, "m"), free_name(df, "g")
+    stored = written(df.select(*carry, F.col(lang).alias(g), measures(F.col(text)).alias(m)), "quality-measures")
+    refs = references(stored, rules, m, g)
+    return stored.select(*carry, verdict(F.col(m), F.col(g), refs, rules).alias(out))
 
 
 def drop_low_quality(df: DataFrame, rules: DivergenceRules | None = None) -> DataFrame:
     """The documents that base rules and divergence keep, their columns unchanged."""
-    from txnwatch.llm.common import free_name
-
     q = free_name(df, "q")
     return with_quality(df, rules, out=q).where(F.col(q)["kept"]).drop(q)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return with_quality(docs).select("doc_id", "q.*")
+    return with_quality(docs, carry=["doc_id"]).select("doc_id", "q.*")
 
 
 def op1_sql(rules: DivergenceRules | None = None) -> str:
