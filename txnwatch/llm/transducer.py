@@ -34,6 +34,7 @@ class MergeModel:
         self.proper = {t[:k] for t in tokens for k in range(1, len(t))}
         self.symbols_of = {i: t for t, i in tokens.items()}
         self._compatible: dict = {}
+        self._grown: dict = {}
 
     def rank(self, left: tuple, right: tuple):
         """Priority of merging two adjacent tokens (lower first), or None."""
@@ -46,26 +47,67 @@ class MergeModel:
     def symbols(self, i: int) -> tuple:
         return self.symbols_of[i] if i < self.unknown_base else (i - self.unknown_base,)
 
-    def merge(self, symbols: tuple) -> list:
-        """Tokens (as symbol tuples) of a short word, leftmost lowest rank first."""
+    def merge(self, symbols: tuple, first: list | None = None, last: list | None = None) -> list:
+        """Tokens (as symbol tuples) of a short word, leftmost lowest rank first; ``first`` and
+        ``last`` receive what the outer parts were and the rank at which each was merged away."""
         parts = [(s,) for s in symbols]
         while len(parts) > 1:
             ranks = [(r, k) for k in range(len(parts) - 1) if (r := self.rank(parts[k], parts[k + 1])) is not None]
             if not ranks:
                 break
-            k = min(ranks)[1]
+            r, k = min(ranks)
+            if first is not None and k == 0:
+                first.append((parts[0], r))
+            if last is not None and k == len(parts) - 2:
+                last.append((parts[-1], r))
             parts[k:k + 2] = [parts[k] + parts[k + 1]]
         return parts
 
+    def _growth(self, i: int):
+        """How a token's first and last part grew while it was merged, or None if its symbols do not give it back."""
+        got = self._grown.get(i, 0)
+        if got == 0:
+            t, first, last = self.symbols(i), [], []
+            got = None
+            if self.merge(t, first, last) == [t]:
+                ranks = [r for _, r in first], [r for _, r in last]
+                never = float("inf")
+                got = ([*first, (t, never)], [*last, (t, never)], all(x == sorted(x) for x in ranks))
+            self._grown[i] = got
+        return got
+
     def compatible(self, a: int, b: int) -> bool:
         """Whether token b can follow token a; a is -1 before the first token of a word."""
         got = self._compatible.get((a, b))
         if got is None:
-            t = self.symbols(b)
-            s = self.symbols(a) if a >= 0 else ()
-            got = self._compatible[a, b] = self.merge(s + t) == [x for x in (s, t) if x]
+            got = self._compatible[a, b] = self._fits(a, b)
         return got
 
+    def _fits(self, a: int, b: int) -> bool:
+        right = self._growth(b)
+        if a < 0 or right is None:
+            return right is not None
+        left = self._growth(a)
+        if left is None:
+            return False
+        if not (left[2] and right[2]):                 # merged out of rank order: do it
+            s, t = self.symbols(a), self.symbols(b)
+            return self.merge(s + t) == [s, t]
+        # in rank order the parts at the border meet in turn; none of these pairs may merge before
+        # one of the two is merged away (at equal ranks the merge further left comes first)
+        i = j = 0
+        while True:
+            (x, x_gone), (y, y_gone) = left[1][i], right[0][j]
+            r = self.rank(x, y)
+            if r is not None and r < x_gone and r <= y_gone:
+                return False
+            if x_gone == y_gone == float("inf"):
+                return True
+            if x_gone <= y_gone:
+                i += 1
+            else:
+                j += 1
+
 
 class PairMerges(MergeModel):
     """Merges listed as pairs in order of priority (byte-level BPE files)."""
@@ -146,10 +188,14 @@ class Transducer:
         depth = len(grown)
         while depth and grown[len(grown) - depth:] not in model.proper:
             depth -= 1
-        # positions 0 (here) to depth symbols back
-        new_lasts = (t, *lasts[:depth])
-        new_behind = (0, *[delta + b for b in behind[:depth]])
-        out = self.table[state, symbol] = (self._state(grown[len(grown) - depth:], new_lasts, new_behind), delta)
+        node = grown[len(grown) - depth:]
+        # positions 0 (here) to depth symbols back; those where no token can start any more are blank
+        new_lasts, new_behind = [t], [0]
+        for k in range(1, depth + 1):
+            open_here = node[depth - k:] in model.proper
+            new_lasts.append(lasts[k - 1] if open_here else None)
+            new_behind.append(delta + behind[k - 1] if open_here else None)
+        out = self.table[state, symbol] = (self._state(node, tuple(new_lasts), tuple(new_behind)), delta)
         return out
 
     # the numpy side: an open-addressing copy of ``table``
