@@ -61,14 +61,14 @@ def test_expected_counts(vocab_of):
 def test_long_word_stays_in_range():
     table = li.pieces(PATH)
     probs = np.full((table.size, 2), 1e-5)
-    x = li.WordLattice(["ab" * 20_000, "x"], table).forward(probs)
+    x = li.WordLattice(["ab" * 2_000, "x"], table).forward(probs)
     assert np.isfinite(x).all() and x[0, 0] < -1000
 
 
 def test_edge_rows(spark):
     text = {"en": "the cat and the house of the water that is here", "fr": "le chat et la maison de la mer qui est dans le jardin"}
     rows = [(i, t, g, "x") for i, (g, t) in enumerate(itertools.islice(itertools.cycle(text.items()), 12))]
-    rows += [(50, None, "en", "x"), (51, "", None, "x"), (52, "12 34 !!", "fr", None), (None, "the house", None, "x"), (53, "w" * 30_000, "en", "x")]
+    rows += [(50, None, "en", "x"), (51, "", None, "x"), (52, "12 34 !!", "fr", None), (None, "the house", None, "x"), (53, "w" * 3_000, "en", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string")
     model = li.fit(df, PATH, train_rows=None)
     got = {r.doc_id: (r.p, r.score) for r in li.predict(df, model, out="p").collect()}

@@ -42,6 +42,7 @@ UNDETERMINED = "und"
 _SPACE = "▁"
 _SPLIT = str.maketrans({c: " " for c in BLANKS})
 _MULT = np.uint64(0x9E3779B97F4A7C15)
+_SIEVE = np.uint64(44)
 
 
 class PieceTable:
@@ -65,20 +66,20 @@ class PieceTable:
                 order = np.argsort(h)
                 if len(np.unique(h)) != len(h):
                     raise ValueError("two pieces share a hash")
-                self.by_length[n] = (h[order], ids[order], codes[order])
-
-    def find(self, codes: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
-        """Piece ids of substrings of length n given by hash (verified on their characters), or -1."""
-        if n not in self.by_length:
-            return np.full(len(h), -1, np.int32)
-        keys, ids, text = self.by_length[n]
-        k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        hit = keys[k] == h
-        where = np.flatnonzero(hit)
-        same = (text[k[where]] == codes[where]).all(axis=1)
-        out = np.full(len(h), -1, np.int32)
-        out[where[same]] = ids[k[where[same]]]
-        return out
+                sieve = np.zeros(1 << (64 - int(_SIEVE)), bool)          # most substrings stop here
+                sieve[h >> _SIEVE] = True
+                self.by_length[n] = (h[order], ids[order], codes[order], sieve)
+
+    def find(self, codes: np.ndarray, at: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the substrings of length n that end at ``at`` are pieces (verified on their
+        characters), and the piece ids; ``h`` are their hashes."""
+        keys, ids, text, sieve = self.by_length[n]
+        where = np.flatnonzero(sieve[h >> _SIEVE])
+        k = np.minimum(np.searchsorted(keys, h[where]), len(keys) - 1)
+        same = keys[k] == h[where]
+        where, k = where[same], k[same]
+        same = (text[k] == codes[at[where, None] - np.arange(n - 1, -1, -1)]).all(axis=1)
+        return where[same], ids[k[same]]
 
 
 @functools.lru_cache(maxsize=2)
@@ -110,12 +111,9 @@ class WordLattice:
                 h = h + self.codes[at - (n - 1)] * power
                 power = power * _MULT
                 if n in self.vocab.by_length:
-                    keys = self.vocab.by_length[n][0]
-                    where = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h)
-                    if len(where):
-                        window = self.codes[at[where, None] - np.arange(n - 1, -1, -1)]
-                        ids = self.vocab.find(window, h[where], n)
-                        out.append((n, where[ids >= 0], ids[ids >= 0]))
+                    rows, ids = self.vocab.find(self.codes, at, h, n)
+                    if len(rows):
+                        out.append((n, rows, ids))
         return k, out
 
     def lattice(self):
