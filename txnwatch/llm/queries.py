@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from txnwatch.llm import exact_dedup, language_id, packing, quality_rules, simhash, token_counts, url_filter
+from txnwatch.llm import exact_dedup, language_id, packing, quality_classifier, quality_rules, simhash, token_counts, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op3_simhash_dedup": simhash.op3_simhash_dedup,
     "op4_url_filter": url_filter.op4_url_filter,
+    "op5_quality_classifier": quality_classifier.op5_quality_classifier,
     "op6_packing": packing.op6_packing,
     "op7_language_id": language_id.op7_language_id,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
