@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from txnwatch.llm import exact_dedup, language_id, packing, quality_classifier, quality_rules, simhash, token_counts, url_filter
+from txnwatch.llm import exact_dedup, language_id, packing, quality_classifier, quality_rules, simhash, token_counts, url_filter, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_packing": packing.op6_packing,
     "op7_language_id": language_id.op7_language_id,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_warc": warc.op9_warc,
     "op10_token_counts": token_counts.op10_token_counts,
 }
 
@@ -19,4 +20,5 @@ ORACLE_SQL = {
     "op1_quality_rules": quality_rules.op1_sql(),
     "op4_url_filter": url_filter.OP4_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
+    "op9_warc": warc.OP9_SQL,
 }
