@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +52,10 @@ def free_name(df: DataFrame, base: str) -> str:
 def doc_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that no other column of the table can clash."""
     return df.select(*[F.col(n) for n in names])
+
+
+def distinct(split: list[list[str]]) -> tuple[np.ndarray, list[str]]:
+    """The distinct words of all lists, and for every occurrence in turn its place among them."""
+    place: dict = {}
+    code = [place.setdefault(w, len(place)) for words in split for w in words]
+    return np.array(code, np.int64), list(place)

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnwatch.llm.common import BLANKS, free_name, python_ready, table
+from txnwatch.llm.common import BLANKS, distinct, free_name, python_ready, table
 from txnwatch.llm.token_counts import grouped
 
 TRAIN_ROWS = 20_000
@@ -184,8 +184,7 @@ def word_counts(texts: list) -> tuple[list, np.ndarray, np.ndarray]:
     """Distinct words, and for every word occurrence its text and its word."""
     split = [(t or "").translate(_SPLIT).split(" ") for t in texts]
     owner = np.repeat(np.arange(len(split)), [len(s) for s in split])
-    code, words = pd.factorize(np.array([w for s in split for w in s], dtype=object)) if len(owner) else (np.zeros(0, int), [])
-    words = list(words)
+    code, words = distinct(split)
     empty = words.index("") if "" in words else -1
     keep = code != empty
     return words, owner[keep], code[keep]

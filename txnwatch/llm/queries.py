@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from txnwatch.llm import exact_dedup, language_id, packing, quality_classifier, quality_rules, simhash, token_counts, url_filter, warc
+from txnwatch.llm import exact_dedup, language_id, packing, quality_classifier, quality_rules, sentencepiece_codec, simhash, token_counts, url_filter, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_sentencepiece": sentencepiece_codec.op2_sentencepiece,
     "op3_simhash_dedup": simhash.op3_simhash_dedup,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_quality_classifier": quality_classifier.op5_quality_classifier,
