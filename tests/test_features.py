@@ -1,11 +1,15 @@
 import datetime as dt
+import math
 import random
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from txnwatch.operators.features import add_features, choose_method
+from pyspark.sql import Window
+
+from txnwatch.functions.expr import epoch_seconds
+from txnwatch.operators.features import _finish, add_features
 from txnwatch.schema import FeatureSpec
 
 SPEC = dict(pay_formats=("ACH", "Wire"))
@@ -20,8 +24,19 @@ def txn_frame(spark, rows):
     return spark.createDataFrame(rows, schema)
 
 
-def features(df, method):
-    out = add_features(df, FeatureSpec(method=method, **SPEC)).toPandas()
+def plain_frames(df, spec):
+    """The definition: range frames over the whole sender (the table of every test is small)."""
+    base = Window.partitionBy("from_account").orderBy("_sec")
+    day, week = base.rangeBetween(-(spec.short_window - 1), 0), base.rangeBetween(-(spec.long_window - 1), 0)
+    framed = df.withColumn("_sec", epoch_seconds(df, "ts")).select(
+        "*", F.count(F.lit(1)).over(day).alias("_c24"), F.sum("amount_paid").over(day).alias("_s24"),
+        F.avg("amount_paid").over(week).alias("_avg7"), F.size(F.collect_set("to_account").over(day)).alias("_u24"))
+    return _finish(framed, df.columns, spec)
+
+
+def features(df, method="blocks"):
+    spec = FeatureSpec(**SPEC)
+    out = (plain_frames if method == "frame" else add_features)(df, spec).toPandas()
     return out.sort_values("txn_id").reset_index(drop=True)
 
 
@@ -49,7 +64,7 @@ def edge_rows():
 
 
 def test_frame_edges_by_hand(spark):
-    out = features(txn_frame(spark, edge_rows()), "frame").set_index("txn_id")
+    out = features(txn_frame(spark, edge_rows())).set_index("txn_id")
     assert out.loc[2, "sender_24h_count"] == 3            # rows 1, 7, 2
     assert out.loc[3, "sender_24h_count"] == 4            # rows 7 (100 s), 2, 3 and its peer 4
     assert out.loc[3, "unique_receivers_24h"] == 3        # R2, R1, R3 (row 1 left the frame)
@@ -62,9 +77,9 @@ def test_frame_edges_by_hand(spark):
     assert pd.isna(out.loc[7, "amt_vs_7d_avg"])
 
 
-def test_sweep_equals_frame_on_edges(spark):
+def test_blocks_equal_frames_on_edges(spark):
     df = txn_frame(spark, edge_rows())
-    assert_same(features(df, "frame"), features(df, "sweep"))
+    assert_same(features(df, "frame"), features(df, "blocks"))
 
 
 def random_rows(n, senders, receivers, span_days, seed, hot=None):
@@ -82,28 +97,49 @@ def random_rows(n, senders, receivers, span_days, seed, hot=None):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_sweep_equals_frame_random(spark, seed):
+def test_blocks_equal_frames_random(spark, seed):
     df = txn_frame(spark, random_rows(3000, 20, 15, 20, seed))
-    assert_same(features(df, "frame"), features(df, "sweep"))
+    assert_same(features(df, "frame"), features(df, "blocks"))
 
 
-def test_hot_sender_sweep(spark):
+def test_hot_sender(spark):
     df = txn_frame(spark, random_rows(4000, 30, 200, 3, 7, hot="HOT"))
-    assert choose_method(df, FeatureSpec(frame_max_sender_rows=1000, **SPEC)) == "sweep"
-    assert_same(features(df, "frame"), features(df, "sweep"))
+    assert_same(features(df, "frame"), features(df, "blocks"))
 
 
 def test_result_independent_of_partitioning(spark):
     df = txn_frame(spark, random_rows(1500, 10, 10, 10, 3))
-    base = features(df, "sweep")
+    base = features(df, "blocks")
     for n in (1, 7, 64):
-        assert_same(base, features(df.repartition(n), "sweep"))
+        assert_same(base, features(df.repartition(n), "blocks"))
 
 
-def test_auto_prefers_frame_on_light_table(spark):
-    df = txn_frame(spark, random_rows(500, 100, 10, 30, 5))
-    assert choose_method(df, FeatureSpec(**SPEC)) == "frame"
-    assert add_features(df, FeatureSpec(**SPEC)).count() == 500
+@pytest.mark.parametrize("seed", [4, 9])
+def test_amounts_of_any_size_keep_full_precision(spark, seed):
+    """Amounts from 1e-4 to 1e15 in one sender, held against exact sums."""
+    rnd = random.Random(seed)
+    rows = [(i, T0 + dt.timedelta(seconds=rnd.randrange(9 * 86400)), "B", "S" if rnd.random() < .7 else f"C{i % 40}", "B2",
+             f"R{rnd.randrange(9)}", rnd.choice([1e15, 1e12, 0.01, 1e-4, rnd.random(), rnd.random() * 1e6]), "ACH", 0) for i in range(800)]
+    rows += [(900, T0, "B", "X", "B", "R", 1e15, "ACH", 0), (901, T0 + dt.timedelta(seconds=60), "B", "X", "B", "R", 0.01, "ACH", 0),
+             (902, T0 + dt.timedelta(days=1), "B", "X", "B", "R", 0.01, "ACH", 0)]
+    got = features(txn_frame(spark, rows)).set_index("txn_id")
+    assert got.loc[902, "sender_24h_volume"] == 0.02
+    for r in rows:
+        own = [x for x in rows if x[3] == r[3]]
+        day = [x[6] for x in own if dt.timedelta(0) <= r[1] - x[1] < dt.timedelta(days=1)]
+        week = [x[6] for x in own if dt.timedelta(0) <= r[1] - x[1] < dt.timedelta(days=7)]
+        assert got.loc[r[0], "sender_24h_volume"] == pytest.approx(math.fsum(day), rel=1e-12)
+        assert got.loc[r[0], "amt_vs_7d_avg"] == pytest.approx(r[6] / (math.fsum(week) / len(week) + 1e-6), rel=1e-12)
+
+
+def test_no_group_holds_a_whole_hot_sender(spark):
+    """A sender with 60 days of payments is dealt to groups of a day or a week."""
+    rows = [(i, T0 + dt.timedelta(seconds=i * 500), "B", "HOT", "B", "R", 1.0, "ACH", 0) for i in range(10_000)]
+    from txnwatch.operators.features import _block_sums
+    seconds = txn_frame(spark, rows).select("from_account", epoch_seconds(txn_frame(spark, rows), "ts").alias("_ts_sec"),
+                                            F.lit(1).cast("long").alias("n"), F.lit(1.0).alias("s"), F.lit(1).cast("long").alias("m"))
+    plan = _block_sums(seconds, ["from_account"], [86400])._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(from_account" in plan and "block" in plan.split("windowspecdefinition(from_account")[1].split("ASC")[0]
 
 
 def test_fixture_velocity_count(spark):

@@ -9,26 +9,20 @@ sender's payments, peers in the same second included:
 * ``unique_receivers_24h``  distinct receivers in the 24h frame
 * ``is_round_1000``, ``rapid_exit_risk``, ``is_interbank`` and one-hot formats.
 
-Two physical forms compute the same values:
-
-``frame``  range-frame windows partitioned by sender (one shuffle).  A task holds
-           a whole sender and ``collect_set`` costs rows x frame, so a sender
-           that owns a third of the table lands in one task.
-``sweep``  skew-proof and linear.  Each payment contributes ``+`` at ``t`` and a
-           retraction at ``t + width``; each distinct (sender, receiver, second)
-           visit contributes ``+1`` at ``t`` and ``-1`` where the pair's coverage
-           ends (its next visit or ``t + width``).  The running sum of those
-           deltas at ``t`` is the frame value.  Running sums are taken inside
-           (sender, week bucket) groups; every contribution is also copied into
-           the next bucket, which is all it can reach, so no offsets are needed.
-           Deltas are summed per (sender, bucket, second) before the window
-           (map-side), so a group holds at most two weeks of seconds however
-           hot the sender is.
-
-``auto``   measures the table first (one aggregation: rows per sender and per
-           sender-week) and takes ``frame`` only when no sender is hot and the
-           estimated frame cost (sum of squared weekly counts) stays within
-           ``frame_cost_factor`` x rows; otherwise ``sweep``.
+One physical form serves every size.  A frame is cut at multiples of its width: the
+part inside the payment's own block is a running sum up to ``t``, the part in the
+block before it a running sum from its end down to ``t - width``.  Both only ever add
+amounts that lie in the frame, so nothing is retracted and sums keep full precision
+whatever else the sender paid.  Payments are summed per (sender, second) first
+(map-side), so a (sender, block) group holds at most one row and one question per
+second of a day or week however hot the sender is, and a hot sender's blocks are
+dealt to different tasks.
+
+Distinct receivers are counted by integers: each distinct (sender, receiver, second)
+visit opens at ``t`` and closes at the pair's next visit or ``t + width``; the running
+count of open visits at ``t`` is the answer (exact, as counts do not round).
+
+Payments without a time form one frame per sender.
 """
 
 from __future__ import annotations
@@ -40,41 +34,11 @@ from pyspark.sql.types import NumericType, StringType
 from txnwatch.functions.expr import differs, epoch_seconds, is_multiple, one_hot, safe_ratio
 from txnwatch.schema import ROUND_UNIT, FeatureSpec
 
-# Running sums restart in every (sender, bucket) group and span at most two
-# buckets, so the rounding of a double retraction stays at the scale of the
-# frame's own volume (about 1e-15 relative; exact for whole amounts).
-_SUM_TYPE = "double"
-
-FEATURE_NAMES = ["sender_24h_count", "sender_24h_volume", "amt_vs_7d_avg", "unique_receivers_24h",
-                 "is_round_1000", "rapid_exit_risk", "is_interbank"]
-
 
 def add_features(txn: DataFrame, spec: FeatureSpec | None = None) -> DataFrame:
     """Bronze transactions -> silver: every input column plus the feature columns."""
     spec = spec or FeatureSpec()
-    method = choose_method(txn, spec) if spec.method == "auto" else spec.method
-    if method == "frame":
-        framed = _frame_values(txn, spec)
-    elif method == "sweep":
-        framed = _sweep_values(txn, spec)
-    else:
-        raise ValueError(f"unknown feature method {spec.method!r}")
-    return _finish(framed, txn.columns, spec)
-
-
-def choose_method(txn: DataFrame, spec: FeatureSpec) -> str:
-    """``frame`` when range frames are cheap and balanced on this table, else ``sweep``."""
-    c = spec.cols
-    week = F.floor(epoch_seconds(txn, c.ts) / F.lit(spec.long_window))
-    per_week = txn.groupBy(c.sender, week.alias("_w")).agg(F.count(F.lit(1)).alias("_n"))
-    per_sender = per_week.groupBy(c.sender).agg(F.sum("_n").alias("_g"),
-                                                 F.sum(F.col("_n") * F.col("_n")).alias("_sq"))
-    st = per_sender.agg(F.max("_g").alias("g"), F.sum("_sq").alias("sq"), F.sum("_g").alias("n")).first()
-    if st["n"] is None or st["n"] == 0:
-        return "frame"
-    hot = st["g"] > spec.frame_max_sender_rows
-    costly = st["sq"] > spec.frame_cost_factor * st["n"]
-    return "sweep" if (hot or costly) else "frame"
+    return _finish(_frame_values(txn, spec), txn.columns, spec)
 
 
 def _finish(df: DataFrame, base_cols: list[str], spec: FeatureSpec) -> DataFrame:
@@ -93,25 +57,7 @@ def _finish(df: DataFrame, base_cols: list[str], spec: FeatureSpec) -> DataFrame
 
 
 # ---------------------------------------------------------------------------
-# frame: the direct range-frame form
-# ---------------------------------------------------------------------------
-def _frame_values(txn: DataFrame, spec: FeatureSpec) -> DataFrame:
-    c = spec.cols
-    df = txn.withColumn("_ts_sec", epoch_seconds(txn, c.ts))
-    base = Window.partitionBy(c.sender).orderBy("_ts_sec")
-    w_short = base.rangeBetween(-(spec.short_window - 1), 0)
-    w_long = base.rangeBetween(-(spec.long_window - 1), 0)
-    return df.select(
-        "*",
-        F.count(F.lit(1)).over(w_short).alias("_c24"),
-        F.sum(c.amount).over(w_short).alias("_s24"),
-        F.avg(c.amount).over(w_long).alias("_avg7"),
-        F.size(F.collect_set(c.receiver).over(w_short)).alias("_u24"),
-    )
-
-
-# ---------------------------------------------------------------------------
-# sweep: linear, skew-proof form
+# frame values
 # ---------------------------------------------------------------------------
 def _null_safe_key(df: DataFrame, name: str) -> tuple[Column, Column]:
     """Two non-null columns that identify a possibly-null key, so equi-joins keep
@@ -126,76 +72,81 @@ def _null_safe_key(df: DataFrame, name: str) -> tuple[Column, Column]:
     return F.col(name).isNull(), F.coalesce(F.col(name), fill)
 
 
-def _sweep_values(txn: DataFrame, spec: FeatureSpec) -> DataFrame:
+def _frame_values(txn: DataFrame, spec: FeatureSpec) -> DataFrame:
     c = spec.cols
-    W, L = spec.short_window, spec.long_window
-    B = max(L, W)                     # partition bucket: every contribution spans at most 2 buckets
     kn, kv = _null_safe_key(txn, c.sender)
     rows = txn.withColumn("_ts_sec", epoch_seconds(txn, c.ts)).withColumn("_kn", kn).withColumn("_kv", kv)
     keys = ["_kn", "_kv"]
     # filter on the raw column (not the derived seconds) so parquet can skip by statistics
     timed = rows.where(F.col(c.ts).isNotNull())
-    t = F.col("_ts_sec")
-    bucket = F.floor(t / F.lit(B))
-    a = F.col(c.amount).cast(_SUM_TYPE)
-    h = F.col(c.amount).isNotNull().cast("long")
-    zd, zl, one = F.lit(0.0).cast(_SUM_TYPE), F.lit(0).cast("long"), F.lit(1).cast("long")
-
-    def ev(pb, e, point, c24, s24, n24, s7, n7, u24=zl, need=F.lit(True)):
-        return F.struct(pb.alias("pb"), e.alias("e"), F.lit(point).alias("point"), c24.alias("c24"),
-                        s24.alias("s24"), n24.alias("n24"), s7.alias("s7"), n7.alias("n7"), u24.alias("u24"),
-                        need.alias("need"))
-
-    # each payment feeds queries in its own bucket and, through a halo copy, the
-    # next one; the copy's 24h part is only needed when t + 24h crosses into it
-    reach24 = (t + W) > (bucket + 1) * F.lit(B)
-    c_n, a_n, h_n = (F.when(reach24, one).otherwise(zl), F.when(reach24, a).otherwise(zd),
-                     F.when(reach24, h).otherwise(zl))
-    pay = F.array(
-        ev(bucket, t, 1, one, a, h, a, h),
-        ev(bucket, t + W, 0, -one, -a, -h, zd, zl),
-        ev(bucket + 1, t, 0, c_n, a_n, h_n, a, h),
-        ev(bucket + 1, t + W, 0, -one, -a, -h, zd, zl, need=reach24),
-        ev(bucket + 1, t + L, 0, zl, zd, zl, -a, -h),
-    )
-    pay_events = timed.select(*keys, F.explode(pay).alias("d"))
-
-    visits = _receiver_visits(timed, keys, c.receiver, W)
-    vt, off = F.col("_ts_sec"), F.col("_off")
-    vb = F.floor(vt / F.lit(B))
-    reach = off > (vb + 1) * F.lit(B)          # coverage continues into the next bucket
-    cover = F.array(ev(vb, vt, 0, zl, zd, zl, zd, zl, one), ev(vb, off, 0, zl, zd, zl, zd, zl, -one),
-                    ev(vb + 1, vt, 0, zl, zd, zl, zd, zl, one, need=reach),
-                    ev(vb + 1, off, 0, zl, zd, zl, zd, zl, -one, need=reach))
-    cover_events = visits.select(*keys, F.explode(cover).alias("d"))
-
-    values = ["c24", "s24", "n24", "s7", "n7", "u24"]
-    events = (pay_events.unionByName(cover_events).select(*keys, "d.*")
-              .where(F.col("need") & (F.col("e") < (F.col("pb") + 1) * F.lit(B)))   # later events reach no query
-              .drop("need"))
-    per_e = events.groupBy(*keys, "pb", "e").agg(*[F.sum(v).alias(v) for v in values],
-                                                  F.max("point").alias("point"))
-    w = Window.partitionBy(*keys, "pb").orderBy("e").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = per_e.select(*keys, "e", "point", *[F.sum(v).over(w).alias(v) for v in values])
-    at_points = sums.where(F.col("point") == 1).select(
-        *keys, F.col("e").alias("_ts_sec"),
-        F.col("c24").alias("_c24"),
-        F.when(F.col("n24") > 0, F.col("s24").cast("double")).alias("_s24"),
-        F.when(F.col("n7") > 0, F.col("s7").cast("double") / F.col("n7")).alias("_avg7"),
-        F.col("u24").alias("_u24"))
-    timed_out = timed.join(at_points, on=[*keys, "_ts_sec"], how="inner")
-
-    # rows without a time: Spark's range frame makes them one frame per sender
+    amount = F.col(c.amount).cast("double")
+    per_second = timed.groupBy(*keys, "_ts_sec").agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(amount), F.lit(0.0)).alias("s"), F.count(amount).alias("m"))
+
+    parts = _block_sums(per_second, keys, [spec.short_window, spec.long_window])
+    short = F.col("width") == spec.short_window
+    visits = _open_visits(timed, keys, c.receiver, spec.short_window)
+    parts = parts.select(*keys, "_ts_sec", *[F.when(short, F.col(v)).alias(v + "24") for v in ("n", "s", "m")],
+                         F.when(~short, F.col("s")).alias("s7"), F.when(~short, F.col("m")).alias("m7"),
+                         F.lit(0).cast("long").alias("u"))
+    if spec.short_window == spec.long_window:
+        parts = parts.withColumn("s7", F.col("s24")).withColumn("m7", F.col("m24"))
+    parts = parts.unionByName(visits, allowMissingColumns=True)
+    at = parts.groupBy(*keys, "_ts_sec").agg(*[F.sum(v).alias(v) for v in ("n24", "s24", "m24", "s7", "m7", "u")])
+    at = at.where("n24 > 0").select(
+        *keys, "_ts_sec", F.col("n24").alias("_c24"), F.when(F.col("m24") > 0, F.col("s24")).alias("_s24"),
+        F.when(F.col("m7") > 0, F.col("s7") / F.col("m7")).alias("_avg7"), F.col("u").alias("_u24"))
+    timed_out = timed.join(at, on=[*keys, "_ts_sec"], how="inner")
+
     untimed = rows.where(F.col(c.ts).isNull())
-    nt = untimed.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_c24"),
-        F.sum(c.amount).alias("_s24"),
-        F.avg(c.amount).alias("_avg7"),
+    whole = untimed.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_c24"), F.sum(amount).alias("_s24"), F.avg(amount).alias("_avg7"),
         F.count_distinct(c.receiver).alias("_u24"))
-    untimed_out = untimed.join(nt, on=keys, how="inner")
+    untimed_out = untimed.join(whole, on=keys, how="inner")
     return timed_out.unionByName(untimed_out).drop("_kn", "_kv", "_ts_sec")
 
 
+def _block_sums(per_second: DataFrame, keys: list[str], widths: list[int]) -> DataFrame:
+    """For every (sender, second t) and width two rows whose sums add up to the frame
+    ``(t - width, t]``: the own block up to ``t``, and the block before from its end down
+    to ``t - width + 1`` (asked for by a question row in that block)."""
+    t, zero = F.col("_ts_sec"), F.lit(0).cast("long")
+    placed = []
+    for w in sorted(set(widths)):
+        block = F.floor(t / F.lit(w))
+        placed += [F.struct(F.lit(w).alias("width"), block.alias("block"), t.alias("at"), F.lit(False).alias("asks"),
+                            F.col("n").alias("n"), F.col("s").alias("s"), F.col("m").alias("m")),
+                   F.struct(F.lit(w).alias("width"), (block - 1).alias("block"), (t - w + 1).alias("at"), F.lit(True).alias("asks"),
+                            zero.alias("n"), F.lit(0.0).alias("s"), zero.alias("m"))]
+    rows = per_second.select(*keys, F.explode(F.array(*placed)).alias("p")).select(*keys, "p.*")
+    group = Window.partitionBy(*keys, "width", "block")
+    up = group.orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    down = group.orderBy(F.desc("at"), "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = rows.select("*", *[F.sum(v).over(w).alias(f"{v}_{k}") for k, w in (("up", up), ("down", down)) for v in ("n", "s", "m")])
+    return sums.select(*keys, "width", F.when(F.col("asks"), F.col("at") + F.col("width") - 1).otherwise(F.col("at")).alias("_ts_sec"),
+                       *[F.when(F.col("asks"), F.col(f"{v}_down")).otherwise(F.col(f"{v}_up")).alias(v) for v in ("n", "s", "m")])
+
+
+def _open_visits(timed: DataFrame, keys: list[str], receiver: str, width: int) -> DataFrame:
+    """(sender, second, u): how many receivers' visits are open at each of the sender's seconds."""
+    v, off, one, zero = F.col("_ts_sec"), F.col("_off"), F.lit(1).cast("long"), F.lit(0).cast("long")
+    block = F.floor(v / F.lit(width))
+    beyond = off > (block + 1) * F.lit(width)          # open into the next block
+
+    def change(b, e, by):
+        return F.struct(b.alias("block"), e.alias("e"), by.alias("by"), F.lit(0).alias("point"))
+
+    opened = F.array_compact(F.array(change(block, v, one), F.when(~beyond, change(block, off, -one)),
+                                     F.when(beyond, change(block + 1, (block + 1) * F.lit(width), one)),
+                                     F.when(beyond, change(block + 1, off, -one))))
+    changes = _receiver_visits(timed, keys, receiver, width).select(*keys, F.explode(opened).alias("d")).select(*keys, "d.*")
+    points = timed.select(*keys, block.alias("block"), v.alias("e"), zero.alias("by"), F.lit(1).alias("point"))
+    per_e = changes.unionByName(points).groupBy(*keys, "block", "e").agg(F.sum("by").alias("by"), F.max("point").alias("point"))
+    running = Window.partitionBy(*keys, "block").orderBy("e").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return per_e.select(*keys, F.col("e").alias("_ts_sec"), F.sum("by").over(running).alias("u"), "point") \
+        .where("point = 1").drop("point")
+
+
 def _receiver_visits(timed: DataFrame, keys: list[str], receiver: str, width: int) -> DataFrame:
     """Distinct (sender, receiver, second) visits with ``_off``, the end of the
     visit's coverage: the pair's next visit or ``t + width``, whichever is first.
