@@ -85,3 +85,16 @@ def test_reasons_signed_top3(spark):
     assert r[1]["reason_1_shap"] == 0.5
     drivers = ex.mean_abs(df, FEATS).collect()
     assert drivers[0]["feature"] == "b" and drivers[0]["mean_abs_shap"] == 2.5
+
+
+def test_case_breakdown_adds_up_to_the_score(spark):
+    """Every feature is listed, more than ten included: base + contributions = score."""
+    feats = [f"f{i}" for i in range(15)]
+    phi = [(-1) ** i * (i + 1) / 7 for i in range(15)]
+    attr = spark.createDataFrame([(1, phi, 0.25)], "txn_id long, phi array<double>, base double")
+    got = ex.case_breakdown(attr, feats).collect()
+    assert [r["feature"] for r in got] == list(reversed(feats))
+    assert got[0]["base"] + sum(r["contribution"] for r in got) == pytest.approx(0.25 + sum(phi))
+    rows = spark.createDataFrame([(1, *[float(i) for i in range(14)], None)], "txn_id long, " + ", ".join(f"{f} double" for f in feats))
+    points = {r["feature"]: (r["value"], r["attribution"]) for r in ex.attribution_points(attr, rows, feats, "txn_id").collect()}
+    assert points["f3"] == (3.0, phi[3]) and points["f14"] == (0.0, phi[14])

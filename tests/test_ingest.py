@@ -45,7 +45,7 @@ def test_pattern_blocks(spark):
 
 
 def test_csv_lookup_join_profile(spark):
-    trans = ingest.read_transactions(spark, write(CSV, "t.csv"), id_mode="content")
+    trans = ingest.read_transactions(spark, write(CSV, "t.csv"))
     assert trans.columns[:2] == ["from_bank", "from_account"] and "ts" in trans.columns
     recs = ingest.read_pattern_records(spark, write(PATTERNS, "p.txt"))
     dup = recs.unionByName(recs.withColumn("typology", F.lit("AAA-FIRST")))

@@ -138,18 +138,23 @@ def test_fixture_average_precision(spark):
     assert round(r["roc_auc"], 6) == 0.501679
 
 
-@pytest.mark.parametrize("limit", [0, 1_000_000])
-def test_grouped_offsets_broadcast_or_shuffled(spark, monkeypatch, limit):
-    """Many groups: the offset table is broadcast when its measured size allows,
-    otherwise the planner chooses; the sums and ranks are the same."""
-    from txnwatch.operators import prefix
-    monkeypatch.setattr(prefix, "BROADCAST_MAX_ROWS", limit)
+@pytest.mark.parametrize("limit", ["-1", "10m"])
+def test_grouped_offsets_broadcast_or_shuffled(spark, limit):
+    """Many groups: the planner broadcasts the stored offset table or shuffles it; the sums
+    and ranks are the same."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        _grouped_offsets(spark)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def _grouped_offsets(spark):
     rng = np.random.default_rng(11)
     pdf = pd.DataFrame({"id": np.arange(3000), "g": rng.integers(0, 200, 3000), "v": rng.integers(0, 9, 3000)})
     df = spark.createDataFrame(pdf).repartition(5)
     cs = prefix_sums(df, [F.asc("id")], {"cs": F.col("v")}, groups=["g"], totals=True, num_chunks=6)
-    plan = cs._jdf.queryExecution().executedPlan().toString()
-    assert limit == 0 or "BroadcastHashJoin" in plan
     got = cs.toPandas()
     rk = global_rank(df, [F.asc("id")], "rk", groups=["g"], size_name="n", num_chunks=6).toPandas()
     ref = pdf.sort_values(["g", "id"])
@@ -161,3 +166,13 @@ def test_grouped_offsets_broadcast_or_shuffled(spark, monkeypatch, limit):
     assert len(m) == 3000
     for c in ("cs", "rk", "n", "total_cs"):
         assert (m[c] == m[c + "_ref"]).all(), c
+
+
+def test_class_totals_beyond_bigint_products(spark):
+    """4e9 positives and negatives a score: products of the totals pass 2**63."""
+    table = spark.createDataFrame([(0.9, 3 * 10**11, 10**11, 3 * 10**11, 10**11, 4 * 10**11, 4 * 10**11),
+                                   (0.1, 10**11, 3 * 10**11, 4 * 10**11, 4 * 10**11, 4 * 10**11, 4 * 10**11)],
+                                  "score double, pos long, neg long, cum_pos long, cum_neg long, P long, N long")
+    r = ranking.summary_of(table).first()
+    assert r["roc_auc"] == pytest.approx(0.75) and r["auprc"] == pytest.approx(0.75 * 0.75 + 0.25 * 0.5)
+    assert ranking.confusion_of(table, 0.5).first()["tp"] == 3 * 10**11

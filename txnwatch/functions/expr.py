@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType, TimestampType
 
-from txnwatch.schema import SAFE_EPS, TS_PATTERN, pay_column
+from txnwatch.schema import SAFE_EPS, pay_column
 
 _MICROS = 1_000_000
 
@@ -27,9 +27,11 @@ def epoch_seconds(df: DataFrame, ts: str) -> Column:
     return F.col(ts).cast("long")
 
 
-def parse_ts(c: str | Column, pattern: str = TS_PATTERN) -> Column:
-    """Text to timestamp; unparsable text becomes null (ANSI ``to_timestamp`` would raise)."""
-    return F.try_to_timestamp(col(c), F.lit(pattern))
+def parse_ts(c: str | Column) -> Column:
+    """``yyyy/MM/dd HH:mm`` text to a timestamp without a zone (a wall-clock time means the
+    same in every session, also across a daylight-saving change); anything else is null."""
+    iso = F.regexp_replace(col(c), r"^(\d{4})/(\d{2})/(\d{2}) (\d{2}:\d{2})$", "$1-$2-$3 $4:00")
+    return F.when(iso != col(c), iso.try_cast("timestamp_ntz"))
 
 
 def safe_ratio(num: str | Column, den: str | Column, eps: float = SAFE_EPS) -> Column:
@@ -62,11 +64,6 @@ def keyed_hash(key: str | Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
-def unit_hash(key: str | Column, seed: int) -> Column:
-    """``keyed_hash`` scaled to [0, 1)."""
-    return keyed_hash(key, seed) / F.lit(float(2 ** 32))
-
-
 def typology_from_header(header: str | Column) -> Column:
     """``BEGIN ... - FAN-OUT: detail`` -> ``FAN-OUT``: text after the first '-', before the first ':', trimmed."""
     after_dash = F.regexp_replace(col(header), r"^[^-]*-", "")

@@ -245,26 +245,35 @@ def explain_trees(rows: DataFrame, explainer: TreeExplainer, features: list[str]
     return src.mapInPandas(run, out_schema)
 
 
+def filled(f: str) -> Column:
+    """A feature as the model sees it: double, null as 0."""
+    return F.coalesce(F.col(f).cast("double"), F.lit(0.0))
+
+
+def linear_attributions(rows: DataFrame, features: list[str], keep: list[str], weights, centre, scale, background,
+                        intercept: float = 0.0) -> DataFrame:
+    """Closed form for a linear model on standardised features ``z = (x - centre) / scale``:
+    ``phi_j = w_j (z_j - background_j)``, ``base = intercept + sum_j w_j background_j``.
+    A feature without spread (scale 0) has z = 0."""
+    def z(j, f):
+        return (filled(f) - F.lit(float(centre[j]))) / F.lit(float(scale[j])) if scale[j] > 0 else F.lit(0.0)
+
+    phi = F.array(*[F.lit(float(weights[j])) * (z(j, f) - F.lit(float(background[j]))) for j, f in enumerate(features)])
+    base = intercept + sum(float(w) * float(m) for w, m in zip(weights, background))
+    return rows.select(*keep, phi.alias("phi"), F.lit(float(base)).alias("base"))
+
+
 def explain_linear(rows: DataFrame, model: PipelineModel, background: DataFrame, features: list[str],
                    keep: list[str]) -> DataFrame:
-    """Closed-form attributions of the standardise + logistic pipeline, log-odds:
-    ``phi_j = w_j (z_j - mean_bg z_j)``, ``base = b + sum_j w_j mean_bg z_j``."""
+    """``linear_attributions`` of the standardise + logistic pipeline, in log-odds, against the
+    mean of ``background``."""
     scaler = next(s for s in model.stages if isinstance(s, StandardScalerModel))
     lr = next(s for s in model.stages if isinstance(s, LogisticRegressionModel))
-    mean, std = scaler.mean.toArray(), scaler.std.toArray()
-    w, b = lr.coefficients.toArray(), float(lr.intercept)
-
-    def zcol(i, f):
-        x = F.coalesce(F.col(f).cast("double"), F.lit(0.0))
-        centred = x - F.lit(float(mean[i])) if scaler.getWithMean() else x
-        return centred / F.lit(float(std[i])) if std[i] > 0 else F.lit(0.0)
-
-    zs = [zcol(i, f) for i, f in enumerate(features)]
-    bg = background.agg(*[F.avg(z).alias(f"m{i}") for i, z in enumerate(zs)]).first()
-    means = [float(bg[f"m{i}"] or 0.0) for i in range(len(features))]
-    phi = F.array(*[F.lit(float(w[i])) * (zs[i] - F.lit(means[i])) for i in range(len(features))])
-    base = b + sum(float(w[i]) * means[i] for i in range(len(features)))
-    return rows.select(*keep, phi.alias("phi"), F.lit(base).alias("base"))
+    scale = scaler.std.toArray()
+    centre = scaler.mean.toArray() if scaler.getWithMean() else [0.0] * len(features)
+    bg = background.agg(*[F.avg(filled(f)).alias(f"m{i}") for i, f in enumerate(features)]).first()
+    means = [((bg[f"m{i}"] or 0.0) - centre[i]) / scale[i] if scale[i] > 0 else 0.0 for i in range(len(features))]
+    return linear_attributions(rows, features, keep, lr.coefficients.toArray(), centre, scale, means, float(lr.intercept))
 
 
 def explainer_for(spark: SparkSession, model: PipelineModel, features: list[str]):
@@ -314,10 +323,19 @@ def mean_abs(attr: DataFrame, features: list[str], phi: str = "phi") -> DataFram
             .orderBy(F.desc("mean_abs_shap"), "feature"))
 
 
-def case_breakdown(attr_row: DataFrame, features: list[str], max_display: int = 10, phi: str = "phi") -> DataFrame:
-    """One explained row as ``feature, contribution`` ordered by size (at most
-    ``max_display``), plus its ``base``."""
+def case_breakdown(attr_row: DataFrame, features: list[str], phi: str = "phi") -> DataFrame:
+    """One explained row as ``feature, contribution, base``, every feature, largest effect
+    first: base and contributions add up to the score."""
     names = F.array(*[F.lit(f) for f in features])
     ex = attr_row.select("base", F.posexplode(phi).alias("i", "contribution"))
     return (ex.select(F.get(names, F.col("i")).alias("feature"), "contribution", "base")
-            .orderBy(F.desc(F.abs("contribution")), "feature").limit(max_display))
+            .orderBy(F.desc(F.abs("contribution")), "feature"))
+
+
+def attribution_points(attr: DataFrame, rows: DataFrame, features: list[str], key: str, phi: str = "phi") -> DataFrame:
+    """``key, feature, value, attribution``: one point per explained row and feature."""
+    values = rows.select(key, F.array(*[filled(f) for f in features]).alias("_x"))
+    names = F.array(*[F.lit(f) for f in features])
+    both = attr.select(key, phi).join(values, key)
+    points = both.select(key, F.explode(F.arrays_zip(names.alias("f"), F.col("_x").alias("v"), F.col(phi).alias("a"))).alias("p"))
+    return points.select(key, F.col("p.f").alias("feature"), F.col("p.v").alias("value"), F.col("p.a").alias("attribution"))

@@ -7,28 +7,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txnwatch.functions.expr import parse_ts, typology_from_header
-from txnwatch.schema import (BLOCK_BEGIN, BLOCK_END, JOIN_KEYS, PATTERN_RECORD_COLUMNS, TRANSACTION_CSV_SCHEMA,
-                             TS_PATTERN)
+from txnwatch.schema import (BLOCK_BEGIN, BLOCK_END, JOIN_KEYS, PATTERN_RECORD_COLUMNS, TRANSACTION_CSV_SCHEMA)
 
 
-def read_transactions(spark: SparkSession, path: str, id_mode: str = "monotonic") -> DataFrame:
+def read_transactions(spark: SparkSession, path: str) -> DataFrame:
     """Transactions CSV with the explicit schema (columns bind by position, so the
-    repeated header name does not matter); ``ts`` parsed from ``ts_raw``.
+    repeated header name does not matter); ``ts`` is the wall-clock time of ``ts_raw``
+    without a zone.
 
-    ``id_mode="monotonic"`` numbers rows with ``monotonically_increasing_id``
-    (depends on file splits: persist the table before relying on it);
-    ``"content"`` uses a 64-bit hash of the whole record, stable across runs.
-    """
+    ``txn_id`` is ``monotonically_increasing_id``: unique for every row, repeated records
+    included.  It depends on the file splits, so store the table before relying on it."""
     raw = spark.read.option("header", True).schema(TRANSACTION_CSV_SCHEMA).csv(path)
-    if id_mode == "monotonic":
-        txn_id = F.monotonically_increasing_id()
-    elif id_mode == "content":
-        txn_id = F.xxhash64(*[F.col(c) for c in raw.columns])
-    else:
-        raise ValueError(f"unknown id_mode {id_mode!r}")
-    return (raw.withColumn("ts", parse_ts("ts_raw", TS_PATTERN))
-            .withColumn("txn_id", txn_id)
-            .drop("ts_raw"))
+    return raw.withColumn("ts", parse_ts("ts_raw")).withColumn("txn_id", F.monotonically_increasing_id()).drop("ts_raw")
 
 
 def read_pattern_records(spark: SparkSession, path: str) -> DataFrame:
@@ -58,7 +48,7 @@ def typology_lookup(records: DataFrame, keys: list[str] = JOIN_KEYS) -> DataFram
     """One typology per full record key (``keys`` + ``typology``), typed for the
     join.  The survivor of duplicate keys is the smallest typology, so the
     result does not depend on partitioning."""
-    typed = (records.withColumn("ts", parse_ts("ts_raw", TS_PATTERN))
+    typed = (records.withColumn("ts", parse_ts("ts_raw"))
              .withColumn("amount_paid", F.col("amount_paid").try_cast("double")))
     return typed.groupBy(*keys).agg(F.min("typology").alias("typology"))
 
@@ -85,6 +75,13 @@ def ingest_profile(bronze: DataFrame, label: str = "label", typology: str = "typ
     ).withColumn("positive_rate", F.col("positives") / F.col("rows"))
 
 
+def pattern_counts(records: DataFrame, lookup: DataFrame) -> DataFrame:
+    """Parsed pattern records next to the unique record keys that remain."""
+    both = records.select(F.lit(1).alias("r"), F.lit(0).alias("u")).unionByName(lookup.select(F.lit(0).alias("r"), F.lit(1).alias("u")))
+    return both.agg(F.coalesce(F.sum("r"), F.lit(0)).cast("long").alias("parsed_records"),
+                    F.coalesce(F.sum("u"), F.lit(0)).cast("long").alias("unique_records"))
+
+
 def typology_counts(bronze: DataFrame, label: str = "label", typology: str = "typology") -> DataFrame:
     """Positives per typology (null is its own group), most frequent first."""
     return (bronze.where(F.col(label) == 1).groupBy(typology).agg(F.count(F.lit(1)).alias("count"))

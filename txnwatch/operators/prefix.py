@@ -6,7 +6,7 @@ written to the checkpoint folder (chunk ids stay fixed if an executor is lost
 and the lineage is cut), summed inside each chunk, and shifted by the totals of
 all earlier chunks.  The offset table has one row per (chunk, group), so with
 no groups it is bounded by the chunk count and is broadcast; with groups it is
-written to the checkpoint folder, counted, and broadcast only when small.
+stored and joined as the planner sees fit.
 """
 
 from __future__ import annotations
@@ -16,10 +16,6 @@ from pyspark.sql import functions as F
 
 from txnwatch.session import ensure_checkpoint_dir
 
-# Largest table that is broadcast after its row count has been measured.
-BROADCAST_MAX_ROWS = 1_000_000
-
-
 def _ranged(df: DataFrame, keys: list[Column], num_chunks: int | None) -> DataFrame:
     """Range-partition on ``keys``.  Without ``num_chunks`` the count is left to
     the session: ``spark.sql.shuffle.partitions`` ranges, which AQE merges into
@@ -36,15 +32,10 @@ def _offset_table(offsets: DataFrame, grouped: bool) -> DataFrame:
     Without groups it has at most one row per chunk and is broadcast as it is.
     With groups the input was range-partitioned on the groups first, so a chunk
     holds a contiguous run of groups and the table has at most chunks + groups - 1
-    rows; that is bounded only by the number of groups, so the table is written
-    to the checkpoint folder, counted, and broadcast when the count is within
-    ``BROADCAST_MAX_ROWS``.  Otherwise the join is left to the planner, and the
-    chunks are shuffled once on the join key.
+    rows, which is bounded only by the number of groups: it is stored, and the
+    planner picks the join from its measured size.
     """
-    if not grouped:
-        return F.broadcast(offsets)
-    fixed = offsets.checkpoint(eager=True)
-    return F.broadcast(fixed) if fixed.count() <= BROADCAST_MAX_ROWS else fixed
+    return offsets.checkpoint(eager=True) if grouped else F.broadcast(offsets)
 
 
 def prefix_sums(df: DataFrame, order: list[Column], values: dict[str, Column],

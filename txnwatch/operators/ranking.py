@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txnwatch.operators.prefix import global_rank, prefix_sums
+from txnwatch.session import ensure_checkpoint_dir
 
 
 def score_order(score: str, ids: list[str]) -> list[Column]:
@@ -32,6 +33,12 @@ def score_table(scored: DataFrame, label: str = "label", score: str = "prob") ->
     return cum.withColumnRenamed("total_cum_pos", "P").withColumnRenamed("total_cum_neg", "N")
 
 
+def stored_scores(scored: DataFrame, label: str = "label", score: str = "prob") -> DataFrame:
+    """``score_table`` kept in the checkpoint folder: every metric of a scored set can read it."""
+    ensure_checkpoint_dir(scored.sparkSession)
+    return score_table(scored, label, score).checkpoint(eager=True)
+
+
 def _curve_cols(t: DataFrame) -> DataFrame:
     recall = F.when(F.col("P") == 0, F.lit(1.0)).otherwise(F.col("cum_pos") / F.col("P"))
     precision = F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
@@ -45,21 +52,32 @@ def ranking_summary(scored: DataFrame, label: str = "label", score: str = "prob"
     (recall gain) x precision; 0 when there is no positive.  ``roc_auc`` counts
     tied pairs as half; null when a class is missing.
     """
-    t = _curve_cols(score_table(scored, label, score))
+    return summary_of(score_table(scored, label, score))
+
+
+def summary_of(table: DataFrame) -> DataFrame:
+    """``ranking_summary`` from a score table."""
+    t = _curve_cols(table)
     ap_term = F.when(F.col("P") > 0, F.col("pos") / F.col("P") * F.col("precision")).otherwise(F.lit(0.0))
-    auc_term = F.col("pos") * (F.col("N") - F.col("cum_neg") + F.col("neg") / 2.0)
+    # doubles: the products of class totals pass the bigint range at scale
+    auc_term = F.col("pos").cast("double") * (F.col("N") - F.col("cum_neg") + F.col("neg") / 2.0)
     return t.agg(
         F.coalesce(F.max("P"), F.lit(0)).alias("positives"),
         F.coalesce(F.max("N"), F.lit(0)).alias("negatives"),
         F.sum(ap_term).alias("auprc"),
         F.when((F.max("P") > 0) & (F.max("N") > 0),
-               F.sum(auc_term) / (F.max("P") * F.max("N"))).alias("roc_auc"))
+               F.sum(auc_term) / F.max("P").cast("double") / F.max("N").cast("double")).alias("roc_auc"))
 
 
 def pr_curve(scored: DataFrame, label: str = "label", score: str = "prob", end_point: bool = True) -> DataFrame:
     """``threshold, precision, recall`` per distinct score; with ``end_point`` the
     closing point (precision 1, recall 0, no threshold) is appended."""
-    t = _curve_cols(score_table(scored, label, score))
+    return curve_of(score_table(scored, label, score), end_point)
+
+
+def curve_of(table: DataFrame, end_point: bool = True) -> DataFrame:
+    """``pr_curve`` from a score table."""
+    t = _curve_cols(table)
     curve = t.select(F.col("score").alias("threshold"), "precision", "recall")
     if end_point:
         end = t.agg(F.count(F.lit(1)).alias("_n")).select(F.lit(None).cast(curve.schema["threshold"].dataType).alias("threshold"),
@@ -70,18 +88,26 @@ def pr_curve(scored: DataFrame, label: str = "label", score: str = "prob", end_p
 
 def threshold_for_recall(scored: DataFrame, target: float, label: str = "label", score: str = "prob",
                          default: float = 0.5) -> DataFrame:
-    """One row ``threshold``: the highest score whose recall is >= ``target``
-    (best precision at that recall); ``default`` if none."""
-    c = pr_curve(scored, label, score, end_point=False)
-    return c.agg(F.coalesce(F.max(F.when(F.col("recall") >= target, F.col("threshold"))).cast("double"),
+    """One row ``threshold``: where the ranking first catches the share ``target`` of the
+    positives, reading scores from the top; ``default`` when it never does."""
+    return threshold_of(curve_of(score_table(scored, label, score), end_point=False), target, default)
+
+
+def threshold_of(curve: DataFrame, target: float, default: float = 0.5) -> DataFrame:
+    """``threshold_for_recall`` from a curve; points without a threshold do not count."""
+    return curve.agg(F.coalesce(F.max(F.when(F.col("recall") >= target, F.col("threshold"))).cast("double"),
                             F.lit(default)).alias("threshold"))
 
 
 def operating_point(scored: DataFrame, threshold: float, label: str = "label", score: str = "prob") -> DataFrame:
     """The first curve point at or above ``threshold`` (lowest such score); the
     end point (precision 1, recall 0) when every score is below it."""
-    c = pr_curve(scored, label, score, end_point=False).where(F.col("threshold") >= threshold)
-    first = c.agg(F.min_by(F.struct("threshold", "precision", "recall"), F.col("threshold")).alias("p"))
+    return point_of(pr_curve(scored, label, score, end_point=False), threshold)
+
+
+def point_of(curve: DataFrame, threshold: float) -> DataFrame:
+    """``operating_point`` from a curve."""
+    first = curve.where(F.col("threshold") >= threshold).agg(F.min_by(F.struct("threshold", "precision", "recall"), F.col("threshold")).alias("p"))
     return first.select(F.col("p.threshold").alias("threshold"),
                         F.coalesce(F.col("p.precision"), F.lit(1.0)).alias("precision"),
                         F.coalesce(F.col("p.recall"), F.lit(0.0)).alias("recall"))
@@ -97,8 +123,12 @@ def confusion(scored: DataFrame, threshold: float, label: str = "label", score:
 
 def threshold_metrics(scored: DataFrame, threshold: float, label: str = "label", score: str = "prob") -> DataFrame:
     """One row: confusion counts plus precision and recall (0 when undefined)."""
-    m = confusion(scored, threshold, label, score)
-    return m.select("*", (F.col("tp") + F.col("fp")).alias("alerts"),
+    return rates_of(confusion(scored, threshold, label, score))
+
+
+def rates_of(counts: DataFrame) -> DataFrame:
+    """Confusion counts with ``alerts, precision, recall``."""
+    return counts.select("*", (F.col("tp") + F.col("fp")).alias("alerts"),
                     F.when(F.col("tp") + F.col("fp") > 0, F.col("tp") / (F.col("tp") + F.col("fp")))
                     .otherwise(0.0).alias("precision"),
                     F.when(F.col("tp") + F.col("fn") > 0, F.col("tp") / (F.col("tp") + F.col("fn")))
@@ -107,7 +137,12 @@ def threshold_metrics(scored: DataFrame, threshold: float, label: str = "label",
 
 def baseline(scored: DataFrame, label: str = "label", score: str = "prob") -> DataFrame:
     """Random baseline (positive rate) and the lift of average precision over it."""
-    s = ranking_summary(scored, label, score)
+    return baseline_of(score_table(scored, label, score))
+
+
+def baseline_of(table: DataFrame) -> DataFrame:
+    """``baseline`` from a score table."""
+    s = summary_of(table)
     rate = F.col("positives") / (F.col("positives") + F.col("negatives"))
     return s.select(rate.alias("positive_rate"), "auprc",
                     F.when(rate > 0, F.col("auprc") / rate).alias("lift"))
@@ -123,6 +158,17 @@ def top_case(scored: DataFrame, ids: list[str], label: str = "label", score: str
     return top_alerts(scored.where(F.col(label) == 1), 1, ids, score)
 
 
+def confusion_of(table: DataFrame, threshold: float) -> DataFrame:
+    """``tn, fp, fn, tp`` of the flag ``score >= threshold`` from a score table."""
+    alert = F.col("score") >= F.lit(threshold)
+
+    def total(which, when):
+        return F.coalesce(F.sum(F.when(when, F.col(which))), F.lit(0)).cast("long")
+
+    return table.agg(total("neg", ~alert).alias("tn"), total("neg", alert).alias("fp"),
+                     total("pos", ~alert).alias("fn"), total("pos", alert).alias("tp"))
+
+
 def precision_at_k(scored: DataFrame, ks, ids: list[str], label: str = "label", score: str = "prob") -> DataFrame:
     """``k, precision_at_k`` rows: positive share of the top ``k``; null when fewer than ``k`` rows.
 
@@ -141,12 +187,6 @@ def precision_at_k(scored: DataFrame, ks, ids: list[str], label: str = "label",
     return allk.select("k", F.when(F.lit(n) >= F.col("k"), F.col("p")).alias("precision_at_k"))
 
 
-def kth_positive(scored: DataFrame, k: int, ids: list[str], label: str = "label", score: str = "prob") -> DataFrame:
-    """The ``k``-th positive in score order (one row, or none)."""
-    pos = scored.where(F.col(label) == 1).select(*ids, score)
-    return global_rank(pos, score_order(score, ids), "_pos_rank").where(F.col("_pos_rank") == k).drop("_pos_rank")
-
-
 def equal_recall_alerts(scored: DataFrame, k_tp: DataFrame, ids: list[str], label: str = "label",
                         score: str = "prob") -> DataFrame:
     """Flag the shortest score-ordered prefix holding ``k`` true positives.

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from txnwatch.operators import explain as ex
 from txnwatch.operators import ingest, models, ranking, rules, sampling
 from txnwatch.operators.features import add_features, class_means, reconcile
-from txnwatch.operators.lookup import fetch_by_key
 from txnwatch.schema import (CHECK_FEATURES, JOIN_KEYS, N_NEGATIVES, SEED, TARGET_RECALL, TOP_ALERTS,
                              FeatureSpec)
 
@@ -62,14 +61,13 @@ def read(spark: SparkSession, cfg: PipelineConfig, layer: str, name: str) -> Dat
 
 
 # --------------------------------------------------------------------------- 1: ingest
-def run_ingest(spark: SparkSession, cfg: PipelineConfig, transactions_csv: str, patterns_txt: str,
-               id_mode: str = "monotonic") -> dict:
-    trans = ingest.read_transactions(spark, transactions_csv, id_mode)
-    lookup = write(ingest.typology_lookup(ingest.read_pattern_records(spark, patterns_txt), list(cfg.join_keys)),
-                   cfg, "bronze", "laundering_typologies")
+def run_ingest(spark: SparkSession, cfg: PipelineConfig, transactions_csv: str, patterns_txt: str) -> dict:
+    trans = ingest.read_transactions(spark, transactions_csv)
+    records = ingest.read_pattern_records(spark, patterns_txt)
+    lookup = write(ingest.typology_lookup(records, list(cfg.join_keys)), cfg, "bronze", "laundering_typologies")
     bronze = write(ingest.attach_typology(trans, lookup, list(cfg.join_keys)), cfg, "bronze", "transactions")
     return {"profile": ingest.ingest_profile(bronze), "typologies": ingest.typology_counts(bronze),
-            "lookup_rows": lookup.count()}
+            "patterns": ingest.pattern_counts(records, lookup)}
 
 
 # --------------------------------------------------------------------------- 2: features
@@ -85,17 +83,20 @@ def run_train(spark: SparkSession, cfg: PipelineConfig, silver: DataFrame | None
     feats = cfg.features.model_features(cfg.include_interbank)
     key = cfg.ids[0]
     sample = sampling.class_capped_sample(silver, cfg.n_negatives, cfg.seed, key)
-    gold = write(sample.select(*cfg.ids, "typology", "label", *feats), cfg, "gold", "training_set")
+    # the bank flag stays on the sampled rows: the rule comparison need not look it up in silver
+    kept = list(dict.fromkeys([*cfg.ids, "typology", "label", *feats, "is_interbank"]))
+    gold = write(sample.select(*kept), cfg, "gold", "training_set")
     split = sampling.stratified_split(gold, cfg.seed + 1, key).persist()
     parts = {p: split.where(F.col("split") == p).drop("split") for p in ("train", "val", "test")}
     bench = models.run_benchmark(spark, parts["train"], parts["val"], parts["test"], feats, cfg.model_specs,
-                                 cfg.target_recall, list(cfg.ids))
+                                 cfg.target_recall, list(cfg.ids), ("typology", "is_interbank"))
     write(bench.results, cfg, "gold", "benchmark_results")
     write(bench.test_predictions, cfg, "gold", "test_predictions")
     write(bench.champion, cfg, "gold", "champion")
     write(bench.runs, cfg, "gold", "runs")
     models.save_model(bench.models[bench.champion_name], table_path(cfg, "gold", "champion_model"))
     split.unpersist()
+    bench.release()
     return bench
 
 
@@ -115,26 +116,27 @@ def run_explain(spark: SparkSession, cfg: PipelineConfig) -> dict:
     codes = codes.select(*ids, "label", "typology", "prob",
                          *[c for r in range(1, 4) for c in (f"reason_{r}", f"reason_{r}_shap")])
     codes = write(codes, cfg, "gold", "alert_reason_codes")
-    case = ex.case_breakdown(ex.explain(ranking.top_case(test, ids), model, feats, keep, background, prepared),
-                             feats)
-    curve = write(ranking.pr_curve(test), cfg, "gold", "pr_curve")
+    sample_attr = write(sample_attr, cfg, "gold", "sample_attributions")
+    points = write(ex.attribution_points(sample_attr, background, feats, ids[0]), cfg, "gold", "attribution_points")
+    top_row = ranking.top_case(test, ids)
+    case_attr = ex.explain(top_row, model, feats, keep, background, prepared)
+    values = ex.attribution_points(case_attr, top_row, feats, ids[0]).select("feature", "value")
+    case = ex.case_breakdown(case_attr, feats).join(values, "feature").orderBy(F.desc(F.abs("contribution")), "feature")
+    table = ranking.stored_scores(test)
+    curve = write(ranking.curve_of(table), cfg, "gold", "pr_curve")
+    tradeoff = curve.where(F.col("threshold").isNotNull())
     return {
-        "curve": curve, "tradeoff": curve.where(F.col("threshold").isNotNull()),
-        "operating_point": ranking.operating_point(test, thr), "confusion": ranking.confusion(test, thr),
-        "baseline": ranking.baseline(test), "global_drivers": ex.mean_abs(sample_attr, feats),
-        "case": case, "reason_codes": codes,
+        "curve": curve, "tradeoff": tradeoff, "operating_point": ranking.point_of(tradeoff, thr),
+        "confusion": ranking.confusion_of(table, thr), "baseline": ranking.baseline_of(table),
+        "global_drivers": ex.mean_abs(sample_attr, feats), "attribution_points": points, "case": case, "reason_codes": codes,
     }
 
 
 # --------------------------------------------------------------------------- 5: rules vs model
 def run_rule_baseline(spark: SparkSession, cfg: PipelineConfig) -> dict:
     champ = read(spark, cfg, "gold", "champion").first()
-    silver = read(spark, cfg, "silver", "features")
-    test = read(spark, cfg, "gold", "test_predictions")
-    key = cfg.ids[0]
-    # the bank flag comes from silver; silver is cut to the test ids first, not shuffled whole
-    test = fetch_by_key(test, silver.withColumnRenamed("is_interbank", "_interbank"), key, ["_interbank"])
-    rule_set = rules.default_rules(cfg.features.cols, interbank="_interbank")
+    test = read(spark, cfg, "gold", "test_predictions")      # carries the bank flag: silver is not read
+    rule_set = rules.default_rules(cfg.features.cols)
     comp = rules.compare_with_model(test, rule_set, champ["model"], float(champ["threshold"]), list(cfg.ids))
     comp = write(comp, cfg, "gold", "rbs_comparison")
     return {"comparison": comp, "fp_reduction": rules.false_positive_reduction(comp),

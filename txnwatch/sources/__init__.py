@@ -1,2 +1 @@
-"""Sources: raw transaction CSV and pattern blocks (``txnwatch.operators.ingest``),
-managed tables (``tables``) and the driver-table stand-ins (``fixture``)."""
+"""Where tables come from: the driver tables (``fixture``) and the raw-file layouts (``raw_files``)."""
