@@ -1,5 +1,6 @@
 import math
 import os
+import re
 
 import duckdb
 import pytest
@@ -9,7 +10,8 @@ import __spark_entry__ as entry
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations"]
 SLOW = {"model_benchmark", "champion", "test_predictions", "runs", "alert_reason_codes", "global_drivers",
-        "top_case_breakdown", "rbs_comparison", "fp_reduction"}
+        "top_case_breakdown", "rbs_comparison", "fp_reduction", "attribution_points"}
+LATER = re.compile(r"op\d+_|pipeline$")          # optional queries, tested on their own
 
 
 def _norm(v):
@@ -42,7 +44,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(n for n in entry.oracle_sql() if not LATER.match(n)))
 def test_query_matches_oracle(spark, duck, name):
     df = entry.queries()[name](spark, "/root/testdata/sf0.001")
     res = duck.execute(entry.oracle_sql()[name])
@@ -52,7 +54,7 @@ def test_query_matches_oracle(spark, duck, name):
 
 
 def test_every_query_registered_has_oracle_or_is_model_dependent():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == SLOW
+    assert {n for n in entry.queries() if not LATER.match(n)} - set(entry.oracle_sql()) == SLOW
 
 
 @pytest.mark.parametrize("name", ["txn_fixture", "velocity_alerts", "pattern_lookup", "ingest_roundtrip"])

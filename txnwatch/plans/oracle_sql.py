@@ -8,12 +8,20 @@ Spark.  Doubles are rounded to 6 places on both sides.
 from __future__ import annotations
 
 from txnwatch.sources.fixture import FIXTURE_FORMATS, SCORED_SQL, TXN_SQL
-from txnwatch.schema import pay_column
+from txnwatch.schema import N_NEGATIVES, SEED, pay_column
 
 N_SAMPLE_NEGATIVES = 2000     # sampling query: negatives kept next to every positive
 SPLIT_SEED = 42
 EXPLAIN_SAMPLE = 1000
 TARGET = 0.75
+# A fixed linear model for the attribution queries: feature -> weight, centre, scale, background mean of z.
+LINEAR = {
+    "amount_paid": (0.8, 5000.0, 4000.0, 0.1), "sender_24h_count": (1.5, 2.0, 1.5, -0.2), "sender_24h_volume": (0.4, 9000.0, 8000.0, 0.0),
+    "amt_vs_7d_avg": (-0.7, 1.0, 0.5, 0.3), "unique_receivers_24h": (0.9, 2.0, 1.0, 0.05), "is_round_1000": (0.2, 0.01, 0.0, 0.0),
+    "rapid_exit_risk": (0.3, 2.0, 3.0, -0.1), "pay_click": (-0.5, 0.2, 0.4, 0.0), "pay_error": (0.6, 0.2, 0.4, 0.1),
+    "pay_purchase": (0.1, 0.2, 0.4, 0.0), "pay_signup": (-0.3, 0.2, 0.4, 0.0), "pay_view": (0.25, 0.2, 0.4, -0.05),
+}
+LINEAR_INTERCEPT = -2.0
 
 TXN = f"t as ({TXN_SQL})"
 TIMED = "s as (select *, epoch_us(ts) // 1000000 as ts_sec from t)"
@@ -64,9 +72,9 @@ sample as (select * exclude (h, rn) from neg where rn <= {n_neg}
            union all select * from silver where label = 1)"""
 
 
-def _split_ctes(seed: int = SPLIT_SEED) -> str:
+def _split_ctes(seed: int = SPLIT_SEED, n_neg: int = N_SAMPLE_NEGATIVES) -> str:
     h = HASH.format(seed=seed + 1, key="txn_id")
-    return f"""{_sample_ctes()},
+    return f"""{_sample_ctes(n_neg, seed)},
 ranked as (select *, row_number() over (partition by label order by {h}, txn_id) as r,
                   count(*) over (partition by label) as n_c from sample),
 split as (select * exclude (r, n_c),
@@ -74,6 +82,44 @@ split as (select * exclude (r, n_c),
                       when r <= floor(0.8 * n_c) then 'val' else 'test' end as split from ranked)"""
 
 
+def _phi(f: str) -> str:
+    w, centre, scale, background = LINEAR[f]
+    z = f"(coalesce(cast({f} as double), 0) - {centre}) / {scale}" if scale else "0"
+    return f"cast({w} as double) * ({z} - ({background}))"
+
+
+_LINEAR_BASE = " + ".join(f"{w} * ({m})" for w, _, _, m in LINEAR.values())
+_LINEAR_BASE = f"round(cast({LINEAR_INTERCEPT} + {_LINEAR_BASE} as double), 6)"
+_WIDE = ", ".join(f"{_phi(f)} as phi_{f}" for f in LINEAR)
+
+
+def _long_phi(rows: str) -> str:
+    """One row per transaction and feature of ``rows``."""
+    return "\nunion all ".join(f"select txn_id, '{f}' as feature, coalesce(cast({f} as double), 0) as value, {_phi(f)} as phi from {rows}"
+                               for f in LINEAR)
+
+
+def _summary_sql(rows: str) -> str:
+    return f"""f as (select label, {_rules_any} as pred from {rows}),
+a as (select count(*) filter (where pred = 1 and label = 1) as tp, count(*) filter (where pred = 1 and label <> 1) as fp,
+             count(*) filter (where pred <> 1 and label = 1) as fn, count(*) as n from f)
+select 'Rule-based system (4 rules)' as system, tp + fp as alerts, tp as true_positives, fp as false_positives,
+       round(tp / greatest(tp + fn, 1), 6) as recall, round(tp / greatest(tp + fp, 1), 6) as precision,
+       round((tp + fp) / n, 6) as alert_rate from a"""
+
+
+def _breakdown_sql(rows: str) -> str:
+    return f"""f as (select label, {_rules_flags} from {rows}),
+l as (select 'large_amount' as rule, large_amount as fired, label from f
+      union all select 'high_velocity', high_velocity, label from f
+      union all select 'round_number', round_number, label from f
+      union all select 'interbank_risk', interbank_risk, label from f)
+select rule, cast(sum(fired) as bigint) as alerts,
+       round(case when sum(fired) > 0 then sum(fired * label) / sum(fired) else 0.0 end, 4) as precision,
+       round(case when sum(label) > 0 then sum(fired * label) / sum(label) end, 4) as recall
+from l group by rule"""
+
+
 def _silver_select() -> str:
     pays = ", ".join(pay_column(p) for p in FIXTURE_FORMATS)
     return f"""select txn_id, from_account, label, ts_sec, amount_paid, sender_24h_count,
@@ -110,23 +156,8 @@ select count(*) as rows, cast(sum(label) as bigint) as positives,
 from t""",
         "typology_counts": f"""with {TXN}
 select typology, count(*) as count from t where label = 1 group by typology""",
-        "rule_breakdown": f"""{SILVER_CTES},
-f as (select label, {_rules_flags} from silver),
-l as (select 'large_amount' as rule, large_amount as fired, label from f
-      union all select 'high_velocity', high_velocity, label from f
-      union all select 'round_number', round_number, label from f
-      union all select 'interbank_risk', interbank_risk, label from f)
-select rule, cast(sum(fired) as bigint) as alerts,
-       round(case when sum(fired) > 0 then sum(fired * label) / sum(fired) else 0.0 end, 4) as precision,
-       round(case when sum(label) > 0 then sum(fired * label) / sum(label) end, 4) as recall
-from l group by rule""",
-        "rules_summary": f"""{SILVER_CTES},
-f as (select label, {_rules_any} as pred from silver),
-a as (select count(*) filter (where pred = 1 and label = 1) as tp, count(*) filter (where pred = 1 and label <> 1) as fp,
-             count(*) filter (where pred <> 1 and label = 1) as fn, count(*) as n from f)
-select 'Rule-based system (4 rules)' as system, tp + fp as alerts, tp as true_positives, fp as false_positives,
-       round(tp / greatest(tp + fn, 1), 6) as recall, round(tp / greatest(tp + fp, 1), 6) as precision,
-       round((tp + fp) / n, 6) as alert_rate from a""",
+        "rule_breakdown": f"{SILVER_CTES},\n{_breakdown_sql('silver')}",
+        "rules_summary": f"{SILVER_CTES},\n{_summary_sql('silver')}",
         "ranking_summary": f"""{RANK_CTES}
 select cast(max(P) as bigint) as positives, cast(max(N) as bigint) as negatives,
        round(sum(case when P > 0 then pos / P * cum_pos / (cum_pos + cum_neg) else 0 end), 6) as auprc,
@@ -176,6 +207,53 @@ from r left join lk on r.ts_min = lk.ts_min and r.from_bank = lk.from_bank and r
      and r.to_bank = lk.to_bank and r.to_account = lk.to_account and r.amount_paid = lk.amount_paid
      and r.payment_currency = lk.payment_currency and r.payment_format = lk.payment_format""",
         "reason_codes_zscore": _reason_codes_sql(),
+        "behaviour_fp_reduction": f"""with cmp as ({_rules_vs_model_sql()})
+select round(1 - max(false_positives) filter (where system like '%same recall as rules')
+             / greatest(max(false_positives) filter (where system like 'Rule-based%'), 1), 6) as fp_reduction from cmp""",
+        "threshold_metrics": f"""{RANK_CTES},
+thr as (select coalesce(max(case when recall >= {TARGET} then threshold end), 0.5) as v from curve),
+m as (select count(*) filter (where prob < (select v from thr) and label = 0) as tn,
+       count(*) filter (where prob >= (select v from thr) and label = 0) as fp,
+       count(*) filter (where prob < (select v from thr) and label = 1) as fn,
+       count(*) filter (where prob >= (select v from thr) and label = 1) as tp from sc)
+select *, tp + fp as alerts, round(case when tp + fp > 0 then tp / (tp + fp) else 0 end, 6) as precision,
+       round(case when tp + fn > 0 then tp / (tp + fn) else 0 end, 6) as recall from m""",
+        "linear_attributions": f"""{SILVER_CTES},
+a as (select txn_id, {_WIDE} from silver)
+select txn_id, {_LINEAR_BASE} as base, {", ".join(f"round(phi_{f}, 6) as phi_{f}" for f in LINEAR)} from a""",
+        "linear_global_drivers": f"""{SILVER_CTES},
+a as ({_long_phi("silver")})
+select feature, round(avg(abs(phi)), 6) as mean_abs_shap from a group by feature""",
+        "linear_case_breakdown": f"""{SILVER_CTES},
+top as (select * from silver where label = 1 order by round(amt_vs_7d_avg, 3) desc, txn_id limit 1),
+a as ({_long_phi("top")})
+select feature, round(phi, 6) as contribution, {_LINEAR_BASE} as base from a""",
+        "linear_points": f"""{_split_ctes()},
+te as (select *, {HASH.format(seed=SPLIT_SEED, key='txn_id')} as h from split where split = 'test'),
+smp as (select * from te order by h, txn_id limit {EXPLAIN_SAMPLE}),
+a as ({_long_phi("smp")})
+select txn_id, feature, round(value, 6) as value, round(phi, 6) as attribution from a""",
+        "split_membership": f"""{_split_ctes()}
+select txn_id, label, split from split""",
+        "class_weights": f"""{_split_ctes()},
+k as (select label, count(*) as n, sum(count(*)) over () as total,
+             sum(case when label = 0 then count(*) else 0 end) over () as neg from split where split = 'train' group by label)
+select 'balanced' as weighting, label, n as rows, round(total / (2.0 * n), 6) as weight from k
+union all select 'positive', label, n, round(case when label = 1 then neg / n else 1.0 end, 6) from k""",
+        "training_matrix": f"""{_sample_ctes()}
+select txn_id, {", ".join(f"round(coalesce(cast({f} as double), 0), 6) as {f}" for f in LINEAR)} from sample""",
+        "interbank_lookup": f"""{_split_ctes()}
+select s.txn_id, s.label, silver.is_interbank from split s left join silver using (txn_id) where s.split = 'test'""",
+        "test_rule_breakdown": f"""{_split_ctes()},
+te as (select * from split where split = 'test'),
+{_breakdown_sql("te")}""",
+        "pattern_counts": f"""with {RAW}
+select (select count(*) from r where src_typology is not null) as parsed_records, (select count(*) from lk) as unique_records""",
+        "test_prediction_ids": f"""{_split_ctes(SEED, N_NEGATIVES)}
+select txn_id, label from split where split = 'test'""",
+        "rbs_rules_row": f"""{_split_ctes(SEED, N_NEGATIVES)},
+te as (select * from split where split = 'test'),
+{_summary_sql("te")}""",
         "training_sample": f"""{_sample_ctes()}
 select txn_id, label, typology, sender_24h_count, round(amt_vs_7d_avg, 6) as amt_vs_7d_avg from sample""",
         "class_counts": f"""{_sample_ctes()}

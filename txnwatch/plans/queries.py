@@ -7,16 +7,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txnwatch.functions.expr import epoch_seconds, round6
-from txnwatch.operators import ranking, rules, sampling
+from txnwatch.operators import models, ranking, rules, sampling
 from txnwatch.operators.features import add_features, class_means, reconcile
 from txnwatch.operators import explain as ex
 from txnwatch.operators import ingest as ing
 from txnwatch.operators.ingest import ingest_profile, typology_counts
-from txnwatch.session import work_dir
+from txnwatch.operators.lookup import fetch_by_key
+from txnwatch.session import ensure_checkpoint_dir, work_dir
 from txnwatch.sources import raw_files
 from txnwatch.plans import oracle_sql as osql
 from txnwatch.schema import CHECK_FEATURES, FeatureSpec, pay_column
@@ -56,8 +58,15 @@ def q_feature_class_means(spark, sf_dir):
     return class_means(silver(spark, sf_dir), CHECK_FEATURES)
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """``df`` computed once, in the checkpoint folder."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def q_silver_reconcile(spark, sf_dir):
-    return reconcile(silver(spark, sf_dir), load_txn(spark, sf_dir))
+    """Rows of the silver table as it was built and stored against bronze."""
+    return reconcile(_stored(silver(spark, sf_dir)), load_txn(spark, sf_dir))
 
 
 def q_ingest_profile(spark, sf_dir):
@@ -142,10 +151,26 @@ def q_rules_vs_model(spark, sf_dir):
     passes the champion's scored test set instead)."""
     # four passes follow (threshold, rules' true positives, positive rank, counts):
     # the feature windows are computed once and read back from the checkpoint
-    s = silver(spark, sf_dir).withColumn("prob", F.round("amt_vs_7d_avg", 3)).checkpoint(eager=True)
+    return _round_summary(_rules_vs_behaviour(spark, sf_dir))
+
+
+def _rules_vs_behaviour(spark, sf_dir):
+    s = _stored(silver(spark, sf_dir).withColumn("prob", F.round("amt_vs_7d_avg", 3)))
     thr = ranking.threshold_for_recall(s, osql.TARGET).first()["threshold"]
-    comp = rules.compare_with_model(s, rules.default_rules(), "amt_vs_7d_avg", thr, ["txn_id"])
-    return _round_summary(comp)
+    return rules.compare_with_model(s, rules.default_rules(), "amt_vs_7d_avg", thr, ["txn_id"])
+
+
+def q_behaviour_fp_reduction(spark, sf_dir):
+    """False positives saved at the rules' recall (L8), for the behaviour score."""
+    r = rules.false_positive_reduction(_rules_vs_behaviour(spark, sf_dir))
+    return r.select(round6("fp_reduction").alias("fp_reduction"))
+
+
+def q_threshold_metrics(spark, sf_dir):
+    """Alert counts, precision and recall at the recall target's threshold (K3)."""
+    scored = load_scored(spark, sf_dir)
+    m = ranking.threshold_metrics(scored, _recall_threshold(scored))
+    return m.select("tn", "fp", "fn", "tp", "alerts", round6("precision").alias("precision"), round6("recall").alias("recall"))
 
 
 def _sample(spark, sf_dir):
@@ -209,16 +234,93 @@ def q_reason_codes_zscore(spark, sf_dir):
     """Top-3 reason codes (F5) over closed-form linear attributions with unit
     weights: each feature's z-score against the whole table (M2 form)."""
     # two passes (the table's mean and deviation, then the codes): windows computed once
-    s = silver(spark, sf_dir).checkpoint(eager=True)
+    s = _stored(silver(spark, sf_dir))
     stats = s.agg(*[F.avg(f).alias("m_" + f) for f in REASON_FEATURES],
                   *[F.stddev(f).alias("s_" + f) for f in REASON_FEATURES])
     st = stats.first()                    # 2 x 11 numbers: the linear model's fixed centring and scale
-    z = [(F.col(f) - F.lit(st["m_" + f])) / F.lit(st["s_" + f]) for f in REASON_FEATURES]
-    attr = s.select("txn_id", F.array(*z).alias("phi"))
+    n = len(REASON_FEATURES)
+    attr = ex.linear_attributions(s, REASON_FEATURES, ["txn_id"], [1.0] * n, [st["m_" + f] for f in REASON_FEATURES],
+                                  [st["s_" + f] for f in REASON_FEATURES], [0.0] * n)
     codes = ex.top_reasons(attr, REASON_FEATURES)
-    return codes.select("txn_id", *[c for r in range(1, 4) for c in (f"reason_{r}", f"reason_{r}_shap")]) \
-        .select("txn_id", "reason_1", "reason_2", "reason_3",
-                *[round6(f"reason_{r}_shap").alias(f"reason_{r}_shap") for r in range(1, 4)])
+    return codes.select("txn_id", "reason_1", "reason_2", "reason_3",
+                        *[round6(f"reason_{r}_shap").alias(f"reason_{r}_shap") for r in range(1, 4)])
+
+
+def _linear(spark, sf_dir, rows=None):
+    """Attributions of the fixed linear model in ``oracle_sql.LINEAR``."""
+    feats = list(osql.LINEAR)
+    weights, centre, scale, background = zip(*osql.LINEAR.values())
+    rows = silver(spark, sf_dir) if rows is None else rows
+    return ex.linear_attributions(rows, feats, ["txn_id"], weights, centre, scale, background, osql.LINEAR_INTERCEPT), feats
+
+
+def q_linear_attributions(spark, sf_dir):
+    """Closed-form attributions of a linear model with given weights (M2)."""
+    attr, feats = _linear(spark, sf_dir)
+    return attr.select("txn_id", round6("base").alias("base"),
+                       *[round6(F.col("phi")[i]).alias("phi_" + f) for i, f in enumerate(feats)])
+
+
+def q_linear_global_drivers(spark, sf_dir):
+    """Mean absolute attribution per feature of that model."""
+    attr, feats = _linear(spark, sf_dir)
+    return ex.mean_abs(attr, feats).select("feature", round6("mean_abs_shap").alias("mean_abs_shap"))
+
+
+def q_linear_case_breakdown(spark, sf_dir):
+    """All contributions to the positive with the largest 7-day deviation."""
+    s = silver(spark, sf_dir).withColumn("prob", F.round("amt_vs_7d_avg", 3))
+    attr, feats = _linear(spark, sf_dir, ranking.top_case(s, ["txn_id"]))
+    return ex.case_breakdown(attr, feats).select("feature", round6("contribution").alias("contribution"), round6("base").alias("base"))
+
+
+def q_linear_points(spark, sf_dir):
+    """Value and attribution of every feature of the explanation sample (the beeswarm's table)."""
+    test = _stored(_split(spark, sf_dir).where(F.col("split") == "test"))
+    sample = sampling.uniform_sample(test, osql.EXPLAIN_SAMPLE, osql.SPLIT_SEED)
+    attr, feats = _linear(spark, sf_dir, sample)
+    p = ex.attribution_points(attr, sample, feats, "txn_id")
+    return p.select("txn_id", "feature", round6("value").alias("value"), round6("attribution").alias("attribution"))
+
+
+def q_split_membership(spark, sf_dir):
+    """Which part every sampled row belongs to."""
+    return _split(spark, sf_dir).select("txn_id", "label", "split")
+
+
+def q_class_weights(spark, sf_dir):
+    """Row weights of both schemes on the training part."""
+    train = _split(spark, sf_dir).where(F.col("split") == "train")
+    neg, pos = models.class_counts(train)
+    each = [models.with_weights(train, w, counts=(neg, pos)).select(F.lit(w).alias("weighting"), "label", "w")
+            for w in ("balanced", "positive")]
+    return each[0].unionByName(each[1]).groupBy("weighting", "label").agg(
+        F.count(F.lit(1)).alias("rows"), round6(F.max("w")).alias("weight"))
+
+
+def q_training_matrix(spark, sf_dir):
+    """The feature vector that the models see: doubles, nulls as 0."""
+    feats = FIXTURE_SPEC.model_features()
+    x = models.assemble(_sample(spark, sf_dir), feats).select("txn_id", vector_to_array("features").alias("x"))
+    return x.select("txn_id", *[round6(F.col("x")[i]).alias(f) for i, f in enumerate(feats)])
+
+
+def q_interbank_lookup(spark, sf_dir):
+    """The bank flag fetched from silver for the test part."""
+    test = _split(spark, sf_dir).where(F.col("split") == "test").select("txn_id", "label")
+    return fetch_by_key(test, silver(spark, sf_dir), "txn_id", ["is_interbank"])
+
+
+def q_test_rule_breakdown(spark, sf_dir):
+    """Each rule on the test part."""
+    return rules.rule_breakdown(_split(spark, sf_dir).where(F.col("split") == "test"), rules.default_rules())
+
+
+def q_pattern_counts(spark, sf_dir):
+    """Parsed pattern records next to unique ones."""
+    _, patterns = _raw_files(spark, sf_dir)
+    records = ing.read_pattern_records(spark, patterns)
+    return ing.pattern_counts(records, ing.typology_lookup(records))
 
 
 _GOLD: dict = {}
@@ -230,7 +332,9 @@ def gold_run(spark, sf_dir) -> dict:
     model-dependent queries below read its tables."""
     from txnwatch.plans import pipeline as pl
 
-    key = (spark.sparkContext.applicationId, sf_dir)
+    txn = load_txn(spark, sf_dir)
+    now = txn.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*txn.columns).cast("decimal(20,0)"))).first()
+    key = (spark.sparkContext.applicationId, sf_dir, *now)          # other rows, another run
     if key not in _GOLD:
         cfg = pl.PipelineConfig(out_dir=work_dir(spark, "gold-run"), features=FIXTURE_SPEC)
         pl.run_features(spark, cfg, bronze=load_txn(spark, sf_dir))
@@ -257,9 +361,23 @@ def q_test_predictions(spark, sf_dir):
     return pl.read(spark, gold_run(spark, sf_dir)["cfg"], "gold", "test_predictions")
 
 
+def q_test_prediction_ids(spark, sf_dir):
+    """Ids and labels of the champion's scored test set."""
+    return q_test_predictions(spark, sf_dir).select("txn_id", "label")
+
+
+def q_rbs_rules_row(spark, sf_dir):
+    """The rules' row of the comparison on the test set."""
+    return _round_summary(gold_run(spark, sf_dir)["rules"]["comparison"].where(F.col("system") == rules.RULES_SYSTEM))
+
+
+def q_attribution_points(spark, sf_dir):
+    return gold_run(spark, sf_dir)["explain"]["attribution_points"]
+
+
 def q_runs(spark, sf_dir):
     from txnwatch.plans import pipeline as pl
-    return pl.read(spark, gold_run(spark, sf_dir)["cfg"], "gold", "runs").drop("run_id", "parent_id")
+    return pl.read(spark, gold_run(spark, sf_dir)["cfg"], "gold", "runs")
 
 
 def q_alert_reason_codes(spark, sf_dir):
@@ -310,11 +428,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pattern_lookup": q_pattern_lookup,
     "ingest_roundtrip": q_ingest_roundtrip,
     "reason_codes_zscore": q_reason_codes_zscore,
+    "behaviour_fp_reduction": q_behaviour_fp_reduction,
+    "threshold_metrics": q_threshold_metrics,
+    "linear_attributions": q_linear_attributions,
+    "linear_global_drivers": q_linear_global_drivers,
+    "linear_case_breakdown": q_linear_case_breakdown,
+    "linear_points": q_linear_points,
+    "split_membership": q_split_membership,
+    "class_weights": q_class_weights,
+    "training_matrix": q_training_matrix,
+    "interbank_lookup": q_interbank_lookup,
+    "test_rule_breakdown": q_test_rule_breakdown,
+    "pattern_counts": q_pattern_counts,
+    "test_prediction_ids": q_test_prediction_ids,
+    "rbs_rules_row": q_rbs_rules_row,
     # model-dependent (no SQL twin: rows-only check, unit tests cover the maths)
     "model_benchmark": q_model_benchmark,
     "champion": q_champion,
     "test_predictions": q_test_predictions,
     "runs": q_runs,
+    "attribution_points": q_attribution_points,
     "alert_reason_codes": q_alert_reason_codes,
     "global_drivers": q_global_drivers,
     "top_case_breakdown": q_top_case_breakdown,
