@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from txnwatch.llm import language_id as li
 
@@ -75,6 +76,8 @@ def test_edge_rows(spark):
     assert got[0][0] == "en" and got[1][0] == "fr" and got[None][0] == "en"
     assert {got[k] for k in (50, 51, 52)} == {("und", 0.0)}
     assert li.drop_undetermined(df).columns == df.columns
+    kept = li.drop_undetermined(df.withColumn("lang", F.lit(None).cast("string"))).select("doc_id").collect()
+    assert {r.doc_id for r in kept} == {None, 53, *range(12)}
     empty = df.where("doc_id > 99")
     nothing = li.fit(empty, PATH)
     assert nothing.languages == [] and li.predict(empty, nothing, out="p").count() == 0

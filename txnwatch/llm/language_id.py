@@ -287,10 +287,13 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 
 def drop_undetermined(df: DataFrame, path: str | None = None, min_score: float = 0.5) -> DataFrame:
-    """The rows of ``df`` whose language is determined with a posterior of ``min_score`` or more."""
+    """The rows of ``df`` whose language is determined with a posterior of ``min_score`` or more;
+    where no row tells a language, the rows with a letter."""
     import public_tokenizers
 
     model = fit(df, path or public_tokenizers.path("piece_bpe_32k.model"))
+    if not model.languages:
+        return df.where(F.col("text").rlike(r"\p{L}"))
     lang, score = free_name(df, "lang_pred"), free_name(df, "score")
     out = predict(df, model, out=lang, score=score)
     return out.where((F.col(lang) != UNDETERMINED) & (F.col(score) >= min_score)).drop(lang, score)
