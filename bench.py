@@ -5,6 +5,10 @@ Prints one JSON line: {"metric", "value" (sum of stage seconds), "unit",
 "queries" {name: seconds}, "sf", "rows", ...}.  Every timed step ends in a
 write or a full action, so nothing is left lazy.
 
+``rates`` holds rows per second of ingest and features on the same table ``BENCH_COPIES``
+(default 20) times over, each copy with senders, receivers and ids of its own: a size at
+which fixed costs fade.
+
 Before timing, the ingest and feature stages run once, untimed, on the
 smallest fixture (``sf0.001`` next to ``BENCH_SF_DIR``).  This loads the
 JVM classes and JIT-compiles the scan, join, window and aggregation paths first,
@@ -23,6 +27,8 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from pyspark.sql import functions as F  # noqa: E402
+
 from txnwatch.plans import pipeline as pl  # noqa: E402
 from txnwatch.plans import queries as q  # noqa: E402
 from txnwatch.session import build_session, work_dir  # noqa: E402
@@ -60,7 +66,6 @@ def main():
     rows = txn.count()
 
     cfg = pl.PipelineConfig(out_dir=base + "/tables", features=q.FIXTURE_SPEC)
-    # fixture ids are event ids: keep them (content ids would also do)
     ing, times["stage_ingest"] = timed(lambda: _ingest(spark, cfg, base))
     _, times["stage_features"] = timed(lambda: _features(spark, cfg, sf_dir))
     _, times["stage_train"] = timed(lambda: pl.run_train(spark, cfg))
@@ -71,9 +76,27 @@ def main():
     for name in HEADLINE:
         _, times[name] = timed(lambda: consume(q.QUERIES[name](spark, sf_dir)))
 
+    rates = scaled_rates(spark, sf_dir, int(os.environ.get("BENCH_COPIES", "20")))
     print(json.dumps({"metric": "pipeline_seconds", "value": stage_total, "unit": "sec", "queries": times,
                       "sf": sf, "rows": rows, "rows_per_sec_features": round(rows / times["stage_features"], 1),
-                      "cpus": cpus, "warm_up_sec": warm}))
+                      "rates": rates, "cpus": cpus, "warm_up_sec": warm}))
+
+
+def scaled_rates(spark, sf_dir, copies):
+    """Rows per second of the ingest and feature stages on ``copies`` copies of the table."""
+    base = work_dir(spark, "bench-scaled")
+    txn = load_txn(spark, sf_dir).withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    for c in ("txn_id", "from_account", "to_account"):
+        txn = txn.withColumn(c, F.col(c) * copies + F.col("_copy"))
+    txn.drop("_copy").write.parquet(base + "/bronze")
+    bronze = spark.read.parquet(base + "/bronze")
+    raw_files.write_transactions_csv(bronze, base + "/csv")
+    raw_files.write_pattern_blocks(bronze, base + "/patterns")
+    n = bronze.count()
+    cfg = pl.PipelineConfig(out_dir=base + "/tables", features=q.FIXTURE_SPEC)
+    _, ingest = timed(lambda: _ingest(spark, cfg, base, "/csv", "/patterns"))
+    _, feats = timed(lambda: pl.run_features(spark, cfg, bronze=bronze)["reconcile"].collect())
+    return {"rows": n, "ingest_rows_per_sec": round(n / ingest), "features_rows_per_sec": round(n / feats)}
 
 
 def warm_up(spark, sf_dir):
@@ -90,8 +113,8 @@ def warm_up(spark, sf_dir):
     _features(spark, cfg, small)
 
 
-def _ingest(spark, cfg, base):
-    out = pl.run_ingest(spark, cfg, base + "/transactions_csv", base + "/patterns_txt")
+def _ingest(spark, cfg, base, csv="/transactions_csv", patterns="/patterns_txt"):
+    out = pl.run_ingest(spark, cfg, base + csv, base + patterns)
     out["profile"].collect()
     out["typologies"].collect()
     return out
