@@ -1,19 +1,21 @@
 """Per-row attribution of model scores, global drivers and reason codes.
 
 Trees (decision tree, forest, boosted): exact path-dependent tree Shapley
-values.  For one leaf with unique path features ``U`` (``d = |U|``), ``z_j``
-the share of training weight that follows the path's splits on ``j`` and
-``o_j`` = 1 when the row satisfies them, the conditional expectation game is
-``v * prod_j (o_j if j in S else z_j)``, whose Shapley value for ``i`` in ``U``
-is
-
-    v * (o_i - z_i) * sum_k  k! (d-k-1)! / d!  *  [t^k] prod_{j != i} (z_j + o_j t)
-
-(Lundberg et al., "Consistent individualized feature attribution for tree
-ensembles", path-dependent form).  The polynomial is built for a whole batch of
-rows and all leaves of a tree at once with numpy, inside ``mapInPandas``, so the
-rows to explain are spread over tasks; the tree arrays (bounded by the model's
-size, not the data) are broadcast.
+values (Lundberg et al., "Consistent individualized feature attribution for tree
+ensembles").  For a leaf of value ``v`` with path features ``U``, ``z_j`` the share
+of training weight that follows the path's splits on ``j`` and ``o_j`` = 1 when the
+row satisfies them, the game's multilinear extension gives
+
+    phi_i = v * (o_i - z_i) * integral over t in [0, 1] of prod_{j != i} (z_j (1 - t) + o_j t)
+
+The integrand is a polynomial of degree ``|U| - 1``, so Gauss-Legendre points make
+the integral an exact sum.  At each point the products of a path are carried down
+the tree, level by level for a batch of rows, and the leaves' terms are summed up
+again; the split into a node adds its subtree's sum to its feature's value.  One pass
+down and up a tree costs nodes x points a row, shared prefixes are computed once, and
+deep trees stay affordable.  It runs inside ``mapInPandas``, so the rows to explain
+are spread over tasks; the tree arrays (bounded by the model's size, not the data)
+are broadcast.
 
 Units: boosted trees are explained in log-odds (2 x margin, Spark's
 probability is ``1 / (1 + exp(-2 margin))``); a single tree and a forest in
@@ -23,7 +25,6 @@ probability of class 1; the logistic pipeline in log-odds with the closed form
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,111 +41,97 @@ from txnwatch.session import ship_package, work_dir
 
 
 @dataclass
-class LeafTable:
-    """One tree as padded per-leaf arrays (``L`` leaves x ``D`` unique path features)."""
-
-    feat: np.ndarray    # (L, D) int, -1 = padding
-    lo: np.ndarray      # (L, D) row satisfies the path on this feature when lo < x <= hi
-    hi: np.ndarray
-    z: np.ndarray       # (L, D) weight share following the path (1 for padding)
-    d: np.ndarray       # (L,) number of real features
-    v: np.ndarray       # (L,) leaf value in the explained unit
+class LevelTree:
+    """One tree's nodes below the root, level by level; the two children of a split are
+    neighbours (left, then right) and follow the order of the splits above them."""
+
+    levels: list        # slices of the arrays below, top level first
+    parent: np.ndarray  # place in the level above
+    feat: np.ndarray    # the split that leads here: feature,
+    thr: np.ndarray     # threshold,
+    left: np.ndarray    # and whether this is its left side (x <= threshold)
+    share: np.ndarray   # weight share of all splits on this feature down to here
+    prev: np.ndarray    # node of the split on the same feature above, -1 if none
+    value: np.ndarray   # leaf value in the explained unit
+    leaf: np.ndarray
     base: float         # expected value of the tree
+    features: int       # most features on one path
 
 
-def _leaf_table(nodes: dict, value_of) -> LeafTable:
+def _level_tree(nodes: dict, value_of) -> LevelTree:
     """``nodes``: id -> (left, right, feature, threshold, cover, node record)."""
-    leaves = []
-
-    def walk(nid, conds):
-        left, right, feat, thr, cover, rec = nodes[nid]
-        if left < 0:
-            leaves.append((conds, value_of(rec), cover))
-            return
-        for child, go_left in ((left, True), (right, False)):
-            share = nodes[child][4] / cover if cover > 0 else 0.0
-            walk(child, conds + [(feat, thr, go_left, share)])
-
     root = 0 if 0 in nodes else min(nodes)
-    walk(root, [])
-    root_cover = nodes[root][4]
-    L = len(leaves)
-    merged = []
-    for conds, _, _ in leaves:
-        per = {}
-        for feat, thr, go_left, share in conds:
-            lo, hi, z = per.get(feat, (-math.inf, math.inf, 1.0))
-            if go_left:
-                hi = min(hi, thr)
-            else:
-                lo = max(lo, thr)
-            per[feat] = (lo, hi, z * share)
-        merged.append(per)
-    D = max([len(m) for m in merged] + [1])
-    feat = np.full((L, D), -1, dtype=np.int64)
-    lo = np.full((L, D), -math.inf)
-    hi = np.full((L, D), math.inf)
-    z = np.ones((L, D))
-    d = np.zeros(L, dtype=np.int64)
-    v = np.zeros(L)
-    base = 0.0
-    for i, ((_, val, cover), per) in enumerate(zip(leaves, merged)):
-        for j, (f, (a, b, zz)) in enumerate(sorted(per.items())):
-            feat[i, j], lo[i, j], hi[i, j], z[i, j] = f, a, b, zz
-        d[i] = len(per)
-        v[i] = val
-        base += val * (cover / root_cover if root_cover > 0 else 0.0)
-    return LeafTable(feat, lo, hi, z, d, v, base)
-
-
-def _shapley_weights(D: int) -> np.ndarray:
-    """w[d, k] = k! (d-k-1)! / d! for 0 <= k < d <= D."""
-    w = np.zeros((D + 1, D + 1))
-    for dd in range(1, D + 1):
-        for k in range(dd):
-            w[dd, k] = math.factorial(k) * math.factorial(dd - k - 1) / math.factorial(dd)
-    return w
-
-
-def tree_shap(X: np.ndarray, trees: list[LeafTable], n_features: int, max_cells: int = 4_000_000) -> np.ndarray:
+    rows, levels, most = [], [], 0
+    above = [(root, -1, {})]                                # node, its row, {feature: row of its last split}
+    base = value_of(nodes[root][5]) if nodes[root][0] < 0 else 0.0
+    while True:
+        splits = [(k, x) for k, x in enumerate(above) if nodes[x[0]][0] >= 0]
+        if not splits:
+            break
+        begin, below = len(rows), []
+        for place, (nid, _, seen) in splits:
+            left, right, feat, thr, cover, _ = nodes[nid]
+            prev = seen.get(feat, -1)
+            for child, is_left in ((left, True), (right, False)):
+                share = max(nodes[child][4] / cover if cover > 0 else 0.0, 1e-12)
+                is_leaf = nodes[child][0] < 0
+                value = value_of(nodes[child][5]) if is_leaf else 0.0
+                if is_leaf and nodes[root][4] > 0:
+                    base += value * nodes[child][4] / nodes[root][4]
+                below.append((child, len(rows), {**seen, feat: len(rows)}))
+                most = max(most, len(below[-1][2]))
+                rows.append((place, feat, thr, is_left, share * (rows[prev][4] if prev >= 0 else 1.0), prev, value, is_leaf))
+        levels.append(slice(begin, len(rows)))
+        above = below
+    cols = [np.array(c) for c in zip(*rows)] if rows else [np.zeros(0)] * 8
+    return LevelTree(levels, cols[0].astype(int), cols[1].astype(int), cols[2], cols[3].astype(bool), cols[4],
+                     cols[5].astype(int), cols[6], cols[7].astype(bool), float(base), most)
+
+
+def tree_shap(X: np.ndarray, trees: list[LevelTree], n_features: int, max_cells: int = 4_000_000) -> np.ndarray:
     """Attributions (rows x features) of the summed trees for the rows of ``X``."""
-    n = X.shape[0]
-    phi = np.zeros((n, n_features))
+    phi = np.zeros((len(X), n_features))
     for t in trees:
-        L, D = t.feat.shape
-        W = _shapley_weights(D)
-        wl = W[t.d]                                            # (L, D+1): weight by polynomial degree
-        valid = t.feat >= 0
-        fidx = np.where(valid, t.feat, 0)
-        step = max(1, max_cells // max(1, L * D * (D + 1)))
-        for s in range(0, n, step):
-            xb = X[s:s + step]
-            xv = xb[:, fidx]                                   # (B, L, D)
-            o = ((xv > t.lo) & (xv <= t.hi) & valid).astype(float)
-            z = np.broadcast_to(t.z, o.shape)
-            # P(t) = prod_j (z_j + o_j t): coefficients (B, L, D+1)
-            poly = np.zeros(o.shape[:2] + (D + 1,))
-            poly[..., 0] = 1.0
-            for j in range(D):
-                zj, oj = z[..., j:j + 1], o[..., j:j + 1]
-                shifted = np.concatenate([np.zeros_like(poly[..., :1]), poly[..., :-1]], axis=-1)
-                poly = poly * zj + shifted * oj
-            contrib = np.zeros(o.shape)
-            for i in range(D):
-                zi, oi = z[..., i], o[..., i]
-                # divide P by (z_i + o_i t): from the top when o_i = 1, by z_i when o_i = 0
-                q = np.zeros(o.shape[:2] + (D,))
-                rem = poly[..., D].copy()
-                for k in range(D - 1, -1, -1):
-                    q[..., k] = rem
-                    rem = poly[..., k] - zi * rem
-                q_zero = poly[..., :D] / np.where(zi > 0, zi, 1.0)[..., None]
-                q = np.where((oi > 0)[..., None], q, q_zero)
-                total = (q * wl[None, :, :D]).sum(-1)
-                contrib[..., i] = t.v[None, :] * (oi - zi) * total
-            contrib *= valid[None]
-            flat = contrib.reshape(contrib.shape[0], -1)
-            np.add.at(phi[s:s + step].T, fidx.reshape(-1), flat.T)
+        points = max(1, -(-t.features // 2))
+        step = max(1, max_cells // max(1, len(t.feat) * points))
+        for s in range(0, len(X), step):
+            phi[s:s + step] += _one_tree(X[s:s + step], t, n_features, points)
+    return phi
+
+
+def _one_tree(X: np.ndarray, t: LevelTree, n_features: int, points: int) -> np.ndarray:
+    x, w = np.polynomial.legendre.leggauss(points)
+    at, w = (x + 1) / 2, w / 2
+    rows, phi = len(X), np.zeros((len(X), n_features))
+    on = np.ones((rows, len(t.feat) + 1))                  # column -1 stands for "no such split above"
+    share = np.r_[t.share, 1.0]
+
+    def factor(node):                                      # z (1 - t) + o t at every point
+        return share[node][None, :, None] * (1 - at) + on[:, node][..., None] * at
+
+    products, down = [], np.ones((rows, 1, points))
+    for level in t.levels:
+        below = X[:, t.feat[level]] <= t.thr[level]
+        on[:, level] = (below == t.left[level]) * on[:, t.prev[level]]
+        node = np.arange(level.start, level.stop)
+        old = t.prev[level]
+        ratio = factor(node) / np.where((old >= 0)[None, :, None], factor(old), 1.0)
+        down = down[:, t.parent[level]] * ratio
+        products.append(down)
+    up = None
+    for level, down in zip(reversed(t.levels), reversed(products)):
+        total = down * t.value[level][None, :, None]
+        if up is not None:
+            inner = np.flatnonzero(~t.leaf[level])
+            total[:, inner] = up[:, 0::2] + up[:, 1::2]
+        node = np.arange(level.start, level.stop)
+        old = t.prev[level]
+        gain = (on[:, node] - share[node])[..., None] / factor(node)
+        gain -= np.where((old >= 0)[None, :, None], (on[:, old] - share[old])[..., None] / factor(old), 0.0)
+        part = (total * gain) @ w
+        for f in np.unique(t.feat[level]):
+            phi[:, f] += part[:, t.feat[level] == f].sum(axis=1)
+        up = total
     return phi
 
 
@@ -176,7 +163,7 @@ def _read_nodes(spark: SparkSession, model, path: str) -> dict:
 
 
 def tree_explainer(spark: SparkSession, model, n_features: int) -> TreeExplainer:
-    """Leaf tables for a Spark tree classifier (plain, forest or boosted)."""
+    """Level arrays for a Spark tree classifier (plain, forest or boosted)."""
     path = work_dir(spark, "model-trees")
     by_tree = _read_nodes(spark, model, path)
     if isinstance(model, GBTClassificationModel):
@@ -205,7 +192,7 @@ def tree_explainer(spark: SparkSession, model, n_features: int) -> TreeExplainer
     for k, tid in enumerate(sorted(by_tree)):
         nodes = {nid: (r["leftChild"], r["rightChild"], r["featureIndex"], r["thr"], cover_of(r), r)
                  for nid, r in by_tree[tid].items()}
-        trees.append(_leaf_table(nodes, values[k]))
+        trees.append(_level_tree(nodes, values[k]))
     return TreeExplainer(trees, float(sum(t.base for t in trees)), n_features, unit)
 
 
