@@ -1,4 +1,5 @@
 import os
+import datetime as dt
 import tempfile
 
 from pyspark.sql import functions as F
@@ -28,6 +29,8 @@ not a time,000952,C9,000953,C2,5.00,US Dollar,5.00,US Dollar,Wire,0
 """
 
 
+T0 = dt.datetime(2022, 9, 1)
+
 def write(text, name):
     d = tempfile.mkdtemp(prefix="txnwatch-ingest-")
     p = os.path.join(d, name)
@@ -70,3 +73,18 @@ def test_pipeline_tables_in_catalog(spark):
     assert spark.table("txnw_test_bronze.ids").count() == 3
     pl.write(df.limit(1), cfg, "bronze", "ids")                     # overwrite
     assert spark.table("txnw_test_bronze.ids").count() == 1
+
+
+def test_hot_sender_is_written_in_several_blocks(spark):
+    from txnwatch.sources import raw_files
+    from txnwatch.session import work_dir
+    rows = [(i, T0, "1", "HOT" if i % 5 else f"A{i}", "2", "R", float(i), "ACH", 1, "CYCLE") for i in range(500)] + \
+        [(900, T0, "1", None, "2", "R", 9.0, "ACH", 1, "CYCLE")]
+    txn = spark.createDataFrame(rows, "txn_id long, ts timestamp_ntz, from_bank string, from_account string, to_bank string, "
+                                      "to_account string, amount_paid double, payment_format string, label int, typology string")
+    path = work_dir(spark, "hot-blocks")
+    raw_files.write_pattern_blocks(txn, path, block_rows=50)
+    blocks = [b for r in spark.read.option("wholetext", True).text(path).collect() for b in r[0].split("BEGIN LAUNDERING")[1:]]
+    assert max(b.count(",ACH,") for b in blocks) < 120 and len(blocks) > 100
+    got = ingest.read_pattern_records(spark, path)
+    assert got.count() == 501 and got.where("typology = 'CYCLE'").count() == 501

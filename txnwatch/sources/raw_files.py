@@ -38,13 +38,19 @@ def write_transactions_csv(txn: DataFrame, path: str) -> None:
     txn.select(*cols).write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_pattern_blocks(txn: DataFrame, path: str, block_keys: tuple = ("typology", "from_account")) -> None:
-    """One block per (typology, sender) for rows with a typology.
+def write_pattern_blocks(txn: DataFrame, path: str, block_keys: tuple = ("typology", "from_account"),
+                         block_rows: int = 10_000) -> None:
+    """Blocks per (typology, sender) of about ``block_rows`` records for rows with a typology.
 
-    Blocks are hash-partitioned by their key and each partition is sorted by
-    (block, line kind, id), so every block lands whole and in order in one file.
+    A hot sender's records are dealt by id to as many blocks as that takes, so no task and no
+    block grows with it.  Blocks are hash-partitioned by their key and each partition is sorted
+    by (block, line kind, id), so every block lands whole and in order in one file.
     """
-    tagged = txn.where(F.col("typology").isNotNull())
+    typed = txn.where(F.col("typology").isNotNull())
+    blocks_of = typed.groupBy(*block_keys).agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("_blocks"))
+    same = [typed[k].eqNullSafe(blocks_of[k]) for k in block_keys]
+    tagged = typed.join(blocks_of, same).select(typed["*"], F.pmod(F.xxhash64("txn_id"), F.col("_blocks")).alias("_block"))
+    block_keys = (*block_keys, "_block")
     record = F.concat_ws(",", *[F.coalesce(c, F.lit("")) for c in _record_columns(tagged)])
     keys = [F.col(k) for k in block_keys]
     recs = tagged.select(*keys, F.lit(1).alias("_kind"), F.col("txn_id").alias("_ord"), record.alias("value"))
