@@ -31,7 +31,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from txnwatch.plans import pipeline as pl  # noqa: E402
 from txnwatch.plans import queries as q  # noqa: E402
-from txnwatch.session import build_session, work_dir  # noqa: E402
+from txnwatch.session import build_session, clear_work, work_dir  # noqa: E402
 from txnwatch.sources import raw_files  # noqa: E402
 from txnwatch.sources.fixture import load_txn  # noqa: E402
 
@@ -80,6 +80,7 @@ def main():
     print(json.dumps({"metric": "pipeline_seconds", "value": stage_total, "unit": "sec", "queries": times,
                       "sf": sf, "rows": rows, "rows_per_sec_features": round(rows / times["stage_features"], 1),
                       "rates": rates, "cpus": cpus, "warm_up_sec": warm}))
+    clear_work(spark)
 
 
 def scaled_rates(spark, sf_dir, copies):

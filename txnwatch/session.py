@@ -68,6 +68,15 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{base}/txnwatch-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def clear_work(spark: SparkSession) -> None:
+    """Delete this application's scratch folder (checkpoints and ``work_dir`` tables) once its
+    results are stored elsewhere.  Spark makes a folder of its own for every application."""
+    path = spark.sparkContext.getCheckpointDir()
+    if path:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 _SHIPPED: set = set()
 
 
