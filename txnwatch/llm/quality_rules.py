@@ -11,7 +11,8 @@ the nearest one.
 Guards: below ``min_words`` words no distance is trusted and the method keeps the
 document; a reference made of fewer than ``min_reference`` words is not used.
 Small samples stray further from their source, so the limits widen with
-``1 / sqrt(n)``.
+``1 / sqrt(n)``.  A mixture of clean passages strays in one histogram only, so a text is
+dropped where both distances pass their limits, or the character distance alone a higher one.
 
 Null text counts as empty: no words, base_failed.  An empty table gives no rows.
 """
@@ -43,10 +44,11 @@ class DivergenceRules:
     min_words: int = 40
     min_reference: int = 1000
     reference_symbol_percent: int = 5   # texts with a larger share of SYMBOLS stay out of references
-    max_char: float = 0.11       # limit on the character distance of a very long text
-    max_word: float = 0.09       # limit on the common-word distance of a very long text
-    char_slack: float = 1.0      # added to the limits: slack / sqrt(number of words)
-    word_slack: float = 1.6
+    suspect_char: float = 0.17   # a text is dropped where both distances pass these ...
+    suspect_word: float = 0.20
+    suspect_slack: float = 0.3   # (each limit widens by its slack / sqrt(number of words))
+    max_char: float = 0.22       # ... or the character distance alone passes this
+    char_slack: float = 0.8
 
 
 def words_of(text: Column) -> Column:
@@ -182,8 +184,9 @@ def verdict(s: Column, lang: Column, refs: dict, rules: DivergenceRules) -> Colu
     word = F.round(bind(_shares(s["common"]), lambda p: distance(p, 1)), 9)
 
     def judged(d):
-        near = (F.coalesce(d["c"], F.lit(0.0)) <= limit(rules.max_char, rules.char_slack)) \
-            & (F.coalesce(d["w"], F.lit(0.0)) <= limit(rules.max_word, rules.word_slack))
+        c, w = F.coalesce(d["c"], F.lit(0.0)), F.coalesce(d["w"], F.lit(0.0))
+        near = ((c <= limit(rules.suspect_char, rules.suspect_slack)) | (w <= limit(rules.suspect_word, rules.suspect_slack))) \
+            & (c <= limit(rules.max_char, rules.char_slack))
         fields = [s[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
         return F.struct(*fields, failed.alias("base_failed"), d["c"].alias("char_distance"), d["w"].alias("word_distance"),
                         (~failed & ((s["n_words"] < rules.min_words) | near)).alias("kept"))
@@ -259,6 +262,7 @@ s AS (SELECT h.doc_id, n_words::BIGINT AS n_words, length(regexp_replace(t, '{bl
       LEFT JOIN dist dw ON dw.doc_id = h.doc_id AND dw.kind = 'w'),
 b AS (SELECT *, n_words < {BASE_MIN_WORDS} OR 100 * n_repeat_words > {BASE_MAX_REPEAT_PERCENT} * n_words AS base_failed FROM s)
 SELECT *, NOT base_failed AND (n_words < {r.min_words} OR (
-    coalesce(char_distance, 0) <= {r.max_char} + {r.char_slack} / sqrt(greatest(n_words, 1))
-    AND coalesce(word_distance, 0) <= {r.max_word} + {r.word_slack} / sqrt(greatest(n_words, 1)))) AS kept FROM b
+    (coalesce(char_distance, 0) <= {r.suspect_char} + {r.suspect_slack} / sqrt(greatest(n_words, 1))
+     OR coalesce(word_distance, 0) <= {r.suspect_word} + {r.suspect_slack} / sqrt(greatest(n_words, 1)))
+    AND coalesce(char_distance, 0) <= {r.max_char} + {r.char_slack} / sqrt(greatest(n_words, 1)))) AS kept FROM b
 """
