@@ -58,3 +58,9 @@ def test_documents(spark, library):
     rows = df.collect()
     want = library.encode_batch([r.text for r in rows], add_special_tokens=False)
     assert got == {r.doc_id: len(e.ids) for r, e in zip(rows, want)}
+
+
+def test_large_ids_beside_nulls_stay_exact(spark):
+    big = 2**62 + 1
+    df = spark.createDataFrame([(big, "a"), (None, "b"), (-big, "c")], "doc_id long, text string")
+    assert {r.doc_id for r in token_counts(df, PATH).collect()} == {big, None, -big}

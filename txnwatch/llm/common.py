@@ -41,6 +41,16 @@ def with_row_id(df: DataFrame, name: str = "_row") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def id_text(name: str) -> Column:
+    """An id as text: pandas keeps it exact beside nulls (a long column with nulls would become
+    double there).  Cast the result back with ``id_back``."""
+    return F.col(name).cast("long").cast("string")
+
+
+def id_back(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.col(n).cast("long") for n in names})
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """``base``, lengthened until no column of ``df`` has that name (in any case)."""
     taken = {c.lower() for c in df.columns}

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnwatch.llm.common import python_ready, table
+from txnwatch.llm.common import id_back, id_text, python_ready, table
 from txnwatch.llm.token_counts import grouped
 
 CONTEXT = 1024
@@ -68,7 +68,7 @@ def _pieces(batches: Iterator[pd.DataFrame], path: str, context: int, end: int)
                     out["ids"].append(data[4 * at:4 * (at + size)])
                     out["doc_tokens"].append(n)
                     at += size
-            yield pd.DataFrame(out).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out)
 
 
 def pack(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", context: int = CONTEXT,
@@ -78,10 +78,10 @@ def pack(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", c
     if context & (context - 1) or context < 1:
         raise ValueError("context must be a power of two")
     python_ready(df.sparkSession)
-    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = df.select(id_text(doc_id).alias("doc_id"), F.col(text).alias("text"))
     pieces = rows.mapInPandas(lambda it: _pieces(it, path, context, end),
-                              "doc_id long, start long, length long, ids binary, doc_tokens long")
-    return pieces.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+                              "doc_id string, start long, length long, ids binary, doc_tokens long")
+    return id_back(pieces, "doc_id").withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
 
 
 def write_buckets(packed: DataFrame, path: str) -> None:

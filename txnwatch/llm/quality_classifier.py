@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnwatch.llm.common import python_ready, table, written
+from txnwatch.llm.common import id_back, id_text, python_ready, table, written
 from txnwatch.llm.language_id import fold
 from txnwatch.llm.quality_rules import WORD_LIST
 
@@ -73,8 +73,8 @@ def _featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def features(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and x (the transformed statistics) of every row."""
     python_ready(df.sparkSession)
-    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInPandas(_featured, "doc_id long, x array<double>")
+    rows = df.select(id_text(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return id_back(rows.mapInPandas(_featured, "doc_id string, x array<double>"), "doc_id")
 
 
 @dataclass
@@ -146,9 +146,9 @@ def classify(df: DataFrame, labels: DataFrame, held_out, doc_id: str = "doc_id",
     own = F.coalesce(held_out(F.col("doc_id")), F.lit(False))
     model = fit(stored.where(~own).join(known, "doc_id"), **shrink)
     shared = df.sparkSession.sparkContext.broadcast(model)              # a few hundred numbers
-    out = stored.select("doc_id", own.alias("held_out"), "x").mapInPandas(
-        lambda it: _scored(it, shared), "doc_id long, held_out boolean, score double")
-    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    out = stored.select(id_text("doc_id").alias("doc_id"), own.alias("held_out"), "x").mapInPandas(
+        lambda it: _scored(it, shared), "doc_id string, held_out boolean, score double")
+    return id_back(out, "doc_id").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

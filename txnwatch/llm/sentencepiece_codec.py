@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnwatch.llm.common import distinct, python_ready, table
+from txnwatch.llm.common import distinct, id_back, id_text, python_ready, table
 from txnwatch.llm.token_counts import grouped
 from txnwatch.llm.transducer import START, Lanes, ScoredMerges, Transducer, cut_lanes
 
@@ -271,14 +271,15 @@ def _decoded(batches: Iterator[pd.DataFrame], path: str) -> Iterator[pd.DataFram
 def encode(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and ids (little-endian uint32) of every row."""
     python_ready(df.sparkSession)
-    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInPandas(lambda it: _encoded(it, path), "doc_id long, ids binary")
+    rows = df.select(id_text(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return id_back(rows.mapInPandas(lambda it: _encoded(it, path), "doc_id string, ids binary"), "doc_id")
 
 
 def decode(df: DataFrame, path: str) -> DataFrame:
     """doc_id and decoded text of rows (doc_id, ids); null ids give null."""
     python_ready(df.sparkSession)
-    return df.select("doc_id", "ids").mapInPandas(lambda it: _decoded(it, path), "doc_id long, decoded string")
+    rows = df.select(id_text("doc_id").alias("doc_id"), "ids")
+    return id_back(rows.mapInPandas(lambda it: _decoded(it, path), "doc_id string, decoded string"), "doc_id")
 
 
 def _checked(batches: Iterator[pd.DataFrame], path: str) -> Iterator[pd.DataFrame]:
@@ -299,6 +300,6 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     python_ready(spark)
     path = public_tokenizers.path("piece_bpe_32k.model")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = docs.mapInPandas(lambda it: _checked(it, path), "doc_id long, ids binary, round_trip boolean")
+    docs = table(spark, sf_dir, "documents").select(id_text("doc_id").alias("doc_id"), "text")
+    out = id_back(docs.mapInPandas(lambda it: _checked(it, path), "doc_id string, ids binary, round_trip boolean"), "doc_id")
     return out.select("doc_id", F.floor(F.octet_length("ids") / 4).alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), "round_trip")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txnwatch.llm import byte_bpe
-from txnwatch.llm.common import python_ready, table
+from txnwatch.llm.common import id_back, id_text, python_ready, table
 from txnwatch.llm.transducer import START, Lanes, Transducer
 
 WIDTH = 1024
@@ -160,9 +160,9 @@ def token_counts(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
     """doc_id, n_bytes, n_tokens and over_limit of every row."""
     python_ready(df.sparkSession)
     t = F.coalesce(F.col(text), F.lit(""))
-    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.octet_length(t).cast("long").alias("n_bytes"), t.alias("text"))
-    out = rows.mapInPandas(lambda it: _counted(it, path, width), "doc_id long, n_bytes long, n_tokens long")
-    return out.withColumn("over_limit", F.col("n_tokens") > limit)
+    rows = df.select(id_text(doc_id).alias("doc_id"), F.octet_length(t).cast("long").alias("n_bytes"), t.alias("text"))
+    out = rows.mapInPandas(lambda it: _counted(it, path, width), "doc_id string, n_bytes long, n_tokens long")
+    return id_back(out, "doc_id").withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,22 +30,22 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnwatch.llm.common import python_ready, table, written
+from txnwatch.llm.common import id_back, id_text, python_ready, table, written
 from txnwatch.session import work_dir
 
 MIN_REVISIT = 100
 SPAN = 16 << 20
 GAP = 64 << 10
 DATE = "1970-01-01T00:00:00Z"        # the pages carry no fetch time
-INDEX = ("page_id long, file string, offset long, length long, url string, payload_digest string, payload_bytes long, "
-         "record_type string, refers_to long")
+INDEX = ("page_id string, file string, offset long, length long, url string, payload_digest string, payload_bytes long, "
+         "record_type string, refers_to string")
 
 
 def record(page_id, url: str, html: str, digest: str, record_type: str, refers_to) -> bytes:
     """One WARC/1.1 record; a revisit has no payload but keeps the payload's digest and size."""
     payload = html.encode("utf-8", "surrogatepass")
     block = payload if record_type == "response" else b""
-    name = "" if page_id is None else str(page_id)
+    name = page_id or ""
     head = ["WARC/1.1", f"WARC-Type: {record_type}", f"WARC-Record-ID: <urn:page:{name}>",
             f"WARC-Date: {DATE}", "WARC-Target-URI: " + _one_line(url), f"WARC-Payload-Digest: sha256:{digest}",
             f"X-Payload-Length: {len(payload)}", "Content-Type: text/html;charset=utf-8", f"Content-Length: {len(block)}"]
@@ -84,8 +84,7 @@ def _write(batches: Iterator[pd.DataFrame], folder: str) -> Iterator[pd.DataFram
             offset, length = [], []
             for r in b.itertuples(index=False):
                 pack = zlib.compressobj(6, zlib.DEFLATED, 31)
-                data = pack.compress(record(None if pd.isna(r.page_id) else int(r.page_id), r.url, r.html, r.payload_digest,
-                                            r.record_type, None if pd.isna(r.refers_to) else int(r.refers_to))) + pack.flush()
+                data = pack.compress(record(r.page_id, r.url, r.html, r.payload_digest, r.record_type, r.refers_to)) + pack.flush()
                 out.write(data)
                 offset.append(at)
                 length.append(len(data))
@@ -109,7 +108,9 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT
     typed = rows.join(twice, "payload_digest", "left").select(
         "page_id", "url", "html", "payload_digest", "payload_bytes",
         F.when(later, "revisit").otherwise("response").alias("record_type"), F.when(later, F.col("first")).alias("refers_to"))
-    return written(typed.mapInPandas(lambda it: _write(it, folder), INDEX), "warc-index")
+    typed = typed.withColumns({c: id_text(c) for c in ("page_id", "refers_to")})
+    index = typed.mapInPandas(lambda it: _write(it, folder), INDEX)
+    return written(id_back(index, "page_id", "refers_to"), "warc-index")
 
 
 def _ranges(own: pd.DataFrame, span: int, gap: int) -> Iterator[pd.DataFrame]:
@@ -137,11 +138,10 @@ def _read(batches: Iterator[pd.DataFrame], folder: str, span: int, gap: int) ->
                         r = parse(zlib.decompress(data[at - base:at - base + n], 31))
                         ident = r["WARC-Record-ID"][len("<urn:page:"):-1]
                         refers = r.get("WARC-Refers-To")
-                        rows.append((int(ident) if ident else None, r["WARC-Target-URI"], r["block"], r["WARC-Type"],
+                        rows.append((ident or None, r["WARC-Target-URI"], r["block"], r["WARC-Type"],
                                      r["WARC-Payload-Digest"].removeprefix("sha256:"), int(r["X-Payload-Length"]),
-                                     int(refers[len("<urn:page:"):-1]) if refers else None))
-                    out = pd.DataFrame(rows, columns=["page_id", "url", "payload", "record_type", "payload_digest", "payload_bytes", "refers_to"])
-                    yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
+                                     refers[len("<urn:page:"):-1] if refers else None))
+                    yield pd.DataFrame(rows, columns=["page_id", "url", "payload", "record_type", "payload_digest", "payload_bytes", "refers_to"])
 
 
 def read_records(index: DataFrame, folder: str, span: int = SPAN, gap: int = GAP) -> DataFrame:
@@ -150,9 +150,10 @@ def read_records(index: DataFrame, folder: str, span: int = SPAN, gap: int = GAP
     python_ready(index.sparkSession)
     place = index.select("file", "offset", "length", F.floor(F.col("offset") / span).alias("part"))
     dealt = place.repartition("file", "part").sortWithinPartitions("file", "offset").drop("part")
-    return dealt.mapInPandas(lambda it: _read(it, folder, span, gap),
-                             "page_id long, url string, payload binary, record_type string, payload_digest string, "
-                             "payload_bytes long, refers_to long")
+    out = dealt.mapInPandas(lambda it: _read(it, folder, span, gap),
+                            "page_id string, url string, payload binary, record_type string, payload_digest string, "
+                            "payload_bytes long, refers_to string")
+    return id_back(out, "page_id", "refers_to")
 
 
 def payload_checks(records: DataFrame) -> DataFrame:
