@@ -58,12 +58,12 @@ class LevelTree:
     features: int       # most features on one path
 
 
-def _level_tree(nodes: dict, value_of) -> LevelTree:
-    """``nodes``: id -> (left, right, feature, threshold, cover, node record)."""
+def _level_tree(nodes: dict) -> LevelTree:
+    """``nodes``: id -> (left, right, feature, threshold, cover, value)."""
     root = 0 if 0 in nodes else min(nodes)
     rows, levels, most = [], [], 0
     above = [(root, -1, {})]                                # node, its row, {feature: row of its last split}
-    base = value_of(nodes[root][5]) if nodes[root][0] < 0 else 0.0
+    base = nodes[root][5] if nodes[root][0] < 0 else 0.0
     while True:
         splits = [(k, x) for k, x in enumerate(above) if nodes[x[0]][0] >= 0]
         if not splits:
@@ -75,7 +75,7 @@ def _level_tree(nodes: dict, value_of) -> LevelTree:
             for child, is_left in ((left, True), (right, False)):
                 share = max(nodes[child][4] / cover if cover > 0 else 0.0, 1e-12)
                 is_leaf = nodes[child][0] < 0
-                value = value_of(nodes[child][5]) if is_leaf else 0.0
+                value = nodes[child][5] if is_leaf else 0.0
                 if is_leaf and nodes[root][4] > 0:
                     base += value * nodes[child][4] / nodes[root][4]
                 below.append((child, len(rows), {**seen, feat: len(rows)}))
@@ -103,32 +103,32 @@ def _one_tree(X: np.ndarray, t: LevelTree, n_features: int, points: int) -> np.n
     x, w = np.polynomial.legendre.leggauss(points)
     at, w = (x + 1) / 2, w / 2
     rows, phi = len(X), np.zeros((len(X), n_features))
-    on = np.ones((rows, len(t.feat) + 1))                  # column -1 stands for "no such split above"
-    share = np.r_[t.share, 1.0]
-
-    def factor(node):                                      # z (1 - t) + o t at every point
-        return share[node][None, :, None] * (1 - at) + on[:, node][..., None] * at
-
+    # A node's factor z (1 - t) + o t and its gain (o - z) / factor take two values, by o; with
+    # the split on the same feature above (which holds wherever this one does) a step down has
+    # three cases: neither holds, only the one above, both.
+    z = t.share[:, None]
+    off, on = z * (1 - at), z + (1 - z) * at
+    gain_off, gain_on = np.broadcast_to(-1 / (1 - at), off.shape), (1 - z) / on
+    first = (t.prev < 0)[:, None]
+    above_on, above_off = np.where(first, 1.0, on[t.prev]), np.where(first, 1.0, off[t.prev])
+    step = np.stack([off / above_off, off / above_on, on / above_on])
+    gain_above = np.where(first, 0.0, gain_on[t.prev])
+    gain = w * np.stack([gain_off - np.where(first, 0.0, gain_off[t.prev]), gain_off - gain_above, gain_on - gain_above])
+    holds = np.ones((rows, len(t.feat) + 1), np.int8)      # column -1 stands for "no such split above"
     products, down = [], np.ones((rows, 1, points))
     for level in t.levels:
-        below = X[:, t.feat[level]] <= t.thr[level]
-        on[:, level] = (below == t.left[level]) * on[:, t.prev[level]]
+        above = holds[:, t.prev[level]]
+        holds[:, level] = ((X[:, t.feat[level]] <= t.thr[level]) == t.left[level]) & above.astype(bool)
+        case = above + holds[:, level]
         node = np.arange(level.start, level.stop)
-        old = t.prev[level]
-        ratio = factor(node) / np.where((old >= 0)[None, :, None], factor(old), 1.0)
-        down = down[:, t.parent[level]] * ratio
-        products.append(down)
+        down = down[:, t.parent[level]] * step[case, node]
+        products.append((case, node, down))
     up = None
-    for level, down in zip(reversed(t.levels), reversed(products)):
+    for level, (case, node, down) in zip(reversed(t.levels), reversed(products)):
         total = down * t.value[level][None, :, None]
         if up is not None:
-            inner = np.flatnonzero(~t.leaf[level])
-            total[:, inner] = up[:, 0::2] + up[:, 1::2]
-        node = np.arange(level.start, level.stop)
-        old = t.prev[level]
-        gain = (on[:, node] - share[node])[..., None] / factor(node)
-        gain -= np.where((old >= 0)[None, :, None], (on[:, old] - share[old])[..., None] / factor(old), 0.0)
-        part = (total * gain) @ w
+            total[:, np.flatnonzero(~t.leaf[level])] = up[:, 0::2] + up[:, 1::2]
+        part = np.einsum("rnp,rnp->rn", total, gain[case, node])
         for f in np.unique(t.feat[level]):
             phi[:, f] += part[:, t.feat[level] == f].sum(axis=1)
         up = total
@@ -145,61 +145,39 @@ class TreeExplainer:
     unit: str
 
 
-def _read_nodes(spark: SparkSession, model, path: str) -> dict:
-    """tree id -> node dict, read back from the saved model (no per-node JVM calls)."""
+def _read_nodes(spark: SparkSession, model, path: str) -> pd.DataFrame:
+    """All nodes of the saved model (bounded by its size), read back in columns."""
     model.write().overwrite().save(path)
     data = spark.read.parquet(path + "/data")
     if "treeID" in data.columns:
         data = data.select("treeID", "nodeData.*")
     else:
         data = data.select(F.lit(0).alias("treeID"), "*")
-    rows = data.select("treeID", "id", "leftChild", "rightChild", "split.featureIndex",
-                       F.get(F.col("split.leftCategoriesOrThreshold"), 0).alias("thr"),
-                       "impurityStats", "prediction").collect()
-    out: dict = {}
-    for r in rows:
-        out.setdefault(r["treeID"], {})[r["id"]] = r
-    return out
+    stats = F.col("impurityStats")
+    return data.select(
+        "treeID", "id", "leftChild", "rightChild", F.col("split.featureIndex").alias("feat"),
+        F.get(F.col("split.leftCategoriesOrThreshold"), 0).alias("thr"), "prediction", F.get(stats, 0).alias("first"),
+        F.get(stats, 1).alias("second"), F.aggregate(stats, F.lit(0.0), lambda a, x: a + x).alias("total")).toPandas()
 
 
 def tree_explainer(spark: SparkSession, model, n_features: int) -> TreeExplainer:
     """Level arrays for a Spark tree classifier (plain, forest or boosted)."""
-    path = work_dir(spark, "model-trees")
-    by_tree = _read_nodes(spark, model, path)
-    if isinstance(model, GBTClassificationModel):
-        weights = list(model.treeWeights)
-        unit = "log_odds"
-
-        def cover_of(r):
-            return float(r["impurityStats"][0])          # regression tree: weighted count first
-        values = [lambda r, w=w: 2.0 * w * float(r["prediction"]) for w in weights]
-    elif isinstance(model, RandomForestClassificationModel):
-        unit = "probability"
-        nt = len(by_tree)
-
-        def cover_of(r):
-            return float(sum(r["impurityStats"]))
-        values = [lambda r: _class1_share(r) / nt] * nt
-    elif isinstance(model, DecisionTreeClassificationModel):
-        unit = "probability"
-
-        def cover_of(r):
-            return float(sum(r["impurityStats"]))
-        values = [_class1_share]
-    else:
+    nodes = _read_nodes(spark, model, work_dir(spark, "model-trees"))
+    boosted = isinstance(model, GBTClassificationModel)
+    if not boosted and not isinstance(model, (RandomForestClassificationModel, DecisionTreeClassificationModel)):
         raise TypeError(f"not a tree model: {type(model).__name__}")
+    by_tree = {k: own for k, own in nodes.groupby("treeID")}
     trees = []
     for k, tid in enumerate(sorted(by_tree)):
-        nodes = {nid: (r["leftChild"], r["rightChild"], r["featureIndex"], r["thr"], cover_of(r), r)
-                 for nid, r in by_tree[tid].items()}
-        trees.append(_level_tree(nodes, values[k]))
-    return TreeExplainer(trees, float(sum(t.base for t in trees)), n_features, unit)
-
-
-def _class1_share(r) -> float:
-    stats = r["impurityStats"]
-    tot = float(sum(stats))
-    return float(stats[1]) / tot if tot > 0 and len(stats) > 1 else 0.0
+        own = by_tree[tid]
+        if boosted:                                        # regression trees: the weighted count comes first
+            cover, value = own["first"], 2.0 * model.treeWeights[k] * own["prediction"]
+        else:
+            cover = own["total"]
+            value = (own["second"] / cover).where(cover > 0, 0.0).fillna(0.0) / len(by_tree)
+        columns = (own[c].tolist() for c in ("leftChild", "rightChild", "feat", "thr"))
+        trees.append(_level_tree(dict(zip(own["id"].tolist(), zip(*columns, cover.tolist(), value.tolist())))))
+    return TreeExplainer(trees, float(sum(t.base for t in trees)), n_features, "log_odds" if boosted else "probability")
 
 
 def explain_trees(rows: DataFrame, explainer: TreeExplainer, features: list[str], keep: list[str]) -> DataFrame:
