@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -63,3 +64,28 @@ def test_sql_twin(spark):
             assert got[c].to_numpy(float) == pytest.approx(want[c].to_numpy(float), nan_ok=True, abs=1e-8)
         else:
             assert (got[c] == want[c]).all(), c
+
+
+def _prose(n, lang, seed):
+    """Words of which a third are the common words of ``lang``, the others of letters that all texts share."""
+    rng = random.Random(seed)
+    return " ".join(rng.choice(qr.COMMON_WORDS[lang]) if rng.random() < 0.33 else "".join(rng.choices("etaoinshrdlu", k=rng.randint(4, 8)))
+                    for _ in range(n))
+
+
+def _with_prose(spark, odd):
+    rows = [(i, _prose(60 + 5 * i, "en", i), "en") for i in range(60)] + [(1000 + i, t, "en") for i, t in enumerate(odd)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    return {r.doc_id: r.q for r in qr.with_quality(df).collect()}
+
+
+def test_words_alone_reject(spark):
+    """Plain-letter gibberish and a text in another language than its label go; a half-and-half mixture stays."""
+    rng = random.Random(7)
+    gibberish = [" ".join("".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 7))) + "q" for _ in range(n)) for n in (120, 400, 2000)]
+    half = [_prose(n // 2, "en", n) + " " + gibberish[1][:3 * n] for n in (120, 400)]
+    got = _with_prose(spark, [*gibberish, _prose(120, "fr", 1), _prose(800, "fr", 2), *half])
+    assert all(got[i].kept for i in range(60))
+    for i in range(1000, 1005):
+        assert got[i].char_distance < 0.17 and not got[i].base_failed and not got[i].kept
+    assert got[1005].kept and got[1006].kept

@@ -12,13 +12,17 @@ Guards: below ``min_words`` words no distance is trusted and the method keeps th
 document; a reference made of fewer than ``min_reference`` words is not used.
 Small samples stray further from their source, so the limits widen with
 ``1 / sqrt(n)``.  A mixture of clean passages strays in one histogram only, so a text is
-dropped where both distances pass their limits, or the character distance alone a higher one.
+dropped where both distances pass their limits, the character distance alone a higher one, or
+the common words alone are far (``word_limits``): from the language of the text, as only a text
+with less than ``least_share`` of it is, or from every mixture of the languages, as only a text
+with less than ``least_share`` of the common words is, each beyond what sampling explains.
 
 Null text counts as empty: no words, base_failed.  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,6 +53,8 @@ class DivergenceRules:
     suspect_slack: float = 0.3   # (each limit widens by its slack / sqrt(number of words))
     max_char: float = 0.22       # ... or the character distance alone passes this
     char_slack: float = 0.8
+    least_share: float = 0.25    # ... or the common words alone are farther than with this share of them
+    word_sigmas: float = 3.0     # (and than the expected sampling distance, so many standard deviations up)
 
 
 def words_of(text: Column) -> Column:
@@ -165,6 +171,65 @@ def references(measured: DataFrame, rules: DivergenceRules, m: str = "m", lang:
     return {g: ck for g, ck in sorted(out.items()) if sum(ck[1]) >= rules.min_reference}
 
 
+def divergence(p: list, q: list) -> float:
+    """Jensen-Shannon divergence (the squared distance) of two lists of shares, base 2."""
+    return max(0.0, sum(x * math.log2(2 * x / (x + y)) for u, v in zip(p, q) for x, y in ((u, v), (v, u)) if x > 0) / 2)
+
+
+def word_limits(refs: dict, rules: DivergenceRules) -> tuple[dict, float]:
+    """{language: (own, mixed)} and b: the common words alone drop a text of n words where their distance to
+    its language passes sqrt(own + b / n) or that to the nearest mixture of the languages sqrt(mixed + b / n).
+
+    own is the divergence of a text of which ``least_share`` is in its language and the rest in the worst
+    other one, mixed that of a text with ``least_share`` of the common words and other words instead.  A sample
+    of n words strays from its own source by a divergence of about chi-square / (8 n ln 2), with a degree of
+    freedom for each listed word of a language; b is its mean and ``word_sigmas`` standard deviations."""
+    shares = {g: [x / max(1, sum(k)) for x in k] for g, (_, k) in refs.items()}
+    out = {}
+    for g, q in shares.items():
+        few = [rules.least_share * x for x in q[:-1]]
+        mixed = divergence([*few, 1 - sum(few)], q)
+        worst = [divergence([rules.least_share * x + (1 - rules.least_share) * y for x, y in zip(q, r)], q) for r in shares.values()]
+        out[g] = (max(mixed, *worst) if len(worst) > 1 else mixed, mixed)
+    free = max(len(ws) for ws in COMMON_WORDS.values())
+    return out, (free + rules.word_sigmas * math.sqrt(2 * free)) / (8 * math.log(2))
+
+
+def _times(by: Column):
+    return lambda x: x * by
+
+
+def _words_far(s: Column, shares: Column, w: Column, lang: Column, refs: dict, rules: DivergenceRules) -> Column:
+    """The common words alone are far, see ``word_limits``; ``w`` is the distance to the language of the text."""
+    if not refs:
+        return F.lit(False)
+    limits, b = word_limits(refs, rules)
+    n = F.greatest(s["n_words"], F.lit(1)).cast("double")
+    listed = F.coalesce(lang.isin(list(refs)), F.lit(False))
+
+    def top(which):
+        case = F.when(F.lit(False), F.lit(0.0))
+        for g in refs:
+            case = case.when(lang == g, F.lit(limits[g][which]))
+        return F.sqrt(case.otherwise(F.lit(max(x[which] for x in limits.values()))) + F.lit(b) / n)
+
+    # the mixture: each language by its listed words in the text, and one more for the language of the text
+    counts = [sum((s["common"][WORD_LIST.index(x)] for x in COMMON_WORDS[g]), F.lit(0).cast("long"))
+              + F.when(~listed | (lang == g), F.lit(1)).otherwise(F.lit(0)) for g in refs]
+
+    def mixture(c):
+        total = F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x).cast("double")
+        parts = [F.transform(F.array(*[F.lit(x / max(1, sum(k))) for x in k]), _times(c[i]))
+                 for i, (_, k) in enumerate(refs.values())]
+        mixed = parts[0]
+        for part in parts[1:]:
+            mixed = F.zip_with(mixed, part, lambda x, y: x + y)
+        return F.transform(mixed, lambda x: x / total)
+
+    near = bind(F.array(*counts), lambda c: js_distance(shares, mixture(c)))
+    return (w > top(0)) | (near > top(1))
+
+
 def verdict(s: Column, lang: Column, refs: dict, rules: DivergenceRules) -> Column:
     """Struct of the base counts, base_failed, both distances and kept, from ``measures``."""
     def distance(shares, which):
@@ -186,7 +251,7 @@ def verdict(s: Column, lang: Column, refs: dict, rules: DivergenceRules) -> Colu
     def judged(d):
         c, w = F.coalesce(d["c"], F.lit(0.0)), F.coalesce(d["w"], F.lit(0.0))
         near = ((c <= limit(rules.suspect_char, rules.suspect_slack)) | (w <= limit(rules.suspect_word, rules.suspect_slack))) \
-            & (c <= limit(rules.max_char, rules.char_slack))
+            & (c <= limit(rules.max_char, rules.char_slack)) & ~_words_far(s, _shares(s["common"]), w, lang, refs, rules)
         fields = [s[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
         return F.struct(*fields, failed.alias("base_failed"), d["c"].alias("char_distance"), d["w"].alias("word_distance"),
                         (~failed & ((s["n_words"] < rules.min_words) | near)).alias("kept"))
