@@ -89,3 +89,16 @@ def test_words_alone_reject(spark):
     for i in range(1000, 1005):
         assert got[i].char_distance < 0.17 and not got[i].base_failed and not got[i].kept
     assert got[1005].kept and got[1006].kept
+
+
+def test_copies_and_long_texts_move_no_reference(spark):
+    """A hot group of copies and one very long number table: clean texts stay, the junk goes."""
+    rng = random.Random(11)
+    numbers = lambda n: " ".join(str(rng.randrange(10**6)) for _ in range(n))
+    hot = numbers(300)
+    clean = [(i, _prose(60 + 5 * i, "en", i), "en") for i in range(60)]
+    junk = [(1000 + i, hot, "en") for i in range(60)] + [(2000, numbers(20_000), "en"), (2001, "the of and to " * 5_000, "en")]
+    df = spark.createDataFrame(clean + junk, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in qr.drop_low_quality(df).collect()} == {r[0] for r in clean}
+    alone = {r.doc_id: r.q.char_distance for r in qr.with_quality(df.where("doc_id < 1000")).collect()}
+    assert {r.doc_id: r.q.char_distance for r in qr.with_quality(df).where("doc_id < 1000").collect()} == alone

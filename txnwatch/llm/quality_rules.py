@@ -4,8 +4,9 @@ Base counts come from the whole text.  The method's verdict compares two
 histograms of a document, its character classes and its common words, with the
 reference of its language by Jensen-Shannon distance (base 2, from 0 to 1).  A
 reference pools the histograms of all documents of that language that pass the
-length guard; it is one short row per language of ``COMMON_WORDS``, whatever the
-size of the table.  A document whose language has no reference is held against
+length guard (``references``, as the SQL twin of op1 states it).  Filters use
+``steady_references`` instead, which neither copies nor a few long texts can move.  Either
+is one short row per language of ``COMMON_WORDS``, whatever the size of the table.  A document whose language has no reference is held against
 the nearest one.
 
 Guards: below ``min_words`` words no distance is trusted and the method keeps the
@@ -160,6 +161,10 @@ def measures(text: Column) -> Column:
     return bind(F.coalesce(text, F.lit("")), counted)
 
 
+def base_failed(s: Column) -> Column:
+    return (s["n_words"] < BASE_MIN_WORDS) | (100 * s["n_repeat_words"] > BASE_MAX_REPEAT_PERCENT * s["n_words"])
+
+
 def references(measured: DataFrame, rules: DivergenceRules, m: str = "m", lang: str = "lang") -> dict:
     """{language: (character counts, word counts)} pooled over its documents."""
     rows = measured.select(F.col(lang).alias("lang"), F.col(m).alias("m")).where(F.col("lang").isin(list(COMMON_WORDS)))
@@ -171,6 +176,43 @@ def references(measured: DataFrame, rules: DivergenceRules, m: str = "m", lang:
     return {g: ck for g, ck in sorted(out.items()) if sum(ck[1]) >= rules.min_reference}
 
 
+def steady_references(measured: DataFrame, rules: DivergenceRules, m: str, lang: str, digest: str) -> dict:
+    """{language: (character shares, word shares)}, summed in millionths over its texts that pass the base rules,
+    every text once whatever its copies and its length.  Texts whose characters are far from the median text of
+    the language stay out, so texts of another kind move nothing while they are fewer than half."""
+    rows = measured.select(F.col(lang).alias("lang"), F.col(digest).alias("digest"), F.col(m).alias("m"))
+    rows = rows.where(F.col("lang").isin(list(COMMON_WORDS)) & ~base_failed(F.col("m")) & (F.col("m.n_words") >= rules.min_words)
+                      & (100 * F.col("m.n_symbols") <= rules.reference_symbol_percent * F.col("m.n_chars")))
+
+    def millionths(counts):
+        return F.transform(_shares(counts), lambda x: F.floor(x * 1_000_000))
+
+    texts = written(rows.groupBy("lang", "digest").agg(F.first("m").alias("m")).select(
+        "lang", F.col("m.n_words").alias("n"), millionths(F.col("m.chars")).alias("c"), millionths(F.col("m.common")).alias("k")),
+        "quality-texts")
+    bins = texts.select("lang", F.posexplode("c").alias("i", "x")).groupBy("lang", "i", F.floor(F.col("x") / 1000).alias("bin")).count()
+    per: dict = {}
+    for r in bins.collect():                                # at most 7 x 1001 rows a listed language
+        per.setdefault(r["lang"], [{} for _ in range(7)])[r["i"]][r["bin"]] = r["count"]
+
+    def median(n_in):
+        half, seen = (sum(n_in.values()) + 1) // 2, 0
+        for b in sorted(n_in):
+            seen += n_in[b]
+            if seen >= half:
+                return b
+    centre = {g: [median(x) for x in classes] for g, classes in per.items()}
+    if not centre:
+        return {}
+    far = F.when(F.lit(False), F.lit(0.0))
+    for g, mid in centre.items():
+        far = far.when(F.col("lang") == g, js_distance(_shares(F.col("c")), F.array(*[F.lit(x / max(1, sum(mid))) for x in mid])))
+    near = texts.where(far <= F.lit(rules.max_char) + F.lit(rules.char_slack) / F.sqrt(F.col("n").cast("double")))
+    sums = near.groupBy("lang").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("c")[i]) for i in range(7)]).alias("c"),
+                                    F.array(*[F.sum(F.col("k")[i]) for i in range(len(WORD_LIST) + 1)]).alias("k"))
+    return {r["lang"]: (list(r["c"]), list(r["k"])) for r in sorted(sums.collect()) if r["n"] >= rules.min_reference}
+
+
 def divergence(p: list, q: list) -> float:
     """Jensen-Shannon divergence (the squared distance) of two lists of shares, base 2."""
     return max(0.0, sum(x * math.log2(2 * x / (x + y)) for u, v in zip(p, q) for x, y in ((u, v), (v, u)) if x > 0) / 2)
@@ -244,7 +286,7 @@ def verdict(s: Column, lang: Column, refs: dict, rules: DivergenceRules) -> Colu
     def limit(top, slack):
         return F.lit(top) + F.lit(slack) / F.sqrt(F.greatest(s["n_words"], F.lit(1)).cast("double"))
 
-    failed = (s["n_words"] < BASE_MIN_WORDS) | (100 * s["n_repeat_words"] > BASE_MAX_REPEAT_PERCENT * s["n_words"])
+    failed = base_failed(s)
     char = F.round(bind(_shares(s["chars"]), lambda p: distance(p, 0)), 9)
     word = F.round(bind(_shares(s["common"]), lambda p: distance(p, 1)), 9)
 
@@ -260,15 +302,17 @@ def verdict(s: Column, lang: Column, refs: dict, rules: DivergenceRules) -> Colu
 
 
 def with_quality(df: DataFrame, rules: DivergenceRules | None = None, text: str = "text", lang: str = "lang",
-                 out: str = "q", carry: list[str] | None = None) -> DataFrame:
+                 out: str = "q", carry: list[str] | None = None, steady: bool = True) -> DataFrame:
     """The columns ``carry`` of ``df`` (all by default) and one struct column ``out``:
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     char_distance, word_distance, kept.  Texts are measured once and stored with the
-    carried columns; references and verdicts read what is stored."""
+    carried columns; references (``steady_references``, or with ``steady=False`` the plain
+    sums) and verdicts read what is stored."""
     rules, carry = rules or DivergenceRules(), df.columns if carry is None else carry
-    m, g = free_name(df, "m"), free_name(df, "g")
-    stored = written(df.select(*carry, F.col(lang).alias(g), measures(F.col(text)).alias(m)), "quality-measures")
-    refs = references(stored, rules, m, g)
+    m, g, h = free_name(df, "m"), free_name(df, "g"), free_name(df, "h")
+    stored = written(df.select(*carry, F.col(lang).alias(g), F.xxhash64(F.col(text)).alias(h), measures(F.col(text)).alias(m)),
+                     "quality-measures")
+    refs = steady_references(stored, rules, m, g, h) if steady else references(stored, rules, m, g)
     return stored.select(*carry, verdict(F.col(m), F.col(g), refs, rules).alias(out))
 
 
@@ -279,8 +323,9 @@ def drop_low_quality(df: DataFrame, rules: DivergenceRules | None = None) -> Dat
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References are the plain sums that ``op1_sql`` states."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return with_quality(docs, carry=["doc_id"]).select("doc_id", "q.*")
+    return with_quality(docs, carry=["doc_id"], steady=False).select("doc_id", "q.*")
 
 
 def op1_sql(rules: DivergenceRules | None = None) -> str:
