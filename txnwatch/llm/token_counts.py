@@ -6,9 +6,9 @@ is a map from the state it is entered with to its exit state and count.  Past th
 first word start inside it a chunk forgets its entry, so its map is (head, constant
 tail); a chunk inside one long word has no constant part and is tabulated for the
 entry states that the bytes before it allow.  All tails, then all heads, then all
-tables run in lockstep; the maps of a long word's chunks are composed by a parallel
-prefix scan (doubling), extending a table by a run where a composition needs a state
-it lacks, so the counts are exact for any text.
+tables run in lockstep; the maps of a long word's chunks are composed in sequence,
+extending a table by a run where a composition needs a state it lacks, so the counts
+are exact for any text.  A prefix scan of exit states only checks that sequence.
 
 Null text is empty: 0 bytes, 0 tokens.  An empty table gives no rows.
 """
