@@ -51,7 +51,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES = [("language_id", language_stage), ("quality_rules", quality_stage), ("exact_dedup", exact_stage),
           ("simhash_dedup", near_stage), ("packing", packing_stage)]
 
-#: SQL cannot say the language and near-duplicate stages: tests/llm/test_pipeline.py holds the
+#: SQL cannot say the language and near-duplicate stages: tests/llm/test_corpus_pipeline.py holds the
 #: result against a brute-force version.
 ORACLE_SQL = None
 
