@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from txnwatch.llm import exact_dedup, language_id, packing, quality_classifier, quality_rules, sentencepiece_codec, simhash, token_counts, url_filter, warc, word_bpe
+from txnwatch.llm import exact_dedup, language_id, packing, quality_classifier, quality_rules, sentencepiece_codec, simhash, spelling, token_counts, url_filter, warc, word_bpe
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_warc": warc.op9_warc,
     "op10_token_counts": token_counts.op10_token_counts,
     "op12_word_bpe": word_bpe.op12_word_bpe,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 
 ORACLE_SQL = {
