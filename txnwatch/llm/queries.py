@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from txnwatch.llm import exact_dedup, language_id, packing, quality_classifier, quality_rules, sentencepiece_codec, simhash, spelling, token_counts, url_filter, warc, word_bpe
+from txnwatch.llm import alignment, exact_dedup, language_id, packing, quality_classifier, quality_rules, sentencepiece_codec, simhash, spelling, token_counts, url_filter, warc, word_bpe
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_warc": warc.op9_warc,
     "op10_token_counts": token_counts.op10_token_counts,
+    "op11_token_alignment": alignment.op11_token_alignment,
     "op12_word_bpe": word_bpe.op12_word_bpe,
     "op13_spelling_variants": spelling.op13_spelling_variants,
 }
