@@ -2,17 +2,16 @@
 
 Base counts come from the whole text.  The method's verdict compares two
 histograms of a document, its character classes and its common words, with the
-reference of its language by Jensen-Shannon distance (base 2, from 0 to 1).  A
-reference pools the histograms of all documents of that language that pass the
-length guard (``references``, as the SQL twin of op1 states it).  Filters use
-``steady_references`` instead, which neither copies nor a few long texts can move.  Either
-is one short row per language of ``COMMON_WORDS``, whatever the size of the table.  A document whose language has no reference is held against
-the nearest one.
+reference of its language by Jensen-Shannon distance (base 2, from 0 to 1).  A reference
+(``references``) pools the shares of the texts of that language, each text once, so neither
+copies nor a few long texts can move it: one short row per language of ``COMMON_WORDS``,
+whatever the size of the table.  The query, its SQL and the pipeline share all of this.
 
 Guards: below ``min_words`` words no distance is trusted and the method keeps the
-document; a reference made of fewer than ``min_reference`` words is not used.
-Small samples stray further from their source, so the limits widen with
-``1 / sqrt(n)``.  A mixture of clean passages strays in one histogram only, so a text is
+document, as it does where the language named has no reference (another language, or one
+with fewer than ``min_reference`` words); a document without a language is held against
+the nearest reference.  Small samples stray further from their source, so the limits widen
+with ``1 / sqrt(n)``.  A mixture of clean passages strays in one histogram only, so a text is
 dropped where both distances pass their limits, the character distance alone a higher one, or
 the common words alone are far (``word_limits``): from the language of the text, as only a text
 with less than ``least_share`` of it is, or from every mixture of the languages, as only a text
@@ -165,18 +164,7 @@ def base_failed(s: Column) -> Column:
     return (s["n_words"] < BASE_MIN_WORDS) | (100 * s["n_repeat_words"] > BASE_MAX_REPEAT_PERCENT * s["n_words"])
 
 
-def references(measured: DataFrame, rules: DivergenceRules, m: str = "m", lang: str = "lang") -> dict:
-    """{language: (character counts, word counts)} pooled over its documents."""
-    rows = measured.select(F.col(lang).alias("lang"), F.col(m).alias("m")).where(F.col("lang").isin(list(COMMON_WORDS)))
-    rows = rows.where((F.col("m.n_words") >= rules.min_words)
-                      & (100 * F.col("m.n_symbols") <= rules.reference_symbol_percent * F.col("m.n_chars")))
-    sums = rows.groupBy("lang").agg(F.array(*[F.sum(F.col("m.chars")[i]) for i in range(7)]).alias("c"),
-                                    F.array(*[F.sum(F.col("m.common")[i]) for i in range(len(WORD_LIST) + 1)]).alias("k"))
-    out = {r["lang"]: (list(r["c"]), list(r["k"])) for r in sums.collect()}         # one row a listed language
-    return {g: ck for g, ck in sorted(out.items()) if sum(ck[1]) >= rules.min_reference}
-
-
-def steady_references(measured: DataFrame, rules: DivergenceRules, m: str, lang: str, digest: str) -> dict:
+def references(measured: DataFrame, rules: DivergenceRules, m: str, lang: str, digest: str) -> dict:
     """{language: (character shares, word shares)}, summed in millionths over its texts that pass the base rules,
     every text once whatever its copies and its length.  Texts whose characters are far from the median text of
     the language stay out, so texts of another kind move nothing while they are fewer than half."""
@@ -273,7 +261,7 @@ def _words_far(s: Column, shares: Column, w: Column, lang: Column, refs: dict, r
 
 
 def verdict(s: Column, lang: Column, refs: dict, rules: DivergenceRules) -> Column:
-    """Struct of the base counts, base_failed, both distances and kept, from ``measures``."""
+    """Struct of the base counts, base_failed, kept and both distances (null without a reference), from ``measures``."""
     def distance(shares, which):
         each = {g: F.array(*[F.lit(x / max(1, sum(ck[which]))) for x in ck[which]]) for g, ck in refs.items()}
         if not each:
@@ -281,7 +269,7 @@ def verdict(s: Column, lang: Column, refs: dict, rules: DivergenceRules) -> Colu
         case = F.when(F.lit(False), F.lit(0.0))
         for g, q in each.items():
             case = case.when(lang == g, js_distance(shares, q))
-        return case.otherwise(F.array_min(F.array(*[js_distance(shares, q) for q in each.values()])))
+        return case.when(lang.isNull(), F.array_min(F.array(*[js_distance(shares, q) for q in each.values()])))
 
     def limit(top, slack):
         return F.lit(top) + F.lit(slack) / F.sqrt(F.greatest(s["n_words"], F.lit(1)).cast("double"))
@@ -295,25 +283,25 @@ def verdict(s: Column, lang: Column, refs: dict, rules: DivergenceRules) -> Colu
         near = ((c <= limit(rules.suspect_char, rules.suspect_slack)) | (w <= limit(rules.suspect_word, rules.suspect_slack))) \
             & (c <= limit(rules.max_char, rules.char_slack)) & ~_words_far(s, _shares(s["common"]), w, lang, refs, rules)
         fields = [s[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-        return F.struct(*fields, failed.alias("base_failed"), d["c"].alias("char_distance"), d["w"].alias("word_distance"),
-                        (~failed & ((s["n_words"] < rules.min_words) | near)).alias("kept"))
+        unknown = lang.isNotNull() & ~lang.isin(list(refs))
+        kept = ~failed & ((s["n_words"] < rules.min_words) | unknown | near)
+        return F.struct(*fields, failed.alias("base_failed"), kept.alias("kept"), d["c"].alias("char_distance"), d["w"].alias("word_distance"))
 
     return bind(F.struct(char.alias("c"), word.alias("w")), judged)
 
 
 def with_quality(df: DataFrame, rules: DivergenceRules | None = None, text: str = "text", lang: str = "lang",
-                 out: str = "q", carry: list[str] | None = None, steady: bool = True) -> DataFrame:
-    """The columns ``carry`` of ``df`` (all by default) and one struct column ``out``:
-    n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    char_distance, word_distance, kept.  Texts are measured once and stored with the
-    carried columns; references (``steady_references``, or with ``steady=False`` the plain
-    sums) and verdicts read what is stored."""
+                 out: str = "q", carry: list[str] | None = None) -> DataFrame:
+    """The columns ``carry`` of ``df`` (all by default) and one struct column ``out`` (under a
+    longer name where a carried column has that one): n_words, word_chars, n_symbols,
+    n_dup_lines, n_repeat_words, base_failed, kept, char_distance, word_distance.  Texts are
+    measured once and stored with the carried columns; references and verdicts read what is stored."""
     rules, carry = rules or DivergenceRules(), df.columns if carry is None else carry
     m, g, h = free_name(df, "m"), free_name(df, "g"), free_name(df, "h")
     stored = written(df.select(*carry, F.col(lang).alias(g), F.xxhash64(F.col(text)).alias(h), measures(F.col(text)).alias(m)),
                      "quality-measures")
-    refs = steady_references(stored, rules, m, g, h) if steady else references(stored, rules, m, g)
-    return stored.select(*carry, verdict(F.col(m), F.col(g), refs, rules).alias(out))
+    refs = references(stored, rules, m, g, h)
+    return stored.select(*carry, verdict(F.col(m), F.col(g), refs, rules).alias(free_name(df.select(*carry), out)))
 
 
 def drop_low_quality(df: DataFrame, rules: DivergenceRules | None = None) -> DataFrame:
@@ -323,9 +311,15 @@ def drop_low_quality(df: DataFrame, rules: DivergenceRules | None = None) -> Dat
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References are the plain sums that ``op1_sql`` states."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return with_quality(docs, carry=["doc_id"], steady=False).select("doc_id", "q.*")
+    return with_quality(docs, carry=["doc_id"]).select("doc_id", "q.*")
+
+
+def _js_sql(p: str, q: str) -> str:
+    """SQL of the Jensen-Shannon divergence of two lists of shares."""
+    def term(x, y):
+        return f"CASE WHEN {x} > 0 THEN {x} * log2(2 * {x} / ({x} + {y})) ELSE 0 END"
+    return f"greatest(0, list_sum(list_transform(list_zip({p}, {q}), lambda e: {term('e[1]', 'e[2]')} + {term('e[2]', 'e[1]')})) / 2)"
 
 
 def op1_sql(rules: DivergenceRules | None = None) -> str:
@@ -334,14 +328,24 @@ def op1_sql(rules: DivergenceRules | None = None) -> str:
     blank, n_words = r"[\x20\x09-\x0D]", len(WORD_LIST)
     quoted = ", ".join(f"'{w}'" for w in WORD_LIST)
     langs = ", ".join(f"'{g}'" for g in COMMON_WORDS)
+    listed = "CASE g " + " ".join(f"WHEN '{g}' THEN {[WORD_LIST.index(w) + 1 for w in ws]}" for g, ws in COMMON_WORDS.items()) + " END"
+    free = max(len(ws) for ws in COMMON_WORDS.values())
+    b = (free + r.word_sigmas * math.sqrt(2 * free)) / (8 * math.log(2))
 
     def gone(c, of="t"):
         return f"(length({of}) - length(regexp_replace({of}, '{c}', '', 'g')))"
 
+    def shares(counts):
+        return f"list_transform({counts}, lambda x: coalesce(x::DOUBLE / nullif(list_sum({counts}), 0), 0))"
+
+    def limit(top, slack):
+        return f"{top} + {slack} / sqrt(greatest(n_words, 1))"
+
     marks = r"[.,;:!?''\"()-]".replace('\\"', '"')
     classes = [gone("[a-z]"), gone("[A-Z]"), gone("[0-9]"), gone(blank), gone(marks)]
     beyond = gone(r"[^\x00-\x7F]")
     chars = f"[{', '.join(classes)}, length(t) - {' - '.join(classes)} - {beyond}, {beyond}]"
+    few = f"list_transform(q[1:{n_words}], lambda x: {r.least_share} * x)"
     return rf"""
 WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, list_filter(regexp_split_to_array(t, '{blank}+'), lambda x: x <> '') AS ws FROM d),
@@ -353,26 +357,47 @@ win AS (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS x FROM (SELECT do
 seen AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS n FROM win),
 cover AS (SELECT doc_id, least(5, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 5)) AS s FROM seen WHERE n > 1),
 rep AS (SELECT doc_id, sum(s) AS n_repeat_words FROM cover GROUP BY doc_id),
-ok AS (SELECT * FROM h WHERE lang IN ({langs}) AND n_words >= {r.min_words} AND 100 * n_symbols <= {r.reference_symbol_percent} * length(t)),
-ref AS (SELECT lang AS g, list(v ORDER BY k) AS v, kind, sum(v) AS n FROM (
-    SELECT lang, 'c' AS kind, k, sum(chars[k]) AS v FROM ok, (SELECT unnest(range(1, 8)) AS k) GROUP BY lang, k UNION ALL
-    SELECT lang, 'w', k, sum(words[k]) FROM ok, (SELECT unnest(range(1, {n_words + 2})) AS k) GROUP BY lang, k) GROUP BY lang, kind),
-fit AS (SELECT * FROM ref WHERE g IN (SELECT g FROM ref WHERE kind = 'w' AND n >= {r.min_reference})),
-js AS (SELECT h.doc_id, fit.g, kind, h.lang, list_transform(range(1, len(v) + 1), lambda k: struct_pack(
-        p := coalesce((CASE kind WHEN 'c' THEN chars[k] ELSE words[k] END)::DOUBLE
-             / nullif(CASE kind WHEN 'c' THEN length(t) ELSE n_words END, 0), 0), q := v[k]::DOUBLE / n)) AS z
-       FROM h, fit WHERE h.lang = fit.g OR h.lang IS NULL OR h.lang NOT IN (SELECT g FROM fit)),
-dist AS (SELECT doc_id, kind, min(sqrt(greatest(0, list_sum(list_transform(z, lambda e:
-        (CASE WHEN e.p > 0 THEN e.p * log2(2 * e.p / (e.p + e.q)) ELSE 0 END)
-        + (CASE WHEN e.q > 0 THEN e.q * log2(2 * e.q / (e.p + e.q)) ELSE 0 END))) / 2))) AS x FROM js GROUP BY doc_id, kind),
-s AS (SELECT h.doc_id, n_words::BIGINT AS n_words, length(regexp_replace(t, '{blank}+', '', 'g'))::BIGINT AS word_chars,
-        n_symbols::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
-        coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, round(dc.x, 9) AS char_distance, round(dw.x, 9) AS word_distance
-      FROM h LEFT JOIN rep USING (doc_id) LEFT JOIN dist dc ON dc.doc_id = h.doc_id AND dc.kind = 'c'
-      LEFT JOIN dist dw ON dw.doc_id = h.doc_id AND dw.kind = 'w'),
-b AS (SELECT *, n_words < {BASE_MIN_WORDS} OR 100 * n_repeat_words > {BASE_MAX_REPEAT_PERCENT} * n_words AS base_failed FROM s)
-SELECT *, NOT base_failed AND (n_words < {r.min_words} OR (
-    (coalesce(char_distance, 0) <= {r.suspect_char} + {r.suspect_slack} / sqrt(greatest(n_words, 1))
-     OR coalesce(word_distance, 0) <= {r.suspect_word} + {r.suspect_slack} / sqrt(greatest(n_words, 1)))
-    AND coalesce(char_distance, 0) <= {r.max_char} + {r.char_slack} / sqrt(greatest(n_words, 1)))) AS kept FROM b
+m AS (SELECT h.*, coalesce(n_repeat_words, 0)::BIGINT AS n_rep, n_words < {BASE_MIN_WORDS}
+        OR 100 * coalesce(n_repeat_words, 0) > {BASE_MAX_REPEAT_PERCENT} * n_words AS base_failed FROM h LEFT JOIN rep USING (doc_id)),
+-- references: every text once, in millionths; far from the median text stays out
+ok AS (SELECT DISTINCT lang AS g, t, n_words, chars, words FROM m WHERE lang IN ({langs}) AND NOT base_failed
+        AND n_words >= {r.min_words} AND 100 * n_symbols <= {r.reference_symbol_percent} * length(t)),
+mil AS (SELECT g, n_words, list_transform({shares('chars')}, lambda x: floor(x * 1000000)::BIGINT) AS c,
+        list_transform({shares('words')}, lambda x: floor(x * 1000000)::BIGINT) AS k FROM ok),
+mid AS (SELECT g, i, list_sort(list(c[i] // 1000))[(count(*) + 1) // 2] AS x FROM mil, (SELECT unnest(range(1, 8)) AS i) GROUP BY g, i),
+cen AS (SELECT g, list(x::DOUBLE / greatest(1, s) ORDER BY i) AS q FROM (SELECT *, sum(x) OVER (PARTITION BY g) AS s FROM mid) GROUP BY g),
+near AS (SELECT mil.* FROM mil JOIN cen USING (g) WHERE sqrt({_js_sql(shares('c'), 'q')}) <= {limit(r.max_char, r.char_slack)}),
+sums AS (SELECT g, list(v ORDER BY i) AS v, kind FROM (
+    SELECT g, 'c' AS kind, i, sum(c[i]) AS v FROM near, (SELECT unnest(range(1, 8)) AS i) GROUP BY g, i UNION ALL
+    SELECT g, 'w', i, sum(k[i]) FROM near, (SELECT unnest(range(1, {n_words + 2})) AS i) GROUP BY g, i) GROUP BY g, kind),
+fit AS (SELECT g, kind, list_transform(v, lambda x: x::DOUBLE / greatest(1, list_sum(v))) AS q FROM sums
+        WHERE g IN (SELECT g FROM near GROUP BY g HAVING sum(n_words) >= {r.min_reference})),
+-- limits on the common words alone
+worst AS (SELECT a.g, max({_js_sql(f"list_transform(list_zip(a.q, o.q), lambda e: {r.least_share} * e[1] + {1 - r.least_share} * e[2])", 'a.q')}) AS x
+          FROM fit a, fit o WHERE a.kind = 'w' AND o.kind = 'w' AND a.g <> o.g GROUP BY a.g),
+lim AS (SELECT g, greatest(mixed, coalesce(x, 0)) AS own, mixed FROM (
+    SELECT g, {_js_sql(f"list_append({few}, 1 - list_sum({few}))", 'q')} AS mixed FROM fit WHERE kind = 'w') LEFT JOIN worst USING (g)),
+-- distances to the language of a text, or the nearest where it has none
+dist AS (SELECT doc_id, kind, min(sqrt({_js_sql(f"CASE kind WHEN 'c' THEN {shares('chars')} ELSE {shares('words')} END", 'q')})) AS x
+         FROM m JOIN fit ON m.lang = fit.g OR m.lang IS NULL GROUP BY doc_id, kind),
+part AS (SELECT doc_id, words, n_words, q, list_sum(list_transform({listed}, lambda i: words[i])) + 1 AS n
+         FROM (SELECT m.doc_id, m.lang, m.words, m.n_words, fit.g, fit.q FROM m, fit WHERE kind = 'w') WHERE lang IS NULL OR lang = g
+         UNION ALL SELECT doc_id, words, n_words, q, list_sum(list_transform({listed}, lambda i: words[i]))
+         FROM (SELECT m.doc_id, m.lang, m.words, m.n_words, fit.g, fit.q FROM m, fit WHERE kind = 'w') WHERE lang <> g AND lang IN (SELECT g FROM fit)),
+mix AS (SELECT doc_id, any_value(words) AS words, list(struct_pack(q := q, n := n)) AS parts, sum(n) AS total FROM part GROUP BY doc_id),
+mixed AS (SELECT doc_id, sqrt({_js_sql(shares('words'), f"list_transform(range(1, {n_words + 2}), lambda k: list_sum(list_transform(parts, lambda e: e.q[k] * e.n / total)))")}) AS x FROM mix),
+s AS (SELECT m.doc_id, n_words::BIGINT AS n_words, length(regexp_replace(t, '{blank}+', '', 'g'))::BIGINT AS word_chars,
+        n_symbols::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, n_rep AS n_repeat_words, base_failed,
+        round(dc.x, 9) AS char_distance, round(dw.x, 9) AS word_distance, mixed.x AS mixture,
+        m.lang IS NOT NULL AND m.lang NOT IN (SELECT g FROM fit) AS unknown,
+        coalesce(lim.own, (SELECT max(own) FROM lim)) AS own, coalesce(lim.mixed, (SELECT max(mixed) FROM lim)) AS least
+      FROM m LEFT JOIN dist dc ON dc.doc_id = m.doc_id AND dc.kind = 'c' LEFT JOIN dist dw ON dw.doc_id = m.doc_id AND dw.kind = 'w'
+      LEFT JOIN mixed ON mixed.doc_id = m.doc_id LEFT JOIN lim ON lim.g = m.lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT base_failed AND (n_words < {r.min_words} OR unknown OR (
+        (coalesce(char_distance, 0) <= {limit(r.suspect_char, r.suspect_slack)} OR coalesce(word_distance, 0) <= {limit(r.suspect_word, r.suspect_slack)})
+        AND coalesce(char_distance, 0) <= {limit(r.max_char, r.char_slack)}
+        AND coalesce(word_distance, 0) <= sqrt(coalesce(own, 2) + {b} / greatest(n_words, 1))
+        AND coalesce(mixture, 0) <= sqrt(coalesce(least, 2) + {b} / greatest(n_words, 1)))) AS kept, char_distance, word_distance
+FROM s
 """
