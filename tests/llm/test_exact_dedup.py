@@ -49,3 +49,28 @@ def test_empty(spark, tmp_path):
     df = _docs(spark, [], tmp_path)
     assert exact_groups(df).count() == 0
     assert drop_exact_copies(df).count() == 0
+
+
+def test_executors_that_change_lose_nothing(spark, tmp_path):
+    """Spark deals files to tasks by the cores it has: keys must not follow the deal."""
+    path = str(tmp_path / "d")
+    spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(6).write.parquet(path)
+    name, counts = "spark.sql.leafNodeDefaultParallelism", set()
+    before = spark.conf.get(name, None)
+    try:
+        for build, read in ((4, 4), (4, 1), (1, 4)):
+            spark.conf.set(name, build)
+            out, groups = drop_exact_copies(spark.read.parquet(path)), exact_groups(spark.read.parquet(path)).where("kept")
+            spark.conf.set(name, read)
+            counts |= {out.count(), groups.count()}
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+    assert len(counts) == 1
+
+
+def test_derived_tables_are_stored_first(spark, tmp_path):
+    df = _docs(spark, ROWS, tmp_path)
+    twice = df.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))       # rows of one place in a file
+    assert drop_exact_copies(twice).count() == 7
+    assert drop_exact_copies(df.unionByName(df)).count() == 7
+    assert sum(r.kept for r in exact_groups(twice).collect()) == 7

@@ -52,7 +52,7 @@ def test_automaton_shares_suffixes():
 
 def test_merge_is_the_library(library):
     bpe = word_bpe.load(PATH)
-    lex = Lexicon(build({w: bpe.merge(w) for w in (b"the", b"hello", "café".encode())}))
+    lex = Lexicon(build({w.encode(): bpe.merge(w) for w in ("the", "hello", "café")}))
     rng = random.Random(5)
     texts = ODD + ["".join(rng.choice("aAbé 's1²!\ńß漢<|>endoftext") for _ in range(200)) for _ in range(300)]
     n, ids = word_bpe.encode_texts(bpe, lex, texts)

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from itertools import chain
+
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,9 +40,30 @@ def bind(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _is_scan(df: DataFrame) -> bool:
+    """Whether ``df`` is a file table, or columns and rows picked from one."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias", "View"):
+        plan = plan.children().head()
+    return plan.nodeName().startswith(("LogicalRelation", "Relation"))
+
+
+def stored_rows(df: DataFrame) -> DataFrame:
+    """``df`` itself where its rows have a place in a Parquet file, else a stored copy."""
+    if _is_scan(df):
+        try:
+            df.select("_metadata.file_path", "_metadata.row_index")
+            return df
+        except AnalysisException:
+            pass
+    return written(df, "rows")
+
+
 def with_row_id(df: DataFrame, name: str = "_row") -> DataFrame:
-    """A row key that survives recomputation: (input partition, position in it)."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+    """Columns of ``stored_rows`` with a key as text: the file that a row lies in (a hash of its path) and its
+    place there.  It is the same in every plan, however the files are dealt to tasks."""
+    place = F.concat_ws(":", F.hex(F.xxhash64("_metadata.file_path")), F.col("_metadata.row_index").cast("string"))
+    return df.withColumn(name, place)
 
 
 def id_text(name: str) -> Column:
@@ -66,6 +91,7 @@ def doc_columns(df: DataFrame, *names: str) -> DataFrame:
 
 def distinct(split: list[list[str]]) -> tuple[np.ndarray, list[str]]:
     """The distinct words of all lists, and for every occurrence in turn its place among them."""
-    place: dict = {}
-    code = [place.setdefault(w, len(place)) for words in split for w in words]
-    return np.array(code, np.int64), list(place)
+    place: defaultdict = defaultdict()
+    place.default_factory = place.__len__
+    code = np.fromiter(map(place.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
+    return code, list(place)

@@ -16,8 +16,8 @@ digest alone where the second round found one text for it, and on digest and
 full text for the rows of a digest that has several.
 
 Of equal texts the row with the smallest id stays, a null id counting as the
-largest; repeated rows with the same id keep the first in input order.  An empty
-table gives no rows.
+largest; of repeated rows with the same id one stays, the one whose place in its file
+has the least hash, whatever the number of executors.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnwatch.llm.common import BLANK_RUN, free_name, table, with_row_id, written
+from txnwatch.llm.common import BLANK_RUN, free_name, stored_rows, table, with_row_id, written
 
 SALTS = 16
 _MAX = (1 << 63) - 1
@@ -43,12 +43,12 @@ def sha256(text: Column) -> Column:
 def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", salts: int = SALTS,
                  digest=sha256) -> DataFrame:
     """One row per row of ``df``: doc_id, keep_id, group_size, kept, text_sha256,
-    and ``_row``, the row's key (``with_row_id`` of ``df``)."""
-    rows = with_row_id(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text")))
+    and ``_row``, the row's key (``with_row_id`` of ``stored_rows``)."""
+    rows = with_row_id(stored_rows(df).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text")))
     rows = rows.select("doc_id", "_row", normalised(F.col("_text")).alias("_norm"))
     rows = rows.select("*", digest(F.col("_norm")).alias("_digest"))
-    # (id, row) as one exact number: it orders as the pair and suits a hash aggregate
-    first = F.expr(f"cast(coalesce(doc_id, {_MAX}) as decimal(19,0)) * {_UNIT} + _row")
+    # (id, hash of the row's key) as one exact number: it orders as the pair and suits a hash aggregate
+    first = F.expr(f"cast(coalesce(doc_id, {_MAX}) as decimal(19,0)) * {_UNIT} + (xxhash64(_row) & {_MAX})")
     combine = (F.min("_first").alias("_first"), F.sum("_n").alias("_n"))
 
     salted = rows.select("_digest", F.pmod(F.spark_partition_id(), F.lit(salts)).alias("_salt"), "_norm",
@@ -65,16 +65,15 @@ def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", salt
         by_text = told.select("_digest", "_norm", first.alias("_first"), F.lit(1).cast("long").alias("_n")) \
             .groupBy("_digest", "_norm").agg(*combine)
         out = out.unionByName(told.join(by_text, ["_digest", "_norm"]).drop("_norm"))
-    keep_row = F.expr(f"cast(pmod(_first, {_UNIT}) as long)")
     keep_id = F.expr(f"cast((_first - pmod(_first, {_UNIT})) / {_UNIT} as long)")
     keep_id = F.when(keep_id == _MAX, F.when(F.col("doc_id") == _MAX, F.col("doc_id"))).otherwise(keep_id)
     return out.select("doc_id", keep_id.alias("keep_id"), F.col("_n").alias("group_size"),
-                      (F.col("_row") == keep_row).alias("kept"), F.lower(F.hex("_digest")).alias("text_sha256"), "_row")
+                      (F.col("_first") == first).alias("kept"), F.lower(F.hex("_digest")).alias("text_sha256"), "_row")
 
 
 def drop_exact_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", salts: int = SALTS) -> DataFrame:
-    """``df`` with one row of each group of equal texts, all its columns unchanged.
-    ``df`` must be a stored table: its row keys are taken twice."""
+    """``df`` with one row of each group of equal texts, all its columns unchanged."""
+    df = stored_rows(df)
     row = free_name(df, "_row")
     kept = exact_groups(df, doc_id, text, salts).where("kept").select(F.col("_row").alias(row))
     return with_row_id(df, row).join(kept, row, "left_semi").drop(row)

@@ -1,7 +1,7 @@
 """Encoding and decoding with word-end BPE files through a lexicon automaton.
 
-The words of all documents are counted; the ``words`` most frequent ones (a documented
-bound on the model, not on the result) are merged once and compiled into a minimal
+The words of all documents are counted; the most frequent ones (at most ``words``, a
+documented bound on the model, not on the result) are merged once and compiled into a minimal
 acyclic transducer from bytes to ids (``lexicon``).  Its array is stored in the shared
 folder and handed out as a Spark file; every executor maps its copy into memory, so
 the Python workers of a machine share it.  A word that the lexicon does not hold is
@@ -35,16 +35,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txnwatch.llm.byte_bpe import _byte_of_char
-from txnwatch.llm.common import distinct, python_ready, table
+from txnwatch.llm.common import distinct, python_ready, table, written
 from txnwatch.llm.lexicon import Lexicon, build, ragged
 from txnwatch.session import work_dir
 
 WORDS = 50_000            # words in the lexicon (at most; a bound on its size)
-LOOSE = 1 << 22           # characters that are encoded together
+LOOSE = 1 << 20           # characters that are encoded together
+SEEN = 1 << 16            # unseen words that a worker remembers
+SHORT = 32                # symbols of a word up to which looking through all pairs beats a heap
 
 # Fixed value: the published word pattern of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# The same on lower-case texts of ASCII and of Latin-1, whose classes are settled.
 _ASCII = re.compile(r"'(?:[stmd]|re|ve|ll)|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
+_LATIN = re.compile(r"'(?:[stmd]|re|ve|ll)|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\t-\r \x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
+
+
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 class _Lower(dict):
@@ -95,12 +107,13 @@ class WordBpe:
         self._byte_of = _byte_of_char()
         suffix = model["end_of_word_suffix"]
         vocab = model["vocab"]
-        self.inner = np.array([vocab[self._char_of[b]] for b in range(256)], np.int64)
-        self.last = np.array([vocab[self._char_of[b] + suffix] for b in range(256)], np.int64)
+        self.inner = [vocab[self._char_of[b]] for b in range(256)]
+        self.last = [vocab[self._char_of[b] + suffix] for b in range(256)]
         self.merges = {}
         for rank, m in enumerate(model["merges"]):
             left, right = m.split(" ") if isinstance(m, str) else m
             self.merges[vocab[left], vocab[right]] = (rank, vocab[left + right])
+        self._merged = functools.lru_cache(maxsize=SEEN)(self.merge)
         self.tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in self.added.items()}
 
     def _library_kind(self, c: str) -> str:
@@ -108,31 +121,58 @@ class WordBpe:
             return "S"
         return "L" if len(self._pre("a" + c)) == 1 else "O" if len(self._pre("!" + c)) == 1 else "N"
 
-    def _part(self, text: str) -> list[bytes]:
+    def _part(self, text: str) -> list[str]:
         if text.isascii():
-            return [w.encode() for w in _ASCII.findall(text.lower())]
+            return _ASCII.findall(text.lower())
+        if _latin(text):
+            return _LATIN.findall(text.lower())
         if unicodedata.is_normalized("NFC", text):
             low = text.translate(self._lower)
             if not self._lower.odd or self._lower.odd.isdisjoint(low):
-                return [w.encode() for w in self._words.findall(low)]
-        return [bytes(self._byte_of[c] for c in w) for w, _ in self._pre(self._normalise(text))]
+                return self._words.findall(low)
+        return [bytes(self._byte_of[c] for c in w).decode() for w, _ in self._pre(self._normalise(text))]
 
-    def words(self, text: str | None) -> list:
-        """The words of a text as bytes; special strings stand among them as str."""
+    def words(self, text: str | None) -> list[str]:
+        """The words of a text; special strings stand among them behind a blank, which no word holds."""
         if not text:
             return []
         if not any(t in text for t in self.added):
             return self._part(text)
         out: list = []
         for k, part in enumerate(self._added.split(text)):
-            out += [part] if k % 2 else self._part(part)
+            out += [" " + part] if k % 2 else self._part(part)
         return out
 
-    def merge(self, word: bytes) -> tuple:
+    def ids(self, word: str) -> tuple:
+        """Ids of one of ``words``."""
+        return (self.added[word[1:]],) if word[0] == " " else self._merged(word)
+
+    def merge(self, word: str) -> tuple:
         """Ids of a word by its merges: lowest rank first, of equal ranks the leftmost."""
-        data = np.frombuffer(word, np.uint8)
-        ids = self.inner[data].tolist()
-        ids[-1] = int(self.last[data[-1]])
+        data = word.encode()
+        ids = [self.inner[b] for b in data]
+        ids[-1] = self.last[data[-1]]
+        return self._merge_short(ids) if len(ids) <= SHORT else self._merge_long(ids)
+
+    def _merge_short(self, ids: list) -> tuple:
+        """All pairs' merges side by side, looked through for every merge."""
+        found, never = self.merges.get, (len(self.merges), -1)
+        pairs = [found(p, never) for p in zip(ids, ids[1:])]
+        while pairs:
+            best = min(pairs)
+            if best is never:
+                break
+            k = pairs.index(best)
+            ids[k:k + 2] = [best[1]]
+            del pairs[k]
+            if k:
+                pairs[k - 1] = found((ids[k - 1], ids[k]), never)
+            if k < len(pairs):
+                pairs[k] = found((ids[k], ids[k + 1]), never)
+        return tuple(ids)
+
+    def _merge_long(self, ids: list) -> tuple:
+        """The same with a heap of merges, n log n."""
         n = len(ids)
         before, after, heap = list(range(-1, n - 1)), list(range(1, n + 1)), []
         for k in range(n - 1):
@@ -172,12 +212,11 @@ def encode_texts(bpe: WordBpe, lexicon: Lexicon, texts: list) -> tuple[np.ndarra
     code, words = distinct(split)
     if not words:
         return np.zeros(len(texts), np.int64), np.zeros(0, np.int64)
-    held, sizes, ids = lexicon.lookup([w if isinstance(w, bytes) else b"" for w in words])
+    held, sizes, ids = lexicon.lookup([w.encode() for w in words])
     starts = np.cumsum(sizes) - sizes
     more: list = []
     for k in np.flatnonzero(~held).tolist():
-        w = words[k]
-        found = bpe.merge(w) if isinstance(w, bytes) else (bpe.added[w],)
+        found = bpe.ids(words[k])
         starts[k], sizes[k] = len(ids) + len(more), len(found)
         more += found
     ids = np.concatenate([ids, np.array(more, np.int64)])
@@ -210,16 +249,23 @@ def _counted(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
             seen: Counter = Counter()
             for t in b.column(0).slice(i, j - i).to_pylist():
                 seen.update(bpe.words(t))
-            rows = [(w, n) for w, n in seen.items() if isinstance(w, bytes)]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.binary()), pa.array([n for _, n in rows], pa.int64())], ["word", "n"])
+            rows = [(w, n) for w, n in seen.items() if w[0] != " "]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], ["word", "n"])
 
 
-def frequent_words(df: DataFrame, path: str, text: str = "text", words: int = WORDS) -> list[bytes]:
-    """The ``words`` most frequent words of all texts (ties by bytes)."""
+def frequent_words(df: DataFrame, path: str, text: str = "text", words: int = WORDS) -> list[str]:
+    """The most frequent words of all texts, at most ``words``: those above the least count (in
+    steps of an eighth of a power of two) that no more than ``words`` words reach."""
     python_ready(df.sparkSession)
-    counts = df.select(F.col(text).cast("string").alias("text")).mapInArrow(lambda it: _counted(it, path), "word binary, n long")
-    top = counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words)
-    return [bytes(r["word"]) for r in top.collect()]
+    counts = df.select(F.col(text).cast("string").alias("text")).mapInArrow(lambda it: _counted(it, path), "word string, n long")
+    counts = written(counts.groupBy("word").agg(F.floor(8 * F.log2(F.sum("n"))).alias("step")).where(F.col("step") > 0), "lexicon-words")
+    total, least = 0, None
+    for r in counts.groupBy("step").count().orderBy(F.desc("step")).collect():     # at most 8 x 63 rows
+        total += r["count"]
+        if total > words:
+            break
+        least = r["step"]
+    return [] if least is None else [r["word"] for r in counts.where(F.col("step") >= least).select("word").collect()]
 
 
 def ship_lexicon(spark: SparkSession, flat: np.ndarray) -> str:
@@ -243,7 +289,7 @@ def ship_lexicon(spark: SparkSession, flat: np.ndarray) -> str:
 def compile_lexicon(df: DataFrame, path: str, text: str = "text", words: int = WORDS) -> str:
     """Count, merge and compile the frequent words of ``df``; returns the Spark file name."""
     bpe = load(path)
-    return ship_lexicon(df.sparkSession, build({w: bpe.merge(w) for w in frequent_words(df, path, text, words)}))
+    return ship_lexicon(df.sparkSession, build({w.encode(): bpe.merge(w) for w in frequent_words(df, path, text, words)}))
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, name: str) -> Iterator[pa.RecordBatch]:
