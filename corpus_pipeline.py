@@ -9,7 +9,7 @@ its predecessor kept and learns only from them:
    posterior under 0.5) go;
 2. quality rules: rows that fail the base rules or diverge from their language go;
 3. exact dedup: one row of each group of equal texts stays;
-4. SimHash near-dedup: one row of each component stays (smallest id, then input order);
+4. SimHash near-dedup: one row of each component stays (smallest id, then least row key);
 5. packing: one row per piece, the digests of ``op6_packing``.
 
 Repeated rows, null columns and clashing extra columns are handled by the operators;
