@@ -25,7 +25,6 @@ are broadcast, and only the links of the others, each in few documents, are shuf
 from __future__ import annotations
 
 import functools
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,14 +34,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txnwatch.llm.byte_bpe import _byte_of_char
-from txnwatch.llm.common import distinct, free_name, python_ready, table, written
+from txnwatch.llm.common import distinct, free_name, one_thread, python_ready, stretches, table, written
 from txnwatch.llm.lexicon import ragged
 
 HEAD = 1 << 16            # id pairs that are broadcast
 LOOSE = 1 << 22           # characters that are aligned together
 MARK = "▁"
-#: From a blank that follows no blank to the next such blank.
-_STRETCH = re.compile(r" \s*(?:\S+(?:[^\S ]\s*\S+)*(?:[^\S ]\s*)?)?")
 
 
 @dataclass
@@ -98,7 +95,7 @@ class Pair:
             and not any(MARK in p.lstrip(MARK) for p in pieces)
 
     def stretches(self, text: str) -> list[str]:
-        out = _STRETCH.findall(" " + text) if self.cuts else [" " + text]
+        out = stretches(" " + text) if self.cuts else [" " + text]
         if len(out) > 1 and out[-1] == " ":          # B adds no space to nothing
             out[-2:] = [out[-2] + out[-1]]
         return out
@@ -144,6 +141,7 @@ class Pair:
 
 @functools.lru_cache(maxsize=2)
 def load(path_a: str, path_b: str) -> Pair:
+    one_thread()
     return Pair(path_a, path_b)
 
 

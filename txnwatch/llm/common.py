@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 from collections import defaultdict
 from itertools import chain
 
@@ -15,6 +17,8 @@ from txnwatch.session import ship_package, work_dir
 #: Space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\f\r"
 BLANK_RUN = r"[ \t-\r]+"
+#: From a space that follows no blank to the next such space.
+_STRETCH = re.compile(r" \s*(?:\S+(?:[^\S ]\s*\S+)*(?:[^\S ]\s*)?)?")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,6 +93,17 @@ def doc_columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(n) for n in names])
 
 
+def stretches(text: str) -> list[str]:
+    """``text``, which begins with a space, cut before every space that follows a character that is no
+    blank: places where the published byte-level split pattern always cuts."""
+    return _STRETCH.findall(text)
+
+
+def one_thread() -> None:
+    """Keep the ``tokenizers`` library from starting threads of its own inside a task."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+
+
 def distinct(split: list[list[str]]) -> tuple[np.ndarray, list[str]]:
     """The distinct words of all lists, and for every occurrence in turn its place among them."""
     place: defaultdict = defaultdict()
