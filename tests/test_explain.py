@@ -45,22 +45,26 @@ def game(E, x, S):
     return sum(below(t, -1, 0) if t.levels else t.base for t in E.trees)
 
 
-SPECS = [mo.ModelSpec("dt", "tree", {"maxDepth": 4}), mo.ModelSpec("rf", "forest", {"numTrees": 3, "maxDepth": 3}),
-         mo.ModelSpec("gbt", "boosted", {"maxIter": 4, "maxDepth": 3}, weighting="positive")]
+SPECS = [mo.ModelSpec("dt", "histogram", {"rounds": 1, "rate": 1.0, "max_depth": 4, "l2": 0.0, "min_hessian": 0.0, "objective": "mean"}),
+         mo.ModelSpec("rf", "forest", {"numTrees": 3, "maxDepth": 3}),
+         mo.ModelSpec("gbt", "histogram", {"rounds": 4, "max_depth": 3}, weighting="positive"),
+         mo.ModelSpec("leaves", "histogram", {"rounds": 4, "max_depth": None, "max_leaves": 7, "min_rows": 5}, weighting="positive")]
+
+
+def _fit(spec, df, feats):
+    rows, counts = mo.assemble(df, feats), mo.class_counts(df)
+    return mo.fit(spec, rows, sum(counts), mo.binned(df, feats, "txn_id", counts))[0]
 
 
 @pytest.mark.parametrize("spec", SPECS, ids=lambda s: s.name)
 def test_tree_attributions_exact(spark, data, spec):
     X, df = data
-    tr = mo.with_weights(mo.assemble(df, FEATS), spec.weighting)
-    model = mo.build_pipeline(spec, len(X)).fit(tr)
-    E = ex.tree_explainer(spark, model.stages[-1], 4)
-    out = model.transform(mo.assemble(df, FEATS)).select(
-        "txn_id", vector_to_array("rawPrediction")[1].alias("raw1"),
-        vector_to_array("probability")[1].alias("p1")).toPandas().sort_values("txn_id")
+    model = _fit(spec, df, FEATS)
+    E = ex.explainer_for(spark, model, FEATS)
+    p1 = mo.score(model, mo.assemble(df, FEATS)).select("txn_id", "prob").toPandas().sort_values("txn_id").prob.to_numpy()
     attr = ex.explain(df, model, FEATS, ["txn_id"]).toPandas().sort_values("txn_id")
     phi = np.stack(attr.phi.values)
-    target = 2 * out.raw1.values if E.unit == "log_odds" else out.p1.values
+    target = np.log(p1 / (1 - p1)) if E.unit == "log_odds" else p1
     assert np.abs(attr.base.values + phi.sum(1) - target).max() < 1e-9        # efficiency
     for r in range(4):                                                        # brute-force Shapley
         for i in range(4):
@@ -114,11 +118,9 @@ def test_deep_tree_is_efficient_and_quick(spark):
     pdf = pd.DataFrame(X, columns=[f"f{i}" for i in range(8)]).assign(label=rng.integers(0, 2, 6000), txn_id=range(6000))
     feats = list(pdf.columns[:8])
     df = spark.createDataFrame(pdf)
-    tr = mo.with_weights(mo.assemble(df, feats), "balanced")
-    model = mo.build_pipeline(mo.ModelSpec("dt", "tree", {"maxDepth": 30, "maxBins": 256}), 6000).fit(tr).stages[-1]
+    spec = {"rounds": 1, "rate": 1.0, "max_depth": 30, "l2": 0.0, "min_hessian": 0.0, "objective": "mean"}
+    model = _fit(mo.ModelSpec("dt", "histogram", spec), df, feats)
     E = ex.tree_explainer(spark, model, 8)
     assert E.trees[0].leaf.sum() > 1000
     phi = ex.tree_shap(X[:200], E.trees, 8)
-    want = model.transform(mo.assemble(df.where("txn_id < 200"), feats)).select("txn_id", vector_to_array("probability")[1].alias("p")) \
-        .toPandas().sort_values("txn_id").p.to_numpy()
-    assert np.abs(E.base + phi.sum(axis=1) - want).max() < 1e-9
+    assert np.abs(E.base + phi.sum(axis=1) - model.probabilities(X[:200])).max() < 1e-9

@@ -17,8 +17,7 @@ deep trees stay affordable.  It runs inside ``mapInPandas``, so the rows to expl
 are spread over tasks; the tree arrays (bounded by the model's size, not the data)
 are broadcast.
 
-Units: boosted trees are explained in log-odds (2 x margin, Spark's
-probability is ``1 / (1 + exp(-2 margin))``); a single tree and a forest in
+Units: boosted trees are explained in log-odds; a single tree and a forest in
 probability of class 1; the logistic pipeline in log-odds with the closed form
 ``w_j (z_j - mean z_j)`` over a background sample.
 """
@@ -30,13 +29,14 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import (DecisionTreeClassificationModel, GBTClassificationModel,
-                                       LogisticRegressionModel, RandomForestClassificationModel)
+from pyspark.ml.classification import LogisticRegressionModel, RandomForestClassificationModel
 from pyspark.ml.feature import StandardScalerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
+from txnwatch.operators.binning import filled
+from txnwatch.operators.boosting import BoostedTrees
 from txnwatch.session import ship_package, work_dir
 
 
@@ -148,11 +148,7 @@ class TreeExplainer:
 def _read_nodes(spark: SparkSession, model, path: str) -> pd.DataFrame:
     """All nodes of the saved model (bounded by its size), read back in columns."""
     model.write().overwrite().save(path)
-    data = spark.read.parquet(path + "/data")
-    if "treeID" in data.columns:
-        data = data.select("treeID", "nodeData.*")
-    else:
-        data = data.select(F.lit(0).alias("treeID"), "*")
+    data = spark.read.parquet(path + "/data").select("treeID", "nodeData.*")
     stats = F.col("impurityStats")
     return data.select(
         "treeID", "id", "leftChild", "rightChild", F.col("split.featureIndex").alias("feat"),
@@ -161,23 +157,25 @@ def _read_nodes(spark: SparkSession, model, path: str) -> pd.DataFrame:
 
 
 def tree_explainer(spark: SparkSession, model, n_features: int) -> TreeExplainer:
-    """Level arrays for a Spark tree classifier (plain, forest or boosted)."""
-    nodes = _read_nodes(spark, model, work_dir(spark, "model-trees"))
-    boosted = isinstance(model, GBTClassificationModel)
-    if not boosted and not isinstance(model, (RandomForestClassificationModel, DecisionTreeClassificationModel)):
+    """Level arrays of a fitted forest or of histogram trees."""
+    if isinstance(model, BoostedTrees):
+        trees = []
+        for _, own in model.nodes.groupby("tree", sort=True):
+            columns = (own[c].tolist() for c in ("left", "right", "feature", "threshold", "cover", "value"))
+            trees.append(_level_tree(dict(zip(own["node"].tolist(), zip(*columns)))))
+        return TreeExplainer(trees, model.base + float(sum(t.base for t in trees)), n_features, model.unit)
+    if not isinstance(model, RandomForestClassificationModel):
         raise TypeError(f"not a tree model: {type(model).__name__}")
+    nodes = _read_nodes(spark, model, work_dir(spark, "model-trees"))
     by_tree = {k: own for k, own in nodes.groupby("treeID")}
     trees = []
-    for k, tid in enumerate(sorted(by_tree)):
+    for tid in sorted(by_tree):
         own = by_tree[tid]
-        if boosted:                                        # regression trees: the weighted count comes first
-            cover, value = own["first"], 2.0 * model.treeWeights[k] * own["prediction"]
-        else:
-            cover = own["total"]
-            value = (own["second"] / cover).where(cover > 0, 0.0).fillna(0.0) / len(by_tree)
+        cover = own["total"]
+        value = (own["second"] / cover).where(cover > 0, 0.0).fillna(0.0) / len(by_tree)
         columns = (own[c].tolist() for c in ("leftChild", "rightChild", "feat", "thr"))
         trees.append(_level_tree(dict(zip(own["id"].tolist(), zip(*columns, cover.tolist(), value.tolist())))))
-    return TreeExplainer(trees, float(sum(t.base for t in trees)), n_features, "log_odds" if boosted else "probability")
+    return TreeExplainer(trees, float(sum(t.base for t in trees)), n_features, "probability")
 
 
 def explain_trees(rows: DataFrame, explainer: TreeExplainer, features: list[str], keep: list[str]) -> DataFrame:
@@ -210,11 +208,6 @@ def explain_trees(rows: DataFrame, explainer: TreeExplainer, features: list[str]
     return src.mapInPandas(run, out_schema)
 
 
-def filled(f: str) -> Column:
-    """A feature as the model sees it: double, null as 0."""
-    return F.coalesce(F.col(f).cast("double"), F.lit(0.0))
-
-
 def linear_attributions(rows: DataFrame, features: list[str], keep: list[str], weights, centre, scale, background,
                         intercept: float = 0.0) -> DataFrame:
     """Closed form for a linear model on standardised features ``z = (x - centre) / scale``:
@@ -241,19 +234,21 @@ def explain_linear(rows: DataFrame, model: PipelineModel, background: DataFrame,
     return linear_attributions(rows, features, keep, lr.coefficients.toArray(), centre, scale, means, float(lr.intercept))
 
 
-def explainer_for(spark: SparkSession, model: PipelineModel, features: list[str]):
-    """Tree arrays for a tree pipeline (built once, reused for every batch of
-    rows); ``None`` for the logistic pipeline, which needs no preparation."""
-    last = model.stages[-1]
-    if isinstance(last, LogisticRegressionModel):
-        return None
-    return tree_explainer(spark, last, len(features))
+def _last(model):
+    return model.stages[-1] if isinstance(model, PipelineModel) else model
+
+
+def explainer_for(spark: SparkSession, model, features: list[str]):
+    """Tree arrays of a tree model (built once, reused for every batch of rows); ``None`` for
+    the logistic pipeline, which needs no preparation."""
+    last = _last(model)
+    return None if isinstance(last, LogisticRegressionModel) else tree_explainer(spark, last, len(features))
 
 
-def explain(rows: DataFrame, model: PipelineModel, features: list[str], keep: list[str],
+def explain(rows: DataFrame, model, features: list[str], keep: list[str],
             background: DataFrame | None = None, prepared=None) -> DataFrame:
-    """Dispatch on the fitted pipeline's last stage."""
-    last = model.stages[-1]
+    """Dispatch on the fitted model, or the pipeline's last stage."""
+    last = _last(model)
     if isinstance(last, LogisticRegressionModel):
         return explain_linear(rows, model, background if background is not None else rows, features, keep)
     ex = prepared if prepared is not None else tree_explainer(rows.sparkSession, last, len(features))

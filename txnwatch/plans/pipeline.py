@@ -94,7 +94,8 @@ def run_train(spark: SparkSession, cfg: PipelineConfig, silver: DataFrame | None
     write(bench.test_predictions, cfg, "gold", "test_predictions")
     write(bench.champion, cfg, "gold", "champion")
     write(bench.runs, cfg, "gold", "runs")
-    models.save_model(bench.models[bench.champion_name], table_path(cfg, "gold", "champion_model"))
+    write(bench.importance, cfg, "gold", "gain_importance")
+    models.save_model(spark, bench.models[bench.champion_name], table_path(cfg, "gold", "champion_model"))
     split.unpersist()
     bench.release()
     return bench
@@ -104,7 +105,7 @@ def run_train(spark: SparkSession, cfg: PipelineConfig, silver: DataFrame | None
 def run_explain(spark: SparkSession, cfg: PipelineConfig) -> dict:
     champ = read(spark, cfg, "gold", "champion").first()
     feats, thr = list(champ["features"]), float(champ["threshold"])
-    model = models.load_model(table_path(cfg, "gold", "champion_model"))
+    model = models.load_model(spark, table_path(cfg, "gold", "champion_model"))
     test = read(spark, cfg, "gold", "test_predictions")
     ids = list(cfg.ids)
     keep = [*ids, "label", "typology", "prob"]
