@@ -135,10 +135,12 @@ def test_amounts_of_any_size_keep_full_precision(spark, seed):
 def test_no_group_holds_a_whole_hot_sender(spark):
     """A sender with 60 days of payments is dealt to groups of a day or a week."""
     rows = [(i, T0 + dt.timedelta(seconds=i * 500), "B", "HOT", "B", "R", 1.0, "ACH", 0) for i in range(10_000)]
-    from txnwatch.operators.features import _block_sums
-    seconds = txn_frame(spark, rows).select("from_account", epoch_seconds(txn_frame(spark, rows), "ts").alias("_ts_sec"),
-                                            F.lit(1).cast("long").alias("n"), F.lit(1.0).alias("s"), F.lit(1).cast("long").alias("m"))
-    plan = _block_sums(seconds, ["from_account"], [86400])._jdf.queryExecution().optimizedPlan().toString()
+    from txnwatch.operators.features import _block_sums, _next_visits, _placed
+    df = txn_frame(spark, rows)
+    pairs = df.select("from_account", F.col("to_account").alias("_r"), epoch_seconds(df, "ts").alias("_ts_sec"),
+                      F.lit(1).cast("long").alias("n"), F.lit(1.0).alias("s"), F.lit(1).cast("long").alias("m"))
+    placed = _placed(_next_visits(pairs, ["from_account"], 86400), ["from_account"], 86400, 604800)
+    plan = _block_sums(placed, ["from_account"])._jdf.queryExecution().optimizedPlan().toString()
     assert "windowspecdefinition(from_account" in plan and "block" in plan.split("windowspecdefinition(from_account")[1].split("ASC")[0]
 
 

@@ -9,18 +9,21 @@ sender's payments, peers in the same second included:
 * ``unique_receivers_24h``  distinct receivers in the 24h frame
 * ``is_round_1000``, ``rapid_exit_risk``, ``is_interbank`` and one-hot formats.
 
-One physical form serves every size.  A frame is cut at multiples of its width: the
-part inside the payment's own block is a running sum up to ``t``, the part in the
-block before it a running sum from its end down to ``t - width``.  Both only ever add
-amounts that lie in the frame, so nothing is retracted and sums keep full precision
-whatever else the sender paid.  Payments are summed per (sender, second) first
-(map-side), so a (sender, block) group holds at most one row and one question per
-second of a day or week however hot the sender is, and a hot sender's blocks are
-dealt to different tasks.
-
-Distinct receivers are counted by integers: each distinct (sender, receiver, second)
-visit opens at ``t`` and closes at the pair's next visit or ``t + width``; the running
-count of open visits at ``t`` is the answer (exact, as counts do not round).
+One physical form serves every size.  Payments are summed per (sender, receiver, second)
+first (map-side), and all frames follow from that one table:
+
+* A frame is cut at multiples of its width: the part inside the payment's own block is a
+  running sum up to ``t``, the part in the block before it a running sum from its end down
+  to ``t - width``.  Both only ever add amounts that lie in the frame, so nothing is
+  retracted and sums keep full precision whatever else the sender paid.
+* Distinct receivers are counted by integers: each visit of a receiver opens at ``t`` and
+  closes at the pair's next visit or ``t + width``; the running count of open visits at ``t``
+  is the answer (exact, as counts do not round).
+
+Sums, questions and visit changes of a (sender, block) are added up per second, so a group
+holds at most one row per second of a day or week however hot the sender is, and a hot
+sender's blocks are dealt to different tasks.  Bronze is read twice: for the pairs, and to
+attach the values of its second to every payment.
 
 Payments without a time form one frame per sender.
 """
@@ -77,95 +80,86 @@ def _frame_values(txn: DataFrame, spec: FeatureSpec) -> DataFrame:
     kn, kv = _null_safe_key(txn, c.sender)
     rows = txn.withColumn("_ts_sec", epoch_seconds(txn, c.ts)).withColumn("_kn", kn).withColumn("_kv", kv)
     keys = ["_kn", "_kv"]
-    # filter on the raw column (not the derived seconds) so parquet can skip by statistics
-    timed = rows.where(F.col(c.ts).isNotNull())
     amount = F.col(c.amount).cast("double")
-    per_second = timed.groupBy(*keys, "_ts_sec").agg(
+    pairs = rows.groupBy(*keys, F.col(c.receiver).alias("_r"), "_ts_sec").agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(amount), F.lit(0.0)).alias("s"), F.count(amount).alias("m"))
+    placed = _placed(_next_visits(pairs, keys, spec.short_window), keys, spec.short_window, spec.long_window)
+    sums = _block_sums(placed, keys)
 
-    parts = _block_sums(per_second, keys, [spec.short_window, spec.long_window])
-    short = F.col("width") == spec.short_window
-    visits = _open_visits(timed, keys, c.receiver, spec.short_window)
-    parts = parts.select(*keys, "_ts_sec", *[F.when(short, F.col(v)).alias(v + "24") for v in ("n", "s", "m")],
-                         F.when(~short, F.col("s")).alias("s7"), F.when(~short, F.col("m")).alias("m7"),
-                         F.lit(0).cast("long").alias("u"))
-    if spec.short_window == spec.long_window:
-        parts = parts.withColumn("s7", F.col("s24")).withColumn("m7", F.col("m24"))
-    parts = parts.unionByName(visits, allowMissingColumns=True)
-    at = parts.groupBy(*keys, "_ts_sec").agg(*[F.sum(v).alias(v) for v in ("n24", "s24", "m24", "s7", "m7", "u")])
-    at = at.where("n24 > 0").select(
-        *keys, "_ts_sec", F.col("n24").alias("_c24"), F.when(F.col("m24") > 0, F.col("s24")).alias("_s24"),
-        F.when(F.col("m7") > 0, F.col("s7") / F.col("m7")).alias("_avg7"), F.col("u").alias("_u24"))
-    timed_out = timed.join(at, on=[*keys, "_ts_sec"], how="inner")
-
-    untimed = rows.where(F.col(c.ts).isNull())
-    whole = untimed.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_c24"), F.sum(amount).alias("_s24"), F.avg(amount).alias("_avg7"),
-        F.count_distinct(c.receiver).alias("_u24"))
-    untimed_out = untimed.join(whole, on=keys, how="inner")
-    return timed_out.unionByName(untimed_out).drop("_kn", "_kv", "_ts_sec")
-
-
-def _block_sums(per_second: DataFrame, keys: list[str], widths: list[int]) -> DataFrame:
-    """For every (sender, second t) and width two rows whose sums add up to the frame
-    ``(t - width, t]``: the own block up to ``t``, and the block before from its end down
-    to ``t - width + 1`` (asked for by a question row in that block)."""
-    t, zero = F.col("_ts_sec"), F.lit(0).cast("long")
-    placed = []
-    for w in sorted(set(widths)):
-        block = F.floor(t / F.lit(w))
-        placed += [F.struct(F.lit(w).alias("width"), block.alias("block"), t.alias("at"), F.lit(False).alias("asks"),
-                            F.col("n").alias("n"), F.col("s").alias("s"), F.col("m").alias("m")),
-                   F.struct(F.lit(w).alias("width"), (block - 1).alias("block"), (t - w + 1).alias("at"), F.lit(True).alias("asks"),
-                            zero.alias("n"), F.lit(0.0).alias("s"), zero.alias("m"))]
-    rows = per_second.select(*keys, F.explode(F.array(*placed)).alias("p")).select(*keys, "p.*")
-    group = Window.partitionBy(*keys, "width", "block")
-    up = group.orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    down = group.orderBy(F.desc("at"), "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = rows.select("*", *[F.sum(v).over(w).alias(f"{v}_{k}") for k, w in (("up", up), ("down", down)) for v in ("n", "s", "m")])
-    return sums.select(*keys, "width", F.when(F.col("asks"), F.col("at") + F.col("width") - 1).otherwise(F.col("at")).alias("_ts_sec"),
-                       *[F.when(F.col("asks"), F.col(f"{v}_down")).otherwise(F.col(f"{v}_up")).alias(v) for v in ("n", "s", "m")])
-
-
-def _open_visits(timed: DataFrame, keys: list[str], receiver: str, width: int) -> DataFrame:
-    """(sender, second, u): how many receivers' visits are open at each of the sender's seconds."""
-    v, off, one, zero = F.col("_ts_sec"), F.col("_off"), F.lit(1).cast("long"), F.lit(0).cast("long")
-    block = F.floor(v / F.lit(width))
-    beyond = off > (block + 1) * F.lit(width)          # open into the next block
-
-    def change(b, e, by):
-        return F.struct(b.alias("block"), e.alias("e"), by.alias("by"), F.lit(0).alias("point"))
-
-    opened = F.array_compact(F.array(change(block, v, one), F.when(~beyond, change(block, off, -one)),
-                                     F.when(beyond, change(block + 1, (block + 1) * F.lit(width), one)),
-                                     F.when(beyond, change(block + 1, off, -one))))
-    changes = _receiver_visits(timed, keys, receiver, width).select(*keys, F.explode(opened).alias("d")).select(*keys, "d.*")
-    points = timed.select(*keys, block.alias("block"), v.alias("e"), zero.alias("by"), F.lit(1).alias("point"))
-    per_e = changes.unionByName(points).groupBy(*keys, "block", "e").agg(F.sum("by").alias("by"), F.max("point").alias("point"))
-    running = Window.partitionBy(*keys, "block").orderBy("e").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return per_e.select(*keys, F.col("e").alias("_ts_sec"), F.sum("by").over(running).alias("u"), "point") \
-        .where("point = 1").drop("point")
-
-
-def _receiver_visits(timed: DataFrame, keys: list[str], receiver: str, width: int) -> DataFrame:
-    """Distinct (sender, receiver, second) visits with ``_off``, the end of the
-    visit's coverage: the pair's next visit or ``t + width``, whichever is first.
-
-    The next visit is a ``lead`` inside day-long buckets; every visit is also
+    # the up to four parts of a second's frames
+    day, week, untimed = F.col("width") == spec.short_window, F.col("width") == spec.long_window, F.col("width") == 0
+    parts = sums.select(*keys, "_ts_sec", *[F.when(day | untimed, F.col(v)).alias(v + "24") for v in ("n", "s", "m", "u")],
+                        *[F.when(week | untimed, F.col(v)).alias(v + "7") for v in ("s", "m")])
+    at = parts.groupBy(*keys, "_ts_sec").agg(*[F.sum(v).alias(v) for v in ("n24", "s24", "m24", "u24", "s7", "m7")])
+    tn, tv = F.col("_ts_sec").isNull().alias("_tn"), F.coalesce("_ts_sec", F.lit(0).cast("long")).alias("_tv")
+    at = at.select(*keys, tn, tv, F.col("n24").alias("_c24"), F.when(F.col("m24") > 0, F.col("s24")).alias("_s24"),
+                   F.when(F.col("m7") > 0, F.col("s7") / F.col("m7")).alias("_avg7"), F.col("u24").alias("_u24"))
+    return rows.select("*", tn, tv).join(at, on=[*keys, "_tn", "_tv"], how="inner").drop(*keys, "_tn", "_tv", "_ts_sec")
+
+
+def _next_visits(pairs: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """``pairs`` with ``_off``, the end of a visit's coverage: the pair's next visit or
+    ``t + width``, whichever is first.
+
+    The next visit is a ``lead`` inside buckets of the width; every visit is also
     copied into the previous bucket as a look-ahead row, so a bucket's last
     visit sees the first visit of the next bucket (a later one is past
     ``t + width`` anyway).  Groups hold at most two buckets of seconds.
     """
-    visits = (timed.where(F.col(receiver).isNotNull())
-              .select(*keys, F.col(receiver).alias("_r"), "_ts_sec").distinct())
-    db = F.floor(F.col("_ts_sec") / F.lit(width))
-    copies = F.array(F.struct(db.alias("_db"), F.lit(1).alias("_own")),
-                     F.struct((db - 1).alias("_db"), F.lit(0).alias("_own")))
-    both = visits.select("*", F.explode(copies).alias("_c")).select(*keys, "_r", "_ts_sec", "_c.*")
-    w = Window.partitionBy(*keys, "_r", "_db").orderBy("_ts_sec")
-    nxt = both.withColumn("_next", F.lead("_ts_sec").over(w)).where(F.col("_own") == 1)
+    bucket = F.floor(F.col("_ts_sec") / F.lit(width))
+    copies = F.array_compact(F.array(F.struct(bucket.alias("_db"), F.lit(True).alias("_own")),
+                                     F.when(F.col("_ts_sec").isNotNull(), F.struct((bucket - 1).alias("_db"), F.lit(False).alias("_own")))))
+    both = pairs.select("*", F.explode(copies).alias("_c")).select(*pairs.columns, "_c.*")
+    order = Window.partitionBy(*keys, "_r", "_db").orderBy("_ts_sec")
     end = F.col("_ts_sec") + F.lit(width)
-    return nxt.select(*keys, "_ts_sec", F.least(F.coalesce(F.col("_next"), end), end).alias("_off"))
+    return both.withColumn("_next", F.lead("_ts_sec").over(order)).where("_own") \
+        .withColumn("_off", F.least(F.coalesce("_next", end), end)).drop("_db", "_own", "_next")
+
+
+def _placed(visits: DataFrame, keys: list[str], short: int, long: int) -> DataFrame:
+    """Rows (sender, width, block, at) of everything that happens in a block, one per second:
+    the sums n, s, m paid then, ``by``, by how much the number of open visits changes,
+    ``point``, whether a payment was made, and ``asks``, whether a frame begins there whose
+    second lies in the next block.  Payments without a time are width 0."""
+    t, off, zero = F.col("_ts_sec"), F.col("_off"), F.lit(0).cast("long")
+    visit = F.when(F.col("_r").isNotNull(), F.lit(1)).otherwise(F.lit(0)).cast("long")
+
+    def row(width, block, at, by=zero, point=False, asks=False):
+        paid = (F.col("n"), F.col("s"), F.col("m")) if point else (zero, F.lit(0.0), zero)
+        return F.struct(F.lit(width).alias("width"), block.alias("block"), at.alias("at"), *[x.alias(v) for x, v in zip(paid, ("n", "s", "m"))],
+                        by.alias("by"), F.lit(point).alias("point"), F.lit(asks).alias("asks"))
+
+    timed = []
+    for w in sorted({short, long}):
+        block = F.floor(t / F.lit(w))
+        timed += [row(w, block, t, visit if w == short else zero, point=True), row(w, block - 1, t - w + 1, asks=True)]
+    # a visit closes in its block, or goes on into the next one
+    block = F.floor(t / F.lit(short))
+    border = (block + 1) * F.lit(short)
+    met, beyond = F.col("_r").isNotNull(), off > border
+    timed += [F.when(met & ~beyond, row(short, block, off, -visit)), F.when(met & beyond, row(short, block + 1, border, visit)),
+              F.when(met & beyond, row(short, block + 1, off, -visit))]
+    untimed = F.array(row(0, zero, F.lit(None).cast("long"), visit, point=True))
+    rows = visits.select(*keys, F.explode(F.when(t.isNull(), untimed).otherwise(F.array_compact(F.array(*timed)))).alias("p"))
+    return rows.select(*keys, "p.*").groupBy(*keys, "width", "block", "at").agg(
+        *[F.sum(v).alias(v) for v in ("n", "s", "m", "by")], *[F.max(v).alias(v) for v in ("point", "asks")])
+
+
+def _block_sums(placed: DataFrame, keys: list[str]) -> DataFrame:
+    """(sender, second, width) rows n, s, m, u whose sums are the frame ``(t - width, t]``: the
+    own block up to ``t``, and the block before from its end down to ``t - width + 1``."""
+    group = Window.partitionBy(*keys, "width", "block")
+    up = group.orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    down = group.orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = placed.select("*", *[F.sum(v).over(up).alias(f"{v}_up") for v in ("n", "s", "m", "by")],
+                         *[F.sum(v).over(down).alias(f"{v}_down") for v in ("n", "s", "m")])
+
+    def part(second, way, u):
+        return F.struct(second.alias("_ts_sec"), *[F.col(f"{v}_{way}").alias(v) for v in ("n", "s", "m")], u.alias("u"))
+
+    both = F.array_compact(F.array(F.when(F.col("point"), part(F.col("at"), "up", F.col("by_up"))),
+                                   F.when(F.col("asks"), part(F.col("at") + F.col("width") - 1, "down", F.lit(0).cast("long")))))
+    return sums.select(*keys, "width", F.explode(both).alias("p")).select(*keys, "width", "p.*")
 
 
 # ---------------------------------------------------------------------------
