@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations"]
 SLOW = {"model_benchmark", "champion", "test_predictions", "runs", "alert_reason_codes", "global_drivers",
-        "top_case_breakdown", "rbs_comparison", "fp_reduction", "attribution_points"}
+        "top_case_breakdown", "rbs_comparison", "fp_reduction", "attribution_points", "gain_importance", "probability_attributions"}
 LATER = re.compile(r"op\d+_|pipeline$")          # optional queries, tested on their own
 
 

@@ -79,7 +79,7 @@ def test_linear_closed_form(spark, data):
     X, df = data
     spec = mo.ModelSpec("lr", "linear", {"maxIter": 100})
     model = mo.build_pipeline(spec, len(X)).fit(mo.with_weights(mo.assemble(df, FEATS), "balanced"))
-    attr = ex.explain(df, model, FEATS, ["txn_id"], background=df).toPandas().sort_values("txn_id")
+    attr = ex.explain_linear(df, model, df, FEATS, ["txn_id"]).toPandas().sort_values("txn_id")
     raw = model.transform(mo.assemble(df, FEATS)).select(
         "txn_id", vector_to_array("rawPrediction")[1].alias("m")).toPandas().sort_values("txn_id")
     phi = np.stack(attr.phi.values)
@@ -124,3 +124,42 @@ def test_deep_tree_is_efficient_and_quick(spark):
     assert E.trees[0].leaf.sum() > 1000
     phi = ex.tree_shap(X[:200], E.trees, 8)
     assert np.abs(E.base + phi.sum(axis=1) - model.probabilities(X[:200])).max() < 1e-9
+
+
+def _enumerated(x, predict, background):
+    """Shapley values over all coalitions."""
+    n = len(x)
+    value = {}
+    for k in range(n + 1):
+        for s in itertools.combinations(range(n), k):
+            rows = background.copy()
+            rows[:, list(s)] = x[list(s)]
+            value[s] = predict(rows).mean()
+    return np.array([sum(math.factorial(len(s)) * math.factorial(n - len(s) - 1) / math.factorial(n) * (value[tuple(sorted((*s, i)))] - value[s])
+                         for k in range(n) for s in itertools.combinations([j for j in range(n) if j != i], k)) for i in range(n)])
+
+
+def test_sampled_values_meet_enumeration(spark):
+    rng = np.random.default_rng(5)
+    feats = [f"f{i}" for i in range(6)]
+    X = rng.normal(size=(60, 6))
+    predict = ex.LogisticScore(np.array([2.0, -1.0, 0.5, 0.0, 1.5, -2.0]), -0.5)
+    df = spark.createDataFrame(pd.DataFrame(X, columns=feats).assign(txn_id=range(60)))
+    got = ex.explain_sampled(df.where("txn_id < 12"), predict, df, feats, ["txn_id"], permutations=40).toPandas().sort_values("txn_id")
+    again = ex.explain_sampled(df.where("txn_id < 12").repartition(5), predict, df, feats, ["txn_id"], permutations=40).toPandas().sort_values("txn_id")
+    for (_, r), (_, s) in zip(got.iterrows(), again.iterrows()):
+        x = X[int(r.txn_id)]
+        want, phi, error = _enumerated(x, predict, X), np.array(r.phi), np.array(r.error)
+        assert (np.abs(phi - want) <= 5 * error + 1e-9).all()
+        assert error.max() < 0.02
+        assert r.base + phi.sum() == pytest.approx(predict(x[None])[0], abs=1e-12)
+        assert phi == pytest.approx(np.array(s.phi), abs=1e-12)
+        assert phi[3] == pytest.approx(0, abs=1e-12)          # no weight, no effect
+
+
+def test_logistic_champion_is_explained_in_probability(spark, data):
+    X, df = data
+    model = mo.build_pipeline(mo.ModelSpec("lr", "linear", {"maxIter": 50}), len(X)).fit(mo.with_weights(mo.assemble(df, FEATS), "balanced"))
+    attr = ex.explain(df, model, FEATS, ["txn_id"], background=df.limit(200)).toPandas().sort_values("txn_id")
+    p = mo.score(model, mo.assemble(df, FEATS)).select("txn_id", "prob").toPandas().sort_values("txn_id").prob.to_numpy()
+    assert attr.base.to_numpy() + np.stack(attr.phi.values).sum(1) == pytest.approx(p, abs=1e-9)

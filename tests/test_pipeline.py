@@ -47,3 +47,13 @@ def test_run_all_from_raw_files(spark):
     assert comp[2]["true_positives"] == comp[0]["true_positives"]
     assert out["rules"]["fp_reduction"].count() == 1
     assert out["rules"]["breakdown"].count() == 4
+
+    # the run log keeps every benchmark: a repeat adds nothing, other settings add theirs
+    logged = pl.read_runs(spark, cfg)
+    n, ids = logged.count(), {r.benchmark_id for r in logged.select("benchmark_id").distinct().collect()}
+    pl.run_train(spark, cfg)
+    assert pl.read_runs(spark, cfg).count() == n
+    cfg.model_specs = specs[:2]
+    pl.run_train(spark, cfg)
+    now = {r.benchmark_id for r in pl.read_runs(spark, cfg).select("benchmark_id").distinct().collect()}
+    assert ids < now and len(now) == 2 and pl.read(spark, cfg, "gold", "benchmark_results").count() == 2

@@ -17,9 +17,10 @@ deep trees stay affordable.  It runs inside ``mapInPandas``, so the rows to expl
 are spread over tasks; the tree arrays (bounded by the model's size, not the data)
 are broadcast.
 
-Units: boosted trees are explained in log-odds; a single tree and a forest in
-probability of class 1; the logistic pipeline in log-odds with the closed form
-``w_j (z_j - mean z_j)`` over a background sample.
+Units: boosted trees are explained in log-odds; a single tree, a forest and the logistic
+pipeline in probability of class 1, the last by sampled coalitions over a background sample
+(``explain_sampled``, for any scoring function).  ``linear_attributions`` is the closed form
+``w_j (z_j - mean z_j)`` in log-odds.
 """
 
 from __future__ import annotations
@@ -221,17 +222,88 @@ def linear_attributions(rows: DataFrame, features: list[str], keep: list[str], w
     return rows.select(*keep, phi.alias("phi"), F.lit(float(base)).alias("base"))
 
 
+def logistic_coefficients(model: PipelineModel, n_features: int) -> tuple:
+    """(weights, intercept) of the standardise + logistic pipeline on raw features."""
+    scaler = next(s for s in model.stages if isinstance(s, StandardScalerModel))
+    lr = next(s for s in model.stages if isinstance(s, LogisticRegressionModel))
+    scale = scaler.std.toArray()
+    centre = scaler.mean.toArray() if scaler.getWithMean() else np.zeros(n_features)
+    weights = np.divide(lr.coefficients.toArray(), scale, out=np.zeros(n_features), where=scale > 0)
+    return weights, float(lr.intercept) - float(weights @ centre)
+
+
 def explain_linear(rows: DataFrame, model: PipelineModel, background: DataFrame, features: list[str],
                    keep: list[str]) -> DataFrame:
     """``linear_attributions`` of the standardise + logistic pipeline, in log-odds, against the
     mean of ``background``."""
-    scaler = next(s for s in model.stages if isinstance(s, StandardScalerModel))
-    lr = next(s for s in model.stages if isinstance(s, LogisticRegressionModel))
-    scale = scaler.std.toArray()
-    centre = scaler.mean.toArray() if scaler.getWithMean() else [0.0] * len(features)
+    weights, intercept = logistic_coefficients(model, len(features))
     bg = background.agg(*[F.avg(filled(f)).alias(f"m{i}") for i, f in enumerate(features)]).first()
-    means = [((bg[f"m{i}"] or 0.0) - centre[i]) / scale[i] if scale[i] > 0 else 0.0 for i in range(len(features))]
-    return linear_attributions(rows, features, keep, lr.coefficients.toArray(), centre, scale, means, float(lr.intercept))
+    means, n = [bg[f"m{i}"] or 0.0 for i in range(len(features))], len(features)
+    return linear_attributions(rows, features, keep, weights, [0.0] * n, [1.0] * n, means, intercept)
+
+
+PERMUTATIONS = 16       # pairs of an order and its reverse
+
+
+def sampled_shapley(x: np.ndarray, predict, background: np.ndarray, orders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shapley values of one row for any ``predict`` (rows -> scores) and their standard errors.
+
+    The value of a coalition is the mean score of the background rows with its features set to those
+    of ``x``.  Every order of the features, and its reverse, sets them one after the other; a feature's
+    value is its mean step.  The steps of an order add up, so base and values give the score exactly."""
+    n, steps = len(x), []
+    for order in orders:
+        pair = np.zeros(n)
+        for way in (order, order[::-1]):
+            rows = np.repeat(background[None], n + 1, axis=0)
+            for k, f in enumerate(way):
+                rows[k + 1:, :, f] = x[f]
+            value = predict(rows.reshape(-1, n)).reshape(n + 1, -1).mean(axis=1)
+            pair[way] += np.diff(value) / 2
+        steps.append(pair)
+    steps = np.array(steps)
+    error = steps.std(axis=0, ddof=1) / np.sqrt(len(steps)) if len(steps) > 1 else np.zeros(n)
+    return steps.mean(axis=0), error
+
+
+def explain_sampled(rows: DataFrame, predict, background: DataFrame, features: list[str], keep: list[str],
+                    permutations: int = PERMUTATIONS, seed: int = 42) -> DataFrame:
+    """``keep`` columns plus ``phi``, ``base`` and ``error`` (standard errors of phi) of any scoring function, in its
+    own unit, against the rows of ``background`` (a bounded sample, sent to the tasks).  All rows share the
+    same orders, so a repetition gives the same values."""
+    spark = rows.sparkSession
+    ship_package(spark)
+    orders = np.array([np.random.default_rng(seed + k).permutation(len(features)) for k in range(permutations)])
+    known = background.select(*[filled(f).alias(f"_x{i}") for i, f in enumerate(features)]).toPandas().to_numpy(float)
+    bc = spark.sparkContext.broadcast((predict, known, orders))
+    xcols = [f"_x{i}" for i in range(len(features))]
+    src = rows.select(*keep, *[filled(f).alias(x) for f, x in zip(features, xcols)]).repartition(spark.sparkContext.defaultParallelism)
+    doubles = ArrayType(DoubleType())
+    out_schema = StructType([src.schema[k] for k in keep] + [StructField("phi", doubles), StructField("base", DoubleType()), StructField("error", doubles)])
+
+    def run(batches):
+        predict, known, orders = bc.value
+        base = float(predict(known).mean()) if len(known) else 0.0
+        for pdf in batches:
+            both = [sampled_shapley(x, predict, known, orders) for x in pdf[xcols].to_numpy(dtype=float)]
+            yield pdf[keep].assign(phi=[p for p, _ in both], base=base, error=[e for _, e in both])
+
+    return src.mapInPandas(run, out_schema)
+
+
+class LogisticScore:
+    """Probabilities of a logistic model on raw features."""
+
+    def __init__(self, weights: np.ndarray, intercept: float):
+        self.weights, self.intercept = weights, intercept
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-(x @ self.weights + self.intercept)))
+
+
+def unit_of(model) -> str:
+    """The unit in which ``explain`` explains a model."""
+    return model.unit if isinstance(model, BoostedTrees) else "probability"
 
 
 def _last(model):
@@ -250,7 +322,8 @@ def explain(rows: DataFrame, model, features: list[str], keep: list[str],
     """Dispatch on the fitted model, or the pipeline's last stage."""
     last = _last(model)
     if isinstance(last, LogisticRegressionModel):
-        return explain_linear(rows, model, background if background is not None else rows, features, keep)
+        predict = LogisticScore(*logistic_coefficients(model, len(features)))
+        return explain_sampled(rows, predict, background if background is not None else rows, features, keep).drop("error")
     ex = prepared if prepared is not None else tree_explainer(rows.sparkSession, last, len(features))
     return explain_trees(rows, ex, features, keep)
 

@@ -128,9 +128,26 @@ def _silver_select() -> str:
 from silver"""
 
 
+#: What must hold in the tables of any full run (``gold_invariants``): no row against it.
+INVARIANTS = [
+    "champion has the best validation precision (F6, J9)",
+    "every model logs its threshold, seconds and settings (A9)",
+    "run ids belong to the benchmark (A9)",
+    "row ids are unique (A7)",
+    "scores are probabilities (J7)",
+    "alerts are the highest scores (F2)",
+    "reasons fall in effect (M4, F5)",
+    "no feature passes the third reason but the first two (M4)",
+    "base and effects add up to the score (M1, M3)",
+    "a point for every feature of the sample (M6)",
+    "gains are not negative and come from splits (J6)",
+]
+
+
 def oracle_sql() -> dict[str, str]:
     pos_type = "cast(sum(cast(label = 1 and typology is not null as int)) as bigint)"
     return {
+        "gold_invariants": "select * from (values " + ", ".join(f"('{r}', 0::BIGINT)" for r in INVARIANTS) + ") t(rule, broken)",
         "txn_fixture": f"""with {TXN}, {TIMED}
 select txn_id, ts_sec, from_bank, from_account, to_bank, to_account, amount_paid, payment_format, label, typology
 from s""",

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from txnwatch.operators import explain as ex
 from txnwatch.operators import ingest, models, ranking, rules, sampling
+from txnwatch.sources import tables
 from txnwatch.operators.features import add_features, class_means, reconcile
 from txnwatch.schema import (CHECK_FEATURES, JOIN_KEYS, N_NEGATIVES, SEED, TARGET_RECALL, TOP_ALERTS,
                              FeatureSpec)
@@ -40,24 +41,24 @@ def table_path(cfg: PipelineConfig, layer: str, name: str) -> str:
 
 
 def write(df: DataFrame, cfg: PipelineConfig, layer: str, name: str) -> DataFrame:
-    """Overwrite a table (schema may change between runs) and return it re-read.
+    """Replace a table all at once (schema may change between runs) and return it re-read.
 
-    Tables are parquet folders under ``out_dir/<layer>``; with ``database`` set
-    they are also catalog tables in one namespace per layer (created if
-    missing), stored at the same path."""
-    path = table_path(cfg, layer, name)
+    Tables are parquet versions under ``out_dir/<layer>/<name>``; with ``database`` set
+    they are also catalog tables in one namespace per layer (created if missing)."""
+    table = None
     if cfg.database:
-        ns = f"{cfg.database}_{layer}"
-        df.sparkSession.sql(f"CREATE DATABASE IF NOT EXISTS {ns}")
-        (df.write.mode("overwrite").option("overwriteSchema", "true").option("path", path)
-         .format("parquet").saveAsTable(f"{ns}.{name}"))
-    else:
-        df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+        df.sparkSession.sql(f"CREATE DATABASE IF NOT EXISTS {cfg.database}_{layer}")
+        table = f"{cfg.database}_{layer}.{name}"
+    return tables.replace(df, table_path(cfg, layer, name), table)
 
 
 def read(spark: SparkSession, cfg: PipelineConfig, layer: str, name: str) -> DataFrame:
-    return spark.read.parquet(table_path(cfg, layer, name))
+    return tables.read(spark, table_path(cfg, layer, name))
+
+
+def read_runs(spark: SparkSession, cfg: PipelineConfig) -> DataFrame:
+    """The log of all benchmark runs."""
+    return spark.read.schema(models.RUN_SCHEMA).parquet(table_path(cfg, "gold", "runs"))
 
 
 # --------------------------------------------------------------------------- 1: ingest
@@ -93,7 +94,7 @@ def run_train(spark: SparkSession, cfg: PipelineConfig, silver: DataFrame | None
     write(bench.results, cfg, "gold", "benchmark_results")
     write(bench.test_predictions, cfg, "gold", "test_predictions")
     write(bench.champion, cfg, "gold", "champion")
-    write(bench.runs, cfg, "gold", "runs")
+    tables.append_run(bench.runs, table_path(cfg, "gold", "runs"), "benchmark_id")
     write(bench.importance, cfg, "gold", "gain_importance")
     models.save_model(spark, bench.models[bench.champion_name], table_path(cfg, "gold", "champion_model"))
     split.unpersist()

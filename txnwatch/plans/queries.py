@@ -307,8 +307,9 @@ def q_training_matrix(spark, sf_dir):
 
 def q_interbank_lookup(spark, sf_dir):
     """The bank flag fetched from silver for the test part."""
-    test = _split(spark, sf_dir).where(F.col("split") == "test").select("txn_id", "label")
-    return fetch_by_key(test, silver(spark, sf_dir), "txn_id", ["is_interbank"])
+    s = _stored(silver(spark, sf_dir))
+    split = sampling.stratified_split(sampling.class_capped_sample(s, osql.N_SAMPLE_NEGATIVES, osql.SPLIT_SEED), osql.SPLIT_SEED + 1)
+    return fetch_by_key(split.where(F.col("split") == "test").select("txn_id", "label"), s, "txn_id", ["is_interbank"])
 
 
 def q_test_rule_breakdown(spark, sf_dir):
@@ -377,7 +378,57 @@ def q_attribution_points(spark, sf_dir):
 
 def q_runs(spark, sf_dir):
     from txnwatch.plans import pipeline as pl
-    return pl.read(spark, gold_run(spark, sf_dir)["cfg"], "gold", "runs")
+    return pl.read_runs(spark, gold_run(spark, sf_dir)["cfg"])
+
+
+def q_gain_importance(spark, sf_dir):
+    """Total gain and splits of every feature in the tree and boosted models."""
+    from txnwatch.plans import pipeline as pl
+    return pl.read(spark, gold_run(spark, sf_dir)["cfg"], "gold", "gain_importance")
+
+
+def q_probability_attributions(spark, sf_dir):
+    """Sampled Shapley values of the logistic model in probability space, on the explanation sample (M2)."""
+    g = gold_run(spark, sf_dir)
+    feats = FIXTURE_SPEC.model_features()
+    sample = sampling.uniform_sample(q_test_predictions(spark, sf_dir), g["cfg"].explain_sample, 42)
+    return ex.explain(sample, g["bench"].models["Logistic Regression"], feats, ["txn_id"], sample)
+
+
+def q_gold_invariants(spark, sf_dir):
+    """What must hold in the tables of any full run, one row a rule: (rule, broken), broken counts the rows against it."""
+    from txnwatch.plans import pipeline as pl
+    g = gold_run(spark, sf_dir)
+    cfg, table = g["cfg"], lambda name: pl.read(spark, g["cfg"], "gold", name)
+    results, champion, codes, runs = table("benchmark_results"), table("champion"), table("alert_reason_codes"), pl.read_runs(spark, cfg)
+    attr, test, points, gains = table("sample_attributions"), table("test_predictions"), table("attribution_points"), table("gain_importance")
+    feats = list(champion.first()["features"])
+    best = results.orderBy(F.desc("val_auprc"), "model").limit(1).select("model")
+    top = ex.top_reasons(attr, feats)
+    phi = F.col("phi")
+    smaller = F.size(F.filter(phi, lambda v: v > F.col("reason_3_shap")))
+    base = F.col("base") + F.aggregate(phi, F.lit(0.0), lambda a, v: a + v)
+    score = F.when(F.lit(ex.unit_of(g["bench"].models[g["bench"].champion_name]) == "log_odds"), F.log(F.col("prob") / (1 - F.col("prob")))).otherwise(F.col("prob"))
+    key, lowest = cfg.ids[0], codes.agg(F.min("prob")).first()[0]
+    rules_of = {
+        "champion has the best validation precision (F6, J9)": champion.join(best, "model", "left_anti"),
+        "every model logs its threshold, seconds and settings (A9)": results.join(
+            runs.groupBy("model").agg(F.count_if(F.col("key").isin("threshold", "train_seconds", "weighting")).alias("n")).where("n = 3"), "model", "left_anti"),
+        "run ids belong to the benchmark (A9)": runs.where("parent_id is not null and parent_id <> benchmark_id"),
+        "row ids are unique (A7)": test.groupBy(key).count().where("count > 1"),
+        "scores are probabilities (J7)": test.where("prob is null or prob < 0 or prob > 1"),
+        "alerts are the highest scores (F2)": test.join(codes.select(key), key, "left_anti").where(F.col("prob") > F.lit(lowest)),
+        "reasons fall in effect (M4, F5)": codes.where("reason_1_shap < reason_2_shap or reason_2_shap < reason_3_shap"),
+        "no feature passes the third reason but the first two (M4)": top.where(smaller > 2),
+        "base and effects add up to the score (M1, M3)": attr.where(F.abs(base - score) > 1e-6),
+        "a point for every feature of the sample (M6)": points.groupBy(key).agg(F.count_distinct("feature").alias("n")).where(F.col("n") != len(feats)),
+        "gains are not negative and come from splits (J6)": gains.where("gain < 0 or (gain > 0) <> (splits > 0)"),
+    }
+    out = None
+    for rule, against in rules_of.items():
+        row = against.agg(F.count(F.lit(1)).alias("broken")).select(F.lit(rule).alias("rule"), "broken")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def q_alert_reason_codes(spark, sf_dir):
@@ -453,6 +504,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "top_case_breakdown": q_top_case_breakdown,
     "rbs_comparison": q_rbs_comparison,
     "fp_reduction": q_fp_reduction,
+    "gain_importance": q_gain_importance,
+    "probability_attributions": q_probability_attributions,
+    # every rule that a run must keep, counted in its tables
+    "gold_invariants": q_gold_invariants,
 }
 
 
