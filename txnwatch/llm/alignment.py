@@ -10,7 +10,7 @@ groups, and tokens whose byte ranges overlap are linked.
 
 A blank after a character that is no blank starts a new token in both files (checked
 for B when the file is loaded; it is the split pattern of A), so a text is aligned in
-stretches from blank to blank, each distinct stretch once per batch of texts.
+stretches from blank to blank; a worker aligns a stretch when it first meets it.
 
 Definitions: A reads a space and the text, B the text (it adds the space itself).
 Null and empty texts, and texts for which the tokens' bytes of A or B are not the space
@@ -27,6 +27,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,37 +35,34 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txnwatch.llm.byte_bpe import _byte_of_char
-from txnwatch.llm.common import distinct, free_name, one_thread, python_ready, stretches, table, written
+from txnwatch.llm.common import Memory, free_name, one_thread, python_ready, stretches, table, written
 from txnwatch.llm.lexicon import ragged
 
 HEAD = 1 << 16            # id pairs that are broadcast
-LOOSE = 1 << 22           # characters that are aligned together
+LOOSE = 1 << 20           # characters that are aligned together
 MARK = "▁"
 
 
 @dataclass
 class Tokens:
-    """Tokens of many stretches in turn: ids and byte ends (from the stretch's start), and how many each stretch has."""
+    """Tokens of stretches in turn: ids, byte ends (from the stretch's start), and how many each stretch has."""
 
     ids: np.ndarray
     ends: np.ndarray
     sizes: np.ndarray
 
 
-def refine(begin: np.ndarray, end: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Byte ends of tokens from coarse byte spans and decoded sizes; ``first`` marks a stretch's first token.
+def refine(begin: np.ndarray, end: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Byte ends of tokens from coarse byte spans and decoded sizes.
 
     A span is a cut where the token begins at the end of the one before it and takes as many
     bytes as it decodes to; the others are counted on from the last cut by their bytes."""
-    before = np.r_[0, end[:-1]]
-    before[first] = 0
-    alone = (end - begin == size) & (begin == before)
+    if not len(size):
+        return size
+    alone = (end - begin == size) & (begin == np.r_[0, end[:-1]])
     total = np.cumsum(size)
-    # last token that ends on a cut, or the stretch's start
-    index = np.arange(len(size))
-    anchor = np.maximum.accumulate(np.where(alone | first, index, -1)) if len(size) else index
-    base = np.where(alone[anchor], end[anchor], size[anchor]) if len(size) else size
-    return base + total - total[anchor] if len(size) else size
+    anchor = np.maximum.accumulate(np.where(alone, np.arange(len(size)), -1))
+    return np.where(anchor >= 0, end[anchor] + total - total[anchor], total)
 
 
 class Pair:
@@ -90,50 +88,79 @@ class Pair:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         self.size_a, self.size_b = (np.array([len(x) for x in side], np.int64) for side in (self.bytes_a, self.bytes_b))
+        self._signed = [f"{i}{sign}" for side in (self.bytes_a, self.bytes_b) for i in range(len(side)) for sign in (",", "|", ";", "\n")]
+        self.memory = Memory(1 << 17)
         #: Whether a blank after a character that is none starts a token in both.
         self.cuts = (split["type"], split.get("use_regex", True), split["add_prefix_space"], spec["normalizer"]) == ("ByteLevel", True, False, None) \
             and not any(MARK in p.lstrip(MARK) for p in pieces)
 
+    def group_texts(self, ids_a, ids_b, group_a, group_b, n_groups) -> list[str]:
+        """The groups of every stretch as text: A ids, a bar, B ids; groups parted by semicolons."""
+        order = np.argsort(np.r_[2 * group_a, 2 * group_b + 1], kind="stable")
+        last_a = np.r_[group_a[1:] != group_a[:-1], True] if len(group_a) else np.zeros(0, bool)
+        last_b = np.r_[group_b[1:] != group_b[:-1], True] if len(group_b) else np.zeros(0, bool)
+        ends = np.zeros(int(n_groups.sum()) + 1, bool)
+        ends[(np.cumsum(n_groups) - 1)[n_groups > 0]] = True             # a stretch's last group
+        mark_b = np.where(last_b, np.where(ends[group_b], 3, 2), 0)
+        # a token's text with the sign after it, by id and sign
+        codes = np.r_[4 * ids_a + last_a, 4 * (ids_b + len(self.bytes_a)) + mark_b][order]
+        parts = iter("".join(map(self._signed.__getitem__, codes.tolist())).split("\n"))
+        return [next(parts) if k else "" for k in n_groups.tolist()]
+
     def stretches(self, text: str) -> list[str]:
         out = stretches(" " + text) if self.cuts else [" " + text]
         if len(out) > 1 and out[-1] == " ":          # B adds no space to nothing
             out[-2:] = [out[-2] + out[-1]]
         return out
 
-    def tokens_a(self, stretches: list[str]) -> Tokens:
-        found = self.a.encode_batch(stretches, add_special_tokens=False)
-        ids = [e.ids for e in found]
-        sizes = np.array([len(x) for x in ids], np.int64)
-        flat = np.array([i for x in ids for i in x], np.int64)
-        spans = np.array([s for e in found for s in e.offsets], np.int64).reshape(-1, 2)
-        # byte place of every character of all stretches, and of each stretch's end
-        data = np.frombuffer("".join(stretches).encode("utf-8", "surrogatepass"), np.uint8)
-        place = np.r_[np.flatnonzero((data & 0xC0) != 0x80), len(data)]
-        chars = np.array([len(s) for s in stretches], np.int64)
-        start = np.repeat(np.cumsum(chars) - chars, sizes)
-        base = place[start]
-        return self._placed(flat, place[start + spans[:, 0]] - base, place[start + spans[:, 1]] - base, self.size_a, sizes)
-
-    def tokens_b(self, stretches: list[str]) -> Tokens:
-        found = self.b.encode([s[1:] for s in stretches], return_type="proto", num_threads=1)
-        pieces = [[(p.id, p.begin, p.end) for p in e.pieces] for e in found]
-        sizes = np.array([len(x) for x in pieces], np.int64)
-        flat = np.array([p for x in pieces for p in x], np.int64).reshape(-1, 3)
-        first = np.zeros(len(flat), bool)
-        first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+    def tokens(self, stretches: list[str]) -> tuple[Tokens, Tokens]:
+        """The tokens of both.  Stretches are encoded as one text where the next one begins at a cut; one that
+        ends with a blank (the end of a text) is encoded by itself."""
+        runs, run = [], []
+        for k, s in enumerate(stretches):
+            run.append(k)
+            if s[-1].isspace() or not self.cuts:
+                runs.append(run)
+                run = []
+        runs += [run] if run else []
+        a = [self._tokens_a([stretches[k] for k in own]) for own in runs]
+        b = [self._tokens_b([stretches[k] for k in own]) for own in runs]
+        return tuple(Tokens(*(np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*[(t.ids, t.ends, t.sizes) for t in side]))) if side
+                     else Tokens(*[np.zeros(0, np.int64)] * 3) for side in (a, b))
+
+    def _tokens_a(self, run: list[str]) -> Tokens:
+        text = "".join(run)
+        e = self.a.encode(text, add_special_tokens=False)
+        ids = np.array(e.ids, np.int64)
+        spans = np.fromiter(chain.from_iterable(e.offsets), np.int64, 2 * len(ids)).reshape(-1, 2)
+        data = np.frombuffer(text.encode(), np.uint8)
+        place = np.r_[np.flatnonzero((data & 0xC0) != 0x80), len(data)]        # of every character
+        return self._placed(ids, place[spans[:, 0]], place[spans[:, 1]], self.size_a, run)
+
+    def _tokens_b(self, run: list[str]) -> Tokens:
+        flat: list = []
+        for p in self.b.encode("".join(run)[1:], return_type="proto", num_threads=1).pieces:
+            flat += p.id, p.begin, p.end
+        ids, begin, end = np.array(flat, np.int64).reshape(-1, 3).T
         # spans count bytes of the text; the space that B adds stands before them
-        return self._placed(flat[:, 0], np.where(first, 0, flat[:, 1] + 1), flat[:, 2] + 1, self.size_b, sizes)
+        begin, end = begin + 1, end + 1
+        begin[:1] = 0
+        return self._placed(ids, begin, end, self.size_b, run)
 
-    def _placed(self, ids, begin, end, decoded, sizes) -> Tokens:
-        first = np.zeros(len(ids), bool)
-        first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
-        return Tokens(ids, refine(begin, end, decoded[ids], first), sizes)
+    def _placed(self, ids, begin, end, decoded, run) -> Tokens:
+        """Tokens with byte ends counted from the start of their stretch."""
+        ends = refine(begin, end, decoded[ids])
+        stop = np.cumsum([len(s.encode()) for s in run])
+        owner = np.minimum(np.searchsorted(stop, ends, side="left"), len(run) - 1)
+        return Tokens(ids, ends - np.r_[0, stop[:-1]][owner], np.bincount(owner, minlength=len(run)).astype(np.int64))
 
     def says(self, tokens: Tokens, decoded: list, stretches: list[str]) -> np.ndarray:
         """Whether the joined token bytes are the stretch."""
+        ids, sizes = tokens.ids.tolist(), tokens.sizes.tolist()
+        if b"".join(map(decoded.__getitem__, ids)) == "".join(stretches).encode():
+            return np.ones(len(stretches), bool)
         out, at = np.zeros(len(stretches), bool), 0
-        ids = tokens.ids.tolist()
-        for k, (s, n) in enumerate(zip(stretches, tokens.sizes.tolist())):
+        for k, (s, n) in enumerate(zip(stretches, sizes)):
             out[k] = b"".join([decoded[i] for i in ids[at:at + n]]) == s.encode()
             at += n
         return out
@@ -149,41 +176,38 @@ class Stretches:
     """Distinct stretches, aligned: the counts, groups and links of each."""
 
     def __init__(self, pair: Pair, stretches: list[str]):
-        a, b = pair.tokens_a(stretches), pair.tokens_b(stretches)
-        self.good = pair.says(a, pair.bytes_a, stretches) & pair.says(b, pair.bytes_b, stretches)
         n = len(stretches)
-        self.n_a, self.n_b = a.sizes, b.sizes
-        length = np.array([len(s.encode()) for s in stretches], np.int64)
-        base = np.cumsum(length) - length                    # ranges of all stretches side by side
-        of_a, of_b = np.repeat(np.arange(n), a.sizes), np.repeat(np.arange(n), b.sizes)
+        # B writes its mark for a space: a text that holds it never decodes to itself
+        plain = np.array([MARK not in s for s in stretches], bool)
+        use = [s for s in stretches if MARK not in s]
+        a, b = pair.tokens(use)
+        good = pair.says(a, pair.bytes_a, use) & pair.says(b, pair.bytes_b, use)
+        self.good = np.zeros(n, bool)
+        self.good[plain] = good
+        self.n_a, self.n_b = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.n_a[plain], self.n_b[plain] = a.sizes, b.sizes
+        where = np.flatnonzero(plain)
+        of_a, of_b = np.repeat(where, a.sizes), np.repeat(where, b.sizes)
         use_a, use_b = self.good[of_a], self.good[of_b]      # stretches whose bytes differ are left out
         ids_a, ids_b, of_a, of_b = a.ids[use_a], b.ids[use_b], of_a[use_a], of_b[use_b]
+        length = np.array([len(s.encode()) for s in stretches], np.int64)
+        base = np.cumsum(length) - length                    # ranges of all stretches side by side
         end_a, end_b = a.ends[use_a] + base[of_a], b.ends[use_b] + base[of_b]
-        both = np.intersect1d(end_a, end_b)
-        group_a, group_b = np.searchsorted(both, end_a), np.searchsorted(both, end_b)
-        self.groups = self._text(n, ids_a, ids_b, group_a, group_b, of_a)
-        self.n_groups = np.bincount(np.searchsorted(base, both, side="left") - 1, minlength=n) if len(both) else np.zeros(n, np.int64)
+        near = np.searchsorted(end_b, end_a)
+        cut = end_b[near] == end_a if len(end_b) else np.zeros(0, bool)
+        group_a = np.cumsum(cut) - cut                       # groups before the token's own
+        group_b = np.searchsorted(end_a[cut], end_b)
+        self.n_groups = np.bincount(of_a[cut], minlength=n)
+        self.groups = pair.group_texts(ids_a, ids_b, group_a, group_b, self.n_groups)
         begin_a = np.r_[0, end_a[:-1]]
         fresh = np.r_[True, of_a[1:] != of_a[:-1]] if len(of_a) else np.zeros(0, bool)
-        begin_a[fresh] = base[of_a[fresh]]
+        begin_a = np.where(fresh, base[of_a], begin_a) if len(of_a) else begin_a[:0]
         low = np.searchsorted(end_b, begin_a, side="right")  # B tokens that end after A's begin ...
-        high = np.searchsorted(end_b, end_a, side="left")    # ... up to the one that reaches A's end
-        per = high - low + 1
+        per = near - low + 1                                 # ... up to the one that reaches A's end
         k = np.repeat(np.arange(len(ids_a)), per)
         self.link_a, self.link_b = ids_a[k], ids_b[ragged(low, per)]
         self.n_links = np.bincount(of_a, weights=per, minlength=n).astype(np.int64)
 
-    @staticmethod
-    def _text(n, ids_a, ids_b, group_a, group_b, of_a) -> list[str]:
-        """The groups of every stretch as text: A ids, a bar, B ids; groups parted by semicolons."""
-        groups = int(group_a[-1]) + 1 if len(group_a) else 0
-        at_a, at_b = (np.searchsorted(g, np.arange(groups + 1)).tolist() for g in (group_a, group_b))
-        sa, sb = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
-        text = [",".join(sa[at_a[g]:at_a[g + 1]]) + "|" + ",".join(sb[at_b[g]:at_b[g + 1]]) for g in range(groups)]
-        owner = of_a[np.array(at_a[:-1], np.int64)] if groups else np.zeros(0, np.int64)
-        cut = np.searchsorted(owner, np.arange(n + 1)).tolist()
-        return [";".join(text[cut[s]:cut[s + 1]]) for s in range(n)]
-
 
 _FIELDS = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "link_a", "link_b", "link_n")
 SCHEMA = ("doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, "
@@ -193,26 +217,32 @@ SCHEMA = ("doc_id long, n_a long, n_b long, n_groups long, n_links long, groups
 def align_texts(pair: Pair, texts: list) -> list[pa.Array]:
     """The columns of ``SCHEMA`` after doc_id; the links as distinct id pairs with their number."""
     split = [pair.stretches(t) if t else [] for t in texts]
-    code, words = distinct(split)
-    done = Stretches(pair, words)
+    code, new = pair.memory.codes(split)
+    if new:
+        s = Stretches(pair, new)
+        pair.memory.add(good=s.good, n_a=s.n_a, n_b=s.n_b, n_groups=s.n_groups, n_links=s.n_links, groups=s.groups, link_a=s.link_a, link_b=s.link_b)
+    if not len(code):
+        code, words, done = code, 0, {k: np.zeros(0, np.int64) for k in ("good", "n_a", "n_b", "n_groups", "n_links", "groups", "link_a", "link_b")}
+    else:
+        words, done = len(pair.memory.place), pair.memory
     n = np.array([len(s) for s in split], np.int64)
     owner = np.repeat(np.arange(len(texts)), n)
     bad = np.zeros(len(texts), bool)
-    bad[owner[~done.good[code]]] = True
+    bad[owner[~done["good"][code].astype(bool)]] = True
     use = ~bad[owner]
     owner, code = owner[use], code[use]
-    sums = [np.bincount(owner, weights=x[code], minlength=len(texts)).astype(np.int64) for x in (done.n_a, done.n_b, done.n_groups, done.n_links)]
+    sums = [np.bincount(owner, weights=x[code], minlength=len(texts)).astype(np.int64) for x in (done["n_a"], done["n_b"], done["n_groups"], done["n_links"])]
     at = np.searchsorted(owner, np.arange(len(texts) + 1)).tolist()
     codes = code.tolist()
-    groups = [";".join([done.groups[c] for c in codes[at[k]:at[k + 1]]]) for k in range(len(texts))]
+    own = done["groups"]
+    groups = [";".join([own[c] for c in codes[at[k]:at[k + 1]]]) for k in range(len(texts))]
     # links: distinct (document, stretch) first, then distinct (document, pair)
-    both, times = np.unique(owner * max(len(words), 1) + code, return_counts=True)
-    owner, code = both // max(len(words), 1), both % max(len(words), 1)
-    start = np.cumsum(done.n_links) - done.n_links
-    index = ragged(start[code], done.n_links[code])
-    doc = np.repeat(owner, done.n_links[code])
-    times = np.repeat(times, done.n_links[code])
-    key = done.link_a[index] << 32 | done.link_b[index]
+    both, times = np.unique(owner * max(words, 1) + code, return_counts=True)
+    owner, code = both // max(words, 1), both % max(words, 1)
+    size = done["n_links"]
+    index = ragged((np.cumsum(size) - size)[code], size[code])
+    doc, times = np.repeat(owner, size[code]), np.repeat(times, size[code])
+    key = done["link_a"][index] << 32 | done["link_b"][index]
     order = np.lexsort((key, doc))
     doc, key, times = doc[order], key[order], times[order]
     new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])]) if len(doc) else np.zeros(0, np.int64)

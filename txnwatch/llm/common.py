@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import re
 from collections import defaultdict
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 from pyspark.errors import AnalysisException
@@ -110,3 +110,34 @@ def distinct(split: list[list[str]]) -> tuple[np.ndarray, list[str]]:
     place.default_factory = place.__len__
     code = np.fromiter(map(place.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
     return code, list(place)
+
+
+class Memory:
+    """What a worker has worked out for words it has seen, in columns, one row a word in order of first sight;
+    ``flat`` columns hold several values a word, found by ``start`` and ``size``.  It is emptied when it holds more
+    than ``limit`` words, between two calls."""
+
+    def __init__(self, limit: int = 1 << 18):
+        self.limit = limit
+        self._empty()
+
+    def _empty(self):
+        self.place: defaultdict = defaultdict()
+        self.place.default_factory = self.place.__len__
+        self.columns: dict = {}
+
+    def codes(self, split: list[list[str]]) -> tuple[np.ndarray, list[str]]:
+        """For every word in turn its row, and the words whose rows are still to be added."""
+        if len(self.place) > self.limit:
+            self._empty()
+        before = len(self.place)
+        code = np.fromiter(map(self.place.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
+        return code, list(islice(self.place, before, None))
+
+    def add(self, **columns) -> None:
+        for name, values in columns.items():
+            old = self.columns.get(name)
+            self.columns[name] = values if old is None else old + values if isinstance(values, list) else np.concatenate([old, values])
+
+    def __getitem__(self, name: str):
+        return self.columns[name]

@@ -16,14 +16,14 @@ from __future__ import annotations
 import functools
 import json
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnwatch.llm.common import BLANKS, distinct, id_back, id_text, one_thread, python_ready, stretches, table
+from txnwatch.llm.byte_bpe import _byte_of_char
+from txnwatch.llm.common import BLANKS, Memory, id_back, id_text, one_thread, python_ready, stretches, table
 from txnwatch.llm.lexicon import ragged
 from txnwatch.llm.token_counts import grouped
 
@@ -33,7 +33,7 @@ END = 0
 
 class Encoder:
     """A byte-level file of the ``tokenizers`` library.  A text is cut into stretches from space to space,
-    where its split pattern always cuts, and the library encodes each distinct stretch of a batch once."""
+    where its split pattern always cuts, and the library encodes a stretch when a worker first meets it."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -47,6 +47,14 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        vocab = self.library.get_vocab(with_added_tokens=False)
+        byte, added = _byte_of_char(), {t["id"]: len(t["content"].encode()) for t in spec["added_tokens"]}
+        self.bytes = np.zeros(max([*vocab.values(), *added]) + 1, np.int64)       # of every token
+        for t, i in vocab.items():
+            self.bytes[i] = added.get(i) or sum(c in byte for c in t)
+        for i, n in added.items():
+            self.bytes[i] = n
+        self.memory = Memory()
 
     def _split(self, text: str | None) -> list[str]:
         if not text or not self.cuts:
@@ -54,14 +62,31 @@ class Encoder:
         first, *rest = stretches(" " + text)
         return [first[1:], *rest] if len(first) > 1 else rest
 
+    def _new(self, words: list[str]) -> None:
+        """Encode words not met before: as one text where the next word begins at a cut."""
+        runs, run = [], []
+        for w in words:
+            if run and not (self.cuts and w[0] == " " and not run[-1][-1].isspace()):
+                runs.append(run)
+                run = []
+            run.append(w)
+        runs += [run] if run else []
+        for run, e in zip(runs, self.library.encode_batch_fast(["".join(r) for r in runs], add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
+            ends = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(w.encode()) for w in run]))
+            sizes = np.diff(np.r_[0, ends + 1])
+            self.memory.add(size=sizes, ids=ids)
+
     def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of every text, and the ids of all texts in turn."""
         split = [self._split(t) for t in texts]
-        code, words = distinct(split)
-        found = [e.ids for e in self.library.encode_batch(words, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
+        code, new = self.memory.codes(split)
+        if new:
+            self._new(new)
         per_text = np.zeros(len(texts), np.int64)
+        if not len(code):
+            return per_text, np.zeros(0, np.uint32)
+        sizes, flat = self.memory["size"], self.memory["ids"]
         np.add.at(per_text, np.repeat(np.arange(len(texts)), [len(s) for s in split]), sizes[code])
         return per_text, flat[ragged((np.cumsum(sizes) - sizes)[code], sizes[code])]
 

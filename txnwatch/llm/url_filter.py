@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnwatch.llm.common import free_name, table, with_row_id, written
+from txnwatch.llm.common import free_name, table, written
 
 MAX_BITS = 1 << 24
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -142,7 +142,7 @@ def filter_urls(df: DataFrame, url: str = "url", rules: dict | None = None, bloc
         hits, rows = F.filter(possible_keys(host, path, keys), lambda k: in_cascade(levels, k)), parts
     except TooLarge:
         hits_name, row = free_name(df, "hits"), free_name(df, "row")
-        numbered = written(with_row_id(parts, row), "url-rows")
+        numbered = written(parts.withColumn(row, F.monotonically_increasing_id()), "url-rows")      # stored once with its key
         found = numbered.select(row, F.explode(possible_keys(host, path, keys)).alias("key")) \
             .join(listed, "key", "left_semi").groupBy(row).agg(F.collect_list("key").alias(hits_name))
         rows = numbered.join(found, row, "left")

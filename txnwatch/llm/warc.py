@@ -149,7 +149,9 @@ def read_records(index: DataFrame, folder: str, span: int = SPAN, gap: int = GAP
     (empty for revisits), record_type, payload_digest, payload_bytes, refers_to."""
     python_ready(index.sparkSession)
     place = index.select("file", "offset", "length", F.floor(F.col("offset") / span).alias("part"))
-    dealt = place.repartition("file", "part").sortWithinPartitions("file", "offset").drop("part")
+    # as many tasks as the archives have spans: index rows are small, what they name is not
+    total = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    dealt = place.repartition(max(1, -(-total // span)), "file", "part").sortWithinPartitions("file", "offset").drop("part")
     out = dealt.mapInPandas(lambda it: _read(it, folder, span, gap),
                             "page_id string, url string, payload binary, record_type string, payload_digest string, "
                             "payload_bytes long, refers_to string")

@@ -35,13 +35,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txnwatch.llm.byte_bpe import _byte_of_char
-from txnwatch.llm.common import distinct, python_ready, table, written
+from txnwatch.llm.common import Memory, python_ready, table, written
 from txnwatch.llm.lexicon import Lexicon, build, ragged
 from txnwatch.session import work_dir
 
 WORDS = 50_000            # words in the lexicon (at most; a bound on its size)
 LOOSE = 1 << 20           # characters that are encoded together
-SEEN = 1 << 16            # unseen words that a worker remembers
 SHORT = 32                # symbols of a word up to which looking through all pairs beats a heap
 
 # Fixed value: the published word pattern of this vocabulary.
@@ -113,7 +112,6 @@ class WordBpe:
         for rank, m in enumerate(model["merges"]):
             left, right = m.split(" ") if isinstance(m, str) else m
             self.merges[vocab[left], vocab[right]] = (rank, vocab[left + right])
-        self._merged = functools.lru_cache(maxsize=SEEN)(self.merge)
         self.tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in self.added.items()}
 
     def _library_kind(self, c: str) -> str:
@@ -145,7 +143,7 @@ class WordBpe:
 
     def ids(self, word: str) -> tuple:
         """Ids of one of ``words``."""
-        return (self.added[word[1:]],) if word[0] == " " else self._merged(word)
+        return (self.added[word[1:]],) if word[0] == " " else self.merge(word)
 
     def merge(self, word: str) -> tuple:
         """Ids of a word by its merges: lowest rank first, of equal ranks the leftmost."""
@@ -206,24 +204,26 @@ def _mapped(name: str) -> Lexicon:
     return Lexicon(np.load(SparkFiles.get(name), mmap_mode="r"))
 
 
-def encode_texts(bpe: WordBpe, lexicon: Lexicon, texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """Number of ids of every text, and the ids of all texts in turn."""
+def encode_texts(bpe: WordBpe, lexicon: Lexicon, texts: list, memory: Memory | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Number of ids of every text, and the ids of all texts in turn; ``memory`` keeps the words met so far."""
+    memory = Memory() if memory is None else memory
     split = [bpe.words(t) for t in texts]
-    code, words = distinct(split)
-    if not words:
-        return np.zeros(len(texts), np.int64), np.zeros(0, np.int64)
-    held, sizes, ids = lexicon.lookup([w.encode() for w in words])
-    starts = np.cumsum(sizes) - sizes
-    more: list = []
-    for k in np.flatnonzero(~held).tolist():
-        found = bpe.ids(words[k])
-        starts[k], sizes[k] = len(ids) + len(more), len(found)
-        more += found
-    ids = np.concatenate([ids, np.array(more, np.int64)])
-    n = np.array([len(s) for s in split], np.int64)
-    owner = np.repeat(np.arange(len(texts)), n)
+    code, new = memory.codes(split)
     per_text = np.zeros(len(texts), np.int64)
-    np.add.at(per_text, owner, sizes[code])
+    if not len(code):
+        return per_text, np.zeros(0, np.int64)
+    if new:
+        before = len(memory["ids"]) if memory.columns else 0
+        held, sizes, ids = lexicon.lookup([w.encode() for w in new])
+        starts = np.cumsum(sizes) - sizes
+        more: list = []
+        for k in np.flatnonzero(~held).tolist():
+            found = bpe.ids(new[k])
+            starts[k], sizes[k] = len(ids) + len(more), len(found)
+            more += found
+        memory.add(start=starts + before, size=sizes, ids=np.concatenate([ids, np.array(more, np.int64)]))
+    starts, sizes, ids = memory["start"], memory["size"], memory["ids"]
+    np.add.at(per_text, np.repeat(np.arange(len(texts)), [len(s) for s in split]), sizes[code])
     return per_text, ids[ragged(starts[code], sizes[code])]
 
 
@@ -293,10 +293,10 @@ def compile_lexicon(df: DataFrame, path: str, text: str = "text", words: int = W
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, name: str) -> Iterator[pa.RecordBatch]:
-    bpe, lexicon = load(path), _mapped(name)
+    bpe, lexicon, memory = load(path), _mapped(name), Memory()
     for b in batches:
         for i, j in _slices(b.column(1), LOOSE):
-            n, ids = encode_texts(bpe, lexicon, b.column(1).slice(i, j - i).to_pylist())
+            n, ids = encode_texts(bpe, lexicon, b.column(1).slice(i, j - i).to_pylist(), memory)
             ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), ids], ["doc_id", "ids"])
 
@@ -324,11 +324,19 @@ def decode(df: DataFrame, path: str) -> DataFrame:
     return df.select("doc_id", "ids").mapInArrow(lambda it: _decoded(it, path), "doc_id long, ids array<int>, decoded string")
 
 
+def round_trip(df: DataFrame, path: str, lexicon: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``decode(encode(df))`` in one Python worker a task: doc_id, ids and the decoded text of every row."""
+    python_ready(df.sparkSession)
+    name = lexicon or compile_lexicon(df, path, text)
+    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(lambda it: _decoded(_encoded(it, path, name), path), "doc_id long, ids array<int>, decoded string")
+
+
 def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    out = decode(encode(table(spark, sf_dir, "documents"), path), path)
+    out = round_trip(table(spark, sf_dir, "documents"), path)
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"),
                       F.sha2("decoded", 256).alias("decoded_sha256"))
