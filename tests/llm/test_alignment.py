@@ -100,10 +100,11 @@ def test_odd_texts_groups_and_links():
 def test_refine_counts_on_by_bytes():
     import numpy as np
 
-    # " a", then a four-byte character whose three tokens report it whole, then "b"; a second stretch
-    begin, end = np.array([0, 2, 2, 2, 6, 0]), np.array([2, 6, 6, 6, 7, 3])
-    size, first = np.array([2, 1, 2, 1, 1, 3]), np.array([1, 0, 0, 0, 0, 1], bool)
-    assert alignment.refine(begin, end, size, first).tolist() == [2, 3, 5, 6, 7, 3]
+    # " a", then a four-byte character whose three tokens report it whole, then "b"
+    begin, end, size = np.array([0, 2, 2, 2, 6]), np.array([2, 6, 6, 6, 7]), np.array([2, 1, 2, 1, 1])
+    assert alignment.refine(begin, end, size).tolist() == [2, 3, 5, 6, 7]
+    # byte pieces: empty spans, then the whole character
+    assert alignment.refine(np.array([0, 1, 1, 1]), np.array([1, 1, 1, 4]), np.array([1, 1, 1, 1])).tolist() == [1, 2, 3, 4]
 
 
 def test_odd_tables(spark):
