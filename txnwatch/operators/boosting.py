@@ -1,7 +1,8 @@
 """Second-order boosted trees and single trees grown on gradient histograms.
 
-The rows of a stored binned matrix (``binning``) are dealt to a few barrier tasks.  Each
-keeps its rows' bins and margins, sums gradients, hessians and rows per (node, feature,
+The rows of a stored binned matrix (``binning``) are dealt to barrier tasks of at most
+``ROWS_PER_TASK`` rows (an exchange costs about a second, as much as a pass over so many
+rows, so smaller tasks would only wait).  Each keeps its rows' bins and margins, sums gradients, hessians and rows per (node, feature,
 bin), and the tasks add up their sums with ``allGather``; from the same sums every task
 finds the same splits.  A fit is one Spark job however many trees it grows, and a lost
 executor makes Spark repeat that stage.
@@ -39,8 +40,8 @@ from pyspark.sql import functions as F
 from txnwatch.operators.binning import bins_of, filled
 from txnwatch.session import ship_package
 
-ROWS_PER_TASK = 50_000
-MAX_TASKS = 32            # every task gets every other's sums: more would gather more than they save
+ROWS_PER_TASK = 2_000_000  # a byte a feature: a task holds no more than an ordinary partition
+MAX_TASKS = 32             # every task gets every other's sums: more would gather more than they save
 FINE = 1 << 20            # steps of a gradient
 TOGETHER = 64             # nodes whose histograms are summed in one exchange
 
@@ -144,7 +145,7 @@ class _Node:
 
     def __init__(self, depth: int, hist: np.ndarray, best: tuple):
         self.depth, self.hist, self.children = depth, hist, None
-        self.sums = hist[0].sum(axis=0)
+        self.sums = hist[:, 0].sum(axis=1)
         self.gain, self.feature, self.bin, self.left_rows = best
 
 
@@ -155,37 +156,35 @@ class Grower:
         self.bins, self.n_bins, self.spec, self.exchange = bins, n_bins, spec, exchange
 
     def _histograms(self, slot: np.ndarray, n: int, g: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """Sums (node slot, feature, bin, [gradient, hessian, rows]) of the rows with a slot."""
+        """Sums ([gradient, hessian, rows], node slot, feature, bin) of the rows with a slot."""
         rows = np.flatnonzero(slot >= 0)
         at = slot[rows].astype(np.int64) * self.n_bins
         whole = len(rows) == len(slot)
         g, h = (g, h) if whole else (g[rows], h[rows])
-        out = np.empty((n, len(self.bins), self.n_bins, 3))
+        out = np.empty((3, n, len(self.bins), self.n_bins))
         for f, bins in enumerate(self.bins):
             index = at + (bins if whole else bins[rows])
             for k, weights in enumerate((g, h, None)):
-                out[:, f, :, k] = np.bincount(index, weights, n * self.n_bins).reshape(n, self.n_bins)
+                out[k, :, f] = np.bincount(index, weights, n * self.n_bins).reshape(n, self.n_bins)
         return self.exchange(out)
 
     def _best(self, hist: np.ndarray, scale: float) -> list[tuple]:
         """(gain, feature, bin, rows to the left) of every node's best split; gain is -inf without one."""
-        spec, left = self.spec, np.cumsum(hist, axis=2)
-        total = left[:, :, -1:, :]
-        right = total - left
-
-        def value(s):
-            weight = s[..., 1] / scale + spec.l2
-            return np.divide((s[..., 0] / scale) ** 2, weight, out=np.zeros(weight.shape), where=weight > 0)
-
-        gain = value(left) + value(right) - value(total)
-        fits = np.minimum(left[..., 2], right[..., 2]) >= max(1, spec.min_rows)
-        fits &= np.minimum(left[..., 1], right[..., 1]) >= spec.min_hessian * scale
-        gain = np.where(fits & (gain > spec.min_gain), gain, -np.inf).reshape(len(hist), -1)
+        spec, (g, h, n) = self.spec, np.cumsum(hist, axis=3)
+        gt, ht, nt = (x[:, :1, -1:] for x in (g, h, n))
+
+        def value(g, h):
+            weight = h / scale + spec.l2
+            return np.divide((g / scale) ** 2, weight, out=np.zeros(weight.shape), where=weight > 0)
+
+        gain = value(g, h) + value(gt - g, ht - h) - value(gt, ht)
+        fits = (np.minimum(n, nt - n) >= max(1, spec.min_rows)) & (np.minimum(h, ht - h) >= spec.min_hessian * scale)
+        gain = np.where(fits & (gain > spec.min_gain), gain, -np.inf).reshape(len(n), -1)
         place = gain.argmax(axis=1)
         out = []
         for k, p in enumerate(place.tolist()):
             f, b = divmod(p, self.n_bins)
-            out.append((float(gain[k, p]), f, b, float(left[k, f, b, 2])))
+            out.append((float(gain[k, p]), f, b, float(n[k, f, b])))
         return out
 
     def grow(self, g: np.ndarray, h: np.ndarray, scale: float) -> tuple[list, np.ndarray]:
@@ -193,7 +192,7 @@ class Grower:
         spec = self.spec
         where = np.zeros(self.bins.shape[1], np.int64)       # node of every row, as far as nodes are looked at
         root = self._histograms(where, 1, g, h)
-        nodes = [_Node(0, root[0], self._best(root, scale)[0])]
+        nodes = [_Node(0, root[:, 0], self._best(root, scale)[0])]
         while True:
             taken, open_ = self._take(nodes)
             if not open_:
@@ -239,11 +238,11 @@ class Grower:
         small = np.full(len(where), -1, np.int64)
         small[rows] = np.where(goes_left == small_left[own], own, -1)
         hist = self._histograms(small, len(parents), g, h)
-        other = np.stack([nodes[p].hist for p in parents]) - hist
-        best = self._best(np.concatenate([hist, other]), scale)
+        other = np.stack([nodes[p].hist for p in parents], axis=1) - hist
+        best = self._best(hist, scale) + self._best(other, scale)
         first = len(nodes)
         for i, p in enumerate(parents):
-            pair = [(hist[i], best[i]), (other[i], best[len(parents) + i])]
+            pair = [(hist[:, i], best[i]), (other[:, i], best[len(parents) + i])]
             for one, split in pair if small_left[i] else pair[::-1]:
                 nodes.append(_Node(nodes[p].depth + 1, one, split))
             nodes[p].children = (first + 2 * i, first + 2 * i + 1)
