@@ -40,6 +40,7 @@ from txnwatch.llm.lexicon import ragged
 
 HEAD = 1 << 16            # id pairs that are broadcast
 LOOSE = 1 << 20           # characters that are aligned together
+SEEN = 1 << 18            # stretches whose alignment a worker remembers (about 300 bytes each)
 MARK = "▁"
 
 
@@ -89,7 +90,7 @@ class Pair:
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         self.size_a, self.size_b = (np.array([len(x) for x in side], np.int64) for side in (self.bytes_a, self.bytes_b))
         self._signed = [f"{i}{sign}" for side in (self.bytes_a, self.bytes_b) for i in range(len(side)) for sign in (",", "|", ";", "\n")]
-        self.memory = Memory(1 << 17)
+        self.memory = Memory(SEEN)
         #: Whether a blank after a character that is none starts a token in both.
         self.cuts = (split["type"], split.get("use_regex", True), split["add_prefix_space"], spec["normalizer"]) == ("ByteLevel", True, False, None) \
             and not any(MARK in p.lstrip(MARK) for p in pieces)
@@ -220,7 +221,7 @@ def align_texts(pair: Pair, texts: list) -> list[pa.Array]:
     code, new = pair.memory.codes(split)
     if new:
         s = Stretches(pair, new)
-        pair.memory.add(good=s.good, n_a=s.n_a, n_b=s.n_b, n_groups=s.n_groups, n_links=s.n_links, groups=s.groups, link_a=s.link_a, link_b=s.link_b)
+        pair.memory.add(good=s.good, n_a=s.n_a, n_b=s.n_b, n_groups=s.n_groups, n_links=s.n_links, groups=s.groups, link_a=s.link_a.astype(np.int32), link_b=s.link_b.astype(np.int32))
     if not len(code):
         code, words, done = code, 0, {k: np.zeros(0, np.int64) for k in ("good", "n_a", "n_b", "n_groups", "n_links", "groups", "link_a", "link_b")}
     else:
@@ -242,7 +243,7 @@ def align_texts(pair: Pair, texts: list) -> list[pa.Array]:
     size = done["n_links"]
     index = ragged((np.cumsum(size) - size)[code], size[code])
     doc, times = np.repeat(owner, size[code]), np.repeat(times, size[code])
-    key = done["link_a"][index] << 32 | done["link_b"][index]
+    key = done["link_a"][index].astype(np.int64) << 32 | done["link_b"][index]
     order = np.lexsort((key, doc))
     doc, key, times = doc[order], key[order], times[order]
     new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])]) if len(doc) else np.zeros(0, np.int64)

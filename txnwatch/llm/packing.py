@@ -29,6 +29,7 @@ from txnwatch.llm.token_counts import grouped
 
 CONTEXT = 1024
 END = 0
+SEEN = 1 << 20             # stretches whose ids a worker remembers (about 200 bytes each)
 
 
 class Encoder:
@@ -54,7 +55,7 @@ class Encoder:
             self.bytes[i] = added.get(i) or sum(c in byte for c in t)
         for i, n in added.items():
             self.bytes[i] = n
-        self.memory = Memory()
+        self.memory = Memory(SEEN)
 
     def _split(self, text: str | None) -> list[str]:
         if not text or not self.cuts:

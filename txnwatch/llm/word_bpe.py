@@ -41,6 +41,7 @@ from txnwatch.session import work_dir
 
 WORDS = 50_000            # words in the lexicon (at most; a bound on its size)
 LOOSE = 1 << 20           # characters that are encoded together
+SEEN = 1 << 19            # words whose ids a worker remembers
 SHORT = 32                # symbols of a word up to which looking through all pairs beats a heap
 
 # Fixed value: the published word pattern of this vocabulary.
@@ -204,6 +205,12 @@ def _mapped(name: str) -> Lexicon:
     return Lexicon(np.load(SparkFiles.get(name), mmap_mode="r"))
 
 
+@functools.lru_cache(maxsize=1)
+def _seen(path: str) -> Memory:
+    """The words that this worker has met, in all its tasks."""
+    return Memory(SEEN)
+
+
 def encode_texts(bpe: WordBpe, lexicon: Lexicon, texts: list, memory: Memory | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Number of ids of every text, and the ids of all texts in turn; ``memory`` keeps the words met so far."""
     memory = Memory() if memory is None else memory
@@ -293,7 +300,7 @@ def compile_lexicon(df: DataFrame, path: str, text: str = "text", words: int = W
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, name: str) -> Iterator[pa.RecordBatch]:
-    bpe, lexicon, memory = load(path), _mapped(name), Memory()
+    bpe, lexicon, memory = load(path), _mapped(name), _seen(path)
     for b in batches:
         for i, j in _slices(b.column(1), LOOSE):
             n, ids = encode_texts(bpe, lexicon, b.column(1).slice(i, j - i).to_pylist(), memory)
