@@ -66,6 +66,48 @@ def test_sql_twin(spark):
             assert (got[c] == want[c]).all(), c
 
 
+def _rows_of_both(spark, path):
+    """Rows of the query and of its SQL over one documents table."""
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{path}/documents.parquet/*.parquet'")
+    want = con.execute(qr.op1_sql()).df().set_index("doc_id").sort_index()
+    got = qr.op1_quality_rules(spark, str(path)).toPandas().set_index("doc_id").sort_index()
+    assert list(got.columns) == list(want.columns)
+    for c in want.columns:
+        if c.endswith("distance"):
+            assert got[c].to_numpy(float) == pytest.approx(want[c].to_numpy(float), nan_ok=True, abs=1e-8)
+        else:
+            assert (got[c] == want[c]).all(), c
+    return got
+
+
+def test_sql_twin_on_hot_copies_gibberish_and_other_languages(spark, tmp_path):
+    """One operator: the query, its SQL and the pipeline stage agree where the clauses and references matter."""
+    rng = random.Random(23)
+    gibberish = lambda n: " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 7))) + "q" for _ in range(n))
+    numbers = lambda n: " ".join(str(rng.randrange(10**6)) for _ in range(n))
+    hot = numbers(300)
+    rows = [(i, _prose(60 + 5 * i, "en", i), "en") for i in range(60)] + [(100 + i, _prose(80 + 5 * i, "fr", 500 + i), "fr") for i in range(40)]
+    rows += [(200 + i, hot, "en") for i in range(120)] + [(400, numbers(20_000), "en")]
+    junk = [(500, gibberish(120), "en"), (501, gibberish(600), "fr"), (502, _prose(300, "fr", 9), "en"), (503, numbers(15), "en"), (504, gibberish(30), "en")]
+    other = [(600 + i, "".join(rng.choice("的一是在不了有和人这") + (" " if k % 3 == 2 else "") for k in range(400)), "zh") for i in range(20)]
+    other += [(700, _prose(200, "en", 77), None), (701, None, "en"), (702, "", None), (703, gibberish(200), None)]
+    spark.createDataFrame(rows + junk + other, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = _rows_of_both(spark, tmp_path)
+    assert got.loc[:59].kept.all() and got.loc[100:139].kept.all()          # copies move no reference
+    assert not got.loc[200:400].kept.any() and not got.loc[500:502].kept.any() and not got.loc[703].kept
+    assert got.loc[600:619].kept.all() and got.loc[700].kept                # no reference, no verdict
+    assert got.loc[503:504].kept.all()                                      # too short for a verdict
+    stage = {r.doc_id for r in qr.drop_low_quality(spark.read.parquet(str(tmp_path / "documents.parquet"))).select("doc_id").collect()}
+    assert stage == set(got.index[got.kept])
+
+
+def test_clashing_names_stay(spark):
+    df = spark.createDataFrame([(1, "some words " * 12, "en", "own")], "doc_id long, text string, lang string, q string")
+    out = qr.with_quality(df)
+    assert out.columns == ["doc_id", "text", "lang", "q", "q_"] and out.first().q == "own"
+
+
 def _prose(n, lang, seed):
     """Words of which a third are the common words of ``lang``, the others of letters that all texts share."""
     rng = random.Random(seed)

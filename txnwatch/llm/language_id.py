@@ -262,8 +262,11 @@ def fit(df: DataFrame, path: str, text: str = "text", lang: str = "lang", order:
 
 
 def predict(df: DataFrame, model: LanguageModel, text: str = "text", out: str = "lang_pred", score: str = "score") -> DataFrame:
-    """``df`` with the predicted language and its posterior in two new columns."""
+    """``df`` with the predicted language and its posterior in two new columns (under longer names where
+    ``df`` has those)."""
     python_ready(df.sparkSession)
+    out = free_name(df, out)
+    score = free_name(df.withColumn(out, F.lit("")), score)
     shared = df.sparkSession.sparkContext.broadcast(model)          # vocabulary x languages numbers
     schema = df.withColumn(out, F.lit("")).withColumn(score, F.lit(0.0)).schema
     return df.mapInArrow(lambda it: _arrow(it, shared, text, out, score), schema)

@@ -123,12 +123,13 @@ def in_cascade(levels: list[Level], key: Column) -> Column:
 
 def filter_urls(df: DataFrame, url: str = "url", rules: dict | None = None, blocked=BLOCKED_HOSTS,
                 max_bits: int = MAX_BITS, out: str = "u") -> DataFrame:
-    """``df`` and one struct column ``out``: host, path, rule (or null), verdict.
+    """``df`` and one struct column ``out`` (under a longer name where ``df`` has that one): host,
+    path, rule (or null), verdict.
 
     The longest rule that fits a URL decides; without one, ``block`` if a key of
     ``blocked`` fits, else ``allow``.  Rule hosts are compared in lower case.
     """
-    rules = RULES if rules is None else rules
+    rules, out = RULES if rules is None else rules, free_name(df, out)
     named = {"".join(split_key(k)): k for k in rules}
     blocked = sorted({"".join(split_key(k)) for k in blocked} - set(named))
     keys = [*named, *blocked]
