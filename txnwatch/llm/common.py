@@ -17,6 +17,7 @@ from txnwatch.session import ship_package, work_dir
 #: Space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\f\r"
 BLANK_RUN = r"[ \t-\r]+"
+_BLANK_THEN_SPACE = re.compile(r"\s ")
 #: From a space that follows no blank to the next such space.
 _STRETCH = re.compile(r" \s*(?:\S+(?:[^\S ]\s*\S+)*(?:[^\S ]\s*)?)?")
 
@@ -96,7 +97,9 @@ def doc_columns(df: DataFrame, *names: str) -> DataFrame:
 def stretches(text: str) -> list[str]:
     """``text``, which begins with a space, cut before every space that follows a character that is no
     blank: places where the published byte-level split pattern always cuts."""
-    return _STRETCH.findall(text)
+    if _BLANK_THEN_SPACE.search(text):
+        return _STRETCH.findall(text)
+    return [" " + part for part in text[1:].split(" ")]         # every space is a cut
 
 
 def one_thread() -> None:
