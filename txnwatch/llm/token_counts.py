@@ -6,9 +6,9 @@ is a map from the state it is entered with to its exit state and count.  Past th
 first word start inside it a chunk forgets its entry, so its map is (head, constant
 tail); a chunk inside one long word has no constant part and is tabulated for the
 entry states that the bytes before it allow.  All tails, then all heads, then all
-tables run in lockstep; the maps of a long word's chunks are composed in sequence,
-extending a table by a run where a composition needs a state it lacks, so the counts
-are exact for any text.  A prefix scan of exit states only checks that sequence.
+tables run in lockstep.  The maps of a long word's chunks, exit state and tokens by
+entry state, compose through a prefix scan, whose result are the counts; a state that a
+map lacks is filled in where the scan meets it, so the counts are exact for any text.
 
 Null text is empty: 0 bytes, 0 tokens.  An empty table gives no rows.
 """
@@ -87,27 +87,43 @@ class ChunkMaps:
             return
         base: dict = {int(c): {} for c in chunks}
         self._tabulate(base, [(c, s) for c, states in self._candidates(chunks).items() for s in states])
-        # prefix scan over each run of such chunks: scan[c] maps the run's entry to c's exit
-        runs = np.split(chunks, np.flatnonzero(np.diff(chunks) > 1) + 1)
-        for run in runs:
+        for run in np.split(chunks, np.flatnonzero(np.diff(chunks) > 1) + 1):
             entry = int(leave[run[0] - 1])
             self._tabulate(base, [(int(run[0]), entry)])
-            scan = [{s: x for s, (x, _) in base[int(c)].items()} for c in run]
-            step = 1
-            while step < len(run):
-                new = list(scan)
-                for i in range(step, len(run)):
-                    new[i] = {s: scan[i][x] for s, x in scan[i - step].items() if x in scan[i]}
-                scan, step = new, 2 * step
-            state = entry
-            for i, c in enumerate(run.tolist()):               # read the scan; a state it lacks is run
-                before = state
-                if before not in base[c]:
-                    self._tabulate(base, [(c, before)])
-                state, n = base[c][before]
-                known = scan[i].get(entry)
-                assert known is None or known == state
-                leave[c], count[c] = state, n
+            scan = self._scan(base, run.tolist(), entry)
+            leave[run] = [x for x, _ in scan]
+            count[run] = np.diff([0, *(n for _, n in scan)])
+
+    def _scan(self, base: dict, run: list, entry: int) -> list:
+        """Prefix scan over a run of chunks: for each of them the state after it and the tokens of all chunks up
+        to it, entered with ``entry``.
+
+        ``maps[k][i]`` is the composed map {state: (exit, tokens)} of the up to 2^k chunks that end with the
+        i-th; level k + 1 composes two neighbours of level k.  A state that a map lacks is filled in from the
+        maps below it, and at the lowest level by running the chunk."""
+        maps = [[base[c] for c in run]]
+
+        def through(level: int, i: int, state: int):
+            own = maps[level][i]
+            if state not in own:
+                half = i - (1 << (level - 1)) if level else 0
+                if not level:
+                    self._tabulate(base, [(run[i], state)])
+                elif half < 0:
+                    own[state] = through(level - 1, i, state)
+                else:
+                    x, n = through(level - 1, half, state)
+                    y, m = through(level - 1, i, x)
+                    own[state] = (y, n + m)
+            return own[state]
+
+        while 1 << (len(maps) - 1) < len(run):
+            level, reach = len(maps), 1 << (len(maps) - 1)
+            maps.append([{} for _ in run])
+            for i in range(len(run)):
+                for state in list(maps[level - 1][max(0, i - reach)]) if i >= reach else [entry]:
+                    through(level, i, state)
+        return [through(len(maps) - 1, i, entry) for i in range(len(run))]
 
 
 def count_texts(texts: list, bpe: byte_bpe.ByteBpe, width: int = WIDTH) -> np.ndarray:
