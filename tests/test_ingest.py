@@ -47,6 +47,28 @@ def test_pattern_blocks(spark):
     assert "extra" not in set(recs.payment_format)
 
 
+def test_blocks_of_any_size_are_split(spark):
+    """A block over many file splits, markers in the middle of a line, and files of their own."""
+    row = "2022/09/01 00:06,021174,{},012,{},10.00,Euro,10.00,Euro,ACH,1"
+    text, want = [row.format("A-none", "BEGIN LAUNDERING ATTEMPT - X")], [("A-none", None)]
+    for block, n in (("FAN-OUT", 900), ("CYCLE", 3), ("EMPTY", 0), ("STACK", 700)):
+        text += [f"  BEGIN LAUNDERING ATTEMPT - {block}:  Max 3\r"] + [row.format(f"{block}{i}", "B") for i in range(n)] + ["END LAUNDERING ATTEMPT", ""]
+        want += [(f"{block}{i}", block) for i in range(n)]
+    text += [row.format("late", "B")]
+    want += [("late", "STACK")]
+    d = os.path.dirname(write("\n".join(text), "one.txt"))
+    with open(os.path.join(d, "two.txt"), "w") as f:
+        f.write(row.format("other", "B") + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        assert spark.read.text(d).rdd.getNumPartitions() > 10
+        got = ingest.read_pattern_records(spark, d).select("from_account", "typology").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted(map(tuple, got), key=str) == sorted(want + [("other", None)], key=str)
+
+
 def test_csv_lookup_join_profile(spark):
     trans = ingest.read_transactions(spark, write(CSV, "t.csv"))
     assert trans.columns[:2] == ["from_bank", "from_account"] and "ts" in trans.columns

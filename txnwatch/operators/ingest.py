@@ -3,10 +3,11 @@ and the quality profile of the result."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from txnwatch.functions.expr import parse_ts, typology_from_header
+from txnwatch.session import work_dir
 from txnwatch.schema import (BLOCK_BEGIN, BLOCK_END, JOIN_KEYS, PATTERN_RECORD_COLUMNS, TRANSACTION_CSV_SCHEMA)
 
 
@@ -25,22 +26,31 @@ def read_pattern_records(spark: SparkSession, path: str) -> DataFrame:
     """Parse a labelled-block text file into ``ts_raw .. payment_format, typology``
     rows (all text), one per record line.
 
-    The file is read as records separated by the block marker, so each block is
-    one row and the read splits across tasks like any text file.  A block's
-    first line names its typology (text after the first '-', before ':');
-    ``END`` lines and blank lines are skipped; lines before the first block have
-    no typology, and lines after an ``END`` keep the block's typology.
+    A line that begins with the block marker names the typology of the lines after it (text
+    after the first '-', before ':'); ``END`` lines and blank lines are skipped; lines
+    before the first block of a file have no typology, and lines after an ``END`` keep the
+    block's.  Files are read line by line and split like any text file, so a block
+    may be of any size: the records are stored once with their file split and place, a
+    split looks up the last header above a line by itself, and what a split inherits is the
+    last header of the splits before it (one row a split).
     """
-    blocks = spark.read.option("lineSep", BLOCK_BEGIN).text(path)
-    lines = blocks.select(F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"),
-                          F.split("value", r"\r?\n").getItem(0).alias("head"))
-    lines = lines.withColumn("line", F.trim("line")).withColumn("head_t", F.trim("head"))
-    is_block = F.col("head_t").startswith("-")
-    typology = F.when(is_block, typology_from_header("head"))
-    records = lines.where(~(is_block & (F.col("pos") == 0))
-                          & (F.col("line") != "") & ~F.col("line").startswith(BLOCK_END))
+    line = F.regexp_replace("value", r"^\s+|\s+$", "")
+    head = F.when(F.col("line").startswith(BLOCK_BEGIN), F.struct(typology_from_header("line").alias("typology")))
+    lines = spark.read.text(path).select(
+        line.alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("place")).where((F.col("line") != "") & ~F.col("line").startswith(BLOCK_END))
+    stored = work_dir(spark, "pattern-lines")
+    lines.withColumn("head", head).write.parquet(stored)
+    lines = spark.read.parquet(stored)
+
+    ends = lines.groupBy("file", "split").agg(F.max_by("head", F.when(F.col("head").isNotNull(), F.col("place"))).alias("end"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    inherited = ends.select("file", "split", F.last("end", ignorenulls=True).over(before).alias("above"))
+    here = Window.partitionBy("file", "split").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    records = lines.withColumn("own", F.last("head", ignorenulls=True).over(here)).where(F.col("head").isNull())
+    records = records.join(inherited, ["file", "split"], "left")
     schema = ", ".join(f"{c} string" for c in PATTERN_RECORD_COLUMNS)
-    parsed = records.select(F.from_csv("line", schema).alias("r"), typology.alias("typology"))
+    parsed = records.select(F.from_csv("line", schema).alias("r"), F.coalesce("own", "above")["typology"].alias("typology"))
     return parsed.select(*[F.col("r." + c).alias(c) for c in PATTERN_RECORD_COLUMNS], "typology")
 
 
