@@ -5,7 +5,8 @@ The rows of a stored binned matrix (``binning``) are dealt to barrier tasks of a
 rows, so smaller tasks would only wait).  Each keeps its rows' bins and margins, sums gradients, hessians and rows per (node, feature,
 bin), and the tasks add up their sums with ``allGather``; from the same sums every task
 finds the same splits.  A fit is one Spark job however many trees it grows, and a lost
-executor makes Spark repeat that stage.
+executor makes Spark repeat that stage.  (Spark runs barrier stages, so fits of more than
+one task, without dynamic allocation only.)
 
 Gradients are rounded to multiples of 2^-20 of the largest weight, so their sums are
 exact and the trees do not depend on the number of tasks or the order of the rows.
@@ -325,23 +326,22 @@ def fit_boosted(matrix: DataFrame, features: list[str], cuts: list[np.ndarray],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import BarrierTaskContext
 
-        context = BarrierTaskContext.get()
-        alone = tasks == 1
+        context = BarrierTaskContext.get() if tasks > 1 else None
         parts, labels = [], []
         for b in batches:
             parts.append(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, n_features))
             labels.append(b.column(0).to_numpy(zero_copy_only=False))
         bins = np.ascontiguousarray(np.concatenate([np.zeros((0, n_features), np.uint8), *parts]).T)
         label = np.concatenate([np.zeros(0, np.int32), *labels])
-        for k, nodes in enumerate(boost(bins, label, n_bins, spec, weights, (lambda a: a) if alone else _add_up(context))):
-            if context.partitionId() == 0:
+        for k, nodes in enumerate(boost(bins, label, n_bins, spec, weights, _add_up(context) if context else lambda a: a)):
+            if context is None or context.partitionId() == 0:
                 cols = list(zip(*nodes))
                 arrays = [np.full(len(nodes), 0.0), np.full(len(nodes), k, np.int32), np.arange(len(nodes), dtype=np.int32),
                           *(np.array(c, np.int32) for c in cols[:4]), *(np.array(c, float) for c in cols[4:])]
                 yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], [x.split()[0] for x in _FITTED.split(", ")])
 
     dealt = matrix.select("label", "bins", "key").repartition(tasks, "key").select("label", "bins")
-    nodes = dealt.mapInArrow(run, _FITTED, barrier=True).toPandas().sort_values(["tree", "node"]).reset_index(drop=True)
+    nodes = dealt.mapInArrow(run, _FITTED, barrier=tasks > 1).toPandas().sort_values(["tree", "node"]).reset_index(drop=True)
     threshold = [cuts[f][b] if f >= 0 else 0.0 for f, b in zip(nodes["feature"], nodes["bin"])]
     base = base_of(np.array(counts, float), spec, weights)
     return BoostedTrees(list(features), cuts, base, spec, nodes.drop(columns="base").assign(threshold=threshold), weights)
