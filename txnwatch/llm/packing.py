@@ -14,7 +14,6 @@ itself; a null id stays null.  An empty table gives no rows.
 from __future__ import annotations
 
 import functools
-import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,39 +21,33 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnwatch.llm.byte_bpe import _byte_of_char
+from txnwatch.llm import byte_bpe
 from txnwatch.llm.common import BLANKS, Memory, id_back, id_text, one_thread, python_ready, stretches, table
 from txnwatch.llm.lexicon import ragged
 from txnwatch.llm.token_counts import grouped
+from txnwatch.llm.transducer import START, Lanes, cut_lanes
 
 CONTEXT = 1024
 END = 0
-SEEN = 1 << 20             # stretches whose ids a worker remembers (about 200 bytes each)
+LONG = 4096                # characters of a stretch beyond which lanes would wait for it
+SEEN = 1 << 19             # stretches whose ids a worker remembers (about 200 bytes each)
 
 
 class Encoder:
-    """A byte-level file of the ``tokenizers`` library.  A text is cut into stretches from space to space,
-    where its split pattern always cuts, and the library encodes a stretch when a worker first meets it."""
+    """Ids of a byte-level file.  A text is cut into stretches from space to space, where its split pattern
+    always cuts; a stretch is encoded when a worker first meets it, by the compiled merge rules
+    (``byte_bpe``), or by the ``tokenizers`` library where it holds a special string or more than
+    ``LONG`` characters (the library needs no lanes of equal length).  Both give the library's ids."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         one_thread()
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        split = spec["pre_tokenizer"]
-        self.cuts = (split["type"], split.get("use_regex", True), split["add_prefix_space"], spec["normalizer"]) == ("ByteLevel", True, False, None) \
-            and not any(set(t["content"]) & set(BLANKS) or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"])
+        self.rules = byte_bpe.load(path)                 # raises unless the file is a plain byte-level BPE
+        self.cuts = not any(set(t) & set(BLANKS) for t in self.rules.added)
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        vocab = self.library.get_vocab(with_added_tokens=False)
-        byte, added = _byte_of_char(), {t["id"]: len(t["content"].encode()) for t in spec["added_tokens"]}
-        self.bytes = np.zeros(max([*vocab.values(), *added]) + 1, np.int64)       # of every token
-        for t, i in vocab.items():
-            self.bytes[i] = added.get(i) or sum(c in byte for c in t)
-        for i, n in added.items():
-            self.bytes[i] = n
         self.memory = Memory(SEEN)
 
     def _split(self, text: str | None) -> list[str]:
@@ -63,20 +56,31 @@ class Encoder:
         first, *rest = stretches(" " + text)
         return [first[1:], *rest] if len(first) > 1 else rest
 
+    def _by_rules(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of every word, and the ids of all in turn."""
+        machine = self.rules.machine
+        machine.make_room()
+        symbols, first = self.rules.symbols(words)
+        states = np.zeros(len(symbols), np.int32)
+        lanes = Lanes(symbols, *cut_lanes(symbols >= START, len(symbols), 256))
+        lanes.run(machine, states=states)
+        at = np.flatnonzero(lanes.token_ends(machine, states))
+        cut = np.searchsorted(at, np.r_[first, len(symbols)])
+        return np.diff(cut), machine.last[states[at]]
+
     def _new(self, words: list[str]) -> None:
-        """Encode words not met before: as one text where the next word begins at a cut."""
-        runs, run = [], []
-        for w in words:
-            if run and not (self.cuts and w[0] == " " and not run[-1][-1].isspace()):
-                runs.append(run)
-                run = []
-            run.append(w)
-        runs += [run] if run else []
-        for run, e in zip(runs, self.library.encode_batch_fast(["".join(r) for r in runs], add_special_tokens=False)):
-            ids = np.array(e.ids, np.uint32)
-            ends = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(w.encode()) for w in run]))
-            sizes = np.diff(np.r_[0, ends + 1])
-            self.memory.add(size=sizes, ids=ids)
+        """Encode words not met before."""
+        odd = [k for k, w in enumerate(words) if len(w) > LONG or any(t in w for t in self.rules.added)]
+        by_library = [np.array(e.ids, np.uint32) for e in self.library.encode_batch([words[k] for k in odd], add_special_tokens=False)]
+        plain = np.ones(len(words), bool)
+        plain[odd] = False
+        sizes, starts, ids = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), np.zeros(0, np.uint32)
+        if plain.any():
+            sizes[plain], ids = self._by_rules([words[k] for k in np.flatnonzero(plain)])
+        starts[plain] = np.cumsum(sizes[plain]) - sizes[plain]
+        sizes[odd] = [len(x) for x in by_library]
+        starts[odd] = len(ids) + np.cumsum(sizes[odd]) - sizes[odd]
+        self.memory.add(size=sizes, ids=np.concatenate([ids.astype(np.uint32), *by_library])[ragged(starts, sizes)])
 
     def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of every text, and the ids of all texts in turn."""
