@@ -113,7 +113,9 @@ class WordBpe:
         for rank, m in enumerate(model["merges"]):
             left, right = m.split(" ") if isinstance(m, str) else m
             self.merges[vocab[left], vocab[right]] = (rank, vocab[left + right])
-        self.tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in self.added.items()}
+        self.by_id = np.full(max([*vocab.values(), *self.added.values()]) + 1, "", object)      # tokens
+        for t, i in [*vocab.items(), *self.added.items()]:
+            self.by_id[i] = t
 
     def _library_kind(self, c: str) -> str:
         if not self._pre(c):
@@ -309,12 +311,15 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, name: str) -> Iterato
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    token = load(path).tokens.__getitem__
+    tokens = load(path).by_id
     for b in batches:
         for i, j in _slices(b.column(1), LOOSE):
-            text = [None if x is None else " ".join(map(token, x)) for x in b.column(1).slice(i, j - i).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(text, pa.string())],
-                                             ["doc_id", "ids", "decoded"])
+            own = b.column(1).slice(i, j - i)
+            words = tokens[own.flatten().to_numpy(zero_copy_only=False)] if len(own.flatten()) else tokens[:0]
+            sizes = own.value_lengths().to_pylist()
+            ends = np.cumsum([n or 0 for n in sizes]).tolist()
+            text = [None if n is None else " ".join(words[end - n:end].tolist()) for n, end in zip(sizes, ends)]
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), own, pa.array(text, pa.string())], ["doc_id", "ids", "decoded"])
 
 
 def encode(df: DataFrame, path: str, lexicon: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
