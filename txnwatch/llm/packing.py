@@ -30,7 +30,8 @@ from txnwatch.llm.transducer import START, Lanes, cut_lanes
 CONTEXT = 1024
 END = 0
 LONG = 4096                # characters of a stretch beyond which lanes would wait for it
-SEEN = 1 << 19             # stretches whose ids a worker remembers (about 200 bytes each)
+TOGETHER = 1 << 21         # characters that are encoded together
+SEEN = 1 << 18             # stretches whose ids a worker remembers (about 200 bytes each)
 
 
 class Encoder:
@@ -110,7 +111,7 @@ def cut(n: int, context: int = CONTEXT) -> list[int]:
 def _pieces(batches: Iterator[pd.DataFrame], path: str, context: int, end: int) -> Iterator[pd.DataFrame]:
     encoder = load(path)
     for b in batches:
-        for s in grouped(b["text"]):
+        for s in grouped(b["text"], TOGETHER):
             out: dict = {"doc_id": [], "start": [], "length": [], "ids": [], "doc_tokens": []}
             sizes, ids = encoder.encode(b["text"].iloc[s].tolist())
             ends = np.cumsum(sizes)
