@@ -150,3 +150,20 @@ def test_fixture_velocity_count(spark):
     assert s.count() == 10000
     assert s.where(F.col("sender_24h_count") > 3).count() == 3815
     assert s.agg(F.max("sender_24h_count")).first()[0] == 11
+
+
+def test_groups_are_dealt_to_as_many_tasks_as_the_payments_need(spark, monkeypatch):
+    from txnwatch.operators import features as fe
+    from txnwatch.sources.fixture import FIXTURE_FORMATS, load_txn
+
+    assert fe.task_count(6_000_000, 12) == 60 and fe.task_count(36_000_000, 12) == 360
+    assert fe.task_count(0, 12) == 1 and fe.task_count(30_000, 12) == 3 and fe.task_count(500_000, 12) == 12
+    txn = load_txn(spark, "/root/testdata/sf0.001")
+    spec = FeatureSpec(pay_formats=FIXTURE_FORMATS)
+    expected = sorted(map(tuple, add_features(txn, spec).collect()))
+    monkeypatch.setattr(fe, "ROWS_PER_TASK", -(-txn.count() // 23))
+    silver = add_features(txn, spec)
+    plan = silver._jdf.queryExecution().optimizedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "RepartitionByExpression" in line]
+    assert len(dealt) == 2 and all(line.rstrip().endswith(", 23") for line in dealt)
+    assert sorted(map(tuple, silver.collect())) == expected

@@ -26,6 +26,10 @@ sender's blocks are dealt to different tasks.  Bronze is read twice: for the pai
 attach the values of its second to every payment.
 
 Payments without a time form one frame per sender.
+
+The groups are dealt to as many tasks as the payments need (``ROWS_PER_TASK``, one count
+ahead): a payment is up to seven rows on the way, so tasks of Spark's usual size in shuffled
+bytes would hold many times that in their sorts and hash tables.
 """
 
 from __future__ import annotations
@@ -37,6 +41,10 @@ from pyspark.sql.types import NumericType, StringType
 from txnwatch.functions.expr import differs, epoch_seconds, is_multiple, one_hot, safe_ratio
 from txnwatch.schema import ROUND_UNIT, FeatureSpec
 
+ROWS_PER_TASK = 100_000      # payments whose groups a task sorts and sums
+FEW_ROWS = 10_000            # a small table is spread over the cores down to so many payments
+MOST_TASKS = 100_000
+
 
 def add_features(txn: DataFrame, spec: FeatureSpec | None = None) -> DataFrame:
     """Bronze transactions -> silver: every input column plus the feature columns."""
@@ -75,16 +83,27 @@ def _null_safe_key(df: DataFrame, name: str) -> tuple[Column, Column]:
     return F.col(name).isNull(), F.coalesce(F.col(name), fill)
 
 
+def task_count(rows: int, cores: int) -> int:
+    """Tasks for the groups of so many payments."""
+    return max(1, min(MOST_TASKS, -(-rows // ROWS_PER_TASK)), min(cores, -(-rows // FEW_ROWS)))
+
+
+def _dealt(df: DataFrame, tasks: int | None, *by: str) -> DataFrame:
+    """``df`` in so many tasks by the columns ``by``; without a number the windows' own exchange deals it."""
+    return df.repartition(tasks, *by) if tasks else df
+
+
 def _frame_values(txn: DataFrame, spec: FeatureSpec) -> DataFrame:
     c = spec.cols
+    tasks = task_count(txn.count(), txn.sparkSession.sparkContext.defaultParallelism)
     kn, kv = _null_safe_key(txn, c.sender)
     rows = txn.withColumn("_ts_sec", epoch_seconds(txn, c.ts)).withColumn("_kn", kn).withColumn("_kv", kv)
     keys = ["_kn", "_kv"]
     amount = F.col(c.amount).cast("double")
     pairs = rows.groupBy(*keys, F.col(c.receiver).alias("_r"), "_ts_sec").agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(amount), F.lit(0.0)).alias("s"), F.count(amount).alias("m"))
-    placed = _placed(_next_visits(pairs, keys, spec.short_window), keys, spec.short_window, spec.long_window)
-    sums = _block_sums(placed, keys)
+    placed = _placed(_next_visits(pairs, keys, spec.short_window, tasks), keys, spec.short_window, spec.long_window)
+    sums = _block_sums(placed, keys, tasks)
 
     # the up to four parts of a second's frames
     day, week, untimed = F.col("width") == spec.short_window, F.col("width") == spec.long_window, F.col("width") == 0
@@ -97,7 +116,7 @@ def _frame_values(txn: DataFrame, spec: FeatureSpec) -> DataFrame:
     return rows.select("*", tn, tv).join(at, on=[*keys, "_tn", "_tv"], how="inner").drop(*keys, "_tn", "_tv", "_ts_sec")
 
 
-def _next_visits(pairs: DataFrame, keys: list[str], width: int) -> DataFrame:
+def _next_visits(pairs: DataFrame, keys: list[str], width: int, tasks: int | None = None) -> DataFrame:
     """``pairs`` with ``_off``, the end of a visit's coverage: the pair's next visit or
     ``t + width``, whichever is first.
 
@@ -110,6 +129,7 @@ def _next_visits(pairs: DataFrame, keys: list[str], width: int) -> DataFrame:
     copies = F.array_compact(F.array(F.struct(bucket.alias("_db"), F.lit(True).alias("_own")),
                                      F.when(F.col("_ts_sec").isNotNull(), F.struct((bucket - 1).alias("_db"), F.lit(False).alias("_own")))))
     both = pairs.select("*", F.explode(copies).alias("_c")).select(*pairs.columns, "_c.*")
+    both = _dealt(both, tasks, *keys, "_r", "_db")
     order = Window.partitionBy(*keys, "_r", "_db").orderBy("_ts_sec")
     end = F.col("_ts_sec") + F.lit(width)
     return both.withColumn("_next", F.lead("_ts_sec").over(order)).where("_own") \
@@ -145,13 +165,14 @@ def _placed(visits: DataFrame, keys: list[str], short: int, long: int) -> DataFr
         *[F.sum(v).alias(v) for v in ("n", "s", "m", "by")], *[F.max(v).alias(v) for v in ("point", "asks")])
 
 
-def _block_sums(placed: DataFrame, keys: list[str]) -> DataFrame:
+def _block_sums(placed: DataFrame, keys: list[str], tasks: int | None = None) -> DataFrame:
     """(sender, second, width) rows n, s, m, u whose sums are the frame ``(t - width, t]``: the
     own block up to ``t``, and the block before from its end down to ``t - width + 1``."""
     group = Window.partitionBy(*keys, "width", "block")
     up = group.orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     down = group.orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = placed.select("*", *[F.sum(v).over(up).alias(f"{v}_up") for v in ("n", "s", "m", "by")],
+    dealt = _dealt(placed, tasks, *keys, "width", "block")
+    sums = dealt.select("*", *[F.sum(v).over(up).alias(f"{v}_up") for v in ("n", "s", "m", "by")],
                          *[F.sum(v).over(down).alias(f"{v}_down") for v in ("n", "s", "m")])
 
     def part(second, way, u):
