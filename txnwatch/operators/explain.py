@@ -30,7 +30,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegressionModel, RandomForestClassificationModel
+from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.ml.feature import StandardScalerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +38,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from txnwatch.operators.binning import filled
 from txnwatch.operators.boosting import BoostedTrees
+from txnwatch.operators.forest import Forest
 from txnwatch.session import ship_package, work_dir
 
 
@@ -146,37 +147,98 @@ class TreeExplainer:
     unit: str
 
 
-def _read_nodes(spark: SparkSession, model, path: str) -> pd.DataFrame:
-    """All nodes of the saved model (bounded by its size), read back in columns."""
-    model.write().overwrite().save(path)
-    data = spark.read.parquet(path + "/data").select("treeID", "nodeData.*")
-    stats = F.col("impurityStats")
-    return data.select(
-        "treeID", "id", "leftChild", "rightChild", F.col("split.featureIndex").alias("feat"),
-        F.get(F.col("split.leftCategoriesOrThreshold"), 0).alias("thr"), "prediction", F.get(stats, 0).alias("first"),
-        F.get(stats, 1).alias("second"), F.aggregate(stats, F.lit(0.0), lambda a, x: a + x).alias("total")).toPandas()
-
-
 def tree_explainer(spark: SparkSession, model, n_features: int) -> TreeExplainer:
-    """Level arrays of a fitted forest or of histogram trees."""
+    """Level arrays of histogram trees."""
     if isinstance(model, BoostedTrees):
         trees = []
         for _, own in model.nodes.groupby("tree", sort=True):
             columns = (own[c].tolist() for c in ("left", "right", "feature", "threshold", "cover", "value"))
             trees.append(_level_tree(dict(zip(own["node"].tolist(), zip(*columns)))))
         return TreeExplainer(trees, model.base + float(sum(t.base for t in trees)), n_features, model.unit)
-    if not isinstance(model, RandomForestClassificationModel):
-        raise TypeError(f"not a tree model: {type(model).__name__}")
-    nodes = _read_nodes(spark, model, work_dir(spark, "model-trees"))
-    by_tree = {k: own for k, own in nodes.groupby("treeID")}
-    trees = []
-    for tid in sorted(by_tree):
-        own = by_tree[tid]
-        cover = own["total"]
-        value = (own["second"] / cover).where(cover > 0, 0.0).fillna(0.0) / len(by_tree)
-        columns = (own[c].tolist() for c in ("leftChild", "rightChild", "feat", "thr"))
-        trees.append(_level_tree(dict(zip(own["id"].tolist(), zip(*columns, cover.tolist(), value.tolist())))))
-    return TreeExplainer(trees, float(sum(t.base for t in trees)), n_features, "probability")
+    raise TypeError(f"not a tree model: {type(model).__name__}")
+
+
+def _forest_tree(nodes: np.ndarray, model: Forest) -> LevelTree:
+    """Level arrays of one tree of a forest, a level at a time."""
+    n = len(model.features)
+    cover = nodes["n0"] * float(model.weights[0]) + nodes["n1"] * float(model.weights[1])
+    value, left = model.shares(nodes) / model.spec.trees, nodes["left"].astype(np.int64)
+    thr, feature = np.zeros(len(nodes)), nodes["feature"].astype(np.int64)
+    for f, cuts in enumerate(model.cuts):
+        own = feature == f
+        thr[own] = cuts[nodes["bin"][own]]
+    above, seen, done, most = np.zeros(1, np.int64), np.full((1, n), -1, np.int64), 0, 0
+    levels, cols, shares = [], [], np.zeros(0)
+    base = float(value[0]) if left[0] < 0 else 0.0
+    while True:
+        place = np.flatnonzero(left[above] >= 0)
+        if not len(place):
+            break
+        split, m = above[place], 2 * len(place)
+        child = np.stack([left[split], left[split] + 1], axis=1).ravel()
+        split, place = np.repeat(split, 2), np.repeat(place, 2)
+        feat, own, seen = feature[split], np.arange(m), seen[place]
+        prev = seen[own, feat]
+        seen[own, feat] = done + own
+        most = max(most, int((seen >= 0).sum(axis=1).max()))
+        share = np.maximum(np.divide(cover[child], cover[split], out=np.zeros(m), where=cover[split] > 0), 1e-12)
+        shares = np.concatenate([shares, share * np.where(prev >= 0, shares[prev] if done else 1.0, 1.0)])
+        leaf = left[child] < 0
+        if cover[0] > 0:
+            base += float((value[child] * cover[child])[leaf].sum() / cover[0])
+        cols.append((place, feat, thr[split], own % 2 == 0, prev, np.where(leaf, value[child], 0.0), leaf))
+        levels.append(slice(done, done + m))
+        above, done = child, done + m
+    if not cols:
+        cols = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.zeros(0, bool), np.zeros(0, int), np.zeros(0), np.zeros(0, bool))]
+    place, feat, thr, is_left, prev, value, leaf = (np.concatenate(c) for c in zip(*cols))
+    return LevelTree(levels, place, feat, thr, is_left, shares, prev, value, leaf, base, most)
+
+
+@dataclass
+class ForestExplainer:
+    """A forest's trees, read from its table some at a time."""
+
+    spark: SparkSession
+    model: Forest
+    unit: str = "probability"
+
+    @property
+    def trees(self) -> list:
+        """All trees; for small forests."""
+        return [_forest_tree(nodes, self.model) for some in self.model.passes(self.spark) for nodes in some]
+
+
+def explain_forest(rows: DataFrame, explainer: ForestExplainer, features: list[str], keep: list[str]) -> DataFrame:
+    """``explain_trees`` for a forest: the tasks turn some trees at a time into level arrays, one
+    after the other, and add up their attributions; between two passes the sums are stored."""
+    spark, model, n = rows.sparkSession, explainer.model, len(features)
+    ship_package(spark)
+    xcols = [f"_x{i}" for i in range(n)]
+    out = rows.select(*keep, *[filled(f).alias(x) for f, x in zip(features, xcols)],
+                      F.array(*[F.lit(0.0)] * n).alias("phi"), F.lit(0.0).alias("base")).repartition(spark.sparkContext.defaultParallelism)
+    schema = StructType([*out.schema.fields[:-2], StructField("phi", ArrayType(DoubleType())), StructField("base", DoubleType())])
+    for k, some in enumerate(model.passes(spark)):
+        if k:
+            path = work_dir(spark, "attributions")
+            out.write.parquet(path)
+            out = spark.read.schema(schema).parquet(path)
+        out = out.mapInPandas(_forest_adder(spark.sparkContext.broadcast((model, some)), xcols), schema)
+    return out.select(*keep, "phi", "base")
+
+
+def _forest_adder(bc, xcols: list):
+    def added(batches):
+        model, some = bc.value
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x, phi, base = pdf[xcols].to_numpy(dtype=float), np.stack(pdf["phi"].to_list()), 0.0
+            for nodes in some:
+                tree = _forest_tree(nodes, model)
+                phi, base = phi + tree_shap(x, [tree], len(xcols)), base + tree.base
+            yield pdf.assign(phi=list(phi), base=pdf["base"] + base)
+    return added
 
 
 def explain_trees(rows: DataFrame, explainer: TreeExplainer, features: list[str], keep: list[str]) -> DataFrame:
@@ -303,7 +365,7 @@ class LogisticScore:
 
 def unit_of(model) -> str:
     """The unit in which ``explain`` explains a model."""
-    return model.unit if isinstance(model, BoostedTrees) else "probability"
+    return model.unit if isinstance(model, (BoostedTrees, Forest)) else "probability"
 
 
 def _last(model):
@@ -314,6 +376,8 @@ def explainer_for(spark: SparkSession, model, features: list[str]):
     """Tree arrays of a tree model (built once, reused for every batch of rows); ``None`` for
     the logistic pipeline, which needs no preparation."""
     last = _last(model)
+    if isinstance(last, Forest):
+        return ForestExplainer(spark, last)
     return None if isinstance(last, LogisticRegressionModel) else tree_explainer(spark, last, len(features))
 
 
@@ -324,7 +388,9 @@ def explain(rows: DataFrame, model, features: list[str], keep: list[str],
     if isinstance(last, LogisticRegressionModel):
         predict = LogisticScore(*logistic_coefficients(model, len(features)))
         return explain_sampled(rows, predict, background if background is not None else rows, features, keep).drop("error")
-    ex = prepared if prepared is not None else tree_explainer(rows.sparkSession, last, len(features))
+    ex = prepared if prepared is not None else explainer_for(rows.sparkSession, last, features)
+    if isinstance(ex, ForestExplainer):
+        return explain_forest(rows, ex, features, keep)
     return explain_trees(rows, ex, features, keep)
 
 
