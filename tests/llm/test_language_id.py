@@ -92,3 +92,23 @@ def test_held_out_accuracy(spark):
     assert len(got) == 1000 and got.score.between(0, 1).all()
     print("held-out accuracy", (held.lang_pred == held.lang).mean())
     assert (held.lang_pred == held.lang).mean() > 0.97
+
+
+def test_words_are_scored_some_at_a_time(monkeypatch):
+    import numpy as np
+    import public_tokenizers
+
+    from txnwatch.llm import language_id as li
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rng = np.random.default_rng(5)
+    probs = rng.random((li.pieces(path).size, 3))
+    model = li.LanguageModel(["a", "b", "c"], np.full(3, 1 / 3), probs / probs.sum(axis=0), path)
+    texts = [" ".join("".join(map(chr, rng.integers(97, 123, rng.integers(1, 30)))) for _ in range(20)) for _ in range(40)]
+    expected = model.classify(texts)
+    most, init = [], li.WordLattice.__init__
+    monkeypatch.setattr(li.WordLattice, "__init__", lambda self, words, vocab: (most.append(len(words)), init(self, words, vocab))[1])
+    monkeypatch.setattr(li, "WORDS_AT_ONCE", 50)
+    got = model.classify(texts)
+    assert got[0] == expected[0] and (got[1] == expected[1]).all()
+    assert len(most) > 10 and max(most) == 50

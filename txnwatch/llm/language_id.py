@@ -39,6 +39,7 @@ TRAIN_ROWS = 20_000
 UNKNOWN = 1e-7               # probability of a character outside the vocabulary
 SMOOTHING = 0.5
 UNDETERMINED = "und"
+WORDS_AT_ONCE = 16_384       # words whose prefixes are held at a time
 _SPACE = "▁"
 _SPLIT = str.maketrans({c: " " for c in BLANKS})
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -190,6 +191,13 @@ def word_counts(texts: list) -> tuple[list, np.ndarray, np.ndarray]:
     return words, owner[keep], code[keep]
 
 
+def _slices(words: list) -> Iterator[np.ndarray]:
+    """Places of at most ``WORDS_AT_ONCE`` words at a time, the longest words first."""
+    order = np.argsort([-len(w) for w in words], kind="stable")
+    for k in range(0, len(order), WORDS_AT_ONCE):
+        yield order[k:k + WORDS_AT_ONCE]
+
+
 @dataclass
 class LanguageModel:
     languages: list
@@ -206,7 +214,9 @@ class LanguageModel:
         logp = np.zeros((len(texts), len(self.languages)))
         chars = np.zeros(len(texts))
         if len(owner):
-            per_word = WordLattice(words, pieces(self.path)).forward(self.probs)
+            per_word = np.empty((len(words), len(self.languages)))
+            for at in _slices(words):
+                per_word[at] = WordLattice([words[k] for k in at], pieces(self.path)).forward(self.probs)
             for c in range(logp.shape[1]):
                 logp[:, c] = np.bincount(owner, per_word[code, c], minlength=len(texts))
             chars = np.bincount(owner, np.array([len(w) + 1 for w in words])[code], minlength=len(texts))
@@ -231,7 +241,7 @@ def _expected(batches: Iterator[pd.DataFrame], path: str) -> Iterator[pd.DataFra
                 continue
             of = part["lang"].map({g: i for i, g in enumerate(langs)}).to_numpy()[owner]
             weights = np.stack([np.bincount(code[of == i], minlength=len(words)) for i in range(len(langs))], axis=1).astype(float)
-            counts = WordLattice(words, vocab).expected_counts(weights, 1.0 / vocab.size)
+            counts = sum(WordLattice([words[k] for k in at], vocab).expected_counts(weights[at], 1.0 / vocab.size) for at in _slices(words))
             piece, lang = np.nonzero(counts > 0)
             yield pd.DataFrame({"lang": np.array(langs, dtype=object)[lang], "piece": piece.astype(np.int32),
                                 "n": counts[piece, lang]})
