@@ -68,3 +68,27 @@ def test_ids_equal_the_library_on_odd_text():
         assert ids[at:at + n].tolist() == library.encode(t or "", add_special_tokens=False).ids, repr(t)
         at += n
     assert at == len(ids)
+
+
+def test_a_worker_stays_small():
+    # bytes that a worker keeps for a compiled transition, and what is left of them once they are dropped
+    import subprocess
+    import sys
+
+    code = """if True:
+        import random, tracemalloc
+        from txnwatch.llm import packing as pk
+        encoder = pk.Encoder(%r)
+        rng = random.Random(3)
+        words = [" " + "".join(rng.choice("etaoinshrdlu") for _ in range(6)) for _ in range(40_000)]
+        tracemalloc.start()
+        encoder._by_rules(words)
+        machine = encoder.rules.machine
+        size, kept = machine.n, tracemalloc.get_traced_memory()[0]
+        machine.max_transitions = 0
+        machine.make_room()
+        print(kept / size, tracemalloc.get_traced_memory()[0] / kept)
+    """ % PATH
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=300).stdout
+    kept, left = map(float, out.split())
+    assert kept < 400 and left < 0.5

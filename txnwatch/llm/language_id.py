@@ -32,8 +32,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnwatch.llm.common import BLANKS, distinct, free_name, python_ready, table
-from txnwatch.llm.token_counts import grouped
+from txnwatch.llm.common import BLANKS, distinct, free_name, give_back, python_ready, table
+from txnwatch.llm.token_counts import grouped, runs
 
 TRAIN_ROWS = 20_000
 UNKNOWN = 1e-7               # probability of a character outside the vocabulary
@@ -245,6 +245,9 @@ def _expected(batches: Iterator[pd.DataFrame], path: str) -> Iterator[pd.DataFra
             piece, lang = np.nonzero(counts > 0)
             yield pd.DataFrame({"lang": np.array(langs, dtype=object)[lang], "piece": piece.astype(np.int32),
                                 "n": counts[piece, lang]})
+            del part, words, owner, code, of, weights, counts
+        del b
+        give_back()
 
 
 def fit(df: DataFrame, path: str, text: str = "text", lang: str = "lang", order: str = "doc_id",
@@ -284,15 +287,19 @@ def predict(df: DataFrame, model: LanguageModel, text: str = "text", out: str =
 
 def _arrow(batches, shared, text: str, out: str, score: str):
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     model = shared.value
     for b in batches:
-        texts = b.column(text).to_pandas()
-        got = [model.classify(texts.iloc[s].tolist()) for s in grouped(texts)]
+        texts = b.column(text)
+        lengths = pc.utf8_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
+        got = [model.classify(texts[s].to_pylist()) for s in runs(lengths)]
         best = [x for g, _ in got for x in g]
         p = np.concatenate([x for _, x in got]) if got else np.zeros(0)
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(best, pa.string()), pa.array(p, pa.float64())],
                                          names=[*b.schema.names, out, score])
+        del b, texts, got
+        give_back()
 
 
 def fold(doc_id: Column, folds: int) -> Column:

@@ -17,20 +17,22 @@ import functools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txnwatch.llm import byte_bpe
-from txnwatch.llm.common import BLANKS, Memory, id_back, id_text, one_thread, python_ready, stretches, table
+from txnwatch.llm.common import BLANKS, Memory, give_back, one_thread, python_ready, stretches, table
 from txnwatch.llm.lexicon import ragged
-from txnwatch.llm.token_counts import grouped
+from txnwatch.llm.token_counts import runs
 from txnwatch.llm.transducer import START, Lanes, cut_lanes
 
 CONTEXT = 1024
 END = 0
 LONG = 4096                # characters of a stretch beyond which lanes would wait for it
-TOGETHER = 1 << 21         # characters that are encoded together
+TOGETHER = 1 << 20         # characters that are encoded together
+LANE = 64                  # bytes of words that are encoded in turn
 SEEN = 1 << 18             # stretches whose ids a worker remembers (about 200 bytes each)
 
 
@@ -63,7 +65,7 @@ class Encoder:
         machine.make_room()
         symbols, first = self.rules.symbols(words)
         states = np.zeros(len(symbols), np.int32)
-        lanes = Lanes(symbols, *cut_lanes(symbols >= START, len(symbols), 256))
+        lanes = Lanes(symbols, *cut_lanes(symbols >= START, len(symbols), LANE))
         lanes.run(machine, states=states)
         at = np.flatnonzero(lanes.token_ends(machine, states))
         cut = np.searchsorted(at, np.r_[first, len(symbols)])
@@ -108,14 +110,19 @@ def cut(n: int, context: int = CONTEXT) -> list[int]:
     return [context] * (n // context) + [1 << b for b in reversed(range(rest.bit_length())) if rest >> b & 1]
 
 
-def _pieces(batches: Iterator[pd.DataFrame], path: str, context: int, end: int) -> Iterator[pd.DataFrame]:
+_PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64())])
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], path: str, context: int, end: int) -> Iterator[pa.RecordBatch]:
     encoder = load(path)
     for b in batches:
-        for s in grouped(b["text"], TOGETHER):
+        texts, docs = b.column("text"), b.column("doc_id")
+        lengths = pc.utf8_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
+        for s in runs(lengths, TOGETHER):
             out: dict = {"doc_id": [], "start": [], "length": [], "ids": [], "doc_tokens": []}
-            sizes, ids = encoder.encode(b["text"].iloc[s].tolist())
+            sizes, ids = encoder.encode(texts[s].to_pylist())
             ends = np.cumsum(sizes)
-            for doc, own, last in zip(b["doc_id"].iloc[s], sizes.tolist(), ends.tolist()):
+            for doc, own, last in zip(docs[s].to_pylist(), sizes.tolist(), ends.tolist()):
                 data = np.append(ids[last - own:last], end).astype("<u4").tobytes()
                 n, at = own + 1, 0
                 for size in cut(n, context):
@@ -125,7 +132,9 @@ def _pieces(batches: Iterator[pd.DataFrame], path: str, context: int, end: int)
                     out["ids"].append(data[4 * at:4 * (at + size)])
                     out["doc_tokens"].append(n)
                     at += size
-            yield pd.DataFrame(out)
+            yield pa.RecordBatch.from_pydict(out, _PIECES)
+        del b, texts, docs
+        give_back()
 
 
 def pack(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", context: int = CONTEXT,
@@ -135,10 +144,10 @@ def pack(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", c
     if context & (context - 1) or context < 1:
         raise ValueError("context must be a power of two")
     python_ready(df.sparkSession)
-    rows = df.select(id_text(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    pieces = rows.mapInPandas(lambda it: _pieces(it, path, context, end),
-                              "doc_id string, start long, length long, ids binary, doc_tokens long")
-    return id_back(pieces, "doc_id").withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    pieces = rows.mapInArrow(lambda it: _pieces(it, path, context, end),
+                             "doc_id long, start long, length long, ids binary, doc_tokens long")
+    return pieces.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
 
 
 def write_buckets(packed: DataFrame, path: str) -> None:

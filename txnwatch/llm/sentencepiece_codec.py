@@ -127,6 +127,7 @@ class StreamingViterbi:
         self.score = [0.0]
         self.tail = ""                  # the last symbols, where a piece may still start
         self.state, self.since = 0, 0
+        self.steps: dict = {}           # (state, symbol) -> state, of this stream
         self.most = 1
 
     def feed(self, symbols: str) -> list[int]:
@@ -140,7 +141,10 @@ class StreamingViterbi:
 
     def _merge_step(self, c: str) -> None:
         machine = self.model.machine
-        self.state, _ = machine.step(self.state, ord(c))
+        at = self.state, c
+        if at not in self.steps:
+            self.steps[at] = machine.step(self.state, ord(c))[0]
+        self.state = self.steps[at]
         last = int(machine.last[self.state])
         self.back.append(int(machine.length[self.state]))
         self.piece.append(last if last < self.model.size else -1 - (last - self.model.size))

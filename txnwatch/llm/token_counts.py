@@ -153,7 +153,11 @@ def count_texts(texts: list, bpe: byte_bpe.ByteBpe, width: int = WIDTH) -> np.nd
 
 def grouped(texts: pd.Series, size: int = GROUP) -> Iterator[slice]:
     """Consecutive rows of about ``size`` characters together (a longer text stays alone)."""
-    lengths = texts.str.len().fillna(0).to_numpy(np.int64)
+    return runs(texts.str.len().fillna(0).to_numpy(np.int64), size)
+
+
+def runs(lengths: np.ndarray, size: int = GROUP) -> Iterator[slice]:
+    """``grouped`` for the texts' lengths."""
     begin, total = 0, 0
     for i, n in enumerate(lengths.tolist()):
         if total and total + n > size:

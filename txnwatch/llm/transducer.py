@@ -7,8 +7,8 @@ suffices to know, for every position from which a token may still grow, the last
 token there and how many tokens lie behind it: a finite state.  A transition reads
 one symbol and carries the change of the token count (it can be 0 or negative, when
 the symbol completes a longer token).  States and transitions are compiled when
-first met, kept per worker process, and dropped together when ``max_transitions``
-is reached.
+first met, kept per worker process as packed bytes, and dropped together, with what the model
+remembers of its tokens, when ``max_transitions`` is reached.
 
 ``Lanes`` runs many stretches of text in lockstep with numpy, one table lookup a
 symbol.  A symbol of 2**``START_BIT`` and more opens a new word: the state before it
@@ -17,11 +17,14 @@ does not matter.
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 
 START_BIT = 22                       # above every code point; set on the first symbol of a word
 START = 1 << START_BIT
 _KEY = START_BIT + 1
+_BLANK = -2                          # a place where no token can start
 
 
 class MergeModel:
@@ -33,7 +36,11 @@ class MergeModel:
         self.longest = max((len(t) for t in tokens), default=1)
         self.proper = {t[:k] for t in tokens for k in range(1, len(t))}
         self.symbols_of = {i: t for t, i in tokens.items()}
-        self._compatible: dict = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop what is remembered of tokens that were asked for."""
+        self._compatible: dict = {}                   # a * 2**32 + b
         self._grown: dict = {}
 
     def rank(self, left: tuple, right: tuple):
@@ -78,9 +85,10 @@ class MergeModel:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether token b can follow token a; a is -1 before the first token of a word."""
-        got = self._compatible.get((a, b))
+        pair = (a << 32) + b
+        got = self._compatible.get(pair)
         if got is None:
-            got = self._compatible[a, b] = self._fits(a, b)
+            got = self._compatible[pair] = self._fits(a, b)
         return got
 
     def _fits(self, a: int, b: int) -> bool:
@@ -138,14 +146,14 @@ class Transducer:
     ``last[state]`` is the token that ends there, ``length[state]`` its symbols.
     """
 
-    def __init__(self, model: MergeModel, max_transitions: int = 3_000_000):
+    def __init__(self, model: MergeModel, max_transitions: int = 1_000_000):
         self.model, self.max_transitions = model, max_transitions
         self._reset()
 
     def _reset(self):
+        self.model.forget()
         self.states: dict = {}
         self.info: list = []
-        self.table: dict = {}
         self.last = np.zeros(1 << 12, np.int32)
         self.length = np.zeros(1 << 12, np.int32)
         self._state((), (-1,), (0,))
@@ -156,7 +164,7 @@ class Transducer:
         self.n = 0
 
     def _state(self, node, lasts, behind) -> int:
-        key = (node, lasts, behind)
+        key = array("i", (*node, *lasts, *behind)).tobytes()
         s = self.states.get(key)
         if s is None:
             s = self.states[key] = len(self.info)
@@ -172,10 +180,10 @@ class Transducer:
         """Next state and change of the token count."""
         if symbol >= START:
             state, symbol = 0, symbol - START
-        got = self.table.get((state, symbol))
-        if got is not None:
-            return got
-        node, lasts, behind = self.info[state]         # lasts[k], behind[k]: last token and tokens since, k symbols back
+        known = memoryview(self.info[state]).cast("i").tolist()
+        depth = len(known) // 3                        # symbols of the node; lasts and behind have one more each
+        node, lasts, behind = known[:depth], known[depth:2 * depth + 1], known[2 * depth + 1:]
+        # lasts[k], behind[k]: last token and tokens since, k symbols back
         model = self.model
         grown = (*node, symbol)
         for size in range(len(grown), 0, -1):
@@ -193,19 +201,18 @@ class Transducer:
         new_lasts, new_behind = [t], [0]
         for k in range(1, depth + 1):
             open_here = node[depth - k:] in model.proper
-            new_lasts.append(lasts[k - 1] if open_here else None)
-            new_behind.append(delta + behind[k - 1] if open_here else None)
-        out = self.table[state, symbol] = (self._state(node, tuple(new_lasts), tuple(new_behind)), delta)
-        return out
+            new_lasts.append(lasts[k - 1] if open_here else _BLANK)
+            new_behind.append(delta + behind[k - 1] if open_here else 0)
+        return self._state(node, new_lasts, new_behind), delta
 
-    # the numpy side: an open-addressing copy of ``table``
+    # the transitions: an open-addressing table in numpy
     def _slot(self, key):
         return ((key * np.int64(-7046029254386353131)) >> np.int64(20)) & np.int64(self.size - 1)
 
     def _insert(self, keys, nxt, emit):
-        if self.n + len(keys) > self.size // 4:
-            while self.n + len(keys) > self.size // 4:
-                self.size *= 4
+        if self.n + len(keys) > self.size // 2:
+            while self.n + len(keys) > self.size // 2:
+                self.size *= 2
             old = self.keys >= 0
             keys, nxt, emit = (np.r_[a[old], b] for a, b in ((self.keys, keys), (self.next, nxt), (self.emit, emit)))
             self.keys = np.full(self.size, -1, np.int64)
