@@ -141,3 +141,26 @@ def test_cuts_and_bins():
     assert bn.bins_of(v[:, None], [cuts]).tolist() == [[2, 0, 1, 1, 2]]
     many = np.random.default_rng(0).normal(size=10_000)
     assert 250 <= len(bn.quantile_cuts(many)) <= 255
+
+
+def test_few_histograms_are_kept_and_trees_stay_the_same(monkeypatch):
+    import tracemalloc
+
+    from txnwatch.operators import boosting
+
+    rng = np.random.default_rng(5)
+    bins, label = rng.integers(0, 200, (8, 30_000)).astype(np.uint8), rng.integers(0, 2, 30_000)
+    spec = boosting.BoostSpec(rounds=1, max_depth=10, objective="mean", min_hessian=0.0, l2=0.0, rate=1.0)
+
+    def run():
+        return list(boosting.boost(bins, label, 200, spec, (1.0, 1.0)))
+
+    run()
+    tracemalloc.start()
+    want = run()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(want[0]) > 800 and peak < 25e6           # with the histograms of all nodes 37.6 MB
+    monkeypatch.setattr(boosting, "HELD", 3)
+    monkeypatch.setattr(boosting, "ROWS_AT_ONCE", 777)
+    assert run() == want

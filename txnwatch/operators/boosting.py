@@ -39,12 +39,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txnwatch.operators.binning import bins_of, filled
-from txnwatch.session import ship_package
+from txnwatch.session import give_back, ship_package
 
 ROWS_PER_TASK = 2_000_000  # a byte a feature: a task holds no more than an ordinary partition
 MAX_TASKS = 32             # every task gets every other's sums: more would gather more than they save
 FINE = 1 << 20            # steps of a gradient
 TOGETHER = 64             # nodes whose histograms are summed in one exchange
+ROWS_AT_ONCE = 1 << 17    # rows that are worked on at a time
+HELD = 128                # open nodes whose histograms are kept; the children of others are both summed from their rows
 
 
 @dataclass(frozen=True)
@@ -154,23 +156,33 @@ class Grower:
     """Grows trees over the rows of one task; ``exchange`` adds up arrays over all tasks."""
 
     def __init__(self, bins: np.ndarray, n_bins: int, spec: BoostSpec, exchange=lambda a: a):
-        self.bins, self.n_bins, self.spec, self.exchange = bins, n_bins, spec, exchange
+        self.bins, self.n_bins, self.spec, self.exchange, self.held = bins, n_bins, spec, exchange, 0
+
+    def _parts(self) -> Iterator[slice]:
+        for k in range(0, self.bins.shape[1], ROWS_AT_ONCE):
+            yield slice(k, k + ROWS_AT_ONCE)
 
     def _histograms(self, slot: np.ndarray, n: int, g: np.ndarray, h: np.ndarray) -> np.ndarray:
         """Sums ([gradient, hessian, rows], node slot, feature, bin) of the rows with a slot."""
-        rows = np.flatnonzero(slot >= 0)
-        at = slot[rows].astype(np.int64) * self.n_bins
-        whole = len(rows) == len(slot)
-        g, h = (g, h) if whole else (g[rows], h[rows])
-        out = np.empty((3, n, len(self.bins), self.n_bins))
-        for f, bins in enumerate(self.bins):
-            index = at + (bins if whole else bins[rows])
-            for k, weights in enumerate((g, h, None)):
-                out[k, :, f] = np.bincount(index, weights, n * self.n_bins).reshape(n, self.n_bins)
+        out = np.zeros((3, n, len(self.bins), self.n_bins))
+        for part in self._parts():
+            own = slot[part]
+            rows = np.flatnonzero(own >= 0)
+            if not len(rows):
+                continue
+            at = own[rows].astype(np.int64) * self.n_bins
+            sums = g[part][rows], h[part][rows], None
+            for f, bins in enumerate(self.bins):
+                index = at + bins[part][rows]
+                for k, weights in enumerate(sums):           # whole numbers: exact in any order
+                    out[k, :, f] += np.bincount(index, weights, n * self.n_bins).reshape(n, self.n_bins)
         return self.exchange(out)
 
     def _best(self, hist: np.ndarray, scale: float) -> list[tuple]:
         """(gain, feature, bin, rows to the left) of every node's best split; gain is -inf without one."""
+        return [x for k in range(0, hist.shape[1], 8) for x in self._best_of(hist[:, k:k + 8], scale)]
+
+    def _best_of(self, hist: np.ndarray, scale: float) -> list[tuple]:
         spec, (g, h, n) = self.spec, np.cumsum(hist, axis=3)
         gt, ht, nt = (x[:, :1, -1:] for x in (g, h, n))
 
@@ -191,9 +203,9 @@ class Grower:
     def grow(self, g: np.ndarray, h: np.ndarray, scale: float) -> tuple[list, np.ndarray]:
         """The tree's nodes in order of their split (feature, bin, left, right, sums, gain), and the leaf of every row."""
         spec = self.spec
-        where = np.zeros(self.bins.shape[1], np.int64)       # node of every row, as far as nodes are looked at
+        where = np.zeros(self.bins.shape[1], np.int32)       # node of every row, as far as nodes are looked at
         root = self._histograms(where, 1, g, h)
-        nodes = [_Node(0, root[:, 0], self._best(root, scale)[0])]
+        nodes, self.held = [_Node(0, root[:, 0], self._best(root, scale)[0])], 1
         while True:
             taken, open_ = self._take(nodes)
             if not open_:
@@ -227,28 +239,40 @@ class Grower:
 
     def _look_below(self, nodes, parents, where, g, h, scale) -> None:
         """Give every parent its two children."""
-        slot_of = np.full(len(nodes), -1, np.int64)
+        slot_of = np.full(len(nodes), -1, np.int32)
         slot_of[parents] = np.arange(len(parents))
-        slot = slot_of[where]
-        rows = np.flatnonzero(slot >= 0)
-        own = slot[rows]
-        feature = np.array([nodes[p].feature for p in parents])[own]
-        cut = np.array([nodes[p].bin for p in parents])[own]
-        goes_left = self.bins[feature, rows] <= cut
+        feature, cut = (np.array([getattr(nodes[p], x) for p in parents]) for x in ("feature", "bin"))
         small_left = np.array([2 * nodes[p].left_rows <= nodes[p].sums[2] for p in parents])
-        small = np.full(len(where), -1, np.int64)
-        small[rows] = np.where(goes_left == small_left[own], own, -1)
+        lost = np.array([nodes[p].hist is None for p in parents])
+        small, large = np.full(len(where), -1, np.int32), np.full(len(where) if lost.any() else 0, -1, np.int32)
+        first = len(nodes)
+        for part in self._parts():
+            own = slot_of[where[part]]
+            rows = np.flatnonzero(own >= 0)
+            own = own[rows]
+            goes_left = self.bins[:, part][feature[own], rows] <= cut[own]
+            in_small = goes_left == small_left[own]
+            small[part][rows[in_small]] = own[in_small]
+            if len(large):
+                rest = ~in_small & lost[own]
+                large[part][rows[rest]] = own[rest]
+            where[part][rows] = first + 2 * own + ~goes_left
         hist = self._histograms(small, len(parents), g, h)
-        other = np.stack([nodes[p].hist for p in parents], axis=1) - hist
+        other = np.empty_like(hist)
+        if lost.any():
+            other[:, lost] = self._histograms(large, len(parents), g, h)[:, lost]
+        del small, large
+        for i in np.flatnonzero(~lost):
+            other[:, i] = nodes[parents[i]].hist - hist[:, i]
         best = self._best(hist, scale) + self._best(other, scale)
-        first = len(nodes)
         for i, p in enumerate(parents):
             pair = [(hist[:, i], best[i]), (other[:, i], best[len(parents) + i])]
             for one, split in pair if small_left[i] else pair[::-1]:
-                nodes.append(_Node(nodes[p].depth + 1, one, split))
+                nodes.append(node := _Node(nodes[p].depth + 1, one, split))
+                keep = self.held < HELD and self._splittable(node)
+                node.hist, self.held = one.copy() if keep else None, self.held + keep
             nodes[p].children = (first + 2 * i, first + 2 * i + 1)
-            nodes[p].hist = None
-        where[rows] = first + 2 * own + ~goes_left
+            nodes[p].hist, self.held = None, self.held - (not lost[i])
 
     @staticmethod
     def _tree(nodes, taken) -> list:
@@ -270,7 +294,7 @@ class Grower:
             for c in nodes[k].children:
                 number[c] = n
                 n += 1
-        leaf = np.zeros(len(nodes), np.int64)
+        leaf = np.zeros(len(nodes), np.int32)
         for k, node in enumerate(nodes):                      # parents come first
             leaf[k] = number.get(k, leaf[k])
             for c in node.children or ():
@@ -339,6 +363,8 @@ def fit_boosted(matrix: DataFrame, features: list[str], cuts: list[np.ndarray],
                 arrays = [np.full(len(nodes), 0.0), np.full(len(nodes), k, np.int32), np.arange(len(nodes), dtype=np.int32),
                           *(np.array(c, np.int32) for c in cols[:4]), *(np.array(c, float) for c in cols[4:])]
                 yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], [x.split()[0] for x in _FITTED.split(", ")])
+        del bins, label, parts, labels
+        give_back()
 
     dealt = matrix.select("label", "bins", "key").repartition(tasks, "key").select("label", "bins")
     nodes = dealt.mapInArrow(run, _FITTED, barrier=tasks > 1).toPandas().sort_values(["tree", "node"]).reset_index(drop=True)

@@ -39,7 +39,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from txnwatch.operators.binning import filled
 from txnwatch.operators.boosting import BoostedTrees
 from txnwatch.operators.forest import Forest
-from txnwatch.session import ship_package, work_dir
+from txnwatch.session import give_back, ship_package, work_dir
 
 
 @dataclass
@@ -108,29 +108,42 @@ def _one_tree(X: np.ndarray, t: LevelTree, n_features: int, points: int) -> np.n
     # A node's factor z (1 - t) + o t and its gain (o - z) / factor take two values, by o; with
     # the split on the same feature above (which holds wherever this one does) a step down has
     # three cases: neither holds, only the one above, both.
-    z = t.share[:, None]
-    off, on = z * (1 - at), z + (1 - z) * at
-    gain_off, gain_on = np.broadcast_to(-1 / (1 - at), off.shape), (1 - z) / on
-    first = (t.prev < 0)[:, None]
-    above_on, above_off = np.where(first, 1.0, on[t.prev]), np.where(first, 1.0, off[t.prev])
-    step = np.stack([off / above_off, off / above_on, on / above_on])
-    gain_above = np.where(first, 0.0, gain_on[t.prev])
-    gain = w * np.stack([gain_off - np.where(first, 0.0, gain_off[t.prev]), gain_off - gain_above, gain_on - gain_above])
+    # These are worked out for a level at a time: the rows of a chunk share them, and no array but the
+    # products spans all nodes and points.
+    def factors(z):
+        return z * (1 - at), z + (1 - z) * at
+
+    def of_level(level):
+        z, prev, first = t.share[level, None], t.prev[level], (t.prev[level] < 0)[:, None]
+        (off, on), (before_off, before_on) = factors(z), factors(t.share[prev, None])
+        return z, off, on, before_off, before_on, t.share[prev, None], first
+
+    def steps(level):
+        _, off, on, before_off, before_on, _, first = of_level(level)
+        above_on, above_off = np.where(first, 1.0, before_on), np.where(first, 1.0, before_off)
+        return np.stack([off / above_off, off / above_on, on / above_on])
+
+    def gains(level):
+        z, off, on, _, before_on, before, first = of_level(level)
+        gain_off, gain_on = np.broadcast_to(-1 / (1 - at), off.shape), (1 - z) / on
+        gain_above = np.where(first, 0.0, (1 - before) / before_on)
+        return w * np.stack([gain_off - np.where(first, 0.0, gain_off), gain_off - gain_above, gain_on - gain_above])
+
     holds = np.ones((rows, len(t.feat) + 1), np.int8)      # column -1 stands for "no such split above"
     products, down = [], np.ones((rows, 1, points))
     for level in t.levels:
         above = holds[:, t.prev[level]]
         holds[:, level] = ((X[:, t.feat[level]] <= t.thr[level]) == t.left[level]) & above.astype(bool)
         case = above + holds[:, level]
-        node = np.arange(level.start, level.stop)
-        down = down[:, t.parent[level]] * step[case, node]
-        products.append((case, node, down))
+        down = down[:, t.parent[level]] * steps(level)[case, np.arange(case.shape[1])]
+        products.append((case, down))
     up = None
-    for level, (case, node, down) in zip(reversed(t.levels), reversed(products)):
+    for level in reversed(t.levels):
+        case, down = products.pop()
         total = down * t.value[level][None, :, None]
         if up is not None:
             total[:, np.flatnonzero(~t.leaf[level])] = up[:, 0::2] + up[:, 1::2]
-        part = np.einsum("rnp,rnp->rn", total, gain[case, node])
+        part = np.einsum("rnp,rnp->rn", total, gains(level)[case, np.arange(case.shape[1])])
         for f in np.unique(t.feat[level]):
             phi[:, f] += part[:, t.feat[level] == f].sum(axis=1)
         up = total
@@ -238,6 +251,7 @@ def _forest_adder(bc, xcols: list):
                 tree = _forest_tree(nodes, model)
                 phi, base = phi + tree_shap(x, [tree], len(xcols)), base + tree.base
             yield pdf.assign(phi=list(phi), base=pdf["base"] + base)
+        give_back()
     return added
 
 

@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txnwatch.operators.binning import bins_of, filled
-from txnwatch.session import ship_package, work_dir
+from txnwatch.session import give_back, ship_package, work_dir
 
 ROWS_PER_NODE = 100_000
 ROWS_PER_TASK = 500_000        # rows (counted once a tree) of the groups of a task
-NODES_AT_ONCE = 4_000_000
+NODES_AT_ONCE = 2_000_000
 HISTOGRAMS = 1024              # nodes whose histograms are summed in one job
 NODE = np.dtype([("feature", "i2"), ("bin", "u1"), ("left", "i4"), ("n0", "u4"), ("n1", "u4")])   # right is left + 1
 _POISSON = np.cumsum([np.exp(-1.0) / f for f in (1, 1, 2, 6, 24, 120, 720, 5040, 40320, 362880, 3628800, 39916800)])
@@ -264,6 +264,7 @@ def fit_forest(matrix: DataFrame, features: list[str], cuts: list[np.ndarray], s
                 own = np.unique(slot[slot >= 0])
                 held = [np.vstack([rows, count[None]])[:, slot == s].T.tobytes() for s in own]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), t), pa.int32()), pa.array(own, pa.int32()), pa.array(held, pa.binary())], ["tree", "slot", "rows"])
+        give_back()
 
     def grown(table: pa.Table) -> pa.Table:
         tree, slot = table["tree"][0].as_py(), table["slot"][0].as_py()
@@ -315,8 +316,7 @@ class Forest:
 
     def shares(self, nodes: np.ndarray) -> np.ndarray:
         """Weighted share of class 1 in every node."""
-        a, b = nodes["n0"] * float(self.weights[0]), nodes["n1"] * float(self.weights[1])
-        return np.divide(b, a + b, out=np.zeros(len(nodes)), where=a + b > 0)
+        return _shares(nodes, self.weights)
 
     def score(self, df: DataFrame, name: str = "prob") -> DataFrame:
         """``df`` with the mean share of class 1 in the leaves of its rows."""
@@ -329,7 +329,7 @@ class Forest:
                 path = work_dir(spark, "scores")
                 out.write.parquet(path)
                 out = spark.read.schema(schema).parquet(path)
-            bc = spark.sparkContext.broadcast((*own, [(t, self.shares(t)) for t in trees]))
+            bc = spark.sparkContext.broadcast((*own, self.weights, trees))
             rows = out.select("*", *[filled(f).alias(f"_x{i}") for i, f in enumerate(self.features)])
             out = rows.mapInArrow(_adder(bc, kept, schema.names), schema)
         return out
@@ -345,15 +345,21 @@ class Forest:
         return Forest(meta["features"], [np.array(c) for c in meta["cuts"]], ForestSpec(**meta["spec"]), tuple(meta["weights"]), path + "/trees")
 
 
+def _shares(nodes: np.ndarray, weights: tuple) -> np.ndarray:
+    a, b = nodes["n0"] * float(weights[0]), nodes["n1"] * float(weights[1])
+    return np.divide(b, a + b, out=np.zeros(len(nodes)), where=a + b > 0)
+
+
 def _adder(bc, kept: int, names: list):
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts, n_trees, trees = bc.value
+        cuts, n_trees, weights, trees = bc.value
         for b in batches:
             x = np.stack([b.column(kept + 1 + i).to_numpy(zero_copy_only=False) for i in range(len(cuts))], axis=1)
             bins, total = bins_of(x, cuts), b.column(kept).to_numpy(zero_copy_only=False).copy()
-            for nodes, share in trees:
-                total += share[reached(nodes, bins)] / n_trees
+            for nodes in trees:
+                total += _shares(nodes[reached(nodes, bins)], weights) / n_trees
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(kept)), pa.array(total)], names)
+        give_back()
     return added
 
 
