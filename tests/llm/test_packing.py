@@ -92,3 +92,10 @@ def test_a_worker_stays_small():
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=300).stdout
     kept, left = map(float, out.split())
     assert kept < 400 and left < 0.5
+
+
+def test_a_task_without_rows():
+    from txnwatch.llm import language_id
+
+    assert list(pk._pieces(iter([]), PATH, 1024, 0)) == []
+    assert list(language_id._expected(iter([]), public_tokenizers.path("piece_bpe_32k.model"))) == []

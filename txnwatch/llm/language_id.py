@@ -246,8 +246,8 @@ def _expected(batches: Iterator[pd.DataFrame], path: str) -> Iterator[pd.DataFra
             yield pd.DataFrame({"lang": np.array(langs, dtype=object)[lang], "piece": piece.astype(np.int32),
                                 "n": counts[piece, lang]})
             del part, words, owner, code, of, weights, counts
-        del b
-        give_back()
+    b = None
+    give_back()
 
 
 def fit(df: DataFrame, path: str, text: str = "text", lang: str = "lang", order: str = "doc_id",
@@ -298,8 +298,8 @@ def _arrow(batches, shared, text: str, out: str, score: str):
         p = np.concatenate([x for _, x in got]) if got else np.zeros(0)
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(best, pa.string()), pa.array(p, pa.float64())],
                                          names=[*b.schema.names, out, score])
-        del b, texts, got
-        give_back()
+    b = texts = got = None
+    give_back()
 
 
 def fold(doc_id: Column, folds: int) -> Column:

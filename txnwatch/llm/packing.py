@@ -133,8 +133,8 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, context: int, end: int
                     out["doc_tokens"].append(n)
                     at += size
             yield pa.RecordBatch.from_pydict(out, _PIECES)
-        del b, texts, docs
-        give_back()
+    b = texts = docs = None
+    give_back()
 
 
 def pack(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", context: int = CONTEXT,
