@@ -158,15 +158,15 @@ class Grower:
     def __init__(self, bins: np.ndarray, n_bins: int, spec: BoostSpec, exchange=lambda a: a):
         self.bins, self.n_bins, self.spec, self.exchange, self.held = bins, n_bins, spec, exchange, 0
 
-    def _parts(self) -> Iterator[slice]:
+    def parts(self) -> Iterator[slice]:
         for k in range(0, self.bins.shape[1], ROWS_AT_ONCE):
             yield slice(k, k + ROWS_AT_ONCE)
 
-    def _histograms(self, slot: np.ndarray, n: int, g: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """Sums ([gradient, hessian, rows], node slot, feature, bin) of the rows with a slot."""
+    def _histograms(self, slot_of: np.ndarray, where: np.ndarray, n: int, g: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Sums ([gradient, hessian, rows], node slot, feature, bin) of the rows whose node has a slot."""
         out = np.zeros((3, n, len(self.bins), self.n_bins))
-        for part in self._parts():
-            own = slot[part]
+        for part in self.parts():
+            own = slot_of[where[part]]
             rows = np.flatnonzero(own >= 0)
             if not len(rows):
                 continue
@@ -200,11 +200,12 @@ class Grower:
             out.append((float(gain[k, p]), f, b, float(n[k, f, b])))
         return out
 
-    def grow(self, g: np.ndarray, h: np.ndarray, scale: float) -> tuple[list, np.ndarray]:
-        """The tree's nodes in order of their split (feature, bin, left, right, sums, gain), and the leaf of every row."""
+    def grow(self, g: np.ndarray, h: np.ndarray, scale: float) -> tuple[list, np.ndarray, np.ndarray]:
+        """The tree's nodes in order of their split (feature, bin, left, right, sums, gain), the node of every row as
+        far as nodes were looked at, and the leaf of each of those nodes."""
         spec = self.spec
         where = np.zeros(self.bins.shape[1], np.int32)       # node of every row, as far as nodes are looked at
-        root = self._histograms(where, 1, g, h)
+        root = self._histograms(np.zeros(1, np.int32), where, 1, g, h)
         nodes, self.held = [_Node(0, root[:, 0], self._best(root, scale)[0])], 1
         while True:
             taken, open_ = self._take(nodes)
@@ -212,7 +213,7 @@ class Grower:
                 break
             for k in range(0, len(open_), TOGETHER):
                 self._look_below(nodes, open_[k:k + TOGETHER], where, g, h, scale)
-        return self._tree(nodes, taken), self._leaves(nodes, taken, where)
+        return self._tree(nodes, taken), where, self._leaves(nodes, taken)
 
     def _splittable(self, node: _Node) -> bool:
         return node.gain > -np.inf and (self.spec.max_depth is None or node.depth < self.spec.max_depth)
@@ -244,24 +245,21 @@ class Grower:
         feature, cut = (np.array([getattr(nodes[p], x) for p in parents]) for x in ("feature", "bin"))
         small_left = np.array([2 * nodes[p].left_rows <= nodes[p].sums[2] for p in parents])
         lost = np.array([nodes[p].hist is None for p in parents])
-        small, large = np.full(len(where), -1, np.int32), np.full(len(where) if lost.any() else 0, -1, np.int32)
         first = len(nodes)
-        for part in self._parts():
+        for part in self.parts():
             own = slot_of[where[part]]
             rows = np.flatnonzero(own >= 0)
             own = own[rows]
-            goes_left = self.bins[:, part][feature[own], rows] <= cut[own]
-            in_small = goes_left == small_left[own]
-            small[part][rows[in_small]] = own[in_small]
-            if len(large):
-                rest = ~in_small & lost[own]
-                large[part][rows[rest]] = own[rest]
-            where[part][rows] = first + 2 * own + ~goes_left
-        hist = self._histograms(small, len(parents), g, h)
+            where[part][rows] = first + 2 * own + (self.bins[:, part][feature[own], rows] > cut[own])
+        # rows are found by their node: no slot is kept for each
+        small, large = np.full((2, first + 2 * len(parents)), -1, np.int32)
+        slots = np.arange(len(parents))
+        small[first + 2 * slots + ~small_left] = slots
+        large[(first + 2 * slots + small_left)[lost]] = slots[lost]
+        hist = self._histograms(small, where, len(parents), g, h)
         other = np.empty_like(hist)
         if lost.any():
-            other[:, lost] = self._histograms(large, len(parents), g, h)[:, lost]
-        del small, large
+            other[:, lost] = self._histograms(large, where, len(parents), g, h)[:, lost]
         for i in np.flatnonzero(~lost):
             other[:, i] = nodes[parents[i]].hist - hist[:, i]
         best = self._best(hist, scale) + self._best(other, scale)
@@ -287,8 +285,8 @@ class Grower:
                 else (-1, 0, -1, -1, nodes[k].sums, 0.0) for k in order]
 
     @staticmethod
-    def _leaves(nodes, taken, where) -> np.ndarray:
-        """Rows' leaves in the numbers of ``_tree``; children that were looked at but not taken count as their parent."""
+    def _leaves(nodes, taken) -> np.ndarray:
+        """Every node's leaf in the numbers of ``_tree``; children that were looked at but not taken count as their parent."""
         number, n = {0: 0}, 1
         for k in taken:
             for c in nodes[k].children:
@@ -299,24 +297,40 @@ class Grower:
             leaf[k] = number.get(k, leaf[k])
             for c in node.children or ():
                 leaf[c] = leaf[k]
-        return leaf[where]
+        return leaf
+
+
+def gathered(batches: Iterator[pa.RecordBatch], n_features: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bins as features x rows, labels) of (label, bins) batches; no batch is held longer than it is read."""
+    data, labels = bytearray(), bytearray()
+    for b in batches:
+        data += b"".join(b.column(1).to_pylist())
+        labels += b.column(0).to_numpy(zero_copy_only=False).astype(np.int32).tobytes()
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(-1, n_features).T), np.frombuffer(labels, np.int32)
 
 
 def boost(bins: np.ndarray, label: np.ndarray, n_bins: int, spec: BoostSpec, weights: tuple, exchange=lambda a: a) -> Iterator[list]:
-    """The trees' nodes, round by round: (feature, bin, left, right, value, cover, gain) lists."""
-    w = np.where(label == 1, weights[1], weights[0])
+    """The trees' nodes, round by round: (feature, bin, left, right, value, cover, gain) lists.
+
+    A row keeps its bins, label and margin and, while a tree grows, its node and two whole numbers of at most
+    ``FINE``; all else is worked out for ``ROWS_AT_ONCE`` rows."""
     scale = FINE / max(weights)
     margin = np.full(bins.shape[1], base_of(exchange(np.array([(label == 0).sum(), (label == 1).sum()], float)), spec, weights))
-    grower = Grower(bins, n_bins, spec, exchange)
+    grower, (g, h) = Grower(bins, n_bins, spec, exchange), np.empty((2, bins.shape[1]), np.int32)
     for _ in range(spec.rounds):
-        if spec.objective == "logistic":
-            p = 1 / (1 + np.exp(-margin))
-            g, h = w * (p - label), w * p * (1 - p)
-        else:
-            g, h = -w * label, w
-        nodes, leaf = grower.grow(np.rint(g * scale), np.rint(h * scale), scale)
+        for part in grower.parts():
+            y = label[part]
+            w = np.where(y == 1, weights[1], weights[0])
+            if spec.objective == "logistic":
+                p = 1 / (1 + np.exp(-margin[part]))
+                a, b = w * (p - y), w * p * (1 - p)
+            else:
+                a, b = -w * y, w
+            g[part], h[part] = np.rint(a * scale), np.rint(b * scale)
+        nodes, where, leaf = grower.grow(g, h, scale)
         values = np.array([-spec.rate * s[0] / (s[1] + spec.l2 * scale) if s[1] + spec.l2 * scale > 0 else 0.0 for *_, s, _ in nodes])
-        margin += values[leaf]
+        for part in grower.parts():
+            margin[part] += values[leaf[where[part]]]
         yield [(f, b, left, right, float(v), float(s[1] / scale), float(gain))
                for (f, b, left, right, s, gain), v in zip(nodes, values)]
 
@@ -351,19 +365,14 @@ def fit_boosted(matrix: DataFrame, features: list[str], cuts: list[np.ndarray],
         from pyspark import BarrierTaskContext
 
         context = BarrierTaskContext.get() if tasks > 1 else None
-        parts, labels = [], []
-        for b in batches:
-            parts.append(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, n_features))
-            labels.append(b.column(0).to_numpy(zero_copy_only=False))
-        bins = np.ascontiguousarray(np.concatenate([np.zeros((0, n_features), np.uint8), *parts]).T)
-        label = np.concatenate([np.zeros(0, np.int32), *labels])
+        bins, label = gathered(batches, n_features)
         for k, nodes in enumerate(boost(bins, label, n_bins, spec, weights, _add_up(context) if context else lambda a: a)):
             if context is None or context.partitionId() == 0:
                 cols = list(zip(*nodes))
                 arrays = [np.full(len(nodes), 0.0), np.full(len(nodes), k, np.int32), np.arange(len(nodes), dtype=np.int32),
                           *(np.array(c, np.int32) for c in cols[:4]), *(np.array(c, float) for c in cols[4:])]
                 yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], [x.split()[0] for x in _FITTED.split(", ")])
-        del bins, label, parts, labels
+        del bins, label
         give_back()
 
     dealt = matrix.select("label", "bins", "key").repartition(tasks, "key").select("label", "bins")
