@@ -95,3 +95,16 @@ def test_chains_runs_and_salted_nodes(spark, monkeypatch):
     words |= {"q" * 3000: 10, "q" * 2999 + "r": 100, "q" * 3001: 1000}
     got = rows(spelling.variants(spark.createDataFrame(list(words.items()), "word string, n long")))
     assert got == brute(words)
+
+
+def test_no_join_is_broadcast(spark, monkeypatch):
+    """What Spark takes for a small table (compressed, or before an explode) must not pass through the driver."""
+    plans, store = [], spelling.written
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    monkeypatch.setattr(spelling, "written", lambda df, name: plans.append((name, plan(df))) or store(df, name))
+    words = {"abcdefgh" + "x" * k: 6 ** k for k in range(4)}
+    out = spelling.variants(spark.createDataFrame(list(words.items()), "word string, n long"))
+    plans.append(("result", plan(out)))
+    assert rows(out) == brute(words)
+    assert sum(p.count("SortMergeJoin") for _, p in plans) >= 8
+    assert not [name for name, p in plans if "Broadcast" in p]

@@ -13,7 +13,8 @@ Two tries halve the work at the top: the first difference of two words lies in t
 later half of the word, or, read backwards, the later half of the mirrored word.  So
 only the lower halves of both tries exist and no word starts at the root.  Edges name
 the letters that may follow, so most rows end before they are shuffled.  A node that
-many words pass is salted by their number, with its (few) edges repeated.
+many words pass is salted by their number, with its (few) edges repeated.  No table is
+broadcast: all grow with the words, and Spark sizes prefixes, paths and edges too low.
 
 ``corpus_words`` counts the words; ``variants`` works on any (word, n) table of distinct
 non-empty words.  Null text has no words; a null id never deletes a letter.  Repeated
@@ -29,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnwatch.llm.common import python_ready, table, written
+from txnwatch.llm.common import by_merge, python_ready, table, written
 from txnwatch.llm.lexicon import ragged
 from txnwatch.llm.token_counts import grouped
 
@@ -108,10 +109,10 @@ def trie(words: DataFrame) -> DataFrame:
     nodes = rows.groupBy("node").agg(F.min("next").alias("_low"), F.max("next").alias("_high"), F.bit_or(_bit(F.col("next"))).alias("following"),
                                      F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("salts"))
     nodes = written(nodes.where((F.col("_low") < F.col("_high")) | (F.col("_low") == 0)).drop("_low", "_high"), "spelling-nodes")
-    paths = rows.select("wid", "mirrored", "depth", "node").join(nodes, "node").groupBy("wid", "mirrored").agg(
+    paths = rows.select("wid", "mirrored", "depth", "node").join(by_merge(nodes), "node").groupBy("wid", "mirrored").agg(
         F.sort_array(F.collect_list(F.struct("depth", "node", "following", "salts"))).alias("path"))
     text = F.when(F.col("mirrored"), F.reverse("word")).otherwise(F.col("word"))
-    return written(paths.join(words, "wid").select("wid", "mirrored", text.alias("text"), "n", "path"), "spelling-paths")
+    return written(paths.join(by_merge(words), "wid").select("wid", "mirrored", text.alias("text"), "n", "path"), "spelling-paths")
 
 
 def edge_table(paths: DataFrame) -> DataFrame:
@@ -140,7 +141,7 @@ def _spend_edit(paths: DataFrame, edges: DataFrame) -> DataFrame:
     replaced = F.when(text.substr(depth + 2, n - 1) == tail, depth + n)
     inserted = F.when(text.substr(depth + 1, n - 1) == tail, depth + n - 1)
     deleted = F.when(text.substr(depth + 2, n) == label, depth + n + 1)
-    rows = own.join(salted, ["node", "salt"]).where(F.col("first") != text.substr(depth + 1, F.lit(1)))
+    rows = own.join(by_merge(salted), ["node", "salt"]).where(F.col("first") != text.substr(depth + 1, F.lit(1)))
     rows = rows.select("wid", "mirrored", "text", "child", "following", F.explode(F.array(replaced, inserted, deleted)).alias("position"))
     rows = rows.where(F.col("position") <= size).where(_may_follow(F.col("position"), F.col("following")))
     return rows.select("wid", "mirrored", "text", "position", F.col("child").alias("node")).unionByName(shorter)
@@ -148,7 +149,7 @@ def _spend_edit(paths: DataFrame, edges: DataFrame) -> DataFrame:
 
 def _next_level(live: DataFrame, edges: DataFrame) -> DataFrame:
     at, label = F.col("position"), F.col("label")
-    rows = live.withColumn("first", F.col("text").substr(at + 1, F.lit(1))).join(edges.drop("salts"), ["node", "first"])
+    rows = live.withColumn("first", F.col("text").substr(at + 1, F.lit(1))).join(by_merge(edges.drop("salts")), ["node", "first"])
     rows = rows.where(F.col("text").substr(at + 1, F.char_length(label)) == label).withColumn("position", at + F.char_length(label))
     return rows.where(_may_follow(F.col("position"), F.col("following"))).select(
         "wid", "mirrored", "text", "position", F.col("child").alias("node"))
@@ -171,7 +172,7 @@ def neighbours(words: DataFrame) -> DataFrame:
     for more in ended[1:]:
         done = done.unionByName(more)
     words_at = paths.select(F.element_at("path", -1)["node"].alias("node"), F.col("text").alias("other"), F.col("n").alias("near_n"))
-    pairs = done.join(words_at, "node").where(F.levenshtein("text", "other", 1) == 1)
+    pairs = done.join(by_merge(words_at), "node").where(F.levenshtein("text", "other", 1) == 1)
     near = F.when(F.col("mirrored"), F.reverse("other")).otherwise(F.col("other"))
     return pairs.select("wid", near.alias("near"), "near_n").distinct()
 
@@ -182,14 +183,14 @@ def variants(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     best = neighbours(words).groupBy("wid").agg(
         F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("m"), F.col("near").alias("w"))).alias("best"))
     much = -F.col("best.m") >= ratio * F.col("n")
-    formed = written(words.join(best, "wid", "left").select(
+    formed = written(words.join(by_merge(best), "wid", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
         F.when(much, F.col("best.w")).alias("form"), F.when(much, -F.col("best.m")).alias("form_n")), "spelling-forms")
     # follow the forms; counts grow by ``ratio`` at every step, so chains are short
     step = formed.where(F.col("form").isNotNull()).select(F.col("word").alias("root"), F.col("form").alias("further"))
     open_, closed = step.select(F.col("root").alias("word"), F.col("further").alias("root")), []
     while not open_.isEmpty():
-        moved = written(open_.join(step, "root", "left"), "spelling-roots")
+        moved = written(open_.join(by_merge(step), "root", "left"), "spelling-roots")
         closed.append(moved.where(F.col("further").isNull()).select("word", "root"))
         open_ = moved.where(F.col("further").isNotNull()).select("word", F.col("further").alias("root"))
     columns = ["word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n"]
@@ -198,7 +199,7 @@ def variants(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     roots = closed[0]
     for more in closed[1:]:
         roots = roots.unionByName(more)
-    return formed.join(roots, "word", "left").select(*columns)
+    return formed.join(by_merge(roots), "word", "left").select(*columns)
 
 
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
